@@ -119,9 +119,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey",
         "l_extendedprice",
         "l_shipdate",
-        (F.col("l_extendedprice") / 1000.0).alias("bvp"),
+        (F.col("l_extendedprice") / 1013.7 - 45.0).alias("bvp"),
         (60.0 + F.col("l_quantity")).alias("hr"),
-        (0.6 + F.col("l_discount") * 5).alias("ibi"),
+        (F.col("l_discount") * 34.7 / 3.142).alias("ibi"),
         (F.col("l_tax") * 100 + F.col("l_quantity") / 100.0).alias("eda"),
         (F.col("l_quantity") / 50.0).alias("acc_x"),
         F.col("l_discount").alias("acc_y"),
@@ -136,8 +136,8 @@ _STAGE_CASE = " ".join(
     f"WHEN l_returnflag = '{a}' AND l_linestatus = '{b}' THEN '{s}'" for (a, b), s in STAGE_NAMES.items()
 )
 SAMPLES_SQL = f"""raw AS (
-  SELECT l_suppkey AS subject, l_extendedprice / 1000.0::DOUBLE AS bvp, 60.0::DOUBLE + l_quantity AS hr,
-         0.6::DOUBLE + l_discount * 5 AS ibi, l_tax * 100 + l_quantity / 100.0::DOUBLE AS eda,
+  SELECT l_suppkey AS subject, l_extendedprice / 1013.7::DOUBLE - 45.0::DOUBLE AS bvp, 60.0::DOUBLE + l_quantity AS hr,
+         l_discount * 34.7::DOUBLE / 3.142::DOUBLE AS ibi, l_tax * 100 + l_quantity / 100.0::DOUBLE AS eda,
          l_quantity / 50.0::DOUBLE AS acc_x, l_discount AS acc_y, l_tax AS acc_z,
          CASE {_STAGE_CASE} END AS stage_name, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate
   FROM lineitem),
