@@ -501,14 +501,14 @@ def morphology_features(epochs: DataFrame, x: str = "bvp", rate: int = 1) -> Dat
 IBI_SPECTRUM = ["IBI_VLF", "IBI_LF", "IBI_HF", "IBI_LF_HF", "IBI_nHF", "IBI_TP"]
 
 
-def resampled_beats(epochs: DataFrame, x: str = "ibi", rate: float = 4.0) -> DataFrame:
+def resampled_beats(epochs: DataFrame, x: str = "ibi", rate: float = 4.0, usable=None) -> DataFrame:
     """Beat intervals of each epoch on a uniform grid: kept beats, beat times, linear interpolation.
 
     Each beat expands to the grid points before the next beat, so no join is needed.
     """
     v = F.col(x)
     beats = (
-        epochs.withColumn("__ok", changed(v) & plausible(v))
+        epochs.withColumn("__ok", changed(v) & plausible(v) if usable is None else usable(v))
         .where("__ok")
         .withColumn("__t", F.sum(v).over(by_pos().rowsBetween(Window.unboundedPreceding, 0)))
         .withColumns({"__t": F.col("__t") - F.first("__t").over(by_pos()), "__n": F.count(F.lit(1)).over(whole_epoch())})
@@ -530,9 +530,9 @@ def resampled_beats(epochs: DataFrame, x: str = "ibi", rate: float = 4.0) -> Dat
     )
 
 
-def interval_spectrum(epochs: DataFrame, x: str = "ibi", rate: float = 4.0) -> DataFrame:
+def interval_spectrum(epochs: DataFrame, x: str = "ibi", rate: float = 4.0, usable=None) -> DataFrame:
     """Welch band powers of the resampled intervals; epochs with too few beats are absent."""
-    grid = resampled_beats(epochs, x, rate)
+    grid = resampled_beats(epochs, x, rate, usable)
     n, seg = F.col("__g"), F.col("__seg")
     grid = grid.withColumn("__g", F.count(F.lit(1)).over(whole_epoch())).where((F.col("n_beats") >= 5) & (n >= 16))
     size = F.least(n, F.lit(64))

@@ -418,3 +418,100 @@ def normalization_audit(spark, d):
     return rounded(
         a.groupBy("subject").agg(F.avg("m").alias("mean_err"), F.avg("s").alias("std_err"), ((F.avg("m") < 0.05) & (F.avg("s") < 0.05)).alias("passed"))
     )
+
+
+# ---------------------------------------------------------------- assembled rows
+
+
+def base_features(spark, d):
+    """73 base columns per epoch from one pass over stored epochs, plus the interval spectrum."""
+    e = materialize(epoched(spark, d), "epochs")
+    fams = [
+        sg.statistical(),
+        sg.temporal(),
+        sg.poincare_hjorth(),
+        sg.higuchi(),
+        sg.katz(),
+        sg.sample_entropy(),
+        sg.band_power(),
+        sg.beat_intervals(),
+        sg.heart_rate(),
+        sg.motion(),
+        sg.skin_conductance(),
+    ]
+    pulse = sg.Family(list(sg.morphology_inputs()), [], sg.morphology_inputs())
+    main = sg.finish_morphology(sg.build(e, [*fams, pulse], keep=("stage",)))
+    spec = sg.interval_spectrum(e)
+    joined = main.join(spec, ["subject", "epoch_idx"], "left").na.fill(0.0, sg.IBI_SPECTRUM)
+    names = [n for f in fams[:7] for n in f.names] + sg.MORPHOLOGY + fams[7].names + sg.IBI_SPECTRUM + [n for f in fams[8:] for n in f.names]
+    return joined.select("subject", "epoch_idx", "stage", *names), names
+
+
+# Columns that get a rolling context.
+CONTEXT_MEANS = ["ACC_Mag_Mean", "ACC_Movement_Count", "ACC_SMA", "Mean_HR", "RMSSD_IBI", "Mean_EDA", "EDA_SCR_Peaks"]
+CONTEXT_STDS = ["Mean_HR", "RMSSD_IBI"]
+
+
+def feature_matrix(spark, d):
+    """Base, delta and context columns: 73 + 73 + 10."""
+    base, names = base_features(spark, d)
+    numbered = ep.dense_epochs(materialize(base, "base_features"))
+    ctx = ep.rolling_context(numbered, CONTEXT_MEANS, CONTEXT_STDS, 5, "epoch_no")
+    full = ep.deltas(ctx, names, "epoch_no").withColumn("Ctx_EpochPos", ep.relative_position())
+    feats = (
+        names
+        + [f"Delta_{n}" for n in names]
+        + [f"Ctx_RMean_{n}" for n in CONTEXT_MEANS]
+        + [f"Ctx_RStd_{n}" for n in CONTEXT_STDS]
+        + ["Ctx_EpochPos"]
+    )
+    from vitalgrid.functions.scalar import nan_to_zero
+
+    return full.select("subject", "epoch_idx", "stage", *[nan_to_zero(F.col(n)).alias(n) for n in feats]), feats
+
+
+@query("epoch_feature_matrix", "G14 W3 W4 W5 P15")
+def epoch_feature_matrix(spark, d):
+    return rounded(feature_matrix(spark, d)[0])
+
+
+STRESS_FEATURES = ["MEAN_RR", "MEDIAN_RR", "SDRR", "HR", "LF_NU", "HF", "HF_PCT", "TP", "LF_HF", "sampen", "higuci"]
+
+
+def stress_features(epochs, rate=1):
+    """Eleven interval features per window from the peaks of the cleaned signal; zeros below three peaks."""
+    by = Window.partitionBy("subject", "epoch_idx").orderBy("pos")
+    clean = sg.preprocess(epochs)
+    pk = clean.withColumn("pk", sg.peak_flag(F.col("clean"), sg.min_distance(rate))).where("pk").select("subject", "epoch_idx", "pos")
+    gap = F.col("pos") - F.lag("pos").over(by)
+    rr = (
+        pk.withColumn("rr", gap / F.lit(float(rate)))
+        .where("rr IS NOT NULL")
+        .withColumn("pos", F.row_number().over(by) - 1)
+        .withColumn("n_rr", F.count(F.lit(1)).over(Window.partitionBy("subject", "epoch_idx")))
+        .where("n_rr >= 2")
+    )
+    ms = F.col("rr") * 1000.0
+    fam = sg.Family(
+        ["MEAN_RR", "MEDIAN_RR", "SDRR", "HR"],
+        [],
+        {"MEAN_RR": F.avg(ms), "MEDIAN_RR": F.percentile(ms, 0.5), "SDRR": F.stddev_samp(ms), "HR": 60.0 / F.avg("rr")},
+    )
+    time = sg.build(rr, [fam, sg.sample_entropy("rr", name="sampen"), sg.higuchi("rr", prefix="higuci")])
+    spec = sg.interval_spectrum(rr, "rr", usable=lambda v: v > 0).select(
+        "subject",
+        "epoch_idx",
+        (F.col("IBI_LF") / F.nullif(F.col("IBI_LF") + F.col("IBI_HF"), F.lit(0.0))).alias("LF_NU"),
+        F.col("IBI_HF").alias("HF"),
+        (F.col("IBI_nHF") * 100).alias("HF_PCT"),
+        F.col("IBI_TP").alias("TP"),
+        F.col("IBI_LF_HF").alias("LF_HF"),
+    )
+    ids = epochs.groupBy("subject", "epoch_idx").agg(F.max("stage").alias("stage"))
+    out = ids.join(time, ["subject", "epoch_idx"], "left").join(spec, ["subject", "epoch_idx"], "left")
+    return out.na.fill(0.0).select("subject", "epoch_idx", "stage", *STRESS_FEATURES)
+
+
+@query("stress_window_features", "G15 W13 G4 G6 G8 G9")
+def stress_window_features(spark, d):
+    return rounded(stress_features(epoched(spark, d)))
