@@ -34,8 +34,9 @@ def postings(sections: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def section_lengths(sections: DataFrame, key: str, text: str) -> DataFrame:
-    return sections.select(key, F.size(tx.search_tokens(text)).alias("dl"))
+def section_lengths(posts: DataFrame, key: str) -> DataFrame:
+    """Token count per section, from its postings."""
+    return posts.groupBy(key).agg(F.sum("tf").alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -92,9 +93,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _keep_best(qids, q_unit, ids, vecs, k, best):
+def _similarity(q, vecs, metric):
+    v = np.asarray(vecs, dtype=float)
+    if metric == "cosine":
+        return _unit(q) @ _unit(v).T
+    # negative squared distance
+    return 2.0 * (q @ v.T) - (q * q).sum(1)[:, None] - (v * v).sum(1)[None, :]
+
+
+def _keep_best(qids, q, ids, vecs, k, best, metric):
     """Merge one batch of vectors into the k best (similarity, id) of each query."""
-    sims = q_unit @ _unit(np.asarray(vecs, dtype=float)).T
+    sims = _similarity(q, vecs, metric)
     take = min(k, sims.shape[1])
     for i in range(len(qids)):
         s = sims[i]
@@ -113,38 +122,40 @@ def _frame(qids, best):
 _PARTIAL = "__q bigint, __id bigint, similarity double"
 
 
-def nearest(queries: DataFrame, qkey: str, qvec: str, vectors: DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    """Exact cosine top-k per query, ranked from 1.
+def nearest(
+    queries: DataFrame, qkey: str, qvec: str, vectors: DataFrame, key: str, vec: str, k: int, metric: str = "cosine", block: int = QUERY_BLOCK
+) -> DataFrame:
+    """Exact top-k per query by cosine or distance, ranked from 1.
 
     Vectors stay where they are: each task keeps k candidates per query and only those move. More
     queries than one block holds are hashed into blocks that meet shards of the vectors.
     """
     q = queries.select(F.col(qkey).cast("bigint").alias("__q"), F.col(qvec).alias("__v"))
     v = vectors.select(F.col(key).cast("bigint").alias("__id"), F.col(vec).alias("__e"))
-    head = q.limit(QUERY_BLOCK + 1).collect()  # never more than one block
-    if len(head) <= QUERY_BLOCK:
+    head = q.limit(block + 1).collect()  # never more than one block
+    if len(head) <= block:
         if not head:
             part = q.sparkSession.createDataFrame([], _PARTIAL)
         else:
             qids = [r["__q"] for r in head]
-            q_unit = _unit(np.asarray([r["__v"] for r in head], dtype=float))
+            q_mat = np.asarray([list(r["__v"]) for r in head], dtype=float)
 
             def scan(batches):
                 best = [[] for _ in qids]
                 for pdf in batches:
                     if len(pdf):
-                        _keep_best(qids, q_unit, pdf["__id"].to_numpy(), np.stack(pdf["__e"].to_numpy()), k, best)
+                        _keep_best(qids, q_mat, pdf["__id"].to_numpy(), np.stack(pdf["__e"].to_numpy()), k, best, metric)
                 yield _frame(qids, best)
 
             part = v.mapInPandas(scan, _PARTIAL)
     else:
-        part = _blocked(q, v, k)
+        part = _blocked(q, v, k, metric, block)
     w = Window.partitionBy("__q").orderBy(F.col("similarity").desc(), "__id")
     ranked = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("__q").alias(qkey), F.col("__id").alias(key), "similarity", "rank")
 
 
-def _blocked(q: DataFrame, v: DataFrame, k: int, block: int = QUERY_BLOCK, shard: int = SHARD_ROWS) -> DataFrame:
+def _blocked(q: DataFrame, v: DataFrame, k: int, metric: str, block: int, shard: int = SHARD_ROWS) -> DataFrame:
     """Query blocks meet vector shards; both group sizes are bounded by construction."""
     blocks = max(1, -(-q.count() * 2 // block))
     shards = max(1, -(-v.count() * 2 // shard))
@@ -159,10 +170,10 @@ def _blocked(q: DataFrame, v: DataFrame, k: int, block: int = QUERY_BLOCK, shard
         qids = left["__q"].tolist()
         best = [[] for _ in qids]
         if qids and len(right):
-            q_unit = _unit(np.stack(left["__v"].to_numpy()).astype(float))
+            q_mat = np.stack(left["__v"].to_numpy()).astype(float)
             for lo in range(0, len(right), 4096):
                 part = right.iloc[lo : lo + 4096]
-                _keep_best(qids, q_unit, part["__id"].to_numpy(), np.stack(part["__e"].to_numpy()), k, best)
+                _keep_best(qids, q_mat, part["__id"].to_numpy(), np.stack(part["__e"].to_numpy()), k, best, metric)
         return _frame(qids, best)
 
     return qs.groupBy("b", "s").cogroup(vs.groupBy("b", "s")).applyInPandas(meet, _PARTIAL)

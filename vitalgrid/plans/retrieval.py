@@ -55,11 +55,16 @@ FUSE_SQL = """fused AS (SELECT item_id, doc_id, score, row_number() OVER (PARTIT
 HYBRID_SQL = f"{BM25_SQL}, {NEAR_SQL}, {PARENT_SQL}, {FUSE_SQL}, hyb AS (SELECT * FROM fused WHERE item_id IN (SELECT item_id FROM par) OR rank <= {TOP_CHILDREN})"
 
 
-@query("inverted_index", "R1 X1 S13", f"WITH {TOKENS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM post GROUP BY term")
-def inverted_index(spark, d):
+def index(spark, d):
+    """The stored index: texts are tokenized once, whatever reads the postings later."""
     path = scratch_dir(spark, "index")
     rt.write_index(rt.postings(sections(spark, d), "doc_id", "text"), path, "doc_id")
-    return spark.read.parquet(path).groupBy("term").agg(
+    return spark.read.parquet(path)
+
+
+@query("inverted_index", "R1 X1 S13", f"WITH {TOKENS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM post GROUP BY term")
+def inverted_index(spark, d):
+    return index(spark, d).groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")
     )
 
@@ -70,16 +75,15 @@ def inverted_index(spark, d):
     f"WITH {TOKENS_SQL} SELECT term, df, round(idf, 6) AS idf, n_docs, round(avgdl, 6) AS avgdl FROM idf, cs",
 )
 def corpus_statistics(spark, d):
-    s = sections(spark, d)
-    stats = rt.corpus_stats(rt.section_lengths(s, "doc_id", "text"))
-    w = rt.term_weights(rt.postings(s, "doc_id", "text"), stats)
+    posts = index(spark, d)
+    stats = rt.corpus_stats(rt.section_lengths(posts, "doc_id"))
+    w = rt.term_weights(posts, stats)
     return rounded(w.join(F.broadcast(stats)))  # one row by construction
 
 
 def lexical(spark, d):
-    s = sections(spark, d)
-    posts, lens = rt.postings(s, "doc_id", "text"), rt.section_lengths(s, "doc_id", "text")
-    return rt.bm25(questions(spark, d), "item_id", "question", posts, lens, "doc_id", 2 * TOP_CHILDREN)
+    posts = index(spark, d)
+    return rt.bm25(questions(spark, d), "item_id", "question", posts, rt.section_lengths(posts, "doc_id"), "doc_id", 2 * TOP_CHILDREN)
 
 
 @query("bm25_search", "R2 T4 A18", f"WITH {BM25_SQL} SELECT item_id, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM lex")
