@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.ordering import running_totals, tied_ranks, value_bucket
+from vitalgrid.operators.ordering import running_totals, tied_ranks, value_bucket, with_scalars
 
 
 def confusion(df: DataFrame, y: str, yhat: str, labels: Sequence[int]) -> DataFrame:
@@ -75,7 +75,7 @@ def roc_points(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> D
     run = running_totals(per, keys, -value_bucket(score), [F.col(score).desc()], {"tp": F.col("__p"), "fp": F.col("__q")})
     totals = rows.groupBy(*keys).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
     run = run.withColumns({"tp": F.col("tp").cast("bigint"), "fp": F.col("fp").cast("bigint")})
-    joined = run.join(totals, keys) if keys else run.join(F.broadcast(totals))  # one row without keys
+    joined = run.join(totals, keys) if keys else with_scalars(run, totals)
     return joined.select(*keys, F.col(score).alias("threshold"), "tp", "fp", "pos", "neg")
 
 

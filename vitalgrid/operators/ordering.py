@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 _B = "__bucket"
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row aggregate as a scalar subquery: no join, evaluated once."""
+    cols = one_row.columns
+    out = df.withColumn("__one", one_row.select(F.struct(*cols)).scalar())
+    return out.withColumns({c: F.col(f"__one.{c}") for c in cols}).drop("__one")
+
+
 def value_bucket(value: Column | str, per_octave: int = 256) -> Column:
     """Monotone integer bucket of a double: equal-width steps inside each power of two.
 

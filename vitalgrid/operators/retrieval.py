@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions import phrases as ph
 from vitalgrid.functions import text as tx
+from vitalgrid.operators.ordering import with_scalars
 
 # BM25 parameters, the floor of negative idf, and the fusion constant.
 K1, B, FLOOR, RRF_K = 1.5, 0.75, 0.25, 60
@@ -45,10 +46,10 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 def term_weights(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """Document frequency and idf per term; negative idf becomes a share of the mean idf."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats.select("n_docs")))  # one row
+    df = with_scalars(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n_docs"))
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    out = raw.join(F.broadcast(mean))  # one row
+    out = with_scalars(raw, mean)
     return out.select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
@@ -76,7 +77,7 @@ def bm25(queries: DataFrame, qkey: str, qtext: str, posts: DataFrame, lengths: D
     terms = terms.join(weights, "term").select("__q", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     wanted = broadcast_if_small(terms.select("term").distinct())
     near = posts.join(wanted, "term", "left_semi").repartition(key)
-    near = near.join(lengths, key).join(F.broadcast(stats.select("avgdl")))  # one row
+    near = with_scalars(near.join(lengths, key), stats.select("avgdl"))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     near = near.select(key, "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("s"))
     scores = near.join(broadcast_if_small(terms), "term").groupBy("__q", key).agg(F.sum(F.col("w") * F.col("s")).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalar import clamp, finite_or_null
-from vitalgrid.operators.ordering import exact_quantiles, running_totals, value_bucket
+from vitalgrid.operators.ordering import exact_quantiles, running_totals, value_bucket, with_scalars
 
 PAIRWISE_COLUMNS = 40
 GREEDY_GROUPS = 100_000
@@ -80,7 +80,7 @@ def impute_median(df: DataFrame, columns: Sequence[str], bound: float = 1e8) ->
     clean = df.withColumns({c: finite_or_null(F.col(c).cast("double")) for c in columns})
     med = exact_quantiles(melt(clean, columns), ["feature"], "v", {"m": 0.5})
     row = med.agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"__{c}") for c in columns])
-    out = clean.join(F.broadcast(row))  # one row by construction
+    out = with_scalars(clean, row)
     return out.withColumns({c: clamp(F.coalesce(c, f"__{c}", F.lit(0.0)), -bound, bound) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
@@ -111,8 +111,8 @@ def class_weight(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
     """Balanced class weights n / (k * n_class) joined back by class."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("__n"))
     tot = counts.agg(F.sum("__n").alias("__t"), F.count(F.lit(1)).alias("__k"))
-    w = counts.join(F.broadcast(tot)).select(y, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias(name))  # one row
-    return df.join(F.broadcast(w), y)  # one row per class
+    w = with_scalars(counts, tot).select(y, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias(name))
+    return df.join(w, y)
 
 
 def hash_part(key, parts: int = 10):

@@ -63,15 +63,20 @@ def is_day(ts):
     return F.hour(ts).between(8, 19)
 
 
-def rich_stats(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], bucket, order) -> DataFrame:
+def rich_stats(
+    rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], bucket, order, more: Sequence = (), carry: Sequence[str] = ()
+) -> DataFrame:
     """Full statistics of each metric per key, without holding a key in one task.
 
     The slope runs over the position among non-null values, so positions come from running counts.
+    ``more`` aggregates over ``carry`` columns ride along in the same pass.
     """
     keys = list(keys)
+    order = list(order)
     pos = {f"__i_{m}": F.when(F.col(m).isNotNull(), 1).otherwise(0) for m in metrics}
-    indexed = running_totals(rows.select(*keys, *metrics, bucket.alias("__at"), *order), keys, F.col("__at"), [F.col(c) for c in order], pos)
-    aggs = []
+    used = list(dict.fromkeys([*metrics, *order, *carry]))
+    indexed = running_totals(rows.select(*keys, *used, bucket.alias("__at")), keys, F.col("__at"), [F.col(c) for c in order], pos)
+    aggs = list(more)
     for m in metrics:
         v = F.col(m)
         n, mean, std = F.count(v), F.avg(v), F.stddev_pop(v)
@@ -172,13 +177,12 @@ def person_wave_table(
         "subject", "t0", "gad7_1", "gad7_2", "gad7_f", *demographics(demo)
     )
     waved = assign_waves(segments, spans).select("subject", "wave", "seg_time", "event_id", *rich, *lite)
-    basic = waved.groupBy("subject", "wave").agg(
-        *coverage(), *[a for m in lite for a in lite_stats(m)], *[a for m in day_night for a in day_night_stats(m)]
+    more = [*coverage(), *[a for m in lite for a in lite_stats(m)], *[a for m in day_night for a in day_night_stats(m)]]
+    full = rich_stats(
+        waved, ["subject", "wave"], rich, time_bucket("seg_time", 6 * 3600), ["seg_time", "event_id"], more, [*lite, *day_night]
     )
-    full = rich_stats(waved, ["subject", "wave"], rich, time_bucket("seg_time", 6 * 3600), ["seg_time", "event_id"])
     out = (
-        basic.join(full, ["subject", "wave"])
-        .join(labels, "subject")
+        full.join(labels, "subject")
         .withColumn("gad7", score)
         .where(F.col("gad7").isNotNull())
         .drop("t0", "gad7_1", "gad7_2", "gad7_f")

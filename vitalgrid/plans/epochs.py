@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import epochs as ep
-from vitalgrid.operators.ordering import row_index, time_bucket, value_bucket
+from vitalgrid.operators.ordering import row_index, time_bucket, value_bucket, with_scalars
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.tables import stage_code
 from vitalgrid.plans.waves import rounded
@@ -284,7 +284,7 @@ def loso_fold_statistics(spark, d):
     own = t.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
     tot = own.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
     n, s, q = F.col("all_n") - F.col("n"), F.col("all_s") - F.col("s"), F.col("all_q") - F.col("q")
-    both = own.join(F.broadcast(tot))  # one row by construction
+    both = with_scalars(own, tot)
     return rounded(
         both.select(
             F.col("subject").alias("fold"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions import scalar as sc
 from vitalgrid.operators import evaluation as ev
+from vitalgrid.operators.ordering import with_scalars
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.tables import stage_code
 from vitalgrid.plans.waves import rounded
@@ -156,7 +157,7 @@ def fixed_threshold_labels(spark, d):
 )
 def regression_errors(spark, d):
     p = src.predictions(spark, d).select("gad7", (F.col("s2") * 18.37).alias("yhat"))
-    return rounded(ev.regression_errors(p, "gad7", "yhat").join(F.broadcast(ev.spearman(p, "gad7", "yhat"))))  # one row each
+    return rounded(with_scalars(ev.regression_errors(p, "gad7", "yhat"), ev.spearman(p, "gad7", "yhat")))
 
 
 @query(
@@ -255,7 +256,7 @@ def mann_whitney(spark, d):
 def discriminative_features(spark, d):
     t = ev.mann_whitney(feature_long(spark, d), "feature", "v", "y").select("feature", F.round("p_value", 6).alias("p_value"))
     weak = t.agg(F.count_if(F.col("p_value") > 0.05).alias("not_significant"))
-    return t.orderBy("p_value", "feature").limit(20).join(F.broadcast(weak))  # one row by construction
+    return with_scalars(t.orderBy("p_value", "feature").limit(20), weak)
 
 
 @query(

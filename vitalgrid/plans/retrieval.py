@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions import phrases as ph
 from vitalgrid.functions import text as tx
 from vitalgrid.operators import retrieval as rt
+from vitalgrid.operators.ordering import with_scalars
 from vitalgrid.plans.messages import sql_list, words
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.waves import rounded
@@ -78,7 +79,7 @@ def corpus_statistics(spark, d):
     posts = index(spark, d)
     stats = rt.corpus_stats(rt.section_lengths(posts, "doc_id"))
     w = rt.term_weights(posts, stats)
-    return rounded(w.join(F.broadcast(stats)))  # one row by construction
+    return rounded(with_scalars(w, stats))
 
 
 def lexical(spark, d):

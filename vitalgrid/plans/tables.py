@@ -9,7 +9,7 @@ from vitalgrid.functions import headers as hd
 from vitalgrid.functions import scalar as sc
 from vitalgrid.operators import textops
 from vitalgrid.operators import waves as wave_ops
-from vitalgrid.operators.ordering import exact_quantiles, row_index
+from vitalgrid.operators.ordering import exact_quantiles, row_index, with_scalars
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.waves import PERSON_WAVE_SQL, person_waves, rounded
 from vitalgrid.session import scratch_dir
@@ -596,8 +596,7 @@ def median_impute_and_clip(spark, d):
     v = F.when(F.col("rmssd") > 95, F.lit(float("inf"))).otherwise(F.col("rmssd") * 3e6)
     t = src.segments(spark, d).select("event_id", sc.finite_or_null(v).alias("w"))
     med = exact_quantiles(t, [], "w", {"med": 0.5}).agg(F.max("med").alias("med"))
-    # one row by construction: a global aggregate
-    joined = t.join(F.broadcast(med))
+    joined = with_scalars(t, med)
     return joined.select("event_id", sc.clamp(F.coalesce("w", "med", F.lit(0.0)), -1e8, 1e8).alias("v"))
 
 
