@@ -164,7 +164,7 @@ def _blocked(q: DataFrame, v: DataFrame, k: int, metric: str, block: int, shard:
         "s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     )
     vs = v.withColumn("s", F.pmod(F.xxhash64("__id"), F.lit(shards)).cast("int")).withColumn(
-        "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")
+        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
