@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import phrases as ph
+from vitalgrid.functions.scalar import bind
+
+WHITE = " \t\n\x0b\f\r"
 
 
 def _c(c: Column | str) -> Column:
@@ -15,7 +18,7 @@ def _c(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(WHITE))
 
 
 def words(c: Column | str) -> Column:
@@ -30,29 +33,17 @@ def lits(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate a value once and use it in a body; a lambda would otherwise recompute it per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _any_of(values: Sequence[str]) -> str:
-    return "(?:" + "|".join(f"\\Q{v}\\E" for v in values) + ")"
-
-
 def contains_any(c: Column, values: Sequence[str]) -> Column:
-    """One regex pass over the text, entered only where some phrase's first letter stands."""
-    first = "".join(sorted({"\\" + v[0] if v[0] in "^-]\\[" else v[0] for v in values}))
-    return c.rlike(f"(?=[{first}]){_any_of(values)}")
+    """Plain byte search for each phrase over a text that is computed once."""
+    return bind(c, lambda t: F.exists(lits(values), lambda p: F.contains(t, p)))
 
 
 def starts_with_any(c: Column, values: Sequence[str]) -> Column:
-    return c.rlike(f"^{_any_of(values)}")
+    return c.rlike("^(?:" + "|".join(f"\\Q{v}\\E" for v in values) + ")")
 
 
 def matched_phrases(c: Column | str, values: Sequence[str]) -> Column:
-    low = F.lower(strip(c))
-    found = bind(low, lambda t: F.filter(lits(values), lambda p: F.contains(t, p)))
-    return F.when(contains_any(low, values), found).otherwise(F.array().cast("array<string>"))
+    return bind(F.lower(strip(c)), lambda t: F.filter(lits(values), lambda p: F.contains(t, p)))
 
 
 def is_crisis(c) -> Column:
@@ -120,7 +111,7 @@ def ensure_question(c, route: Column, lang: Column, key: Column) -> Column:
     pick = (F.pmod(key, F.lit(6)) + 1).cast("int")
     closing = F.when(lang == "ar", F.element_at(lits(ph.CLOSINGS_AR), pick)).otherwise(F.element_at(lits(ph.CLOSINGS_EN), pick))
     need = route.isin("emotional", "conversational") & (c != "") & ~ends_with_question(c)
-    return F.when(need, F.concat(F.regexp_replace(c, r"\s+$", ""), F.lit("\n\n"), closing)).otherwise(c)
+    return F.when(need, F.concat(F.rtrim(c, F.lit(WHITE)), F.lit("\n\n"), closing)).otherwise(c)
 
 
 def is_refusal(c) -> Column:
@@ -218,9 +209,10 @@ def normalize_backend(c) -> Column:
 
 def search_tokens(c) -> Column:
     """Codes such as f32.1 and words of two or more characters; short pure numbers drop."""
-    found = F.regexp_extract_all(F.lower(_c(c)), F.lit(r"([a-z]\d+\.\d+|[a-z0-9]{2,})"), F.lit(1))
-    kept = F.filter(found, lambda t: ~(t.rlike(r"^\d+$") & (F.length(t) < 3)))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("")))
+    # the look-ahead refuses a run of exactly two digits, so no second pass over the tokens is needed
+    pattern = r"([a-z]\d+\.\d+|(?!\d{2}(?![a-z0-9]))[a-z0-9]{2,})"
+    kept = F.regexp_extract_all(F.lower(_c(c)), F.lit(pattern), F.lit(1))
+    return bind(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit(""))))
 
 
 def word_tokens(c) -> Column:
@@ -252,7 +244,7 @@ def response_features(c) -> dict[str, Column]:
         "word_count": n,
         "has_warm_phrase": flag(contains_any(low, ph.WARM_PHRASES)),
         "has_clinical_dump": flag(contains_any(low, ph.CLINICAL_PHRASES)),
-        "ends_with_question": flag(F.regexp_replace(c, r"\s+$", "").endswith("?")),
+        "ends_with_question": flag(F.rtrim(c, F.lit(WHITE)).endswith("?")),
         "question_count": F.length(c) - F.length(F.replace(c, F.lit("?"), F.lit(""))),
         "has_bullets": flag(F.contains(c, F.lit("* ")) | F.contains(c, F.lit("\n- "))),
         "short_response": flag(n < 35),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalgrid.functions.scalar import bind
 from vitalgrid.operators.ordering import running_totals, tied_ranks, value_bucket, with_scalars
 
 
@@ -114,8 +115,8 @@ def youden(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def threshold_sweep(df: DataFrame, y: str, score: str, start: float = 0.30, step: float = 0.01, count: int = 41) -> DataFrame:
     """Balanced accuracy at every grid threshold from one histogram of how many thresholds a score meets."""
-    grid = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.lit(start) + i * F.lit(step))
-    met = F.size(F.filter(grid, lambda t: F.col(score) >= t))
+    grid = F.array(*[F.lit(start + i * step) for i in range(count)])
+    met = bind(F.col(score), lambda s: F.size(F.filter(grid, lambda t: s >= t)))
     hist = df.where(F.col(score).isNotNull()).groupBy(met.alias("met"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     # at most count + 1 bins per label
     per = hist.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions import phrases as ph
 from vitalgrid.functions import text as tx
 from vitalgrid.operators.ordering import with_scalars
+from vitalgrid.session import materialize
 
 # BM25 parameters, the floor of negative idf, and the fusion constant.
 K1, B, FLOOR, RRF_K = 1.5, 0.75, 0.25, 60
@@ -74,7 +75,8 @@ def bm25(queries: DataFrame, qkey: str, qtext: str, posts: DataFrame, lengths: D
         .groupBy("__q", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    terms = terms.join(weights, "term").select("__q", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    # written once: the size checks and both joins below read it
+    terms = materialize(terms.join(weights, "term").select("__q", "term", (F.col("qtf") * F.col("idf")).alias("w")), "query_terms")
     wanted = broadcast_if_small(terms.select("term").distinct())
     near = posts.join(wanted, "term", "left_semi").repartition(key)
     near = with_scalars(near.join(lengths, key), stats.select("avgdl"))

@@ -11,7 +11,7 @@ from vitalgrid.operators.ordering import with_scalars
 from vitalgrid.plans.messages import sql_list, words
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.waves import rounded
-from vitalgrid.session import scratch_dir
+from vitalgrid.session import materialize, scratch_dir
 from vitalgrid.sources import tables as src
 
 TOP_CHILDREN = 6
@@ -83,7 +83,7 @@ def corpus_statistics(spark, d):
 
 
 def lexical(spark, d):
-    posts = index(spark, d)
+    posts = materialize(rt.postings(sections(spark, d), "doc_id", "text"), "postings")
     return rt.bm25(questions(spark, d), "item_id", "question", posts, rt.section_lengths(posts, "doc_id"), "doc_id", 2 * TOP_CHILDREN)
 
 

@@ -23,6 +23,10 @@ def r6(e, name):
     return f"round({e}, 6) + 0.0 AS {name}"
 
 
+def r8(e, name):
+    return f"round({e}, 8) + 0.0 AS {name}"
+
+
 DETREND_SQL = f"""fit AS (SELECT subject, epoch_idx, regr_slope(bvp, pos) AS b, regr_intercept(bvp, pos) AS a FROM e GROUP BY ALL),
 dt AS (SELECT e.subject, e.epoch_idx, pos, stage, bvp - (a + b * pos) AS x FROM e JOIN fit USING (subject, epoch_idx))"""
 
@@ -382,7 +386,7 @@ def audit_long(spark, d):
     "stage_medians",
     "A10",
     f"""WITH {EPOCH_SQL}, {STAT_SQL}, {LONG_SQL}, m AS (SELECT feature, median(CASE WHEN stage = 0 THEN v END) AS wake, median(CASE WHEN stage = 3 THEN v END) AS deep FROM lg GROUP BY feature)
-    SELECT feature, {r6('wake', 'wake')}, {r6('deep', 'deep')}, {r6('abs(wake - deep) / (abs(wake) + 1e-9) * 100', 'diff_pct')}, abs(wake - deep) / (abs(wake) + 1e-9) * 100 > 5 AS flagged FROM m""",
+    SELECT feature, {r8('wake', 'wake')}, {r8('deep', 'deep')}, {r8('abs(wake - deep) / (abs(wake) + 1e-9) * 100', 'diff_pct')}, abs(wake - deep) / (abs(wake) + 1e-9) * 100 > 5 AS flagged FROM m""",
 )
 def stage_medians(spark, d):
     q = exact_quantiles(audit_long(spark, d).where("stage IN (0, 3)"), ["feature", "stage"], "v", {"med": 0.5})
@@ -390,17 +394,17 @@ def stage_medians(spark, d):
         F.max(F.when(F.col("stage") == 0, F.col("med"))).alias("wake"), F.max(F.when(F.col("stage") == 3, F.col("med"))).alias("deep")
     )
     diff = F.abs(F.col("wake") - F.col("deep")) / (F.abs("wake") + 1e-9) * 100
-    return rounded(m.select("feature", "wake", "deep", diff.alias("diff_pct"), (diff > 5).alias("flagged")))
+    return rounded(m.select("feature", "wake", "deep", diff.alias("diff_pct"), (diff > 5).alias("flagged")), places=8)
 
 
 @query(
     "stage_five_numbers",
     "A11",
-    f"""WITH {EPOCH_SQL}, {STAT_SQL}, {LONG_SQL} SELECT feature, stage, {", ".join(r6(f'quantile_cont(v, {p})', f'q{int(p * 100)}') for p in (0.0, 0.25, 0.5, 0.75, 1.0))} FROM lg GROUP BY feature, stage""",
+    f"""WITH {EPOCH_SQL}, {STAT_SQL}, {LONG_SQL} SELECT feature, stage, {", ".join(r8(f'quantile_cont(v, {p})', f'q{int(p * 100)}') for p in (0.0, 0.25, 0.5, 0.75, 1.0))} FROM lg GROUP BY feature, stage""",
 )
 def stage_five_numbers(spark, d):
     probs = {f"q{int(p * 100)}": p for p in (0.0, 0.25, 0.5, 0.75, 1.0)}
-    return rounded(exact_quantiles(audit_long(spark, d), ["feature", "stage"], "v", probs))
+    return rounded(exact_quantiles(audit_long(spark, d), ["feature", "stage"], "v", probs), places=8)
 
 
 @query(
