@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions import phrases as ph
 from vitalgrid.functions import text as tx
-from vitalgrid.operators.ordering import blocks_with_halo, halo_window, home_rows, row_index, running_totals, value_bucket
+from vitalgrid.operators.ordering import (
+    blocks_with_halo,
+    halo_window,
+    home_rows,
+    join_per_key,
+    row_index,
+    running_totals,
+    size_bucket,
+)
 
 
 def numbered(messages: DataFrame) -> DataFrame:
@@ -36,7 +44,7 @@ def context_text(recent: Column, width: int = 300) -> Column:
 def tail_messages(messages: DataFrame, n: int = 10) -> DataFrame:
     """Last n messages per conversation and the number of exchanges, from positions and counts."""
     size = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
-    rows = numbered(messages).join(size, "conv_id")
+    rows = join_per_key(numbered(messages), size, ["conv_id"])
     return rows.where(F.col("n_prior") >= F.col("n_messages") - n).withColumn("exchanges", F.floor(F.col("n_messages") / 2))
 
 
@@ -67,13 +75,9 @@ def vocabulary(texts: DataFrame, column: str, min_freq: int = 2) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_freq)
     )
-    wide = 1 << 21
+    wide = 1 << 21  # above every code point
     second = F.ascii(F.substring("token", 2, 1)).cast("bigint")
-    sub = F.ascii("token").cast("bigint") * wide + second
-    small = 65536
-    bucket = F.when(F.col("n") < small, -F.col("n") * wide * wide + sub).otherwise(
-        -F.lit(small * wide * wide) - value_bucket("n")
-    )
+    bucket = size_bucket("n", F.ascii("token").cast("bigint") * wide + second, wide * wide)
     run = running_totals(counts, [], bucket, [F.col("n").desc(), F.col("token")], {"no": F.lit(1)})
     return run.select("token", "n", (F.col("no") - 1 + len(ph.SPECIAL_TOKENS)).cast("bigint").alias("id"))
 

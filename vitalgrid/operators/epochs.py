@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.ordering import blocks_with_halo, halo_window, home_rows, row_index
+from vitalgrid.operators.ordering import blocks_with_halo, halo_window, home_rows, join_per_key, row_index
 
 EPOCH_SECONDS = 30
 EPOCH_KEYS = ("subject", "epoch_idx")
@@ -72,7 +72,7 @@ def dense_epochs(df: DataFrame, idx: str = "epoch_idx") -> DataFrame:
     """
     out = row_index(df, ["subject"], F.floor(F.col(idx) / 1024).cast("bigint"), [F.col(idx)], "epoch_no")
     n = df.groupBy("subject").agg(F.count(F.lit(1)).alias("n_epochs"))
-    return out.join(n, "subject")
+    return join_per_key(out, n, ["subject"])
 
 
 def relative_position(no="epoch_no", n="n_epochs"):

@@ -22,6 +22,25 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return out.withColumns({c: F.col(f"__one.{c}") for c in cols}).drop("__one")
 
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], ways: int = 8) -> DataFrame:
+    """Inner join of rows with one row per key, spread so that a hot key meets its row in several tasks."""
+    keys = list(keys)
+    left = rows.withColumn("__way", F.pmod(F.xxhash64(*rows.columns), F.lit(ways)).cast("int"))
+    right = per_key.withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return left.join(right, [*keys, "__way"]).drop("__way")
+
+
+def size_bucket(n: Column | str, sub: Column, width: int) -> Column:
+    """Bucket for the order (n descending, tie-break ascending).
+
+    ``sub`` is a monotone bucket of the tie-break in [0, width): many keys with one size spread over
+    it. Sizes beyond 65536 are rare by nature and share value buckets.
+    """
+    n = F.col(n) if isinstance(n, str) else n
+    exact = 65536
+    return F.when(n < exact, -n * width + sub).otherwise(-F.lit(exact * width) - value_bucket(n)).cast("bigint")
+
+
 def value_bucket(value: Column | str, per_octave: int = 256) -> Column:
     """Monotone integer bucket of a double: equal-width steps inside each power of two.
 
@@ -108,8 +127,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key without gathering a key in one place.
 
-    First pass counts rows per value bucket, which names the buckets that hold the wanted ranks;
-    second pass keeps only rows of those buckets and finds the ranks among them.
+    Rows shrink to counts per distinct value first, so a repeated value cannot pile up. Counts per
+    value bucket name the buckets that hold the wanted ranks; the ranks are found inside those.
     """
     keys = list(keys)
     group = keys or ["__all"]
@@ -119,7 +138,8 @@ def exact_quantiles(
     rows = rows.select(*group, F.col(value).cast("double").alias("__v")).withColumn(
         _B, value_bucket("__v", per_octave)
     )
-    hist = rows.groupBy(*group, _B).agg(F.count(F.lit(1)).alias("__c"))
+    counts = rows.groupBy(*group, _B, "__v").agg(F.count(F.lit(1)).alias("__k"))
+    hist = counts.groupBy(*group, _B).agg(F.sum("__k").alias("__c"))
     upto = Window.partitionBy(*group).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumns(
         {"__hi": F.sum("__c").over(upto), "__n": F.sum("__c").over(Window.partitionBy(*group))}
@@ -134,11 +154,7 @@ def exact_quantiles(
             F.array_distinct(F.array(*ranks)), lambda r: (r >= F.col("__lo")) & (r < F.col("__hi"))
         ),
     ).where(F.size("__want") > 0)
-    near = (
-        rows.join(hist.select(*group, _B, "__lo", "__n", "__want"), [*group, _B])
-        .groupBy(*group, _B, "__v", "__lo", "__n", "__want")
-        .agg(F.count(F.lit(1)).alias("__k"))
-    )
+    near = counts.join(hist.select(*group, _B, "__lo", "__n", "__want"), [*group, _B])
     inside = Window.partitionBy(*group, _B).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("__to", F.col("__lo") + F.sum("__k").over(inside)).withColumn(
         "__from", F.col("__to") - F.col("__k")

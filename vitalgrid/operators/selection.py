@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalar import clamp, finite_or_null
-from vitalgrid.operators.ordering import exact_quantiles, running_totals, value_bucket, with_scalars
+from vitalgrid.operators.ordering import exact_quantiles, running_totals, size_bucket, value_bucket, with_scalars
 
 PAIRWISE_COLUMNS = 40
 GREEDY_GROUPS = 100_000
@@ -85,9 +85,9 @@ def impute_median(df: DataFrame, columns: Sequence[str], bound: float = 1e8) ->
 
 
 def folds_by_size(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Deterministic group folds at any number of groups: position by size descending, modulo k."""
+    """Deterministic folds of integer groups at any number of groups: position by size descending, modulo k."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(sizes, [], -value_bucket("n"), [F.col("n").desc(), F.col(group)], {"no": F.lit(1)})
+    run = running_totals(sizes, [], size_bucket("n", value_bucket(group) + (1 << 20), 1 << 21), [F.col("n").desc(), F.col(group)], {"no": F.lit(1)})
     return run.select(group, "n", F.pmod(F.col("no").cast("bigint") - 1, F.lit(k)).alias("fold"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.ordering import exact_quantiles, running_totals, time_bucket
+from vitalgrid.operators.ordering import exact_quantiles, join_per_key, running_totals, time_bucket
 
 # Columns dropped before aggregation, and the columns that get the full statistics.
 REDUNDANT_COLUMNS = ("lf", "pnn20", "sdsd", "distance", "calories")
@@ -56,7 +56,7 @@ def wave_of(ts, t0):
 
 def assign_waves(segments: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     spans = subject_span(segments) if spans is None else spans
-    return segments.join(spans, "subject").withColumn("wave", wave_of(F.col("seg_time"), F.col("t0")))
+    return join_per_key(segments, spans, ["subject"]).withColumn("wave", wave_of(F.col("seg_time"), F.col("t0")))
 
 
 def is_day(ts):
@@ -239,14 +239,12 @@ def questionnaires_from_wide(survey: DataFrame, spans: DataFrame) -> DataFrame:
 def look_back_join(segments: DataFrame, quest: DataFrame, days: int = 14) -> DataFrame:
     """Segments labelled by every questionnaire with q - days <= seg < q.
 
-    Both sides carry the look-back-wide time slot, so the equality key is (subject, slot) and a
-    hot subject spreads over its slots.
+    The equality key is (subject, day): a questionnaire is copied to the days it looks back on, and
+    a hot subject spreads over its days.
     """
-    width = days * 86_400
-    slot = time_bucket("seg_time", width)
-    q_slot = time_bucket("q_time", width)
-    left = segments.withColumn("__slot", slot)
-    right = quest.withColumn("__slot", F.explode(F.array(q_slot - 1, q_slot)))
+    q_day = time_bucket("q_time", 86_400)
+    left = segments.withColumn("__slot", time_bucket("seg_time", 86_400))
+    right = quest.withColumn("__slot", F.explode(F.sequence(q_day - days, q_day)))
     lag = F.make_dt_interval(F.lit(days))
     return left.join(right, ["subject", "__slot"]).where(
         (F.col("seg_time") >= F.col("q_time") - lag) & (F.col("seg_time") < F.col("q_time"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import epochs as ep
-from vitalgrid.operators.ordering import row_index, time_bucket, value_bucket, with_scalars
+from vitalgrid.operators.ordering import join_per_key, row_index, time_bucket, value_bucket, with_scalars
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.tables import stage_code
 from vitalgrid.plans.waves import rounded
@@ -167,7 +167,7 @@ def subject_z_scores(spark, d):
     s = src.segments(spark, d).select("subject", "event_id", "hr")
     m = s.groupBy("subject").agg(F.avg("hr").alias("m"), F.stddev_pop("hr").alias("s"))
     c = F.col("hr") - F.col("m")
-    return rounded(s.join(m, "subject").select("event_id", "subject", F.when(F.col("s") != 0, c / F.col("s")).otherwise(c).alias("z")))
+    return rounded(join_per_key(s, m, ["subject"]).select("event_id", "subject", F.when(F.col("s") != 0, c / F.col("s")).otherwise(c).alias("z")))
 
 
 @query(
@@ -180,7 +180,7 @@ def wave_anchor(spark, d):
     s = src.segments(spark, d).select("subject", "event_id", "seg_time")
     t0 = s.groupBy("subject").agg(F.unix_micros(F.min("seg_time")).alias("t0_us"))
     day = F.floor((F.unix_micros("seg_time") - F.col("t0_us")) / 86_400_000_000)
-    return s.join(t0, "subject").select("event_id", "subject", "t0_us", day.alias("day_no"))
+    return join_per_key(s, t0, ["subject"]).select("event_id", "subject", "t0_us", day.alias("day_no"))
 
 
 @query(
@@ -193,7 +193,7 @@ def average_ranks(spark, d):
 
     s = src.segments(spark, d).select("subject", "event_id", "steps")
     r = tied_ranks(s, ["subject"], "steps").select("subject", "steps", "rank")
-    return s.join(r, ["subject", "steps"]).select("event_id", "subject", F.col("rank").alias("rk"))
+    return join_per_key(s, r, ["subject", "steps"]).select("event_id", "subject", F.col("rank").alias("rk"))
 
 
 @query(
@@ -250,20 +250,26 @@ def hypnogram_series(spark, d):
     f"""WITH {SEGMENTS_SQL}, d AS (SELECT subject, diary_date, waso, sleep_duration FROM (SELECT *, row_number() OVER (PARTITION BY subject, diary_date ORDER BY waso, sleep_duration) AS rn FROM
       (SELECT o_custkey AS subject, DATE '2024-01-01' + CAST(o_orderkey % 34 AS INTEGER) AS diary_date, CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 47 AS DOUBLE) AS waso,
        (CAST(round(o_totalprice * 100) AS BIGINT) % 600) / 60.0::DOUBLE AS sleep_duration FROM orders)) WHERE rn = 1)
-    SELECT d.subject, strftime(diary_date, '%Y-%m-%d') AS day, waso, count(*) AS n_readings, string_agg(CAST(epoch_us(seg_time) AS VARCHAR) || ':' || CAST(CAST(steps AS BIGINT) AS VARCHAR), ',' ORDER BY seg_time, event_id) AS readings
-    FROM d JOIN seg ON seg.subject = d.subject AND CAST(seg_time AS DATE) = diary_date GROUP BY ALL""",
+    SELECT subject, day, part, waso, count(*) AS n_readings, string_agg(CAST(epoch_us(seg_time) AS VARCHAR) || ':' || CAST(CAST(steps AS BIGINT) AS VARCHAR), ',' ORDER BY seg_time, event_id) AS readings
+    FROM (SELECT d.subject, strftime(diary_date, '%Y-%m-%d') AS day, waso, seg_time, event_id, steps, (row_number() OVER (PARTITION BY d.subject, diary_date ORDER BY seg_time, event_id) - 1) // 1000 AS part
+      FROM d JOIN seg ON seg.subject = d.subject AND CAST(seg_time AS DATE) = diary_date) GROUP BY subject, day, part, waso""",
 )
 def night_stress_readings(spark, d):
     dia = src.diary(spark, d).groupBy("subject", "diary_date").agg(F.min(F.struct("waso", "sleep_duration"))["waso"].alias("waso"))
     seg = src.segments(spark, d).withColumn("diary_date", F.to_date("seg_time"))
-    # the payload is one day of one subject's readings: at most one per sampling period
-    joined = seg.join(dia, ["subject", "diary_date"]).groupBy("subject", "diary_date", "waso").agg(
+    # a day's payload is cut into parts of a thousand readings, so no array grows with the data
+    keys = ["subject", "diary_date"]
+    order = [F.col("seg_time"), F.col("event_id")]
+    numbered = row_index(join_per_key(seg, dia, keys), keys, time_bucket("seg_time", 600), order)
+    part = F.floor(F.col("idx") / 1000).cast("bigint").alias("part")
+    joined = numbered.groupBy(*keys, "waso", part).agg(
         F.count(F.lit(1)).alias("n_readings"),
         F.array_sort(F.collect_list(F.struct(F.unix_micros("seg_time").alias("t"), "event_id", F.col("steps").cast("bigint").alias("s")))).alias("r"),
     )
     return joined.select(
         "subject",
         F.date_format("diary_date", "yyyy-MM-dd").alias("day"),
+        "part",
         "waso",
         "n_readings",
         F.array_join(F.transform("r", lambda x: F.concat(x["t"].cast("string"), F.lit(":"), x["s"].cast("string"))), ",").alias("readings"),
