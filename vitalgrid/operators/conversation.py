@@ -44,7 +44,7 @@ def context_text(recent: Column, width: int = 300) -> Column:
 def tail_messages(messages: DataFrame, n: int = 10) -> DataFrame:
     """Last n messages per conversation and the number of exchanges, from positions and counts."""
     size = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
-    rows = join_per_key(numbered(messages), size, ["conv_id"])
+    rows = join_per_key(numbered(messages), size, ["conv_id"], "turn")
     return rows.where(F.col("n_prior") >= F.col("n_messages") - n).withColumn("exchanges", F.floor(F.col("n_messages") / 2))
 
 

@@ -72,7 +72,7 @@ def dense_epochs(df: DataFrame, idx: str = "epoch_idx") -> DataFrame:
     """
     out = row_index(df, ["subject"], F.floor(F.col(idx) / 1024).cast("bigint"), [F.col(idx)], "epoch_no")
     n = df.groupBy("subject").agg(F.count(F.lit(1)).alias("n_epochs"))
-    return join_per_key(out, n, ["subject"])
+    return join_per_key(out, n, ["subject"], idx)
 
 
 def relative_position(no="epoch_no", n="n_epochs"):

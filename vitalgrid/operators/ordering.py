@@ -22,10 +22,13 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return out.withColumns({c: F.col(f"__one.{c}") for c in cols}).drop("__one")
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], ways: int = 8) -> DataFrame:
-    """Inner join of rows with one row per key, spread so that a hot key meets its row in several tasks."""
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: str, ways: int = 8) -> DataFrame:
+    """Inner join of rows with one row per key, so that a hot key meets its row in several tasks.
+
+    ``spread`` is a column that varies inside a key; only it is read for the salt.
+    """
     keys = list(keys)
-    left = rows.withColumn("__way", F.pmod(F.xxhash64(*rows.columns), F.lit(ways)).cast("int"))
+    left = rows.withColumn("__way", F.pmod(F.xxhash64(spread), F.lit(ways)).cast("int"))
     right = per_key.withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return left.join(right, [*keys, "__way"]).drop("__way")
 

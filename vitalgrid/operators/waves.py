@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators.ordering import exact_quantiles, join_per_key, running_totals, time_bucket
+from vitalgrid.session import materialize
 
 # Columns dropped before aggregation, and the columns that get the full statistics.
 REDUNDANT_COLUMNS = ("lf", "pnn20", "sdsd", "distance", "calories")
@@ -45,7 +46,13 @@ def first_edition(survey: DataFrame, order: str = "file_order") -> DataFrame:
 
 
 def subject_span(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("subject").agg(F.min("seg_time").alias("t0"), F.max("seg_time").alias("t_last"))
+    """First and last segment time per subject.
+
+    Written out: later joins then know its real size, broadcast it only while it is small, and do
+    not read the segments again.
+    """
+    spans = segments.groupBy("subject").agg(F.min("seg_time").alias("t0"), F.max("seg_time").alias("t_last"))
+    return materialize(spans, "spans")
 
 
 def wave_of(ts, t0):
@@ -56,7 +63,7 @@ def wave_of(ts, t0):
 
 def assign_waves(segments: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     spans = subject_span(segments) if spans is None else spans
-    return join_per_key(segments, spans, ["subject"]).withColumn("wave", wave_of(F.col("seg_time"), F.col("t0")))
+    return join_per_key(segments, spans, ["subject"], "seg_time").withColumn("wave", wave_of(F.col("seg_time"), F.col("t0")))
 
 
 def is_day(ts):

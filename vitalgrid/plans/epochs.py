@@ -167,7 +167,7 @@ def subject_z_scores(spark, d):
     s = src.segments(spark, d).select("subject", "event_id", "hr")
     m = s.groupBy("subject").agg(F.avg("hr").alias("m"), F.stddev_pop("hr").alias("s"))
     c = F.col("hr") - F.col("m")
-    return rounded(join_per_key(s, m, ["subject"]).select("event_id", "subject", F.when(F.col("s") != 0, c / F.col("s")).otherwise(c).alias("z")))
+    return rounded(join_per_key(s, m, ["subject"], "event_id").select("event_id", "subject", F.when(F.col("s") != 0, c / F.col("s")).otherwise(c).alias("z")))
 
 
 @query(
@@ -180,7 +180,7 @@ def wave_anchor(spark, d):
     s = src.segments(spark, d).select("subject", "event_id", "seg_time")
     t0 = s.groupBy("subject").agg(F.unix_micros(F.min("seg_time")).alias("t0_us"))
     day = F.floor((F.unix_micros("seg_time") - F.col("t0_us")) / 86_400_000_000)
-    return join_per_key(s, t0, ["subject"]).select("event_id", "subject", "t0_us", day.alias("day_no"))
+    return join_per_key(s, t0, ["subject"], "event_id").select("event_id", "subject", "t0_us", day.alias("day_no"))
 
 
 @query(
@@ -193,7 +193,7 @@ def average_ranks(spark, d):
 
     s = src.segments(spark, d).select("subject", "event_id", "steps")
     r = tied_ranks(s, ["subject"], "steps").select("subject", "steps", "rank")
-    return join_per_key(s, r, ["subject", "steps"]).select("event_id", "subject", F.col("rank").alias("rk"))
+    return join_per_key(s, r, ["subject", "steps"], "event_id").select("event_id", "subject", F.col("rank").alias("rk"))
 
 
 @query(
@@ -260,7 +260,7 @@ def night_stress_readings(spark, d):
     # a day's payload is cut into parts of a thousand readings, so no array grows with the data
     keys = ["subject", "diary_date"]
     order = [F.col("seg_time"), F.col("event_id")]
-    numbered = row_index(join_per_key(seg, dia, keys), keys, time_bucket("seg_time", 600), order)
+    numbered = row_index(join_per_key(seg, dia, keys, "event_id"), keys, time_bucket("seg_time", 600), order)
     part = F.floor(F.col("idx") / 1000).cast("bigint").alias("part")
     joined = numbered.groupBy(*keys, "waso", part).agg(
         F.count(F.lit(1)).alias("n_readings"),

@@ -35,6 +35,10 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "vital
     return spark
 
 
+# scratch folder per application, where the session names none
+_OWN_SCRATCH: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; leaves cluster sizing alone."""
     for key, value in RUNTIME_CONF.items():
@@ -50,8 +54,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="vitalgrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _OWN_SCRATCH.setdefault(app, "") or tempfile.mkdtemp(prefix="vitalgrid-")
+        _OWN_SCRATCH[app] = base
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
