@@ -12,7 +12,7 @@ from vitalgrid.plans.tables import stage_code
 from vitalgrid.plans.waves import rounded
 from vitalgrid.session import materialize
 from vitalgrid.sources import tables as src
-from vitalgrid.sources.tables import PREDICTIONS_SQL, SAMPLES_SQL, SEGMENTS_SQL
+from vitalgrid.sources.tables import SAMPLES_SQL, SEGMENTS_SQL
 
 
 def epoched(spark, d):

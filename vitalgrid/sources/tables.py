@@ -151,7 +151,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction table: event rows with two scores, a label and a fold group; some scores null."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     v = F.col("value")
-    s1 = F.round(v / 500.0, 3)
+    s1 = F.round(v / 501.7, 3)
     s2 = F.round((k * 0.6 + F.pmod(F.col("event_id"), F.lit(41))) / 100.0, 3)
     return table(spark, sf_dir, "events").select(
         "event_id",
@@ -167,7 +167,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICTIONS_SQL = """pred AS (
   SELECT event_id, user_id AS subject, user_id % 5 AS fold,
          CASE WHEN k + value / 10 > 55 THEN 1 ELSE 0 END AS y,
-         CASE WHEN event_id % 97 <> 0 THEN round(value / 500.0::DOUBLE, 3) END AS s1,
+         CASE WHEN event_id % 97 <> 0 THEN round(value / 501.7::DOUBLE, 3) END AS s1,
          round((k * 0.6::DOUBLE + event_id % 41) / 100.0::DOUBLE, 3) AS s2,
          round(k / 5.0::DOUBLE, 1) AS gad7
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"""
