@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,7 +37,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "vital
     return spark
 
 
-# scratch folder per application, where the session names none
+# scratch folder per local application, where the session names none; removed when Python ends
 _OWN_SCRATCH: dict[str, str] = {}
 
 
@@ -47,20 +49,32 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's folder.
 
-    A machine-local folder is used only where the session names none, as in tests.
+    Only a local[*] master, where all tasks run in one process, may do without; it gets a temporary
+    folder of its own. Any other master without a shared folder is an error, since executors would
+    write to disks that the others cannot read.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN_SCRATCH.setdefault(app, "") or tempfile.mkdtemp(prefix="vitalgrid-")
-        _OWN_SCRATCH[app] = base
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"master {master} needs spark.checkpoint.dir, a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_SCRATCH:
+        _OWN_SCRATCH[app] = tempfile.mkdtemp(prefix="vitalgrid-")
+        atexit.register(shutil.rmtree, _OWN_SCRATCH[app], ignore_errors=True)
+    return _OWN_SCRATCH[app]
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared base."""
+    return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df, label: str):
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives executor loss."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
