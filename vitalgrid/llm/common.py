@@ -48,3 +48,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4 <
                 start, taken = i, 0
             taken += int(n)
         yield batch.slice(start)
+
+
+#: Names of the row key's columns.
+KEY = ["__id", "__h"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds a never-null row key from doc_id and text; rows equal in both share it, and share every decision."""
+    return docs.withColumns(
+        {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64("text")}
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.llm.chat import format_turns, read_back, text_parts
 from vitalgrid.llm.common import table
+from vitalgrid.llm.line_frequency import quality_verdicts
 from vitalgrid.llm.packing import packed_documents
 from vitalgrid.llm.simple8b import token_file
 from vitalgrid.llm.token_counts import token_counts
@@ -19,6 +20,11 @@ def query(build):
     return build
 
 
+@query
+def op4_line_frequency_rules(spark, sf_dir):
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_vector_bin_packing(spark, sf_dir):
     return packed_documents(table(spark, sf_dir, "documents"))
@@ -60,3 +66,41 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length(segment))::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+SQL["op4_line_frequency_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS l
+  FROM documents
+), lines AS (
+  SELECT doc_id, t, host, line, regexp_replace(lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), '[0-9]+', '0', 'g') AS normal
+  FROM (SELECT doc_id, t, host, unnest(l) AS line FROM d)
+), often AS (
+  SELECT host, normal, min(doc_id) AS first FROM lines WHERE normal <> ''
+  GROUP BY host, normal HAVING count(DISTINCT t) > 100
+), lost AS (
+  SELECT doc_id, sum(length(line))::BIGINT AS lost FROM lines JOIN often USING (host, normal)
+  WHERE doc_id <> first GROUP BY doc_id
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3
+), grams AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1) GROUP BY doc_id
+), words AS (
+  SELECT doc_id, t, l, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines
+  FROM d
+), m AS (
+  SELECT doc_id, length(t) AS chars, n_words, word_chars, n_symbols,
+    (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN rep USING (doc_id)
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (coalesce(lost, 0) = 0 OR chars - lost >= 0.15 * chars) AS kept, coalesce(lost, 0)::BIGINT AS frequent_chars
+FROM v LEFT JOIN lost USING (doc_id)
+"""
