@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.llm.chat import format_turns, read_back, text_parts
 from vitalgrid.llm.common import table
+from vitalgrid.llm.disclosure import personal_data
 from vitalgrid.llm.line_frequency import quality_verdicts
 from vitalgrid.llm.packing import packed_documents
 from vitalgrid.llm.simple8b import token_file
@@ -20,6 +21,11 @@ def query(build):
     return build
 
 
+@query
+def op3_disclosure_sanitising(spark, sf_dir):
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_line_frequency_rules(spark, sf_dir):
     return quality_verdicts(table(spark, sf_dir, "documents"))
