@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.llm.chat import format_turns, read_back, text_parts
 from vitalgrid.llm.common import table
+from vitalgrid.llm.count_tree import jaccard_components
 from vitalgrid.llm.disclosure import personal_data
 from vitalgrid.llm.line_frequency import quality_verdicts
 from vitalgrid.llm.packing import packed_documents
@@ -110,3 +111,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND (coalesce(lost, 0) = 0 OR chars - lost >= 0.15 * chars) AS kept, coalesce(lost, 0)::BIGINT AS frequent_chars
 FROM v LEFT JOIN lost USING (doc_id)
 """
+
+
+@query
+def op10_count_vector_tree_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL["op10_count_vector_tree_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE [w[i], w[i + 1], w[i + 2]] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (max(na.n) + max(nb.n) - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.seen) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach r ON r.node = d.doc_id GROUP BY d.doc_id, n.n
+"""
