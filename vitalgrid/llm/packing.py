@@ -127,11 +127,9 @@ def _pieces(vocabulary: str, end_id: int, limits: Limits):
                 yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
 
         for batch in slices(batches, 1):
-            ids, sizes = coder.encode(batch.column(1).to_pylist())
-            begin = 0
-            for name, n, free in zip(batch.column(0).to_pylist(), sizes.tolist(), batch.column(2).to_pylist(), strict=True):
-                pool.add(name, np.append(ids[begin : begin + n], np.uint32(end_id)), free)
-                begin += n
+            coded = coder.encode(batch.column(1).to_pylist())
+            for name, raw, free in zip(batch.column(0).to_pylist(), coded, batch.column(2).to_pylist(), strict=True):
+                pool.add(name, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)), free)
                 if len(pool.rows) >= limits.pool:
                     yield from out(False)
         yield from out(True)

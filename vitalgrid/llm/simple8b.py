@@ -52,22 +52,20 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = np.full(runs, RUN, np.int64)
     left[-1] = n - (runs - 1) * RUN
     # the largest count whose values i .. i + count - 1 all fit; past the end they are 0 and fit any width
+    width = np.searchsorted(np.array([1 << bits for _, bits in CUTS], np.uint64), grid, side="right").astype(np.uint8)
     choice = np.zeros(grid.shape, np.uint8)
-    fits = np.zeros(grid.shape, bool)
-    for s, (count, bits) in reversed(list(enumerate(CUTS, 1))):
-        small = grid < np.uint64(1 << bits)
-        run = small
-        have = 1
+    for s in range(len(CUTS), 0, -1):
+        run = width < s
+        if not run[:, :RUN].any():
+            break
+        have, count = 1, CUTS[s - 1][0]
         while have < count:  # a window of `count` by doubling
             step = min(have, count - have)
-            moved = np.zeros_like(run)
+            moved = np.ones_like(run)
             moved[:, :-step] = run[:, step:]
-            moved[:, -step:] = True
             run = run & moved
             have += step
         choice[run] = s
-        fits |= run
-    choice[~fits] = ESCAPE
     counts = np.array([1] + [c for c, _ in CUTS], np.int64)
     widths = np.array([0] + [b for _, b in CUTS], np.uint64)
     at = np.zeros(runs, np.int64)
@@ -165,31 +163,22 @@ def encode_blocks(vocabulary: str, end_id: int, block_ids: int):
         block = first = held = 0
         docs: list = []
         lengths: list[int] = []
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
 
         def close() -> pa.RecordBatch:
             nonlocal block, first, held, docs, lengths, parts
-            row = _block(part, block, first, docs, lengths, np.concatenate(parts))
+            row = _block(part, block, first, docs, lengths, np.frombuffer(b"".join(parts), "<u4"))
             block, first, held, docs, lengths, parts = block + 1, first + held, 0, [], [], []
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
+        end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 1):
-            ids, sizes = coder.encode(batch.column(1).to_pylist())
-            ends = np.cumsum(sizes)
-            full = np.insert(ids, ends, end_id)  # the end id goes after each text
-            sizes = sizes + 1
-            cut = np.cumsum(sizes)
-            names = batch.column(0).to_pylist()
-            start = 0
-            begin = 0
-            while start < len(names):
-                stop = min(len(names), int(np.searchsorted(cut, begin + block_ids - held)) + 1)
-                upto = int(cut[stop - 1])
-                docs += names[start:stop]
-                lengths += sizes[start:stop].tolist()
-                parts.append(full[begin:upto])
-                held += upto - begin
-                start, begin = stop, upto
+            coded = coder.encode(batch.column(1).to_pylist())
+            for name, raw in zip(batch.column(0).to_pylist(), coded, strict=True):
+                docs.append(name)
+                lengths.append(len(raw) // 4 + 1)
+                parts += [raw, end]
+                held += lengths[-1]
                 if held >= block_ids:
                     yield close()
         if docs:

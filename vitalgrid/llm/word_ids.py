@@ -20,70 +20,55 @@ SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 # Characters whose case mapping, composition and classes are the same in every Unicode version.
 UNSAFE = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ž–—‘-„…]"
 
-#: Words kept by a worker, about 200 MB.
+# Punctuation before a full stop or comma: there the two are one piece and stay together.
+RUNS = r"[!-/:-@\[-`{-~¡-¬®-¿×÷–—‘-„…][.,]"
+
+#: Words kept by a worker (about 200 MB), and words encoded in one call.
 MEMO_WORDS = 1_000_000
+CALL_WORDS = 4096
 
 
 class WordIds:
-    """Encodes texts to one flat id array plus a length per text."""
+    """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.unsafe = re.compile(UNSAFE).search
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-        self.first = np.concatenate([self.first, at + np.cumsum(sizes) - sizes])
-        self.length = np.concatenate([self.length, sizes])
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.runs = re.compile(RUNS).search
+        self.ids: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.ids]
+        if len(self.ids) + len(new) > MEMO_WORDS:  # the memo starts anew, which changes no result
+            self.ids = {}
+            new = list(words)
+        for i in range(0, len(new), CALL_WORDS):
+            part = new[i : i + CALL_WORDS]
+            self.ids.update(zip(part, self._library(part), strict=True))
 
     def plain(self, text: str) -> bool:
         return self.unsafe(text) is None and not ("<|" in text and any(s in text for s in SPECIALS))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [self.plain(t) for t in texts]
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, (text, ok) in enumerate(zip(texts, plain, strict=True)):
-            if ok:
-                found = text.lower().split()
-                counts[i] = len(found)
-                words += found
-        new = {w for w in words if w not in self.place}
-        if len(self.place) + len(new) > MEMO_WORDS:  # the memo starts anew, which changes no result
-            self._forget()
-            new = set(words)
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        size = self.length[at]
-        total = int(size.sum())
-        upto = np.cumsum(size)
-        take = np.arange(total, dtype=np.int64) + np.repeat(self.first[at] - (upto - size), size)
-        ids = self.flat[take]
-        bounds = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(counts)])]
-        lengths = np.diff(bounds)
-        if all(plain):
-            return ids, lengths
-        parts, other = [], [t for t, ok in zip(texts, plain, strict=True) if not ok]
-        whole = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
-        for i, ok in enumerate(plain):
-            part = ids[bounds[i] : bounds[i + 1]] if ok else np.asarray(next(whole).ids, np.uint32)
-            lengths[i] = len(part)
-            parts.append(part)
-        return np.concatenate(parts).astype(np.uint32), lengths
+    def words(self, text: str) -> list[str] | None:
+        """Strings whose ids, one after the other, are the text's; full stops and commas stand alone."""
+        if not self.plain(text):
+            return None
+        text = text.lower()
+        if not self.runs(text):
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [self.words(text) for text in texts]
+        self._learn(set().union(*(w for w in words if w)))
+        ids = self.ids.__getitem__
+        return [self._library([t])[0] if w is None else b"".join(map(ids, w)) for t, w in zip(texts, words, strict=True)]
 
 
 def word_ids(name: str) -> WordIds:
