@@ -9,6 +9,7 @@ from vitalgrid.llm.common import table
 from vitalgrid.llm.count_tree import jaccard_components
 from vitalgrid.llm.disclosure import personal_data
 from vitalgrid.llm.line_frequency import quality_verdicts
+from vitalgrid.llm.line_runs import repeated_runs
 from vitalgrid.llm.packing import packed_documents
 from vitalgrid.llm.simple8b import token_file
 from vitalgrid.llm.token_counts import token_counts
@@ -22,6 +23,11 @@ def query(build):
     return build
 
 
+@query
+def op1_suffix_array_line_runs(spark, sf_dir):
+    return repeated_runs(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_disclosure_sanitising(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
@@ -139,3 +145,34 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.seen) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN reach r ON r.node = d.doc_id GROUP BY d.doc_id, n.n
 """
+
+
+SQL["op1_suffix_array_line_runs"] = r"""
+WITH l AS (
+  SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+      unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+  FROM l WHERE x <> ''
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM f
+), doc AS (
+  SELECT doc_id, list(x ORDER BY k) AS xs FROM f GROUP BY doc_id
+), runs AS (
+  SELECT a.doc_id, a.k AS s, min(b.k) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.n >= 50 GROUP BY a.doc_id, a.k
+  UNION
+  SELECT b.doc_id, max(a.k) AS s, b.k AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.k
+), named AS (
+  SELECT doc_id, s, e, row_number() OVER (PARTITION BY list_slice(xs, s, e) ORDER BY doc_id, s) AS nth FROM runs JOIN doc USING (doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS k FROM named WHERE nth > 1
+)
+SELECT d.doc_id, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(r.text, '') AS text
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY i) AS text FROM l LEFT JOIN f USING (doc_id, i)
+  LEFT JOIN gone ON gone.doc_id = f.doc_id AND gone.k = f.k WHERE gone.k IS NULL GROUP BY l.doc_id
+) r USING (doc_id)
+"""
