@@ -13,6 +13,7 @@ from vitalgrid.llm.line_runs import repeated_runs
 from vitalgrid.llm.packing import packed_documents
 from vitalgrid.llm.simple8b import token_file
 from vitalgrid.llm.token_counts import token_counts
+from vitalgrid.llm.unit_dedup import without_repeated_units
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -28,6 +29,11 @@ def op1_suffix_array_line_runs(spark, sf_dir):
     return repeated_runs(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_line_hash_dedup(spark, sf_dir):
+    return without_repeated_units(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_disclosure_sanitising(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
@@ -176,3 +182,21 @@ LEFT JOIN (
   LEFT JOIN gone ON gone.doc_id = f.doc_id AND gone.k = f.k WHERE gone.k IS NULL GROUP BY l.doc_id
 ) r USING (doc_id)
 """
+
+
+SQL["op2_line_hash_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), u AS (
+  SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS normal,
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM l
+), r AS (
+  SELECT *, len(string_split(normal, ' ')) >= 16 AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, i) > 1 AS gone FROM u
+)
+SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY i) FILTER (gone), '') AS removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+FROM r GROUP BY doc_id
+"""
