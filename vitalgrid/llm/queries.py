@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitalgrid.llm.chat import format_turns, read_back, text_parts
 from vitalgrid.llm.common import table
 from vitalgrid.llm.count_tree import jaccard_components
+from vitalgrid.llm.decontamination import benchmark_leaks
 from vitalgrid.llm.disclosure import personal_data
 from vitalgrid.llm.line_frequency import quality_verdicts
 from vitalgrid.llm.line_runs import repeated_runs
@@ -54,6 +55,11 @@ def op6_prefix_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_latent_decontamination(spark, sf_dir):
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_typed_part_chat(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -8,6 +8,7 @@ import pyarrow as pa
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PARTS = _SPACE | np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -33,10 +34,11 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased, white space is ASCII's) and each text's first word.
 
     A word's hash is a polynomial in its bytes, taken from running sums over the whole buffer; nulls have no words.
+    ``plain`` parts words at ASCII punctuation as well and lower-cases Latin-1 capitals.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -44,8 +46,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low = int(offsets[0])
     data, offsets = data[low : int(offsets[-1])], offsets - low
     n = len(data)
+    if plain:
+        data = data.copy()
+        capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+        data[capital] += 0x20
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~(_PARTS if plain else _SPACE)[data]
     begin = inside[1:] & ~inside[:-1]
     end = ~inside[1:] & inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < n)]
