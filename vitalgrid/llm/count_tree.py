@@ -4,15 +4,17 @@ A set's shingles are hashed into groups; the counts per group are a point. The o
 of the smaller coordinate in every group, which prunes pairs of points, and of a point and a tree node's corner, before
 the sets themselves are compared.
 
-The join is cut into pages that Spark can shuffle by the same grouping, made finer: two sets with similarity 0.9 or
-more, the larger of b shingles, differ in at most D = 2 b / 19 shingles. Cut the hash range into m > D equal groups:
-at most D groups differ, so of any D + 1 groups that a set fills, one is the same in both. A page is thus a group's
-content, (m, group, its shingles), and every linked pair meets on one.
+The join is cut into pages that Spark can shuffle by the same grouping, made finer: two sets with a similarity of p
+percent or more, the larger of b shingles, differ in at most D = 2 b (100 - p) / (100 + p) shingles. Cut the hash range
+into m > D equal groups: at most D groups differ, so of any D + 1 groups that a set fills, one is the same in both. A
+page is thus a group's content, (m, group, its shingles), and every linked pair meets on one.
 
 1. Equal sets are one class, known by a 128-bit hash of the set.
 2. On every page each class is compared with the page's first class only; a page's classes need not meet in one place.
-3. Pages whose classes are not yet one component are searched in full: they are cut into blocks of bounded size, and
-   each pair of blocks is searched with a tree, leaving out pairs already connected.
+3. Pages whose classes are not yet one component are searched in full, by points: they are cut into blocks of bounded
+   size, and a tree over each pair of blocks gives the pairs of components that may link. Of these a spanning forest is
+   verified, then the pages are searched once more.
+4. What the bound still leaves between different components is searched by sets, again in blocks.
 
 So all links that matter to the components are found, and pages of near copies cost no more than their size.
 """
@@ -27,47 +29,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import slices
+from vitalgrid.llm.common import KEY, SPACES, keyed, slices
 from vitalgrid.llm.components import components
 from vitalgrid.llm.shingles import mixed, shingle_sets
 from vitalgrid.session import materialize
 
-#: Coordinates of a point, classes per block, and points per leaf of a tree.
-COORDINATES = 32
-BLOCK = 96
+#: Coordinates of a point, points per leaf of a tree, and classes per block of points and of texts.
+COORDINATES = 256
 LEAF = 8
+POINT_BLOCK = 4096
+TEXT_BLOCK = 96
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 90 * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def needed(total):
+def needed(total, percent: int):
     """The smallest overlap that links two sets with ``total`` shingles together."""
-    return -(-90 * total // 190)
+    return -(-percent * total // (100 + percent))
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES)
 
 
-def levels(n: int) -> list[tuple[int, int]]:
+def levels(n: int, percent: int) -> list[tuple[int, int]]:
     """(m, D) for the partners that a set of n shingles can have of its own size or more."""
+    largest = 100 * n // percent
+    differ = lambda b: 2 * b * (100 - percent) // (100 + percent)
     out: dict[int, int] = {}
-    for b in {n, *(x for k in range(1, 40) for x in ((19 * (1 << k) + 1) // 2, (19 * (1 << k) + 1) // 2 - 1) if n < x < 10 * n // 9), 10 * n // 9}:
-        most = 2 * b // 19
-        if most:
-            m = 1 << most.bit_length()
-            out[m] = max(out.get(m, 0), most)
+    low, high = differ(n), differ(largest)
+    for bits in range(max(1, low.bit_length()), high.bit_length() + 1):
+        out[1 << bits] = min(high, (1 << bits) - 1)
     return sorted(out.items())
 
 
-def page_keys(shingles: np.ndarray) -> np.ndarray:
+def page_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     """The keys of a set's pages: its first D + 1 filled groups, at each of its one or two levels."""
     keys = []
     spread = mixed(shingles ^ np.uint64(0x5851F42D4C957F2D))
-    for m, most in levels(len(shingles)):
+    for m, most in levels(len(shingles), percent):
         group = (shingles >> np.uint64(64 - (m.bit_length() - 1))).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         held = np.add.reduceat(spread, starts)
@@ -79,14 +82,14 @@ def page_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def _sets(size: int):
+def _sets(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1), size)
             marks = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(-1, 2)
-            keys = [page_keys(s).view(np.int64) for s in sets]
+            keys = [page_keys(s, percent).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -95,14 +98,15 @@ def _sets(size: int):
                     pa.array(marks[:, 0], pa.int64()),
                     pa.array(marks[:, 1], pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array([point(s).astype("<u4").tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "h", "n_shingles", "mark", "mark2", "pages"],
+                names=["doc_id", "h", "n_shingles", "mark", "mark2", "pages", "point"],
             )
 
     return run
 
 
-def _check_pairs(size: int):
+def _check_pairs(size: int, percent: int):
     """For mapInArrow over (a, text_a, b, text_b) in order of a: the linked pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +121,7 @@ def _check_pairs(size: int):
                     last, left = a, shingle_sets(batch.column(1).slice(i, 1), size)[0]
                     corner = point(left)
                 bound = int(np.minimum(corner, point(right)).sum())
-                if bound >= needed(len(left) + len(right)) and linked(left, right):
+                if bound >= needed(len(left) + len(right), percent) and linked(left, right, percent):
                     found.append((a, b))
             if found:
                 a, b = zip(*found, strict=True)
@@ -129,7 +133,8 @@ def _check_pairs(size: int):
 class CountTree:
     """A packed tree over count vectors; every node keeps the largest coordinates and the smallest set below it."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, percent: int):
+        self.percent = percent
         self.points, self.sizes = points, points.sum(axis=1)
         self.root = self._node(np.arange(len(points)))
 
@@ -148,79 +153,146 @@ class CountTree:
         size, stack = int(q.sum()), [self.root]
         while stack:
             corner, least, rows, below = stack.pop()
-            if int(np.minimum(corner, q).sum()) < needed(size + least):
+            if int(np.minimum(corner, q).sum()) < needed(size + least, self.percent):
                 continue
             if below:
                 stack += below
                 continue
             bound = np.minimum(self.points[rows], q).sum(axis=1)
-            yield from rows[bound >= needed(size + self.sizes[rows])].tolist()
+            yield from rows[bound >= needed(size + self.sizes[rows], self.percent)].tolist()
 
 
-def search_blocks(nodes: list[int], groups: list[int], sides: list[int], sets: list[np.ndarray], alone: bool) -> list[tuple[int, int]]:
-    """Links between (or, if ``alone``, within) two blocks, as many as join what they join.
+class Forest:
+    """Components that grow together."""
 
-    ``groups`` are the components known before; a pair inside one needs no check.
-    """
-    up: dict[int, int] = {}
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        up = self.up
         while up.get(x, x) != x:
             up[x] = up.get(up[x], up[x])
             x = up[x]
         return x
 
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
+
+def candidates(
+    groups: np.ndarray, sides: np.ndarray, points: np.ndarray, alone: bool, percent: int
+) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different components whose points allow a link, within a block or between two sides.
+
+    A pair has at most one row in the largest component, so two rows of that are never looked at.
+    """
+    kinds, counts = np.unique(groups, return_counts=True)
+    large = groups == kinds[counts.argmax()]
+    left, right = (np.ones(len(groups), bool),) * 2 if alone else (sides == 0, sides == 1)
+    rounds = [(left & ~large, right)]
+    if not alone:
+        rounds.append((left & large, right & ~large))
+    for ask, among in rounds:
+        rows = np.flatnonzero(among)
+        if not len(rows) or not ask.any():
+            continue
+        tree = CountTree(points[rows], percent)
+        for i in np.flatnonzero(ask):
+            for j in tree.near(points[i]):
+                if groups[i] != groups[rows[j]]:
+                    yield int(i), int(rows[j])
+
+
+def _block(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    return rows["component"].to_numpy(), rows["side"].to_numpy(), bool(rows["i"].iloc[0] == rows["j"].iloc[0])
+
+
+def _search_points(percent: int, forest_only: bool):
+    """For applyInPandas over a pair of blocks: a spanning forest of the candidates, or all rows that have one."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        groups, sides, alone = _block(rows)
+        points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(-1, COORDINATES).astype(np.int64)
+        nodes, page = rows["node"].tolist(), int(rows["page"].iloc[0])
+        found = candidates(groups, sides, points, alone, percent)
+        if forest_only:
+            forest = Forest()
+            out = [(page, nodes[i], nodes[j]) for i, j in found if forest.join(int(groups[i]), int(groups[j]))]
+        else:
+            out = [(page, n, n) for n in {nodes[k] for pair in found for k in pair}]
+        return pd.DataFrame(out, columns=["page", "a", "b"]).astype("int64")
+
+    return run
+
+
+def search_sets(
+    nodes: list[int], groups: list[int], sides: list[int], sets: list[np.ndarray], alone: bool, percent: int
+) -> list[tuple[int, int]]:
+    """Links between two blocks, or within one, as many as join what they join."""
+    forest = Forest()
     points = np.array([point(s) for s in sets])
-    right = [i for i, s in enumerate(sides) if alone or s]
-    tree = CountTree(points[right])
     out = []
-    for i in range(len(nodes)):
-        if not alone and sides[i]:
-            continue
-        for j in (right[k] for k in tree.near(points[i])):
-            if (not alone or i < j) and root(groups[i]) != root(groups[j]) and linked(sets[i], sets[j]):
-                up[root(groups[i])] = root(groups[j])
-                out.append((nodes[i], nodes[j]))
+    for i, j in candidates(np.array(groups), np.array(sides), points, alone, percent):
+        if forest.root(groups[i]) != forest.root(groups[j]) and linked(sets[i], sets[j], percent):
+            forest.join(groups[i], groups[j])
+            out.append((nodes[i], nodes[j]))
     return out
 
 
-def _search(size: int):
+def _search_texts(size: int, percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        groups, sides, alone = _block(rows)
         sets = shingle_sets(pa.array(rows["text"], pa.string()), size)
-        alone = rows["i"].iloc[0] == rows["j"].iloc[0]
-        links = search_blocks(rows["node"].tolist(), rows["component"].tolist(), rows["side"].tolist(), sets, alone)
+        links = search_sets(rows["node"].tolist(), groups.tolist(), sides.tolist(), sets, alone, percent)
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 3) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of 0.9 or more).
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, h (text hash), n_shingles, mark and, for sets with shingles, ``component`` (a class of it) per row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
+    schema = "doc_id long, h long, n_shingles long, mark long, mark2 long, pages array<long>, point binary"
+    sets = materialize(rows.mapInArrow(_sets(size, percent), schema), "shingle-sets")
+    joined = components(_links(rows, sets, size, percent)).withColumnRenamed("node", "mark")
+    filled = F.col("n_shingles") > 0
+    return sets.drop("pages", "point").join(joined, "mark", "left").withColumn(
+        "component", F.when(filled, F.coalesce("component", "mark"))
+    )
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of ``percent`` or more).
 
     Null, empty and blank texts have no shingles and link with nothing, not even each other. Rows with equal doc_id get
-    the component of their own text's class. A null doc_id takes part like any other and counts as the largest, so a
-    component holding nothing else is null. Empty table: no rows. Other columns are ignored, whatever their names.
+    the component of their own text's class. A null doc_id takes part like any other and never names a component that
+    holds another. Empty table: no rows. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
-    schema = "doc_id long, h long, n_shingles long, mark long, mark2 long, pages array<long>"
-    sets = materialize(rows.mapInArrow(_sets(size), schema), "shingle-sets")
-    classes = sets.where("n_shingles > 0").groupBy("mark", "mark2").agg(F.min("doc_id").alias("least"))
-    links = _links(rows, sets, size)
-    joined = components(links)
-    # a component's id is the smallest document of all its classes
-    of = classes.join(joined.withColumnRenamed("node", "mark"), "mark", "left").withColumn(
-        "component", F.coalesce("component", "mark")
-    )
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "component").select("mark", "mark2", "component_id")
-    return sets.drop("pages").join(named, ["mark", "mark2"], "left").select(
+    grouped = _grouped(docs, size, percent)
+    least = grouped.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return grouped.join(least, "component", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
-def _links(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The first document (doc_id, then text hash) of every component, with the columns given, each once.
+
+    Texts without shingles all stay. Names after two underscores are reserved.
+    """
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("h").alias("__h"))
+    first = _grouped(docs, size, percent).where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("p"))
+    rows = keyed(docs)
+    blank = F.trim(F.translate(F.coalesce("text", F.lit("")), SPACES, " " * len(SPACES))) == ""
+    kept = rows.where(~blank).join(first.select("p.*"), KEY).dropDuplicates(KEY)
+    return kept.select(*docs.columns).unionByName(docs.where(blank))
+
+
+def _links(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """Linked pairs of classes (by mark) that give the components."""
     pages = sets.select("mark", F.explode("pages").alias("page"))
     shared = pages.groupBy("page").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last")
@@ -229,11 +301,30 @@ def _links(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     pairs = materialize(pairs, "page-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = materialize(_texts(rows, sets, nodes), "class-texts")
+    links = materialize(_verified(pairs, texts, size, percent), "star-links")
+    nodes = texts.select("node")
+    points = sets.groupBy(F.col("mark").alias("node")).agg(F.min("point").alias("point")).join(nodes, "node", "left_semi")
+    points = materialize(points, "class-points")
+    cells = "page long, a long, b long"
+    tried = _blocks(_open(members, components(links)), POINT_BLOCK).join(points, "node")
+    forest = tried.groupBy("page", "i", "j").applyInPandas(_search_points(percent, True), cells)
+    forest = forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionByName(materialize(_verified(forest, texts, size, percent), "forest-links"))
+    left_open = _open(members, components(links))
+    again = _blocks(left_open, POINT_BLOCK).join(points, "node")
+    some = again.groupBy("page", "i", "j").applyInPandas(_search_points(percent, False), cells)
+    rest = left_open.join(some.select("page", F.col("a").alias("node")).distinct(), ["page", "node"])
+    rest = rest.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("page")))
+    last = _blocks(rest, TEXT_BLOCK).join(texts, "node").groupBy("page", "i", "j")
+    return links.unionByName(materialize(last.applyInPandas(_search_texts(size, percent), "a long, b long"), "last-links"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     ready = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b").sortWithinPartitions("a")
-    star = materialize(ready.mapInArrow(_check_pairs(size), "a long, b long"), "star-links")
-    return star.unionByName(_rest(members, components(star), texts, size))
+    return ready.mapInArrow(_check_pairs(size, percent), "a long, b long")
 
 
 def _texts(rows: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -245,29 +336,35 @@ def _texts(rows: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.join(first, ["id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
 
 
-def _rest(members: DataFrame, known: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Links on the pages that the first comparison left in more than one component."""
-    placed = members.join(known.withColumnRenamed("node", "mark"), "mark", "left").withColumn(
-        "component", F.coalesce("component", "mark")
+def _open(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (page, node, component, n) of the pages of three and more classes that lie in several components.
+
+    Pages with the same classes count once; the two classes of a page of two have been compared.
+    """
+    placed = members.select("page", F.col("mark").alias("node")).join(known, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
     )
-    open_pages = (
+    pages = (
         placed.groupBy("page")
         .agg(
             F.min("component").alias("c1"),
             F.max("component").alias("c2"),
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("mark") % (1 << 40)).alias("h1"),
-            F.sum(F.xxhash64("mark", F.lit(1)) % (1 << 40)).alias("h2"),
+            F.sum(F.xxhash64("node") % (1 << 40)).alias("h1"),
+            F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("h2"),
         )
         .where("c1 <> c2 and n > 2")
     )
-    # pages with the same classes are searched once
-    once = open_pages.groupBy("n", "h1", "h2").agg(F.min("page").alias("page"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_rows = placed.join(once.select("page", blocks.alias("blocks")), "page").select(
-        "page", F.col("mark").alias("node"), "component", "blocks", F.pmod(F.xxhash64("mark"), "blocks").cast("int").alias("own")
-    )
-    cells = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    once = pages.groupBy("n", "h1", "h2").agg(F.min("page").alias("page"))
+    return materialize(placed.join(once.select("page", "n"), "page"), "open-pages")
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Every pair of blocks of each page, i <= j; ``side`` tells which of the two a row is from."""
+    cut = rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return paired.select(
         "page",
         "node",
         "component",
@@ -275,5 +372,3 @@ def _rest(members: DataFrame, known: DataFrame, texts: DataFrame, size: int) ->
         F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    ready = cells.join(texts, "node")
-    return ready.groupBy("page", "i", "j").applyInPandas(_search(size), "a long, b long")

@@ -112,17 +112,21 @@ def _kept(min_left: float) -> Column:
     return ~F.col("__failed") & ((lost == 0) | (F.col("__chars") - lost >= min_left * F.col("__chars")))
 
 
+def _judged(docs: DataFrame, max_documents: int) -> DataFrame:
+    """doc_id, row key, measures and the lines lost, without the text."""
+    source = docs.select("doc_id", "text", "source")
+    measures = with_measures(keyed(source).withColumn("__chars", F.length(text_or_empty()))).drop("text", "source")
+    return measures.join(frequent_lines(source, max_documents), KEY, "left")
+
+
 def quality_verdicts(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
     """Per document: doc_id, the measures, base_failed, kept and frequent_chars; no text is shuffled.
 
     Null text: no words, not kept. Null host: a host of its own. Rows equal in doc_id and text get equal verdicts, a
     row each. Empty table: no rows. Other columns are ignored, whatever their names.
     """
-    source = docs.select("doc_id", "text", "source")
-    measures = with_measures(keyed(source).withColumn("__chars", F.length(text_or_empty()))).drop("text", "source")
-    judged = measures.join(frequent_lines(source, max_documents).drop("__lines"), KEY, "left")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select(
+    return _judged(docs, max_documents).select(
         "doc_id",
         *[F.col(f"__{n}").alias(n) for n in names],
         F.col("__failed").alias("base_failed"),
@@ -136,13 +140,15 @@ def keep_good(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: flo
 
     Cases as in ``quality_verdicts``; names after two underscores are reserved.
     """
-    names = docs.columns
-    rows = keyed(docs).withColumn("__chars", F.length(text_or_empty()))
-    judged = with_measures(rows.join(frequent_lines(docs, max_documents), KEY, "left")).where(_kept(min_left))
+    verdicts = _judged(docs, max_documents).select(*KEY, _kept(min_left).alias("__kept"), "__lines")
+    # written, since a condition on it would be worked out anew below every projection it passes
+    verdicts = materialize(verdicts, "verdicts").where("__kept").dropDuplicates(KEY)
     left = F.filter(
         F.split("text", "\n"), lambda line: ~F.array_contains(F.col("__lines"), F.xxhash64(normal_line(line)))
     )
-    out = judged.withColumn("text", F.when(F.col("__lost") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__lost") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*names)
+    lost = F.col("__lines").isNotNull()
+    out = keyed(docs).join(verdicts, KEY)
+    out = out.withColumn("text", F.when(lost, F.array_join(left, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return out.select(*docs.columns)
