@@ -30,28 +30,26 @@ TRIM = " \t\x0b\x0c\r"
 MIN_WORDS = 50
 
 
-def _full(line: Column) -> Column:
-    return F.btrim(line, F.lit(TRIM)) != ""
-
-
-def _numbered_lines(text: Column) -> Column:
-    """Non-blank lines with their line numbers."""
-    every = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.filter(every, lambda s: _full(s["x"]))
-
-
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per non-blank line: row key, pos (among those), id, and the lengths of the shortest runs from and to it.
+    """A row per non-blank line: row key, pos (among those), line (its number), id, and the lengths of the shortest
+    runs from it and to it.
 
     Rows equal in doc_id and text are one document.
     """
     words = r"[^\x20\x09-\x0D]+"
-    each = F.transform(
-        F.filter(F.split(text_or_empty(), "\n"), _full),
-        lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(TRIM))).alias("id"), F.regexp_count(x, F.lit(words)).alias("n")),
+    each = F.filter(
+        F.transform(
+            F.split(text_or_empty(), "\n"),
+            lambda x, i: F.struct(
+                i.alias("line"),
+                F.xxhash64(F.btrim(x, F.lit(TRIM))).alias("id"),
+                F.regexp_count(x, F.lit(words)).alias("n"),
+            ),
+        ),
+        lambda s: s["n"] > 0,
     )
     rows = keyed(docs.select("doc_id", "text")).select(*KEY, each.alias("lines")).dropDuplicates(KEY)
-    lines = rows.select(*KEY, F.posexplode("lines").alias("pos", "l")).select(*KEY, "pos", "l.id", "l.n")
+    lines = rows.select(*KEY, F.posexplode("lines").alias("pos", "l")).select(*KEY, "pos", "l.line", "l.id", "l.n")
     doc = Window.partitionBy(*KEY)
     lines = lines.withColumn("upto", F.sum("n").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     lines = lines.withColumns({"before": F.col("upto") - F.col("n"), "all": F.sum("n").over(doc)})
@@ -60,6 +58,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     return lines.select(
         *KEY,
         "pos",
+        "line",
         "id",
         F.when(F.col("all") - F.col("before") >= min_words, ahead).cast("int").alias("ahead"),
         F.when(F.col("upto") >= min_words, back).cast("int").alias("back"),
@@ -71,13 +70,13 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     counts = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     upto = running_totals(counts, [], F.shiftright("id", 48), [F.col("id")], {"upto": F.col("n")})
     ranks = upto.select("id", (F.col("upto") - F.col("n")).cast("long").alias("rank"))
-    return lines.join(ranks, "id").select(*KEY, "pos", "rank", "ahead", "back")
+    return lines.join(ranks, "id").select(*KEY, "pos", "line", "rank", "ahead", "back")
 
 
 def next_ranks(ranks: DataFrame, reach: int) -> DataFrame:
     """From prefixes of ``reach`` lines to twice as many; positions whose longer prefix occurs once are gone."""
     second = ranks.select(*KEY, (F.col("pos") - reach).alias("pos"), F.col("rank").alias("rank2"))
-    pairs = ranks.join(second, [*KEY, "pos"])
+    pairs = ranks.select(*KEY, "pos", "rank", "ahead", "back").join(second, [*KEY, "pos"])
     buckets = pairs.groupBy("rank", "rank2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     upto = running_totals(buckets, ["rank"], F.shiftright("rank2", 16), [F.col("rank2")], {"upto": F.col("n")})
     new = upto.select("rank", "rank2", (F.col("rank") + F.col("upto") - F.col("n")).cast("long").alias("new"))
@@ -105,17 +104,18 @@ def later_copies(ranks: DataFrame, ends: DataFrame, reach: int) -> DataFrame:
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row key ``__gone``: places, among the non-blank lines, of the lines to delete."""
+    """Per row key ``__gone``: numbers of the lines to delete."""
     lines = materialize(line_table(docs, min_words), "lines")
-    ranks = materialize(first_ranks(lines), "ranks")
-    ends = ranks.where("back is not null").select(*KEY, "pos", "back")
-    runs, reach = later_copies(ranks, ends, 1), 1
+    first = ranks = materialize(first_ranks(lines), "ranks")
+    ends = first.where("back is not null").select(*KEY, "pos", "back")
+    runs, reach = materialize(later_copies(ranks, ends, 1), "runs"), 1
     while 2 * reach <= min_words:
         ranks = materialize(next_ranks(ranks, reach), "ranks")
         reach *= 2
-        runs = runs.unionByName(later_copies(ranks, ends, reach))
+        runs = runs.unionByName(materialize(later_copies(ranks, ends, reach), "runs"))
     places = runs.select(*KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))
-    return places.groupBy(*KEY).agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
+    numbers = first.select(*KEY, "pos", "line").join(places.distinct(), [*KEY, "pos"])
+    return numbers.groupBy(*KEY).agg(F.collect_list("line").alias("__gone"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -131,14 +131,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _cut(docs: DataFrame, min_words: int) -> DataFrame:
     joined = keyed(docs).join(deleted_lines(docs, min_words), KEY, "left")
-    numbers = F.transform("__gone", lambda k: F.get(F.col("__full"), k)["i"])
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__numbers", i))
-    joined = joined.withColumn("__full", F.when(F.col("__gone").isNotNull(), _numbered_lines(F.col("text"))))
-    joined = joined.withColumn("__numbers", numbers)
-    out = joined.withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
+    some = F.col("__gone").isNotNull()
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    out = joined.withColumn("text", F.when(some, F.array_join(left, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        size = F.when(F.col("__gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long")
-        out = out.withColumn("n_chars", size)
+        out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out
 
 

@@ -47,12 +47,13 @@ def unit_table(docs: DataFrame, separator: str, min_words: int) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row key ``__gone``: the removed units with number, start and end, in order."""
+    """Per row key: ``__gone``, the removed units with number, start and end, in order, and their ``__numbers``."""
     units = materialize(unit_table(docs, SEPARATORS[unit], min_words), "units")
     place = F.struct(*KEY, "number")
     first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = units.join(first, ["d1", "d2"]).where(place != F.col("first"))
-    return again.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("number", "start", "end"))).alias("__gone"))
+    gone = F.sort_array(F.collect_list(F.struct("number", "start", "end")))
+    return again.groupBy(*KEY).agg(gone.alias("__gone"), F.collect_list("number").alias("__numbers"))
 
 
 def without_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
@@ -64,8 +65,7 @@ def without_repeated_units(docs: DataFrame, unit: str = "line", min_words: int =
     """
     separator = SEPARATORS[unit]
     joined = keyed(docs.select("doc_id", "text")).join(repeated_units(docs, unit, min_words), KEY, "left")
-    numbers = F.transform("__gone", lambda g: g["number"])
-    left = F.filter(F.split("text", separator), lambda u, i: ~F.array_contains(numbers, i))
+    left = F.filter(F.split("text", separator), lambda u, i: ~F.array_contains("__numbers", i))
     spans = F.transform("__gone", lambda g: F.concat_ws(":", g["start"], g["end"]))
     some = F.col("__gone").isNotNull()
     return joined.select(
