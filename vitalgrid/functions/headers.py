@@ -54,7 +54,10 @@ def time_column(cols: Column, text_cols: Column) -> Column:
 
 
 def score_items(cols: Column) -> Column:
-    return F.array_sort(F.filter(cols, lambda c: normalize(c).rlike(r"^gad7?[_\-]?[0-9]+$")))
+    """Item columns in the order of their normalized names."""
+    items = F.filter(cols, lambda c: normalize(c).rlike(r"^gad7?[_\-]?[0-9]+$"))
+    keyed = F.transform(items, lambda c: F.struct(normalize(c).alias("n"), c.alias("c")))
+    return F.transform(F.array_sort(keyed), lambda s: s["c"])
 
 
 def score_column(cols: Column) -> Column:

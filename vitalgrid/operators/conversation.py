@@ -84,21 +84,24 @@ def vocabulary(texts: DataFrame, column: str, min_freq: int = 2) -> DataFrame:
 
 def encode(texts: DataFrame, keys: Sequence[str], column: str, vocab: DataFrame, max_len: int) -> DataFrame:
     """Token ids in order, unknown tokens as UNK, cut to max_len; the vocabulary joins on the token."""
-    toks = texts.select(*keys, F.posexplode(F.slice(tx.word_tokens(column), 1, max_len)).alias("__pos", "__tok"))
+    toks = texts.select(*keys, F.posexplode_outer(F.slice(tx.word_tokens(column), 1, max_len)).alias("__pos", "__tok"))
     known = vocab.select(F.col("token").alias("__tok"), F.col("id").alias("__tid"))
     ids = toks.join(known, "__tok", "left").withColumn("__tid", F.coalesce("__tid", F.lit(ph.UNK).cast("bigint")))
-    # an encoded text holds at most max_len ids
+    # an encoded text holds at most max_len ids; a text without tokens has none
+    placed = F.when(F.col("__pos").isNotNull(), F.struct("__pos", "__tid"))
     return ids.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__tid"))), lambda s: s["__tid"]).alias("ids")
+        F.transform(F.array_sort(F.collect_list(placed)), lambda s: s["__tid"]).alias("ids")
     )
 
 
 def decode(rows: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame) -> DataFrame:
-    flat = rows.select(*keys, F.posexplode(ids).alias("__pos", "__tid")).where(~F.col("__tid").isin(ph.PAD, ph.BOS, ph.EOS))
+    words = F.filter(ids, lambda i: ~i.isin(ph.PAD, ph.BOS, ph.EOS))
+    flat = rows.select(*keys, F.posexplode_outer(words).alias("__pos", "__tid"))
     known = vocab.select(F.col("token").alias("__tok"), F.col("id").alias("__tid"))
     word = flat.join(known, "__tid", "left").withColumn("__tok", F.coalesce("__tok", F.lit("[UNK]")))
+    placed = F.when(F.col("__pos").isNotNull(), F.struct("__pos", "__tok"))
     return word.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__tok"))), lambda s: s["__tok"]), " ").alias("text")
+        F.array_join(F.transform(F.array_sort(F.collect_list(placed)), lambda s: s["__tok"]), " ").alias("text")
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import evaluation as ev
-from vitalgrid.operators.ordering import row_index
+from vitalgrid.operators.ordering import join_per_key, row_index
 from vitalgrid.operators.retrieval import nearest
 from vitalgrid.operators.selection import class_weight, hash_part
 from vitalgrid.session import materialize
@@ -195,8 +195,15 @@ def oversample(df: DataFrame, key: str, columns: Sequence[str], label: str, k: i
 
 
 def boosted_early_stop(df: DataFrame, columns: Sequence[str], label: str, key: str, rounds: int = 20) -> tuple[int, object]:
-    """Boosting stopped on a hash-stratified 15 % hold-out, then refit on all rows with that many trees."""
-    vec = assembler(columns).transform(df).withColumn("__hold", hash_part(F.col(key), 100) < 15)
+    """Boosting stopped on a 15 % hold-out of each class, then refit on all rows with that many trees.
+
+    Rows of a class are ordered by a hash of their key; every class gives the first 15 % of its order.
+    """
+    order = F.xxhash64(key)
+    placed = row_index(df, [label], F.shiftright(order, 52), [order, F.col(key)], "__place")
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    held = join_per_key(placed, sizes, [label], key).withColumn("__hold", F.col("__place") < F.floor(0.15 * F.col("__size")))
+    vec = assembler(columns).transform(held)
     first = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=3, stepSize=0.3, validationIndicatorCol="__hold", validationTol=0.01, seed=SEED).fit(vec)
     best = first.getNumTrees
     final = GBTClassifier(labelCol=label, featuresCol="features", maxIter=best, maxDepth=3, stepSize=0.3, seed=SEED).fit(vec)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalar import clamp, finite_or_null
-from vitalgrid.operators.ordering import exact_quantiles, running_totals, size_bucket, value_bucket, with_scalars
+from vitalgrid.operators.ordering import exact_quantiles, join_per_key, running_totals, size_bucket, value_bucket, with_scalars
 
-PAIRWISE_COLUMNS = 40
-GREEDY_GROUPS = 100_000
+#: Column pairs per aggregate; it bounds a plan's width and changes no result.
+PAIRS_PER_AGGREGATE = 400
 
 
 def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -45,21 +44,15 @@ def low_variance_kept(df: DataFrame, columns: Sequence[str], least: float = 1e-1
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise correlation of distinct column pairs, pairs in column order.
-
-    Few columns: one aggregate of pairwise-complete correlations. Many: one Gram matrix.
-    """
+    """Pairwise-complete correlation of distinct column pairs, pairs in column order, at any number of columns."""
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    if len(cols) <= PAIRWISE_COLUMNS:
-        row = df.agg(
-            F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs]).alias("x")
-        )
-        return row.select(F.explode("x").alias("p")).select("p.*")
-    vec = VectorAssembler(inputCols=cols, outputCol="__x", handleInvalid="skip").transform(df)
-    m = Correlation.corr(vec, "__x").first()[0].toArray()  # columns x columns
-    rows = [(a, b, float(m[cols.index(a), cols.index(b)])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    out = None
+    for i in range(0, len(pairs), PAIRS_PER_AGGREGATE):
+        one = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs[i : i + PAIRS_PER_AGGREGATE]]
+        part = df.agg(F.array(*one).alias("x")).select(F.explode("x").alias("p")).select("p.*")
+        out = part if out is None else out.unionByName(part)
+    return df.sparkSession.createDataFrame([], "a string, b string, r double") if out is None else out
 
 
 def correlation_kept(df: DataFrame, columns: Sequence[str], target: str, limit: float = 0.85) -> list[str]:
@@ -91,28 +84,64 @@ def folds_by_size(df: DataFrame, group: str, k: int) -> DataFrame:
     return run.select(group, "n", F.pmod(F.col("no").cast("bigint") - 1, F.lit(k)).alias("fold"))
 
 
+def fold_of(loads: Sequence[int], n: int, place: int) -> int:
+    """Fold of the place-th (from 0) of many groups of n rows, each of which goes to the lightest fold, first on ties.
+
+    Fold f takes its groups at loads L, L + n, L + 2 n, ...; the groups come in order of (load, fold). A load is a
+    level (its multiple of n) and a rest, so at each level the folds that have reached it take one group each, in
+    order of (rest, fold).
+    """
+    level = [x // n for x in loads]
+    low, high = min(level), max(level) + place + 1
+    while high - low > 1:  # the last level with no more than `place` groups below it
+        middle = (low + high) // 2
+        if sum(max(0, middle - x) for x in level) <= place:
+            low = middle
+        else:
+            high = middle
+    here = sorted((loads[f] % n, f) for f in range(len(loads)) if level[f] <= low)
+    return here[place - sum(max(0, low - x) for x in level)][1]
+
+
 def folds_greedy(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Groups by size descending to the lightest fold; falls back to positions for very many groups."""
+    """Groups by size descending (then by group) to the lightest fold.
+
+    The loads depend on how many groups each size has, so only (size, count) pairs reach the driver; a group's fold
+    follows from its place among the groups of its size.
+    """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    head = sizes.limit(GREEDY_GROUPS + 1).collect()
-    if len(head) > GREEDY_GROUPS:
-        return folds_by_size(df, group, k)
-    load = [0] * k
-    rows = []
-    for r in sorted(head, key=lambda r: (-r["n"], r[group])):
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["n"]
-        rows.append((r[group], r["n"], f))
-    kind = dict(df.dtypes)[group]
-    return df.sparkSession.createDataFrame(rows, f"{group} {kind}, n bigint, fold int")
+    counts = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()
+    load, before = [0] * k, []
+    for r in sorted(counts, key=lambda r: -r["n"]):
+        n, c = r["n"], r["c"]
+        before.append((n, list(load)))
+        level = [x // n for x in load]
+        full, far = min(level), max(level) + c + 1
+        while far - full > 1:
+            middle = (full + far) // 2
+            full, far = (middle, far) if sum(max(0, middle - x) for x in level) <= c else (full, middle)
+        rest = c - sum(max(0, full - x) for x in level)
+        some = [f for _, f in sorted((load[f] % n, f) for f in range(k) if level[f] <= full)[:rest]]
+        load = [x + n * (max(0, full - level[f]) + (f in some)) for f, x in enumerate(load)]
+    run = running_totals(sizes, ["n"], value_bucket(group), [F.col(group)], {"no": F.lit(1)})
+
+    @F.pandas_udf("int")
+    def fold(loads: pd.Series, n: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series([fold_of(list(x), int(m), int(p)) for x, m, p in zip(loads, n, place, strict=True)])
+
+    loads = df.sparkSession.createDataFrame(before, "n bigint, __loads array<bigint>")
+    placed = join_per_key(run, loads, ["n"], group)
+    return placed.select(group, "n", fold("__loads", "n", (F.col("no") - 1).cast("bigint")).alias("fold"))
 
 
 def class_weight(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
-    """Balanced class weights n / (k * n_class) joined back by class."""
-    counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("__n"))
+    """Balanced class weights n / (k * n_class), looked up in a map of the few classes: rows don't move."""
+    counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("__n"))
     tot = counts.agg(F.sum("__n").alias("__t"), F.count(F.lit(1)).alias("__k"))
-    w = with_scalars(counts, tot).select(y, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias(name))
-    return df.join(w, y)
+    w = with_scalars(counts, tot).select(F.struct(y, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("w")).alias("e"))
+    weights = w.agg(F.map_from_entries(F.collect_list("e")).alias("__weights"))
+    out = with_scalars(df.where(F.col(y).isNotNull()), weights)
+    return out.withColumn(name, F.element_at("__weights", F.col(y))).drop("__weights")
 
 
 def hash_part(key, parts: int = 10):

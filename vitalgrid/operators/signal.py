@@ -227,15 +227,15 @@ def _entropy_block(x, factor: float):
     return out
 
 
-def entropy_of(xs: Column, factor: float = 0.2, most: int = 500) -> Column:
-    """Sample entropy of an array column, computed in Arrow batches; long arrays are thinned evenly."""
+def entropy_of(xs: Column, factor: float = 0.2, most: int | None = None) -> Column:
+    """Sample entropy of an array column, computed in Arrow batches; longer arrays than ``most`` are thinned evenly."""
 
     @F.pandas_udf("double")
     def run(batch: pd.Series) -> pd.Series:
         arrays = []
         for a in batch:
             a = np.asarray(a if a is not None else [], dtype=float)
-            arrays.append(a[np.linspace(0, len(a) - 1, most, dtype=int)] if len(a) > most else a)
+            arrays.append(a[np.linspace(0, len(a) - 1, most, dtype=int)] if most and len(a) > most else a)
         sizes = np.array([len(a) for a in arrays])
         out = np.zeros(len(arrays))
         for n in np.unique(sizes):

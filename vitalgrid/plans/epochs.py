@@ -87,12 +87,12 @@ def aligned_labels(spark, d):
     "held_value_dedupe",
     "W2",
     f"""WITH {EPOCH_SQL} SELECT subject, epoch_idx, pos, ibi FROM (SELECT *, lag(ibi) OVER (PARTITION BY subject, epoch_idx ORDER BY pos) AS p FROM e)
-    WHERE pos = 0 OR ibi <> p""",
+    WHERE pos = 0 OR ibi IS DISTINCT FROM p""",
 )
 def held_value_dedupe(spark, d):
     w = Window.partitionBy("subject", "epoch_idx").orderBy("pos")
     t = epoched(spark, d).withColumn("__p", F.lag("ibi").over(w))
-    return t.where((F.col("pos") == 0) | (F.col("ibi") != F.col("__p"))).select("subject", "epoch_idx", "pos", "ibi")
+    return t.where((F.col("pos") == 0) | ~F.col("ibi").eqNullSafe(F.col("__p"))).select("subject", "epoch_idx", "pos", "ibi")
 
 
 @query(

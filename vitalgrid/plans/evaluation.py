@@ -225,7 +225,7 @@ def calibrated_score(spark, d):
 
 
 def feature_long(spark, d):
-    t = src.table(spark, d, "lineitem").where("l_returnflag <> 'N'")
+    t = src.table(spark, d, "lineitem")
     y = F.when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("y")
     cols = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     const = F.struct(F.lit("constant").alias("feature"), F.lit(1.0).alias("v"))
@@ -233,7 +233,7 @@ def feature_long(spark, d):
     return t.select(y, F.explode(pairs).alias("p")).select("y", "p.feature", "p.v")
 
 
-_MW_SQL = """lg AS (SELECT y, feature, v FROM (SELECT CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS y, l_quantity, l_extendedprice, l_discount, l_tax, 1.0::DOUBLE AS constant FROM lineitem WHERE l_returnflag <> 'N')
+_MW_SQL = """lg AS (SELECT y, feature, v FROM (SELECT CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS y, l_quantity, l_extendedprice, l_discount, l_tax, 1.0::DOUBLE AS constant FROM lineitem)
   UNPIVOT (v FOR feature IN (l_quantity, l_extendedprice, l_discount, l_tax, constant))),
 rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY feature, v) AS ties FROM lg),
 mw AS (SELECT feature, sum(CASE WHEN y = 1 THEN rk END) - sum(y)::DOUBLE * (sum(y) + 1) / 2.0::DOUBLE AS u, sum(y)::DOUBLE * sum(1 - y) AS pq, count(*)::DOUBLE AS n, sum(ties::DOUBLE * ties - 1) AS tc FROM rk GROUP BY feature),

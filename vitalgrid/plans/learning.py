@@ -23,6 +23,8 @@ from vitalgrid.sources import files
 from vitalgrid.sources import tables as src
 
 FOLDS = 3
+#: Fixed value: the total score from which a subject counts as screened positive.
+SCREENED_FROM = 5
 HRV = [f"{m}_{s}" for m in ("hr", "rmssd", "steps") for s in ("mean", "std", "min", "max")] + [
     f"{m}_{p}_{s}" for m in ("hr", "rmssd") for p in ("day", "night") for s in ("mean", "std")
 ]
@@ -44,7 +46,7 @@ def training_table(spark, d):
     diary = ops.diary_by_wave(src.diary(spark, d), spans, ("waso", "sleep_latency", "sleep_duration"))
     t = stats.join(people.select("subject", "gad7_1", "gad7_2", "gad7_f", *ops.demographics(DEMO)), "subject")
     t = t.join(diary, ["subject", "wave"], "left").withColumn("gad7", F.element_at(F.array("gad7_1", "gad7_2", "gad7_f"), F.col("wave")))
-    t = t.where("gad7 IS NOT NULL").withColumn("y", (F.col("gad7") >= 11).cast("int"))
+    t = t.where("gad7 IS NOT NULL").withColumn("y", (F.col("gad7") >= SCREENED_FROM).cast("int"))
     cols = HRV + SLEEP + DEMOS
     t = materialize(t.select("subject", "wave", "gad7", "y", *cols), "training")
     folds = sel.folds_by_size(t, "subject", FOLDS).select("subject", F.col("fold").cast("int").alias("fold"))
@@ -74,7 +76,9 @@ def recursive_elimination(spark, d):
 @query("selected_projection", "P20")
 def selected_projection(spark, d):
     t, cols = training_table(spark, d)
-    keep = cols[:5]
+    imp = md.importance_by_fold(t, cols, "y", "fold", FOLDS, "weight", 10)
+    best = set(sorted(cols, key=lambda c: (-imp[c], cols.index(c)))[:15])
+    keep = [c for c in cols if c in best]
     v = md.masked_projection(t, cols, keep)
     arr = md.vector_to_array("selected")
     return v.select("subject", "wave", *[arr[i].alias(c) for i, c in enumerate(keep)])
@@ -83,7 +87,7 @@ def selected_projection(spark, d):
 @query("tree_grid_search", "M6 M8")
 def tree_grid_search(spark, d):
     t, cols = training_table(spark, d)
-    m = md.tree_search(cols[:12], "y", "fold", FOLDS, "weight").fit(t)
+    m = md.tree_search(cols, "y", "fold", FOLDS, "weight").fit(t)
     best = m.bestModel.stages[-1]
     return frame(
         spark, [(float(max(m.avgMetrics)), best.getNumTrees, best.getMaxDepth(), best.getMinInstancesPerNode())],
@@ -94,16 +98,15 @@ def tree_grid_search(spark, d):
 @query("elastic_net_models", "M7 E9")
 def elastic_net_models(spark, d):
     t, cols = training_table(spark, d)
-    reg = md.elastic_regression(cols, "gad7", "fold", FOLDS).fit(t)
-    clf = md.elastic_classifier(cols, "y", "fold", FOLDS, "weight").fit(t)
-    scored = md.probability(clf.transform(t).withColumnRenamed("prediction", "y_pred"), "p_ge").drop("features", "raw", "rawPrediction", "probability")
-    return reg.transform(scored).select("subject", "wave", "gad7", "y", F.col("prediction").alias("gad7_pred"), "p_ge")
+    reg, clf = md.elastic_regression(cols, "gad7", "fold", FOLDS), md.elastic_classifier(cols, "y", "fold", FOLDS, "weight")
+    total = md.out_of_fold(t, reg.fit, "fold", FOLDS, lambda s: s.select("subject", "wave", "gad7", "y", F.col("prediction").alias("gad7_pred")))
+    share = md.out_of_fold(t, clf.fit, "fold", FOLDS, lambda s: md.probability(s, "p_ge").select("subject", "wave", "p_ge"))
+    return total.join(share, ["subject", "wave"])
 
 
 @query("tree_models", "M8")
 def tree_models(spark, d):
     t, cols = training_table(spark, d)
-    v = md.assembler(cols).transform(t)
     ests = {
         "forest": md.forest("y", 10, weight="weight"),
         "tree": md.tree_classifier("y"),
@@ -111,7 +114,8 @@ def tree_models(spark, d):
     }
     out = None
     for name, e in ests.items():
-        p = md.probability(e.fit(v).transform(v), "p").select("subject", "wave", F.lit(name).alias("model"), "p")
+        row = lambda s, name=name: md.probability(s, "p").select("subject", "wave", F.lit(name).alias("model"), "p")
+        p = md.out_of_fold(t, Pipeline(stages=[md.assembler(cols), e]).fit, "fold", FOLDS, row)
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -119,7 +123,7 @@ def tree_models(spark, d):
 @query("minority_oversampling", "M10")
 def minority_oversampling(spark, d):
     t, cols = training_table(spark, d)
-    return md.oversample(t.where("fold <> 0"), "row_id", cols[:6], "y").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg(cols[0]).alias("mean_first"))
+    return md.oversample(t.where("fold <> 0"), "row_id", cols, "y")
 
 
 @query("platt_calibration", "M11 E12")
@@ -175,15 +179,15 @@ def night_batch_scores(spark, d):
 @query("learning_curve", "M16")
 def learning_curve(spark, d):
     t, cols = training_table(spark, d)
-    rows = md.learning_curve(t, cols[:12], "y", "fold", FOLDS, "row_id", "weight")
+    rows = md.learning_curve(t, cols, "y", "fold", FOLDS, "row_id", "weight")
     return frame(spark, rows, "share int, auc double")
 
 
 @query("boosting_early_stop", "M17")
 def boosting_early_stop(spark, d):
     t, cols = training_table(spark, d)
-    best, model = md.boosted_early_stop(t, cols[:12], "y", "row_id", 12)
-    v = md.probability(model.transform(md.assembler(cols[:12]).transform(t)), "p")
+    best, model = md.boosted_early_stop(t, cols, "y", "row_id", 12)
+    v = md.probability(model.transform(md.assembler(cols).transform(t)), "p")
     return v.select("subject", "wave", F.lit(best).alias("trees"), "p")
 
 

@@ -23,7 +23,7 @@ def sql_list(values) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
 
 
-# Endings put on conversation turns so that every rule has rows that meet it.
+# Endings so that every rule has rows that meet it: after each turn's own text, and alone as rows with keys of their own.
 TAILS = [
     "", "I want to die", "what's the point", "I feel great today", "so anxious", "ok", "yes?", "never mind",
     "actually, tell me", "f32.1 has 12 and 123 x", "عايز أموت", "مرحبا كيف حالك", ".", "—",
@@ -40,27 +40,33 @@ JUDGED = [
 ]
 
 
+# added to the conversation ids of rows that hold an ending alone
+ALONE = 1_000_000_000
+
+
 def messages(spark, d):
     k = F.col("conv_id") * 7 + F.col("turn") * 3
     tail = F.element_at(tx.lits(TAILS), (F.pmod(k, F.lit(len(TAILS))) + 1).cast("int"))
-    full = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(2)) == 0
     pick = lambda vals, by: F.element_at(tx.lits(vals), (F.pmod(by, F.lit(len(vals))) + 1).cast("int"))
-    return src.table(spark, d, "conversations").select(
+    turns = src.table(spark, d, "conversations").select(
         "conv_id",
         "turn",
         "role",
-        F.when(full, F.concat("text", F.lit(" "), tail)).otherwise(tail).alias("text"),
+        F.concat("text", F.lit(" "), tail).alias("text"),
+        tail.alias("tail"),
         pick(VERDICTS, F.col("conv_id") + F.col("turn") * 2).alias("verdict"),
         pick(CATEGORIES, F.col("conv_id") + F.col("turn")).alias("category"),
         pick(JUDGED, F.col("conv_id") * 3 + F.col("turn")).alias("judged"),
     )
+    alone = turns.withColumns({"conv_id": F.col("conv_id") + ALONE, "text": F.col("tail")})
+    return turns.unionByName(alone).drop("tail")
 
 
 def _pick(vals, by):
     return f"{sql_list(vals)}[CAST(({by}) % {len(vals)} AS INTEGER) + 1]"
 
 
-MESSAGES_SQL = f"""msg AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 2 = 0 THEN text || ' ' || tail ELSE tail END AS text, verdict, category, judged FROM (
+MESSAGES_SQL = f"""msg AS (SELECT conv_id + unnest([0, {ALONE}]) AS conv_id, turn, role, unnest([text || ' ' || tail, tail]) AS text, verdict, category, judged FROM (
   SELECT *, {_pick(TAILS, 'conv_id * 7 + turn * 3')} AS tail, {_pick(VERDICTS, 'conv_id + turn * 2')} AS verdict, {_pick(CATEGORIES, 'conv_id + turn')} AS category, {_pick(JUDGED, 'conv_id * 3 + turn')} AS judged
   FROM conversations))"""
 
@@ -534,14 +540,15 @@ def token_vocabulary(spark, d):
     return spark.read.parquet(path)
 
 
-ENC_SQL = f"""{VOCAB_SQL}, en AS (SELECT conv_id, turn, list(coalesce(id, 1) ORDER BY pos) AS ids FROM tk LEFT JOIN vocab USING (token) WHERE pos < 64 GROUP BY conv_id, turn)"""
+ENC_SQL = f"""{VOCAB_SQL}, en AS (SELECT msg.conv_id, msg.turn, coalesce(list(coalesce(id, 1) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ids
+  FROM msg LEFT JOIN tk ON tk.conv_id = msg.conv_id AND tk.turn = msg.turn AND pos < 64 LEFT JOIN vocab USING (token) GROUP BY msg.conv_id, msg.turn)"""
 
 
 def encoded(spark, d):
     return cv.encode(messages(spark, d), ["conv_id", "turn"], "text", materialize(vocab(spark, d), "vocab"), 64)
 
 
-@query("encoded_messages", "X33", f"WITH {ENC_SQL} SELECT {KEYS}, '2 ' || array_to_string(ids, ' ') || ' 3' AS ids FROM en")
+@query("encoded_messages", "X33", f"WITH {ENC_SQL} SELECT {KEYS}, array_to_string(list_concat([2], ids, [3]), ' ') AS ids FROM en")
 def encoded_messages(spark, d):
     e = encoded(spark, d)
     ids = F.concat(F.array(F.lit(ph.BOS).cast("bigint")), F.col("ids"), F.array(F.lit(ph.EOS).cast("bigint")))
@@ -551,7 +558,7 @@ def encoded_messages(spark, d):
 @query(
     "decoded_messages",
     "X34",
-    f"WITH {ENC_SQL}, fl AS (SELECT conv_id, turn, unnest(range(len(ids))) AS pos, unnest(ids) AS id FROM en) SELECT {KEYS}, string_agg(coalesce(token, '[UNK]'), ' ' ORDER BY pos) AS text FROM fl LEFT JOIN vocab USING (id) GROUP BY conv_id, turn",
+    f"WITH {ENC_SQL}, fl AS (SELECT conv_id, turn, unnest(range(len(ids))) AS pos, unnest(ids) AS id FROM en) SELECT en.conv_id, en.turn, coalesce(string_agg(coalesce(token, '[UNK]'), ' ' ORDER BY pos) FILTER (pos IS NOT NULL), '') AS text FROM en LEFT JOIN fl ON fl.conv_id = en.conv_id AND fl.turn = en.turn LEFT JOIN vocab USING (id) GROUP BY en.conv_id, en.turn",
 )
 def decoded_messages(spark, d):
     v = materialize(vocab(spark, d), "vocab")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,7 +144,7 @@ def cached_table(spark: SparkSession, path: str, source: str, build, columns: in
 
 
 def _version(source: str, columns: int) -> str:
-    return "data-" + re.sub(r"\W+", "_", source)[-80:] + f"-{columns}"
+    return f"data-{hashlib.sha256(source.encode()).hexdigest()}-{columns}"
 
 
 def append_new_pairs(spark: SparkSession, path: str, fresh: DataFrame, order: Sequence[str]) -> None:
