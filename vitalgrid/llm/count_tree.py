@@ -13,8 +13,8 @@ page is thus a group's content, (m, group, its shingles), and every linked pair
 2. On every page each class is compared with the page's first class only; a page's classes need not meet in one place.
 3. Pages whose classes are not yet one component are searched in full, by points: they are cut into blocks of bounded
    size, and a tree over each pair of blocks gives the pairs of components that may link. Of these a spanning forest is
-   verified, then the pages are searched once more.
-4. What the bound still leaves between different components is searched by sets, again in blocks.
+   verified. This is done twice; pairs found apart are not tried again.
+4. Classes with pairs still untried on some page are searched by sets, again in blocks.
 
 So all links that matter to the components are found, and pages of near copies cost no more than their size.
 """
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import KEY, SPACES, keyed, slices
@@ -216,7 +216,12 @@ def _search_points(percent: int, forest_only: bool):
         groups, sides, alone = _block(rows)
         points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(-1, COORDINATES).astype(np.int64)
         nodes, page = rows["node"].tolist(), int(rows["page"].iloc[0])
-        found = candidates(groups, sides, points, alone, percent)
+        apart = [set() if x is None else set(x) for x in rows["apart"]]
+        found = (
+            (i, j)
+            for i, j in candidates(groups, sides, points, alone, percent)
+            if nodes[j] not in apart[i] and nodes[i] not in apart[j]
+        )
         if forest_only:
             forest = Forest()
             out = [(page, nodes[i], nodes[j]) for i, j in found if forest.join(int(groups[i]), int(groups[j]))]
@@ -306,19 +311,34 @@ def _links(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
     points = sets.groupBy(F.col("mark").alias("node")).agg(F.min("point").alias("point")).join(nodes, "node", "left_semi")
     points = materialize(points, "class-points")
     cells = "page long, a long, b long"
-    tried = _blocks(_open(members, components(links)), POINT_BLOCK).join(points, "node")
-    forest = tried.groupBy("page", "i", "j").applyInPandas(_search_points(percent, True), cells)
-    forest = forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(materialize(_verified(forest, texts, size, percent), "forest-links"))
-    left_open = _open(members, components(links))
+    apart = pairs.sparkSession.createDataFrame([], "a long, b long")
+    for _ in range(2):
+        tried = _blocks(_apart(_open(members, components(links)), apart), POINT_BLOCK).join(points, "node")
+        forest = tried.groupBy("page", "i", "j").applyInPandas(_search_points(percent, True), cells)
+        forest = forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        forest = materialize(forest, "forest")
+        found = materialize(_verified(forest, texts, size, percent), "forest-links")
+        links = links.unionByName(found)
+        apart = apart.unionByName(forest.join(found, ["a", "b"], "left_anti"))
+    left_open = _apart(_open(members, components(links)), apart)
     again = _blocks(left_open, POINT_BLOCK).join(points, "node")
     some = again.groupBy("page", "i", "j").applyInPandas(_search_points(percent, False), cells)
     rest = left_open.join(some.select("page", F.col("a").alias("node")).distinct(), ["page", "node"])
-    rest = rest.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("page")))
-    last = _blocks(rest, TEXT_BLOCK).join(texts, "node").groupBy("page", "i", "j")
+    rest = materialize(rest, "untried")
+    sizes = rest.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+    last = _blocks(rest.drop("n").join(sizes, "page"), TEXT_BLOCK).join(texts, "node").groupBy("page", "i", "j")
     return links.unionByName(materialize(last.applyInPandas(_search_texts(size, percent), "a long, b long"), "last-links"))
 
 
+def _apart(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds ``apart``: of each row's page, the nodes it was compared with and found not linked to."""
+    place = rows.select("page", "node")
+    here = place.join(pairs, F.col("node") == F.col("a")).select("page", "a", "b")
+    both = here.join(place.select("page", F.col("node").alias("b")), ["page", "b"])
+    lists = both.groupBy("page", F.col("a").alias("node")).agg(F.collect_set("b").alias("apart"))
+    return rows.join(lists, ["page", "node"], "left")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -371,4 +391,5 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "apart",
     )
