@@ -306,10 +306,9 @@ def _links(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
     pairs = materialize(pairs, "page-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = materialize(_texts(rows, sets, nodes), "class-texts")
-    links = materialize(_verified(pairs, texts, size, percent), "star-links")
-    nodes = texts.select("node")
     points = sets.groupBy(F.col("mark").alias("node")).agg(F.min("point").alias("point")).join(nodes, "node", "left_semi")
     points = materialize(points, "class-points")
+    links = materialize(_verified(pairs, points, texts, size, percent), "star-links")
     cells = "page long, a long, b long"
     apart = pairs.sparkSession.createDataFrame([], "a long, b long")
     for _ in range(2):
@@ -317,7 +316,7 @@ def _links(rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
         forest = tried.groupBy("page", "i", "j").applyInPandas(_search_points(percent, True), cells)
         forest = forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         forest = materialize(forest, "forest")
-        found = materialize(_verified(forest, texts, size, percent), "forest-links")
+        found = materialize(_verified(forest, points, texts, size, percent), "forest-links")
         links = links.unionByName(found)
         apart = apart.unionByName(forest.join(found, ["a", "b"], "left_anti"))
     left_open = _apart(_open(members, components(links)), apart)
@@ -339,11 +338,32 @@ def _apart(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(lists, ["page", "node"], "left")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _bound(percent: int):
+    """For mapInArrow over (a, point_a, b, point_b): the pairs whose points allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, COORDINATES) for k in (1, 3)
+            )
+            total = left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64)
+            keep = np.minimum(left, right).sum(axis=1, dtype=np.int64) >= needed(total, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link; only pairs that pass the bound get their texts."""
+    left = points.select(F.col("node").alias("a"), F.col("point").alias("point_a"))
+    right = points.select(F.col("node").alias("b"), F.col("point").alias("point_b"))
+    placed = pairs.join(right, "b").join(left, "a").select("a", "point_a", "b", "point_b")
+    near = materialize(placed.mapInArrow(_bound(percent), "a long, b long"), "near-pairs")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    ready = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b").sortWithinPartitions("a")
+    ready = near.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b").sortWithinPartitions("a")
     return ready.mapInArrow(_check_pairs(size, percent), "a long, b long")
 
 
