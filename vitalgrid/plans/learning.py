@@ -98,10 +98,17 @@ def tree_grid_search(spark, d):
 @query("elastic_net_models", "M7 E9")
 def elastic_net_models(spark, d):
     t, cols = training_table(spark, d)
-    reg, clf = md.elastic_regression(cols, "gad7", "fold", FOLDS), md.elastic_classifier(cols, "y", "fold", FOLDS, "weight")
-    total = md.out_of_fold(t, reg.fit, "fold", FOLDS, lambda s: s.select("subject", "wave", "gad7", "y", F.col("prediction").alias("gad7_pred")))
-    share = md.out_of_fold(t, clf.fit, "fold", FOLDS, lambda s: md.probability(s, "p_ge").select("subject", "wave", "p_ge"))
-    return total.join(share, ["subject", "wave"])
+    inner = FOLDS - 1  # parameters are chosen on the folds left, numbered from 0
+    reg, clf = md.elastic_regression(cols, "gad7", "__inner", inner), md.elastic_classifier(cols, "y", "__inner", inner, "weight")
+    out = None
+    for f in range(FOLDS):
+        train = t.where(F.col("fold") != f).withColumn("__inner", F.pmod(F.col("fold") - f - 1, F.lit(FOLDS)).cast("int"))
+        test = t.where(F.col("fold") == f)
+        scored = md.probability(clf.fit(train).transform(test).withColumnRenamed("prediction", "y_pred"), "p_ge")
+        scored = scored.drop("features", "raw", "rawPrediction", "probability")
+        part = reg.fit(train).transform(scored).select("subject", "wave", "gad7", "y", F.col("prediction").alias("gad7_pred"), "p_ge")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("tree_models", "M8")
