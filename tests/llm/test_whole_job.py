@@ -22,3 +22,21 @@ def test_verbatim_items_of_any_length_are_found(spark):
     got = {(x.doc_id, x.item_id) for x in found.collect()}
     assert {(k, k) for k in range(len(items))} <= got
     assert not [(d, k) for d, k in got if d != k and sizes[k] > 8]
+
+
+def test_items_whose_rare_words_were_replaced_are_found(spark):
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(80)]
+    docs = [(1000 + d, " ".join(r.choices(common, k=200))) for d in range(200)]
+    items = []
+    for k in range(20):
+        item = r.sample(common, 20)
+        for i in range(10):
+            item.insert(2 * i, f"u{k}x{i}")
+        items.append((k, " ".join(item)))
+        reworded = [f"other{r.randrange(10**6)}" if w[0] == "u" else w for w in item]
+        docs.append((k, " ".join([f"n{i}" for i in range(40)] + reworded + [f"m{i}" for i in range(40)])))
+    found = decontamination.benchmark_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert {(k, k) for k, _ in items} <= {(x.doc_id, x.item_id) for x in found.collect()}
