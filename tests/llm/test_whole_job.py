@@ -2,7 +2,7 @@
 
 import random
 
-from vitalgrid.llm import decontamination
+from vitalgrid.llm import decontamination, unit_dedup
 
 
 def test_verbatim_items_of_any_length_are_found(spark):
@@ -40,3 +40,10 @@ def test_items_whose_rare_words_were_replaced_are_found(spark):
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     )
     assert {(k, k) for k, _ in items} <= {(x.doc_id, x.item_id) for x in found.collect()}
+
+
+def test_short_lines_and_lines_without_blanks_are_removed(spark):
+    rows = [(1, "Menu\nmore\n***\n本作品依许可协议发布"), (2, "menu!\n本作品依许可协议发布\n***\nown line"), (3, "MORE\n\nmenu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in unit_dedup.without_repeated_units(docs).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "***\nown line"), 3: (2, "")}

@@ -15,8 +15,6 @@ from vitalgrid.session import materialize
 
 #: What parts units; each is a fixed string, so offsets follow from lengths.
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-#: Units with fewer words are left alone: they are too common to be copies.
-MIN_WORDS = 16
 
 
 def normal_unit(unit: Column) -> Column:
@@ -26,14 +24,14 @@ def normal_unit(unit: Column) -> Column:
 def unit_table(docs: DataFrame, separator: str, min_words: int) -> DataFrame:
     """A row per unit of at least ``min_words`` words: row key, number, start, end, digest.
 
-    Rows equal in doc_id and text are one document.
+    A unit with no letter or digit is no unit and stays. Rows equal in doc_id and text are one document.
     """
     cut = F.split(text_or_empty(), separator)
     each = F.transform(
         F.transform(cut, lambda u: F.struct(F.length(u).alias("size"), normal_unit(u).alias("normal"))),
         lambda s: F.struct(
             s["size"].alias("size"),
-            (F.size(F.split(s["normal"], " ")) >= min_words).alias("long"),
+            ((s["normal"] != "") & (F.size(F.split(s["normal"], " ")) >= min_words)).alias("long"),
             F.xxhash64(s["normal"]).alias("d1"),
             F.xxhash64(F.lit(1), s["normal"]).alias("d2"),
         ),
@@ -46,7 +44,7 @@ def unit_table(docs: DataFrame, separator: str, min_words: int) -> DataFrame:
     return units.select(*KEY, "number", "start", (F.col("start") + F.col("size")).alias("end"), "d1", "d2")
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 0) -> DataFrame:
     """Per row key: ``__gone``, the removed units with number, start and end, in order, and their ``__numbers``."""
     units = materialize(unit_table(docs, SEPARATORS[unit], min_words), "units")
     place = F.struct(*KEY, "number")
@@ -56,9 +54,10 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     return again.groupBy(*KEY).agg(gone.alias("__gone"), F.collect_list("number").alias("__numbers"))
 
 
-def without_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 0) -> DataFrame:
     """Per document: doc_id, n_removed, removed (``start:end``, comma-joined) and the text that is left.
 
+    Every repeated unit goes; ``min_words`` leaves those with fewer words (between blanks) alone, and is off by default.
     Null text counts as empty. A document all of whose units go has an empty text. Rows equal in doc_id and text are
     one document and get equal results, a row each. Empty table: no rows. Other columns are ignored, whatever their
     names.
