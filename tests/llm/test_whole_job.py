@@ -1,8 +1,9 @@
 """Cases a cut of the job would miss."""
 
 import random
+import re
 
-from vitalgrid.llm import decontamination, unit_dedup
+from vitalgrid.llm import decontamination, disclosure, unit_dedup
 
 
 def test_verbatim_items_of_any_length_are_found(spark):
@@ -47,3 +48,18 @@ def test_short_lines_and_lines_without_blanks_are_removed(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.text) for r in unit_dedup.without_repeated_units(docs).collect()}
     assert got == {1: (0, rows[0][1]), 2: (2, "***\nown line"), 3: (2, "")}
+
+
+def test_disclosing_terms_are_tagged_wherever_they_occur(spark):
+    r = random.Random(2)
+    rows = [(d, "\n".join(" ".join(f"w{r.randrange(60)}" for _ in range(8)) for _ in range(6))) for d in range(60)]
+    rows += [(100, "write to Zork at z.o@x.org now"), (101, "Zork of 李四 answers as z.o@x.org there"), (102, "ask 李四 for z.o@x.org")]
+    rows += [(103, "no mail here\nZORK, only once more"), (104, f"{'long ' * 400}\nzork z.o@x.org\nand zork 李四")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in disclosure.personal_data(docs).collect()}
+    for name, text in rows:
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"(?i)zork|李四", text)}
+        assert want <= set(got[name].split(",")), name
+    clean = {x.doc_id: x.text for x in disclosure.sanitised(docs).collect()}
+    assert not any(re.search("(?i)zork|李四", t) for t in clean.values())
+    assert all(clean[d] == rows[d][1] for d in range(60))

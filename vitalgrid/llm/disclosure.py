@@ -7,13 +7,13 @@ occurrences of entity e and d(t, e) of these with t near by, the information tha
     PMI(t; e) = log2( N d(t, e) / (d(t) d(e)) ),  out of  IC(e) = log2( N / d(e) )
 
 and t discloses e when PMI / IC reaches the threshold, on the evidence of at least two different contexts, so that
-copies of one text are no evidence. A term that never occurs without its entity is removed from the text, other
-disclosing terms are generalised to a tag.
+copies of one text are no evidence. A disclosing term is found wherever it occurs in the corpus. A term that never
+occurs without its entity is removed from the text, other disclosing terms are generalised to a tag.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import KEY, keyed, text_or_empty
@@ -30,7 +30,7 @@ PATTERNS = {
 # What a text must hold for a kind to be searched at all.
 HINTS = {"email": r"@[A-Za-z0-9]|@-", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){16}", "phone": r"\+[0-9]"}
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-TERM = r"[\p{L}][\p{L}\p{N}]{2,}"
+TERM = r"\p{L}[\p{L}\p{N}]*+"
 
 #: Share of an entity's information a term must carry to disclose it; contexts asked for; characters looked at on
 #: either side of an entity, within its line.
@@ -172,15 +172,44 @@ def disclosing_terms(
     seen = F.least("d_te", "d_t")
     pmi = F.log2(F.col("n") * seen / (F.col("d_t") * F.col("d_e")))
     ic = F.log2(F.col("n") / F.col("d_e"))
-    found = scored.where((ic > 0) & (pmi >= threshold * ic)).select(
-        "entity", "term", (F.col("d_te") >= F.col("d_t")).alias("always")
+    found = materialize(
+        scored.where((ic > 0) & (pmi >= threshold * ic)).select("entity", "term", (F.col("d_te") >= F.col("d_t")).alias("always")),
+        "disclosing-terms",
     )
     words = near.select(*KEY, "entity", F.explode("words").alias("w")).select(*KEY, "entity", "w.*")
-    hits = words.join(found, ["entity", "term"])
-    each = hits.groupBy(*KEY, "start", "end").agg(F.min("always").alias("always"))
+    hits = words.join(found, ["entity", "term"]).select(*KEY, "start", "end", "always")
+    spans = F.concat(*[F.transform(f"__{k}", lambda s: F.struct(s["start"], s["end"])) for k in PATTERNS])
+    inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    others = (
+        _occurrences(docs, materialize(found.select("term").distinct(), "disclosing-words"))
+        .join(entities.select(*KEY, spans.alias("base")), KEY, "left")
+        .where(~F.coalesce(inside, F.lit(False)))
+        .select(*KEY, "start", "end", F.lit(None).cast("boolean").alias("always"))
+    )
+    # a term away from its entity is no longer one that never occurs without it
+    each = hits.unionByName(others).groupBy(*KEY, "start", "end").agg(F.coalesce(F.min("always"), F.lit(False)).alias("always"))
     return each.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end", "always"))).alias("__terms"))
 
 
+def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every occurrence of the terms (by hash) in the documents: row key, start, end."""
+    rows = keyed(docs.select("doc_id", "text"))
+    held = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))
+    some = rows.select(*KEY, F.explode(held).alias("term")).join(terms, "term", "left_semi")
+    some = materialize(some.select(*KEY).distinct(), "disclosed-documents")
+    texts = rows.join(some, KEY, "left_semi").select(*KEY, "text").dropDuplicates(KEY)
+    values = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    gaps = F.slice(F.split("text", TERM, -1), F.lit(1), F.size(values))
+    word = F.zip_with(
+        gaps, values, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), F.xxhash64(F.lower(m)).alias("term"))
+    )
+    each = texts.select(*KEY, F.posexplode(word).alias("i", "w")).select(*KEY, "i", "w.*")
+    upto = Window.partitionBy(*KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("g") + F.col("m")).over(upto).cast("int"))
+    each = each.withColumn("start", (F.col("end") - F.col("m")).cast("int"))
+    return each.join(terms, "term", "left_semi").select(*KEY, "start", "end")
+
+
 def _written(kind: str) -> Column:
     spans = F.coalesce(F.col("__terms"), F.array()) if kind == "terms" else F.col(f"__{kind}")
     label = F.lit("term" if kind == "terms" else kind)
