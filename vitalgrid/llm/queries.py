@@ -12,9 +12,12 @@ from vitalgrid.llm.disclosure import personal_data
 from vitalgrid.llm.line_frequency import quality_verdicts
 from vitalgrid.llm.line_runs import repeated_runs
 from vitalgrid.llm.packing import packed_documents
+from vitalgrid.llm.prefix_trie import conversation_trie
 from vitalgrid.llm.simple8b import token_file
 from vitalgrid.llm.token_counts import token_counts
 from vitalgrid.llm.unit_dedup import without_repeated_units
+from vitalgrid.llm.url_rules import judged_pages
+from vitalgrid.llm.whitening import whitened
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -230,3 +233,125 @@ SELECT doc_id, count(*) FILTER (gone) AS n_removed,
   coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
 FROM r GROUP BY doc_id
 """
+
+
+@query
+def op11_redirect_equivalence(spark, sf_dir):
+    return judged_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_perfect_hash_trie(spark, sf_dir):
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("shard", "slot")
+
+
+@query
+def op13_cholesky_whitening(spark, sf_dir):
+    return whitened(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
+SQL["op11_redirect_equivalence"] = r"""
+WITH RECURSIVE rules AS (
+  SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')) r(rhost, rpath, verdict)
+), pages_cut AS (
+  SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), parts AS (
+  SELECT page_id, url, html,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1), '') AS search
+  FROM pages_cut
+), named AS (
+  SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || search END AS node FROM parts
+), tags AS (
+  SELECT url, host, path, node, unnest(regexp_extract_all(
+    regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', ' ', 'g'), '(?i)<(?:link|meta)\s[^>]*>')) AS tag
+  FROM named WHERE regexp_matches(html, '(?i)canonical|http-equiv')
+), refs AS (
+  SELECT url, host, path, node, trim(replace(regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1)
+    || regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2)
+    || regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3), '&amp;', '&')) AS ref
+  FROM tags WHERE regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\srel\s*=\s*["'']?([^"''>]*\s)?canonical[\s"''/>]')
+  UNION ALL
+  SELECT url, host, path, node, trim(regexp_extract(replace(tag, '&amp;', '&'), '(?i)\scontent\s*=\s*"[^"]*?[;,]\s*url\s*=\s*''?([^''"]*)', 1)) AS ref
+  FROM tags WHERE regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?refresh["''\s>]')
+), targets AS (
+  SELECT node, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN ref
+    WHEN ref LIKE '//%' THEN 'http:' || ref
+    WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN ref LIKE '/%' THEN 'http://' || host || ref
+    WHEN regexp_extract(ref, '^[^?#]*') = '' THEN 'http://' || host || path || ref
+    ELSE 'http://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || ref END AS target
+  FROM refs WHERE ref <> ''
+), target_nodes AS (
+  SELECT node AS a, translate(regexp_extract(substr(target, instr(target, '://') + 3), '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || CASE WHEN regexp_extract(target, '://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(target, '://[^/?#]*([^?#]*)', 1) END
+    || regexp_extract(substr(target, instr(target, '://') + 3), '^[^?#]*(\?[^#]*)?', 1) AS b
+  FROM targets
+), links AS (
+  SELECT a, b FROM target_nodes WHERE a <> b UNION SELECT b, a FROM target_nodes WHERE a <> b
+), reach AS (
+  SELECT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+), ruled AS (
+  SELECT n.node, r.rhost || r.rpath AS rule, r.verdict,
+    row_number() OVER (PARTITION BY n.node ORDER BY length(r.rhost || r.rpath) DESC, length(r.rhost) DESC, r.verdict) AS nth
+  FROM (SELECT seen AS node, regexp_extract(seen, '^[^/]*') AS host, regexp_extract(seen, '^[^/]*([^?]*)', 1) AS path FROM reach
+    UNION SELECT node, host, CASE WHEN path = '' THEN '/' ELSE path END FROM named WHERE node IS NOT NULL) n
+  JOIN rules r ON (n.host = r.rhost OR n.host LIKE '%.' || r.rhost) AND starts_with(n.path, r.rpath)
+), blocked AS (
+  SELECT r.node, min(least(r.node, r.seen)) AS low FROM reach r GROUP BY r.node
+  HAVING bool_or(EXISTS (SELECT 1 FROM ruled x WHERE x.node = r.seen AND x.nth = 1 AND x.verdict = 'block'))
+), own AS (
+  SELECT n.page_id, n.url, r.rhost || r.rpath AS rule, r.verdict,
+    row_number() OVER (PARTITION BY n.page_id, n.url ORDER BY length(r.rhost || r.rpath) DESC, length(r.rhost) DESC, r.verdict) AS nth
+  FROM named n JOIN rules r ON (n.host = r.rhost OR n.host LIKE '%.' || r.rhost) AND starts_with(n.path, r.rpath)
+)
+SELECT n.page_id, n.host, n.path, o.rule,
+  coalesce(o.verdict, CASE WHEN b.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN o.rule IS NULL THEN b.low END AS alias_of
+FROM named n
+LEFT JOIN own o ON o.page_id IS NOT DISTINCT FROM n.page_id AND o.url = n.url AND o.nth = 1
+LEFT JOIN blocked b ON b.node = n.node
+"""
+
+
+SQL["op12_perfect_hash_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS n,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, op: CASE WHEN op >= 0 THEN xor(crc, op) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END),
+      4294967295) % 9 AS h
+  FROM t GROUP BY conv_id
+), r AS (
+  SELECT i.conv_id, t.k AS pos, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.base AND t.k <= i.h
+  UNION ALL
+  SELECT i.conv_id, t.k - i.h + least(i.h, coalesce(b.n, 0)), t.role, t.text
+  FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.k > i.h LEFT JOIN ids b ON b.conv_id = i.base
+), p AS (
+  SELECT conv_id, 0::BIGINT AS depth, '' AS path, 0 AS bytes FROM ids
+  UNION ALL
+  SELECT conv_id, pos, string_agg(sha256(role || chr(0) || text), '') OVER (PARTITION BY conv_id ORDER BY pos), strlen(text) FROM r
+), l AS (
+  SELECT conv_id, max(depth) AS length FROM p GROUP BY conv_id
+), nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '') AS ends
+  FROM p JOIN l USING (conv_id) GROUP BY depth, path
+), kids AS (
+  SELECT left(path, length(path) - 64) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), under AS (
+  SELECT p.path, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved
+  FROM nodes u JOIN p ON p.conv_id = u.conv_id AND p.depth <= u.depth LEFT JOIN kids k ON k.path = u.path GROUP BY p.path
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, u.n_leaves,
+  u.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN under u USING (path) LEFT JOIN kids k USING (path)
+LEFT JOIN nodes up ON n.depth > 0 AND up.path = left(n.path, length(n.path) - 64)
+"""
