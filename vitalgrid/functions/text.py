@@ -126,6 +126,12 @@ def needs_fallback(c, least: int) -> Column:
     return is_draft_refusal(c) | (word_count(c) < least)
 
 
+def capitalised(w: Column) -> Column:
+    """First letter in upper case; one whose upper case has two letters (a sharp s) gives an upper and a lower one."""
+    first = F.upper(F.substring(w, 1, 1))
+    return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 9)), F.right(w, F.length(w) - 1))
+
+
 def keyword_title(c) -> Column:
     """Two or three topic words: acronyms first, then longer words, first occurrence on ties."""
     c = _c(c)
@@ -145,7 +151,7 @@ def keyword_title(c) -> Column:
 
     ranked = F.array_sort(bind(caps, rank))
     top = F.slice(F.array_distinct(F.transform(ranked, lambda s: s["w"])), 1, 3)
-    title = F.array_join(F.transform(top, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.right(w, F.length(w) - 1))), " ")
+    title = F.array_join(F.transform(top, capitalised), " ")
     return F.when(title == "", "New Conversation").otherwise(title)
 
 

@@ -196,7 +196,7 @@ def refusal_flags(spark, d):
     f AS (SELECT {KEYS}, unnest(kw) AS w, unnest(range(len(kw))) AS p, caps FROM k),
     g AS (SELECT {KEYS}, w, min(p) AS p, bool_or(list_contains(caps, w)) AS a FROM f GROUP BY conv_id, turn, w),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN a THEN 0 ELSE 1 END, length(w) DESC, p) AS rn FROM g),
-    t AS (SELECT {KEYS}, string_agg(upper(w[1]) || w[2:], ' ' ORDER BY rn) AS title FROM r WHERE rn <= 3 GROUP BY conv_id, turn)
+    t AS (SELECT {KEYS}, string_agg(CASE w[1] WHEN 'ß' THEN 'Ss' ELSE upper(w[1]) END || w[2:], ' ' ORDER BY rn) AS title FROM r WHERE rn <= 3 GROUP BY conv_id, turn)
     SELECT msg.conv_id, msg.turn, coalesce(title, 'New Conversation') AS title FROM msg LEFT JOIN t USING (conv_id, turn)""",
 )
 def keyword_titles(spark, d):
