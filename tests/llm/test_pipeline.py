@@ -27,7 +27,7 @@ def good(text):
 
 
 def without_runs(docs):
-    """Shortest runs of 50 words from and to every line; all but the first of equal ones go."""
+    """Shortest runs of 50 words from and to every line; all but the first of equal ones go, then emptied documents."""
     runs = {}
     for d, text in docs:
         full = [(i, line.strip(" \t\x0b\x0c\r")) for i, line in enumerate(text.split("\n"))]
@@ -41,12 +41,16 @@ def without_runs(docs):
                 if n >= 50:
                     a, b = min(j, k), max(j, k)
                     runs.setdefault(tuple(x[1] for x in full[a : b + 1]), set()).add((d, a, tuple(x[0] for x in full[a : b + 1])))
-    gone = {(d, i) for places in runs.values() for d, _, lines in sorted(places)[1:] for i in lines}
+    gone = set()
+    for places in runs.values():
+        (first, at, run), *later = sorted(places)
+        gone |= {(d, i) for d, a, lines in later if d != first or a >= at + len(run) for i in lines}
     out = []
     for d, text in docs:
         lines = text.split("\n")
         kept = [line for i, line in enumerate(lines) if (d, i) not in gone]
-        out.append((d, "\n".join(kept)))
+        if len(kept) == len(lines) or words("\n".join(kept)):
+            out.append((d, "\n".join(kept)))
     return out
 
 

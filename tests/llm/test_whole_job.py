@@ -3,7 +3,7 @@
 import random
 import re
 
-from vitalgrid.llm import decontamination, disclosure, unit_dedup
+from vitalgrid.llm import decontamination, disclosure, line_frequency, line_runs, unit_dedup
 
 
 def test_verbatim_items_of_any_length_are_found(spark):
@@ -63,3 +63,47 @@ def test_disclosing_terms_are_tagged_wherever_they_occur(spark):
     clean = {x.doc_id: x.text for x in disclosure.sanitised(docs).collect()}
     assert not any(re.search("(?i)zork|李四", t) for t in clean.values())
     assert all(clean[d] == rows[d][1] for d in range(60))
+
+
+LINE = " ".join(f"word{i}" for i in range(25))
+
+
+def test_lines_repeated_in_a_row_leave_the_first_run_whole(spark):
+    rows = [(1, "\n".join([LINE] * 4)), (2, "\n".join([LINE] * 2)), (3, LINE)]
+    got = {r.doc_id: r.text for r in line_runs.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "\n".join([LINE] * 2), 2: "", 3: LINE}
+
+
+def test_emptied_copies_go_on_demand(spark):
+    text = "\n".join([LINE] * 2)
+    rows = [(1, text, "a"), (2, text, "a"), (3, f"{text}\nmore", "a"), (4, "", "a"), (5, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __x string")
+    got = {r.doc_id: r.text for r in line_runs.without_repeats(docs, keep_emptied=False).collect()}
+    assert got == {1: text, 3: "more", 4: "", 5: None}
+
+
+def test_copies_on_one_host_are_documents(spark):
+    own = " ".join(f"own{i}" for i in range(60))
+    rows = [(d, f"{own}\nfoot", "h") for d in range(150)] + [(500 + d, f"{own}\nfoot", "k") for d in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in line_frequency.quality_verdicts(docs).collect() if r.kept}
+    assert kept == {0} | {500 + d for d in range(100)}
+    assert {r.doc_id for r in line_frequency.keep_good(docs).collect()} == kept
+
+
+def test_ten_megabytes_in_one_text(spark):
+    """Removal is linear: 400 000 lines, half of them gone."""
+    lines = [f"line {i} " + "x" * 12 if i % 2 else "twice the same" for i in range(400_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines), "h")], "doc_id long, text string, source string")
+    got = unit_dedup.without_repeated_units(docs).first()
+    assert got.n_removed == 199_999 and len(got.text.split("\n")) == 200_001
+    got = line_runs.repeated_runs(docs, 3).first()
+    assert got.n_removed == 199_999 and got.text.count("twice") == 1
+    letters = str.maketrans("0123456789", "abcdefghij")
+    shared = [f"foot {i} of {i + 7}".translate(letters) for i in range(3000)]
+    own = [f"own {i} and {i + 3}".translate(letters) for i in range(150_000)]
+    texts = {i: "\n".join([*shared, *(f"{x} in {i}".translate(letters) for x in own[:3000])]) for i in range(101)}
+    texts[500] = "\n".join(x for k, line in enumerate(own) for x in ([line, shared[k // 50]] if k % 50 == 0 else [line]))
+    many = spark.createDataFrame([(i, t, "h") for i, t in texts.items()], docs.schema)
+    left = {r.doc_id: r.text for r in line_frequency.keep_good(many).collect()}
+    assert left[500] == "\n".join(own) and left[0] == texts[0] and len(left) == 102 and "foot" not in left[7]

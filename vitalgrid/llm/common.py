@@ -59,3 +59,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64("text")}
     )
+
+
+def without_numbers(text: Column, separator: str, numbers: str) -> Column:
+    """The text without its parts at the numbers of the named column (ascending, from 0, each once).
+
+    Linear in the text, however many parts go: the numbers become a mask of one byte a part.
+    """
+    gap = lambda n, i: F.repeat(F.lit("0"), n - F.coalesce(F.get(numbers, i - 1), F.lit(-1)) - 1)
+    mask = F.concat(F.array_join(F.transform(numbers, gap), "1"), F.lit("1")).cast("binary")
+    parts = F.split(text, separator)
+    kept = F.transform(
+        F.array(mask), lambda m: F.filter(parts, lambda part, i: F.substring(m, i + 1, 1) != F.lit(b"1"))
+    )
+    return F.array_join(F.get(kept, F.lit(0)), separator)

@@ -2,8 +2,8 @@
 
 Built-in functions only. Equal three-word windows, lines and texts are told by 64-bit hashes.
 
-Lines are normalised (outer blanks, case, digits), hashed, and counted in distinct documents per host; exact copies of
-a text count as one document. A line in more documents than the limit goes, except from the first document (lowest
+Lines are normalised (outer blanks, case, digits), hashed, and counted in distinct documents per host; copies of a text
+under other doc_ids are documents like any other. A line in more documents than the limit goes, except from the first document (lowest
 doc_id) of the host, so no content leaves the corpus altogether. A document left with too small a share of its
 characters is rejected.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import KEY, keyed, text_or_empty
+from vitalgrid.llm.common import KEY, keyed, text_or_empty, without_numbers
 from vitalgrid.session import materialize
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -78,10 +78,10 @@ def with_measures(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """Per row key: ``__lost`` characters in lines above the limit, and the hashes ``__lines`` of those lines.
+    """Per row key: ``__lost`` characters in lines above the limit, and the numbers ``__lines`` of those lines.
 
-    Counts go through distinct (host, line, text) rows first, so a line that a third of all documents share is summed
-    in parts before its group meets.
+    Counts go through distinct (host, line, document) rows first, so a line that a third of all documents share is
+    summed in parts before its group meets.
     """
     lines = keyed(docs).select(
         *KEY,
@@ -93,18 +93,18 @@ def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataF
         lines.select(*KEY, "at", "host", F.xxhash64("normal").alias("hash"), F.length("line").alias("chars")), "lines"
     )
     counts = (
-        lines.groupBy("host", "hash", "__h")
-        .agg(F.min("__id").alias("first"))
+        lines.select("host", "hash", *KEY)
+        .distinct()
         .groupBy("host", "hash")
-        .agg(F.count(F.lit(1)).alias("documents"), F.min("first").alias("first"))
+        .agg(F.count(F.lit(1)).alias("documents"), F.min("__id").alias("first"))
         .where(F.col("documents") > max_documents)
     )
     hits = lines.join(counts, ["host", "hash"]).where(F.col("__id") != F.col("first"))
     per_row = hits.groupBy(*KEY).agg(  # a set, for rows that are there twice
-        F.collect_set(F.struct("at", "chars")).alias("places"), F.collect_set("hash").alias("__lines")
+        F.array_sort(F.collect_set(F.struct("at", "chars"))).alias("places")
     )
     lost = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    return per_row.select(*KEY, lost.alias("__lost"), "__lines")
+    return per_row.select(*KEY, lost.alias("__lost"), F.transform("places", lambda x: x["at"]).alias("__lines"))
 
 
 def _kept(min_left: float) -> Column:
@@ -138,17 +138,16 @@ def quality_verdicts(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_le
 def keep_good(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
     """The kept documents with the columns given, their frequent lines taken out of ``text`` (and ``n_chars``).
 
-    Cases as in ``quality_verdicts``; names after two underscores are reserved.
+    Null, blank and empty texts have no words and go. Null host: a host of its own. Rows equal in doc_id and text are
+    one document and stay or go together. Empty table: no rows. Very long texts are split once into lines; other columns
+    are kept as they are, and names after two underscores are reserved.
     """
     verdicts = _judged(docs, max_documents).select(*KEY, _kept(min_left).alias("__kept"), "__lines")
     # written, since a condition on it would be worked out anew below every projection it passes
     verdicts = materialize(verdicts, "verdicts").where("__kept").dropDuplicates(KEY)
-    left = F.filter(
-        F.split("text", "\n"), lambda line: ~F.array_contains(F.col("__lines"), F.xxhash64(normal_line(line)))
-    )
     lost = F.col("__lines").isNotNull()
     out = keyed(docs).join(verdicts, KEY)
-    out = out.withColumn("text", F.when(lost, F.array_join(left, "\n")).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(lost, without_numbers(F.col("text"), "\n", "__lines")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.select(*docs.columns)

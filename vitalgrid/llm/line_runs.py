@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import KEY, keyed, text_or_empty
+from vitalgrid.llm.common import KEY, keyed, text_or_empty, without_numbers
 from vitalgrid.operators.ordering import running_totals
 from vitalgrid.session import materialize
 
@@ -84,7 +84,10 @@ def next_ranks(ranks: DataFrame, reach: int) -> DataFrame:
 
 
 def later_copies(ranks: DataFrame, ends: DataFrame, reach: int) -> DataFrame:
-    """Runs of reach .. 2 reach - 1 lines whose content occurred before: row key, start, length."""
+    """Runs of reach .. 2 reach - 1 lines whose content occurred before: row key, start, length.
+
+    An occurrence that overlaps its run's first one (lines repeated in a row) is no copy of it: the first stays whole.
+    """
     fits = lambda c: F.col(c).between(reach, 2 * reach - 1)
     ahead = ranks.where(fits("ahead")).select(*KEY, F.col("pos").alias("start"), F.col("ahead").alias("length"))
     back = ends.where(fits("back")).select(
@@ -99,7 +102,9 @@ def later_copies(ranks: DataFrame, ends: DataFrame, reach: int) -> DataFrame:
         runs = runs.withColumn("tail", F.col("head"))
     place = F.struct(*KEY, "start")
     first = runs.groupBy("length", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    again = runs.join(first.where("n > 1"), ["length", "head", "tail"]).where(place != F.col("first"))
+    again = runs.join(first.where("n > 1"), ["length", "head", "tail"])
+    same_row = (F.col("first.__id") == F.col("__id")) & (F.col("first.__h") == F.col("__h"))
+    again = again.where(~(same_row & (F.col("start") < F.col("first.start") + F.col("length"))))
     return again.select(*KEY, "start", "length")
 
 
@@ -115,25 +120,28 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         runs = runs.unionByName(materialize(later_copies(ranks, ends, reach), "runs"))
     places = runs.select(*KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))
     numbers = first.select(*KEY, "pos", "line").join(places.distinct(), [*KEY, "pos"])
-    return numbers.groupBy(*KEY).agg(F.collect_list("line").alias("__gone"))
+    return numbers.groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("__gone"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, keep_emptied: bool = True) -> DataFrame:
     """The documents without later copies of repeated line runs; ``n_chars`` follows the text where it is there.
 
     The order of occurrences is (doc_id, text hash, line); the first stays. Null text stays null, an empty one empty.
-    A document all of whose lines go keeps an empty text. Rows equal in doc_id and text are one document and get equal
-    results, a row each. Empty table: no rows. Other columns are kept as they are; names after two underscores are
-    reserved.
+    A document all of whose lines go keeps an empty text, or goes if ``keep_emptied`` is off; documents that came without
+    words stay either way. Rows equal in doc_id and text are one document and get equal results, a row each. Empty table:
+    no rows. A very long text is cut in linear time in one task. Other columns are kept as they are; names after two
+    underscores are reserved.
     """
-    return _cut(docs, min_words).select(*docs.columns)
+    cut = _cut(docs, min_words)
+    if not keep_emptied:
+        cut = cut.where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return cut.select(*docs.columns)
 
 
 def _cut(docs: DataFrame, min_words: int) -> DataFrame:
     joined = keyed(docs).join(deleted_lines(docs, min_words), KEY, "left")
     some = F.col("__gone").isNotNull()
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    out = joined.withColumn("text", F.when(some, F.array_join(left, "\n")).otherwise(F.col("text")))
+    out = joined.withColumn("text", F.when(some, without_numbers(F.col("text"), "\n", "__gone")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out

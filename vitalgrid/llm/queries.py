@@ -35,12 +35,6 @@ def op1_suffix_array_line_runs(spark, sf_dir):
 
 @query
 def op2_line_hash_dedup(spark, sf_dir):
-    # 16 words, as in its SQL
-    return without_repeated_units(table(spark, sf_dir, "documents"), min_words=16)
-
-
-@query
-def op2_every_line_hash_dedup(spark, sf_dir):
     return without_repeated_units(table(spark, sf_dir, "documents"))
 
 
@@ -112,7 +106,7 @@ WITH d AS (
   FROM (SELECT doc_id, t, host, unnest(l) AS line FROM d)
 ), often AS (
   SELECT host, normal, min(doc_id) AS first FROM lines WHERE normal <> ''
-  GROUP BY host, normal HAVING count(DISTINCT t) > 100
+  GROUP BY host, normal HAVING count(DISTINCT (doc_id, t)) > 100
 ), lost AS (
   SELECT doc_id, sum(length(line))::BIGINT AS lost FROM lines JOIN often USING (host, normal)
   WHERE doc_id <> first GROUP BY doc_id
@@ -185,9 +179,10 @@ WITH l AS (
   UNION
   SELECT b.doc_id, max(a.k) AS s, b.k AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.k
 ), named AS (
-  SELECT doc_id, s, e, row_number() OVER (PARTITION BY list_slice(xs, s, e) ORDER BY doc_id, s) AS nth FROM runs JOIN doc USING (doc_id)
+  SELECT doc_id, s, e, first_value(doc_id) OVER w AS d1, first_value(s) OVER w AS s1 FROM runs JOIN doc USING (doc_id)
+  WINDOW w AS (PARTITION BY list_slice(xs, s, e) ORDER BY doc_id, s)
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS k FROM named WHERE nth > 1
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS k FROM named WHERE doc_id <> d1 OR s > s1 + e - s
 )
 SELECT d.doc_id, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(r.text, '') AS text
 FROM documents d
@@ -200,24 +195,6 @@ LEFT JOIN (
 
 
 SQL["op2_line_hash_dedup"] = r"""
-WITH l AS (
-  SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
-), u AS (
-  SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS normal,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM l
-), r AS (
-  SELECT *, len(string_split(normal, ' ')) >= 16 AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, i) > 1 AS gone FROM u
-)
-SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY i) FILTER (gone), '') AS removed,
-  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
-FROM r GROUP BY doc_id
-"""
-
-
-SQL["op2_every_line_hash_dedup"] = r"""
 WITH l AS (
   SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import KEY, keyed, text_or_empty
+from vitalgrid.llm.common import KEY, keyed, text_or_empty, without_numbers
 from vitalgrid.session import materialize
 
 #: What parts units; each is a fixed string, so offsets follow from lengths.
@@ -51,7 +51,8 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 0) -> D
     first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = units.join(first, ["d1", "d2"]).where(place != F.col("first"))
     gone = F.sort_array(F.collect_list(F.struct("number", "start", "end")))
-    return again.groupBy(*KEY).agg(gone.alias("__gone"), F.collect_list("number").alias("__numbers"))
+    grouped = again.groupBy(*KEY).agg(gone.alias("__gone"))
+    return grouped.withColumn("__numbers", F.transform("__gone", lambda g: g["number"]))
 
 
 def without_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 0) -> DataFrame:
@@ -59,17 +60,16 @@ def without_repeated_units(docs: DataFrame, unit: str = "line", min_words: int =
 
     Every repeated unit goes; ``min_words`` leaves those with fewer words (between blanks) alone, and is off by default.
     Null text counts as empty. A document all of whose units go has an empty text. Rows equal in doc_id and text are
-    one document and get equal results, a row each. Empty table: no rows. Other columns are ignored, whatever their
-    names.
+    one document and get equal results, a row each. Empty table: no rows. A very long text is split and joined in
+    linear time in one task. Other columns are ignored, whatever their names.
     """
     separator = SEPARATORS[unit]
     joined = keyed(docs.select("doc_id", "text")).join(repeated_units(docs, unit, min_words), KEY, "left")
-    left = F.filter(F.split("text", separator), lambda u, i: ~F.array_contains("__numbers", i))
     spans = F.transform("__gone", lambda g: F.concat_ws(":", g["start"], g["end"]))
     some = F.col("__gone").isNotNull()
     return joined.select(
         "doc_id",
         F.when(some, F.size("__gone")).otherwise(0).cast("long").alias("n_removed"),
         F.when(some, F.array_join(spans, ",")).otherwise("").alias("removed"),
-        F.when(some, F.array_join(left, separator)).otherwise(text_or_empty()).alias("text"),
+        F.when(some, without_numbers(F.col("text"), separator, "__numbers")).otherwise(text_or_empty()).alias("text"),
     )
