@@ -16,7 +16,7 @@ from vitalgrid.llm.decontamination import without_leaks
 from vitalgrid.llm.line_frequency import keep_good
 from vitalgrid.llm.line_runs import without_repeats
 from vitalgrid.llm.packing import packed_documents
-from vitalgrid.session import materialize
+from vitalgrid.session import materialize, prepare
 
 ORACLE_SQL = None
 
@@ -26,6 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Documents without words (null and blank texts too) go. Equal rows stay or go together; no rows give no rows.
     """
+    prepare(spark)
     return keep_good(docs)
 
 
@@ -34,6 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null. Equal rows are one document; no rows give no rows.
     """
+    prepare(spark)
     return without_repeats(docs, keep_emptied=False)
 
 
@@ -42,16 +44,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are copies of nothing and stay. No rows give no rows.
     """
+    prepare(spark)
     return one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Null and blank texts stay; no rows, or no items, change nothing."""
+    prepare(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, whole documents cut freely. A null or blank text is its end id; no rows, no pieces."""
+    prepare(spark)
     return packed_documents(docs)
 
 

@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even when the split costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows of texts and vectors are large; a batch is held on both sides of the pipe to Python
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -75,7 +77,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives executor loss."""
+    """Write once to the shared folder and read back: cuts lineage, survives executor loss.
+
+    Zstandard: smaller than the default codec, and its buffers are on the heap, where the executor counts them.
+    """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
