@@ -107,3 +107,78 @@ def test_ten_megabytes_in_one_text(spark):
     many = spark.createDataFrame([(i, t, "h") for i, t in texts.items()], docs.schema)
     left = {r.doc_id: r.text for r in line_frequency.keep_good(many).collect()}
     assert left[500] == "\n".join(own) and left[0] == texts[0] and len(left) == 102 and "foot" not in left[7]
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_leak(item, words, s):
+    """Every place of the grid is tried with every item."""
+    n = len(item)
+    for middle in range(0, len(words) + 17, 16):
+        around = words[max(0, middle - 16 - n) : middle + 16 + n]
+        share = plain_common(item, around) / n
+        tail = item[-s.answer :]
+        if share >= s.same or (share >= s.close and sum(w in around for w in tail) >= s.answer_share * len(tail)):
+            return True
+    return False
+
+
+def test_leaks_are_exactly_those_of_trying_everything(spark):
+    """Planted items, from verbatim to hopeless, at the edge of the check; the latent search adds none of its own."""
+    r, s = random.Random(12), decontamination.Settings()
+    vocabulary = [f"v{i}" for i in range(300)]
+    shares = [1 / (i + 3) for i in range(300)]
+    items = [r.choices(vocabulary, shares, k=n) for n in (1, 2, 3, 4, 6, 9, 14, 20, 25, 31, 32, 33, 40, 55, 70)]
+    docs = []
+    for d in range(150):
+        words = r.choices(vocabulary, shares, k=r.randrange(0, 120))
+        if d % 2:
+            item = r.choice(items)
+            kept = [w if r.random() > (d % 7) / 10 else r.choice(vocabulary) for w in item]
+            at = r.randrange(len(words) + 1)
+            words[at:at] = kept
+        docs.append(words)
+    found = decontamination.benchmark_leaks(
+        spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"),
+    )
+    want = {(d, k) for d, words in enumerate(docs) for k, item in enumerate(items) if words and plain_leak(item, words, s)}
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == want and len(want) > 100
+
+
+def test_paraphrases_are_found_by_the_latent_search_alone(spark):
+    """Words of one concept are used alike. An item whose every second word is said otherwise is found through them."""
+    r = random.Random(5)
+    concept = lambda c: [f"c{c}w{i}" for i in range(4)]
+    docs = [(1000 + d, " ".join(w for c in r.sample(range(30), 4) for w in r.choices(concept(c), k=32))) for d in range(400)]
+    items = [(k, [concept(c)[0] for c in r.sample(range(30), 24)]) for k in range(6)]
+    for k, item in items:
+        docs.append((k, " ".join(w[:-1] + "1" if i % 2 else w for i, w in enumerate(item))))
+        docs.append((100 + k, " ".join(r.sample(item, 24))))  # the same words in another order are no leak
+    given = [
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"),
+    ]
+    settings = decontamination.Settings(rank=30, alike=3, cosine=0.9)
+    with_latent = {(x.doc_id, x.item_id) for x in decontamination.benchmark_leaks(*given, settings).collect()}
+    words_only = {(x.doc_id, x.item_id) for x in decontamination.benchmark_leaks(*given, decontamination.Settings(cosine=2.0)).collect()}
+    assert {(k, k) for k, _ in items} <= with_latent and not words_only & {(k, k) for k, _ in items}
+    assert not [d for d, _ in with_latent if d >= 1000]
+
+
+def test_a_bounded_sample_fits_the_space(spark):
+    docs = [(d, " ".join(f"w{(d * 7 + i) % 90}" for i in range(200))) for d in range(60)]
+    items = [(0, " ".join(docs[3][1].split()[40:70]))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [
+        sorted(x.doc_id for x in decontamination.benchmark_leaks(*frames, decontamination.Settings(fit=n)).collect())
+        for n in (1, 40, 1 << 19)
+    ]
+    assert got[0] == got[1] == got[2] and 3 in got[0]
