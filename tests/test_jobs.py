@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import random
 import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -10,8 +12,12 @@ from pyspark.sql import functions as F
 
 from vitalgrid.operators import models as md
 from vitalgrid.operators import retrieval as rt
+from vitalgrid.plans import streams
+from vitalgrid.plans.waves import rounded
 from vitalgrid.sources import files
-from vitalgrid.streaming import jobs
+from vitalgrid.streaming import jobs, state
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture()
@@ -109,14 +115,93 @@ def test_bm25_equals_brute_force_with_hot_terms(spark):
     assert [r["score"] for r in rows] == pytest.approx([s for _, s in want if s > 0])
 
 
-def test_bm25_pairs_do_not_shuffle(spark):
-    """Pair sums use the section partitioning: the exchange below the pair aggregate is on the section."""
-    df = spark.createDataFrame([(i, "the cat sat") for i in range(20)], "d bigint, t string")
-    posts = rt.postings(df, "d", "t")
-    q = spark.createDataFrame([(1, "the cat")], "q bigint, t string")
-    plan = rt.bm25(q, "q", "t", posts, rt.section_lengths(posts, "d"), "d", 3)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(__q" in plan and "hashpartitioning(__q#" in plan
-    assert not any("hashpartitioning(__q" in line and ", d#" in line for line in plan.splitlines())
+def test_bm25_is_exact_in_every_shard_layout(spark, monkeypatch):
+    from vitalgrid.operators import maxscore
+    from vitalgrid.plans import retrieval as plans
+
+    posts = rt.postings(plans.sections(spark, SF), "doc_id", "text").persist()
+    lengths, ask = rt.section_lengths(posts, "doc_id"), plans.questions(spark, SF)
+    weights = rt.term_weights(posts, rt.corpus_stats(lengths))
+    n, avgdl = rt.corpus_stats(lengths).first()
+    lists = maxscore.impacts(posts, lengths, weights, avgdl, "doc_id", rt.K1, rt.B)
+    count = ask.select("item_id", F.explode(rt.tx.search_tokens("question")).alias("term")).groupBy("item_id", "term").count()
+    direct = {}
+    for r in count.join(lists, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("count") * F.col("impact")).alias("s"), F.count(F.lit(1)).alias("c")).collect():
+        direct.setdefault(r["item_id"], []).append((-round(r["s"], 9), r["doc_id"], r["c"]))
+    for size in (1 << 16, 50):
+        monkeypatch.setattr(maxscore, "SHARD_SECTIONS", size)
+        got = rt.bm25(ask, "item_id", "question", posts, lengths, "doc_id", 12).collect()
+        for item, want in direct.items():
+            rows = sorted((r["rank"], r["doc_id"]) for r in got if r["item_id"] == item)
+            assert [d for _, d in rows] == [d for s, d, _ in sorted(want)[:12] if s < 0]
+
+
+def test_stop_rule_equals_all_lists():
+    from vitalgrid.operators.maxscore import Lists
+
+    r = np.random.default_rng(11)
+    for trial in range(60):
+        sections, impacts = [], []
+        for t in range(9):
+            keys = np.sort(r.choice(400, size=int(r.integers(1, 380 if t > 5 else 30)), replace=False))
+            sections.append(keys * 3)
+            impacts.append(np.round(r.random(len(keys)) * (0.2 if t > 5 else 4), 1 if trial % 2 else 6) - (0.3 if trial > 50 else 0))
+        lists = Lists([f"t{t}" for t in range(9)], sections, impacts)
+        query = [(f"t{t}", float(r.integers(1, 4))) for t in range(0, 10)]
+        want = {}
+        for (_, w), keys, i in zip(query, sections, impacts):
+            for key, x in zip(keys, i):
+                want[int(key)] = want.get(int(key), 0.0) + w * x
+        best = sorted(((-round(s, 9), d) for d, s in want.items() if s > 0))[:7]
+        found, scores, met = lists.best(query, 7)
+        assert [int(d) for d in found] == [d for _, d in best]
+        assert met <= 2 * sum(map(len, sections))
+
+
+def test_stop_rule_leaves_long_lists_unread():
+    """Frequent words weigh little: with word frequencies as in texts less than half of the postings are met."""
+    from vitalgrid.operators.maxscore import Lists
+
+    r, n = np.random.default_rng(3), 20000
+    df = np.sort((n * 0.6 / np.arange(1, 41) ** 1.3).astype(int))
+    sections = [np.sort(r.choice(n, size=max(5, d), replace=False)) for d in df]
+    impacts = [np.log((n - len(x) + 0.5) / (len(x) + 0.5)).clip(0.05) * r.uniform(0.5, 2.2, len(x)) for x in sections]
+    lists, total, met = Lists([f"t{t}" for t in range(40)], sections, impacts), 0, 0
+    for _ in range(20):
+        picked = r.choice(40, 20, replace=False)
+        _, _, looked = lists.best([(f"t{t}", 1.0) for t in picked], 10)
+        met += looked
+        total += sum(len(sections[t]) for t in picked)
+    assert met < total / 2, met / total
+
+
+@pytest.mark.parametrize("metric", ["cosine", "distance"])
+def test_pivot_join_equals_brute_force(spark, metric):
+    """Clusters, a third of all rows one vector, null vectors, ties at the cut; small shards."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 6)) * 8
+    v = np.vstack([centres[rng.integers(0, 12, 400)] + rng.normal(size=(400, 6)) * 0.3, np.tile(centres[0], (200, 1)), np.zeros((3, 6))])
+    v = np.round(v, 3)
+    q = np.vstack([v[rng.integers(0, 400, 40)] + rng.normal(size=(40, 6)) * 0.1, np.zeros((1, 6)), centres[:1]])
+    vd = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "__id bigint, __e array<double>").repartition(5)
+    qd = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "__q bigint, __v array<double>")
+    monkey = rt.pv.PIVOTS
+    rt.pv.PIVOTS = 20
+    try:
+        part = rt._by_pivots(qd, vd, 6, metric, 30).toPandas()
+        placed = rt.pv.placed(vd, rt.pv.choose(vd, metric), metric, 30)
+        assert placed.groupBy("shard").count().agg(F.max("count")).first()[0] <= 90
+        visits = rt.pv.visits(qd, rt.pv.choose(vd, metric), rt.pv.radii(placed), 6, metric).count()
+    finally:
+        rt.pv.PIVOTS = monkey
+    a, b = rt.pv.scaled(q, metric), rt.pv.scaled(v, metric)
+    for i in range(len(q)):
+        s = b @ a[i] if metric == "cosine" else -((b - a[i]) ** 2).sum(1)
+        want = sorted(zip(-s, range(len(v))))[:6]
+        got = sorted(zip(-part[part["__q"] == i]["similarity"], part[part["__q"] == i]["__id"]))[:6]
+        assert [round(x, 9) for x, _ in got] == [round(x, 9) for x, _ in want]
+    shards = placed.select("shard").distinct().count()
+    assert shards > 12 and (metric == "cosine" or visits < 0.6 * shards * len(q))
 
 
 # ------------------------------------------------------------ streams
@@ -151,15 +236,73 @@ def test_rows_behind_the_watermark_drop(spark, folder):
     assert (first["n"], first["hr_mean"]) == (1, 1.0)
 
 
-def test_keep_last_across_batches(spark, folder):
-    for lo in (0, 7, 14):
-        rows = [(1, t, f"m{t}") for t in range(lo, lo + 7)] + [(2, lo, "x")]
-        spark.createDataFrame(rows, "conv_id int, turn int, text string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    st = jobs.file_stream(spark, f"{folder}/in", "conv_id int, turn int, text string")
-    jobs.keep_last(st, f"{folder}/out", "conv_id", "turn", 10)
-    got = jobs.kept(spark, f"{folder}/out").toPandas()
-    assert sorted(got[got["conv_id"] == 1]["turn"]) == list(range(11, 21))
-    assert sorted(got[got["conv_id"] == 2]["turn"]) == [0, 7, 14]
+TURNS = "conv_id int, turn int, text string"
+
+
+def drain_newest(spark, folder, n=10, schema=TURNS, idle=None):
+    state.newest_rows(jobs.file_stream(spark, f"{folder}/in", schema, files_per_batch=None), f"{folder}/out", "conv_id", "turn", n, idle)
+    return sorted((tuple(r) for r in state.kept_rows(spark, f"{folder}/out").collect()), key=str)
+
+
+def test_newest_rows_across_restarts(spark, folder):
+    """Arrivals out of order, repeated and tied; a restart after each equals the batch result."""
+    r, seen = random.Random(7), []
+    for step in range(3):
+        rows = [(r.randrange(5) if step < 2 else r.randrange(7), r.randrange(40), f"t{r.randrange(3)}") for _ in range(60)]
+        rows += [(1, None, "no turn"), (2, 39, None)]
+        seen += rows
+        spark.createDataFrame(rows, TURNS).repartition(3).write.mode("append").parquet(f"{folder}/in")
+        got = drain_newest(spark, folder, 6)
+    want = []
+    for c in {x[0] for x in seen}:
+        own = [x for x in seen if x[0] == c]
+        own.sort(key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or ""), reverse=True)
+        want += own[:6]
+    assert got == sorted(want, key=str) and len(got) > 30
+
+
+def test_a_conversation_of_a_million_turns_keeps_ten(spark, folder):
+    rows = spark.range(1_000_000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("x").alias("text"))
+    rows.unionByName(rows.limit(3).withColumn("conv_id", F.lit(2))).write.parquet(f"{folder}/in")
+    got = drain_newest(spark, folder)
+    assert sorted(x[:2] for x in got if x[0] == 1) == [(1, 999_990 + i) for i in range(10)] and sum(x[0] == 2 for x in got) == 3
+
+
+def test_idle_conversations_are_forgotten(spark, folder):
+    schema, idle = "conv_id int, turn int, at timestamp", state.Idle("at", 3600)
+    at = lambda hour: dt.datetime(2024, 1, 1, hour)
+    for rows, left in (
+        ([(1, 1, at(1)), (2, 1, at(1))], [1, 2]),
+        ([(2, 2, at(3)), (3, 1, at(3))], [2, 2, 3]),  # conversation 1 was silent for two hours
+        ([(3, 2, at(9)), (1, 9, at(2))], [3, 3]),  # a late row of 1 drops
+    ):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{folder}/in")
+        got = [x[0] for x in drain_newest(spark, folder, 10, schema, idle)]
+        assert got == left, got
+
+
+def test_streamed_intervals_equal_the_batch(spark):
+    """Rows of the stream, drained in three parts cut inside intervals, next to the same features of whole tables."""
+    got = streams.streamed_window_scores(spark, SF)
+    samples = streams.interval_samples(spark, SF).withColumn("interval", F.floor(F.col("sample_idx") / streams.INTERVAL))
+    whole = samples.join(samples.groupBy("subject", "interval").count().where(F.col("count") == streams.INTERVAL), ["subject", "interval"])
+    want = rounded(streams.interval_scores(whole, streams.interval_model(spark, SF))).select(*got.columns)
+    got, want = (sorted(tuple(r) for r in x.collect()) for x in (got, want))
+    assert got == want and len(got) > 100 and len({r[3] for r in got}) > 1
+
+
+def test_intervals_wait_for_their_samples(spark, folder):
+    """Late, repeated and missing samples: an interval comes once, in order, when it is complete."""
+    schema = "subject int, sample_idx long, bvp double"
+    out = f"{folder}/out"
+    steps = [[(1, i) for i in (0, 1, 3, 7, 6)], [(1, 2), (1, 2), (1, 0), (2, 5)], [(1, 5), (1, 4), (2, 4), (2, 7), (2, 6)]]
+    for rows in steps:
+        spark.createDataFrame([(s, i, float(i)) for s, i in rows], schema).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.file_stream(spark, f"{folder}/in", schema, files_per_batch=None)
+        state.score_intervals(stream, out, "subject", "sample_idx", 4, lambda part: part)
+    got = [(r.subject, r.interval, r.sample_idx, r.bvp) for r in state.scored(spark, out).collect()]
+    # the repeated sample 0 of a closed interval opens one that never completes
+    assert sorted(got) == [(1, 0, i, float(i)) for i in range(4)] + [(1, 1, i, float(i)) for i in range(4, 8)] + [(2, 1, i, float(i)) for i in range(4, 8)]
 
 
 def test_feedback_log_tail(spark, folder):

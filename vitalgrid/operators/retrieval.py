@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import phrases as ph
 from vitalgrid.functions import text as tx
+from vitalgrid.operators import maxscore
+from vitalgrid.operators import pivots as pv
 from vitalgrid.operators.ordering import with_scalars
 from vitalgrid.session import materialize
 
@@ -63,29 +66,35 @@ def write_index(posts: DataFrame, path: str, key: str) -> None:
 
 
 def bm25(queries: DataFrame, qkey: str, qtext: str, posts: DataFrame, lengths: DataFrame, key: str, k: int) -> DataFrame:
-    """Top-k sections per query, positive scores only, ranked from 1.
+    """Top-k sections per query, positive scores only, ranked from 1; ``key`` and ``qkey`` are whole numbers.
 
-    Postings of the queried terms move once, by section. Pairs of query and section then exist only
-    inside a task: they are summed there, and only k per query and task go on.
+    Postings of the queried terms move once, as impacts, to shards of sections; a shard leaves long lists unread where
+    they cannot change the best k (``operators.maxscore``) and sends k rows a query on.
     """
+    scored = scored_sections(queries, qkey, qtext, posts, lengths, key, k)
+    top = Window.partitionBy(qkey).orderBy(F.round("score", 9).desc(), key)
+    ranked = scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return ranked.select(qkey, key, "score", "rank")
+
+
+def scored_sections(queries: DataFrame, qkey: str, qtext: str, posts: DataFrame, lengths: DataFrame, key: str, k: int) -> DataFrame:
+    """The k best sections of every shard per query, with ``met``: the postings and sections looked at there."""
     stats = corpus_stats(lengths)
-    weights = term_weights(posts, stats)
     terms = (
-        queries.select(F.col(qkey).alias("__q"), F.explode(tx.search_tokens(qtext)).alias("term"))
+        queries.select(F.col(qkey).cast("long").alias("__q"), F.explode(tx.search_tokens(qtext)).alias("term"))
         .groupBy("__q", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
+        .agg(F.count(F.lit(1)).alias("w"))
     )
-    # written once: the size checks and both joins below read it
-    terms = materialize(terms.join(weights, "term").select("__q", "term", (F.col("qtf") * F.col("idf")).alias("w")), "query_terms")
+    terms = materialize(terms, "query_terms")
     wanted = broadcast_if_small(terms.select("term").distinct())
-    near = posts.join(wanted, "term", "left_semi").repartition(key)
-    near = with_scalars(near.join(lengths, key), stats.select("avgdl"))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    near = near.select(key, "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("s"))
-    scores = near.join(broadcast_if_small(terms), "term").groupBy("__q", key).agg(F.sum(F.col("w") * F.col("s")).alias("score"))
-    top = Window.partitionBy("__q").orderBy(F.round("score", 9).desc(), key)
-    ranked = scores.withColumn("rank", F.row_number().over(top)).where((F.col("rank") <= k) & (F.col("score") > 0))
-    return ranked.withColumnRenamed("__q", qkey)
+    weights = materialize(term_weights(posts, stats).join(wanted, "term", "left_semi"), "query_weights")
+    n_sections, avgdl = stats.first()
+    n_queries = terms.agg(F.count_distinct("__q")).first()[0]
+    if not n_sections or not n_queries:
+        return terms.select(F.col("__q").alias(qkey), F.col("__q").alias(key), F.lit(0.0).alias("score"), F.col("w").alias("met")).limit(0)
+    lists = maxscore.impacts(posts, lengths, broadcast_if_small(weights), avgdl, key, K1, B)
+    found = maxscore.best_sections(terms, lists, n_sections, n_queries, key, k)
+    return found.select(F.col("__q").alias(qkey), F.col("__section").alias(key), "score", "met")
 
 
 # ------------------------------------------------------------ nearest vectors
@@ -105,16 +114,17 @@ def _similarity(q, vecs, metric):
 
 
 def _keep_best(qids, q, ids, vecs, k, best, metric):
-    """Merge one batch of vectors into the k best (similarity, id) of each query."""
+    """Merge one batch of vectors into the k best (similarity, id) of each query; equal ones by id."""
     sims = _similarity(q, vecs, metric)
+    ids = np.asarray(ids)
     take = min(k, sims.shape[1])
     for i in range(len(qids)):
         s = sims[i]
         cut = np.partition(s, len(s) - take)[len(s) - take]
         where = np.flatnonzero(s >= cut)
-        cand = best[i] + [(-float(s[j]), int(ids[j])) for j in where]
-        cand.sort()
-        best[i] = cand[:k]
+        if len(where) > take:
+            where = where[np.lexsort((ids[where], -s[where]))[:take]]
+        best[i] = sorted(best[i] + [(-float(s[j]), int(ids[j])) for j in where])[:k]
 
 
 def _frame(qids, best):
@@ -131,7 +141,7 @@ def nearest(
     """Exact top-k per query by cosine or distance, ranked from 1.
 
     Vectors stay where they are: each task keeps k candidates per query and only those move. More
-    queries than one block holds are hashed into blocks that meet shards of the vectors.
+    queries than one block holds meet the shards of vectors that can hold a neighbour.
     """
     q = queries.select(F.col(qkey).cast("bigint").alias("__q"), F.col(qvec).alias("__v"))
     v = vectors.select(F.col(key).cast("bigint").alias("__id"), F.col(vec).alias("__e"))
@@ -152,34 +162,28 @@ def nearest(
 
             part = v.mapInPandas(scan, _PARTIAL)
     else:
-        part = _blocked(q, v, k, metric, block)
+        part = _by_pivots(q, v, k, metric)
     w = Window.partitionBy("__q").orderBy(F.col("similarity").desc(), "__id")
     ranked = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("__q").alias(qkey), F.col("__id").alias(key), "similarity", "rank")
 
 
-def _blocked(q: DataFrame, v: DataFrame, k: int, metric: str, block: int, shard: int = SHARD_ROWS) -> DataFrame:
-    """Query blocks meet vector shards; both group sizes are bounded by construction."""
-    blocks = max(1, -(-q.count() * 2 // block))
-    shards = max(1, -(-v.count() * 2 // shard))
-    qs = q.withColumn("b", F.pmod(F.xxhash64("__q"), F.lit(blocks))).withColumn(
-        "s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-    vs = v.withColumn("s", F.pmod(F.xxhash64("__id"), F.lit(shards)).cast("int")).withColumn(
-        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    )
+def _by_pivots(q: DataFrame, v: DataFrame, k: int, metric: str, shard: int = SHARD_ROWS) -> DataFrame:
+    """Queries meet only the shards that can hold one of their k nearest, by the triangle inequality.
+
+    Vectors go to the cell of their nearest pivot (a bounded number of vectors, the first by hash), large cells in
+    several shards, in order of their distance to the pivot. Shards move once. Each leaves a row of its radii: with the
+    pivots these bound from above the distance of a query's k-th neighbour, and from below that of any vector of a
+    shard, so most shards, and inside a shard most vectors, are never compared. Cosines go by distances of unit vectors.
+    """
+    pivots = pv.choose(v, metric)
+    placed = pv.placed(v, pivots, metric, shard)
+    visits = pv.visits(q, pivots, pv.radii(placed), k, metric)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pv.compared(left, right, k, metric)
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        qids = left["__q"].tolist()
-        best = [[] for _ in qids]
-        if qids and len(right):
-            q_mat = np.stack(left["__v"].to_numpy()).astype(float)
-            for lo in range(0, len(right), 4096):
-                part = right.iloc[lo : lo + 4096]
-                _keep_best(qids, q_mat, part["__id"].to_numpy(), np.stack(part["__e"].to_numpy()), k, best, metric)
-        return _frame(qids, best)
-
-    return qs.groupBy("b", "s").cogroup(vs.groupBy("b", "s")).applyInPandas(meet, _PARTIAL)
+    return placed.groupBy("shard").cogroup(visits.groupBy("shard")).applyInArrow(meet, _PARTIAL)
 
 
 def parents_of(children: DataFrame, links: DataFrame, sections: DataFrame, qkey: str, child: str, parent: str) -> DataFrame:

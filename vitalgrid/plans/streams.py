@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from vitalgrid.operators import models as md
+from vitalgrid.operators.epochs import EPOCH_SECONDS
+from vitalgrid.operators.ordering import row_index, value_bucket
 from vitalgrid.operators.textops import message_key
+from vitalgrid.plans.epochs import epoched, stage_code
 from vitalgrid.plans.messages import CRISIS_SQL, KEYS, LANG_SQL, MESSAGES_SQL, SOFT_SQL, TRIVIAL_SQL, messages
 from vitalgrid.plans.registry import query
+from vitalgrid.plans.signals import STRESS_FEATURES, stress_features
 from vitalgrid.plans.tables import FEEDBACK_SQL, feedback_lines
 from vitalgrid.plans.waves import rounded
+from vitalgrid.session import materialize
 from vitalgrid.sources import tables as src
 from vitalgrid.sources.tables import SEGMENTS_SQL
 from vitalgrid.streaming import jobs
+from vitalgrid.streaming import state as st
 
 CUTS = ("2024-01-11", "2024-01-21")
 
 
-def staged_segments(spark, d):
-    """Segments as files arriving in time order, read back as a stream."""
+def drained_segments(spark, d, build, out):
+    """Segments arrive in time order, in three slices; the stream is drained, and so started anew, after each."""
     path = jobs.stream_dir(spark, "segments")
     seg = src.segments(spark, d)
     a, b = (F.lit(c).cast("timestamp") for c in CUTS)
     t = F.col("seg_time")
-    jobs.staged_slices(seg, path, [t < a, (t >= a) & (t < b), t >= b])
-    return jobs.file_stream(spark, path, seg.schema)
+    drain = lambda: jobs.run_available(build(jobs.file_stream(spark, path, seg.schema, files_per_batch=None)), out, "update")
+    jobs.arrivals(seg, path, [t < a, (t >= a) & (t < b), t >= b], drain)
 
 
 @query(
@@ -36,25 +40,51 @@ def staged_segments(spark, d):
 )
 def streamed_feature_windows(spark, d):
     out = jobs.stream_dir(spark, "windows")
-    agg = jobs.feature_windows(staged_segments(spark, d), "subject", "seg_time", ["hr", "steps"], names={"hr_mean": "HR_mean", "hr_std": "HR_std"})
-    jobs.run_available(agg, out, "update")
+    names = {"hr_mean": "HR_mean", "hr_std": "HR_std"}
+    drained_segments(spark, d, lambda seg: jobs.feature_windows(seg, "subject", "seg_time", ["hr", "steps"], names=names), out)
     t = jobs.latest_per_key(spark, out, ["subject", "window_start"])
     return rounded(t.withColumn("start_us", F.unix_micros("window_start")).drop("window_start"))
 
 
-@query("streamed_window_scores", "K2 M18")
+INTERVAL = EPOCH_SECONDS  # samples, at one a second
+
+
+def interval_scores(samples, model):
+    """Eleven features and the model's class of every interval of samples (subject, interval, sample_idx, code, bvp).
+
+    Streams and tables of samples go through the same expressions.
+    """
+    pos = F.pmod("sample_idx", F.lit(INTERVAL))
+    epochs = samples.withColumnRenamed("interval", "epoch_idx").withColumns({"pos": pos, "stage": F.when(pos == 0, F.col("code"))})
+    scored = model.transform(md.assembler(STRESS_FEATURES).transform(stress_features(epochs)))
+    return scored.select("subject", "epoch_idx", "stage", F.col("prediction").cast("int").alias("predicted"), *STRESS_FEATURES)
+
+
+def interval_samples(spark, d):
+    """Numbered samples of each recording: subject, sample_idx, code (the sample's stage), bvp."""
+    order = [F.col(c) for c in src.SAMPLE_ORDER]
+    rows = row_index(src.samples(spark, d), ["subject"], value_bucket("l_orderkey", 4096), order, "sample_idx")
+    return rows.select("subject", "sample_idx", stage_code(F.col("stage_name")).alias("code"), "bvp")
+
+
+def interval_model(spark, d):
+    """A tree of depth 10 that tells sleep stages from the eleven features, fitted on four subjects of five."""
+    t = materialize(stress_features(epoched(spark, d)), "stages").where(F.pmod("subject", F.lit(5)) != 0)
+    return md.tree_classifier("stage").fit(md.assembler(STRESS_FEATURES).transform(t))
+
+
+@query("streamed_window_scores", "K2 M18 G15")
 def streamed_window_scores(spark, d):
-    seg = src.segments(spark, d)
-    metrics = ["hr", "steps"]
-    cols = ["hr_mean", "steps_mean"]
-    train = jobs.feature_windows(seg, "subject", "seg_time", metrics, "30 seconds").na.fill(0.0)
-    train = train.withColumn("label", (F.col("hr_mean") > 60).cast("double"))
-    tree = DecisionTreeClassifier(maxDepth=3, labelCol="label", featuresCol="features")
-    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), tree]).fit(train)
-    out = jobs.stream_dir(spark, "scores")
-    jobs.run_available(jobs.scored_windows(staged_segments(spark, d), model, "subject", "seg_time", metrics), out, "update")
-    t = jobs.latest_per_key(spark, out, ["subject", "window_start"])
-    return t.groupBy("subject", "prediction").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows"))
+    model, samples = interval_model(spark, d), materialize(interval_samples(spark, d), "samples")
+    path, out = jobs.stream_dir(spark, "samples"), jobs.stream_dir(spark, "scores")
+
+    def drain():
+        stream = jobs.file_stream(spark, path, samples.schema, files_per_batch=None)
+        st.score_intervals(stream, out, "subject", "sample_idx", INTERVAL, lambda part: interval_scores(part, model))
+
+    i = F.col("sample_idx")  # the cuts fall inside intervals
+    jobs.arrivals(samples, path, [i < 215, (i >= 215) & (i < 430), i >= 430], drain)
+    return rounded(st.scored(spark, out))
 
 
 @query(
@@ -111,6 +141,6 @@ def streamed_moderation(spark, d):
 def streamed_last_messages(spark, d):
     m = messages(spark, d).select("conv_id", "turn", "role", "text")
     path, out = jobs.stream_dir(spark, "turns"), jobs.stream_dir(spark, "last")
-    jobs.staged_slices(m, path, [F.col("turn") < 3, (F.col("turn") >= 3) & (F.col("turn") < 6), F.col("turn") >= 6])
-    jobs.keep_last(jobs.file_stream(spark, path, m.schema), out, "conv_id", "turn", 5)
-    return jobs.kept(spark, out).select("conv_id", "turn", "role")
+    drain = lambda: st.newest_rows(jobs.file_stream(spark, path, m.schema, files_per_batch=None), out, "conv_id", "turn", 5)
+    jobs.arrivals(m, path, [F.col("turn") < 3, (F.col("turn") >= 3) & (F.col("turn") < 6), F.col("turn") >= 6], drain)
+    return st.kept_rows(spark, out).select("conv_id", "turn", "role")

@@ -1,14 +1,15 @@
 """Structured Streaming jobs: windowed features, scoring, log tails, dedupe, moderation, bounded state.
 
 Every job writes through ``foreachBatch`` into a folder per micro-batch, so a replayed batch
-overwrites its own output and a lost executor only costs a retry.
+overwrites its own output and a lost executor only costs a retry. State per key lives in the state
+store (``streaming.state``): no table is rewritten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import text as tx
@@ -16,8 +17,12 @@ from vitalgrid.session import scratch_dir
 from vitalgrid.sources.files import parse_feedback
 
 
-def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = 1) -> DataFrame:
+    """Files of a folder as they arrive, some per batch; with no number, all that arrived since the last trigger."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def run_available(stream: DataFrame, out: str, mode: str = "append", write: Callable | None = None) -> None:
@@ -63,9 +68,13 @@ def feature_windows(
     )
 
 
-def scored_windows(stream: DataFrame, model, key: str, ts: str, metrics: Sequence[str], length: str = "30 seconds") -> DataFrame:
-    """Window features with the model's prediction."""
-    return model.transform(feature_windows(stream, key, ts, metrics, length).na.fill(0.0)).drop("features", "rawPrediction", "probability")
+def scored_batches(out: str, score: Callable[[DataFrame], DataFrame]) -> Callable:
+    """For ``run_available``: every micro-batch is scored as a whole and written to its own folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
+
+    return write
 
 
 def rescored_feedback(lines: DataFrame) -> DataFrame:
@@ -91,35 +100,11 @@ def moderated(stream: DataFrame) -> DataFrame:
     )
 
 
-def keep_last(stream: DataFrame, out: str, key: str, order: str, n: int = 10) -> None:
-    """Keep the newest n rows per key across micro-batches.
-
-    State is a versioned table: old state and new rows meet in a top-n window, whose limit is applied
-    before the shuffle, so a key that fills a batch sends only n rows per task.
-    """
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{out}/state/v{batch_id - 1}"))
-        w = Window.partitionBy(key).orderBy(F.col(order).desc())
-        top = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
-        top.write.mode("overwrite").parquet(f"{out}/state/v{batch_id}")
-        spark.range(1).select(F.lit(batch_id).alias("version")).write.mode("overwrite").parquet(f"{out}/head")
-
-    run_available(stream, out, "append", merge)
-
-
-def kept(spark: SparkSession, out: str) -> DataFrame:
-    version = spark.read.parquet(f"{out}/head").first()["version"]
-    return spark.read.parquet(f"{out}/state/v{version}")
-
-
-def staged_slices(df: DataFrame, path: str, conditions: Sequence) -> None:
-    """Write the slices of a table one after another, as files arriving in order."""
+def arrivals(df: DataFrame, path: str, conditions: Sequence, drain: Callable[[], None]) -> None:
+    """Write the slices of a table one after another and drain the stream after each: every drain is a restart."""
     for cond in conditions:
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+        df.where(cond).write.mode("append").parquet(path)
+        drain()
 
 
 def stream_dir(spark: SparkSession, label: str) -> str:
