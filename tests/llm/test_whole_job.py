@@ -1,8 +1,12 @@
 """Cases a cut of the job would miss."""
 
+import collections
+import math
 import random
 import re
 
+import regex
+
 from vitalgrid.llm import decontamination, disclosure, line_frequency, line_runs, unit_dedup
 
 
@@ -182,3 +186,74 @@ def test_a_bounded_sample_fits_the_space(spark):
         for n in (1, 40, 1 << 19)
     ]
     assert got[0] == got[1] == got[2] and 3 in got[0]
+
+
+def plain_terms(rows, threshold=0.8):
+    """doc_id -> term spans, from the rule as it is written, for e-mail addresses."""
+    word, mail = regex.compile(r"\p{L}[\p{L}\p{N}]*"), re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    rows = sorted(set(rows))
+    lines = [set(word.findall(x.lower())) for _, t in rows for x in t.split("\n")]
+    n = sum(1 for x in lines if x)
+    d_t = collections.Counter(w for x in lines for w in x)
+    met = {}
+    for row in rows:
+        text = row[1]
+        spans = [(m.start(), m.end()) for m in mail.finditer(text)]
+        for a, b in spans:
+            left, right = text[max(0, a - 200) : a], text[b : b + 200]
+            left = re.sub(r"\A\S+", "", left) if len(left) == 200 else left
+            right = re.sub(r"\S+\Z", "", right) if len(right) == 200 else right
+            words = [(m.start() + a - len(left), m.end() + a - len(left), m[0].lower()) for m in word.finditer(left)]
+            words += [(m.start() + b, m.end() + b, m[0].lower()) for m in word.finditer(right)]
+            words = [w for w in words if not any(x < w[1] and w[0] < y for x, y in spans)]
+            met.setdefault(text[a:b].lower(), []).append((row, (left, right), words))
+    out, alone = {}, set()
+    for places in met.values():
+        d_e, contexts = len(places), len({c for _, c, _ in places})
+        for t in {w for _, _, ws in places for _, _, w in ws}:
+            having = [(row, c, ws) for row, c, ws in places if any(w == t for _, _, w in ws)]
+            enough = len({c for _, c, _ in having}) >= min(2, contexts) and n > d_e
+            ic = math.log2(n / d_e)
+            if enough and math.log2(n * min(len(having), d_t[t]) / (d_t[t] * d_e)) >= threshold * ic - 1e-9:
+                for row, _, ws in having:
+                    out.setdefault(row, set()).update((x, y) for x, y, w in ws if w == t)
+                if 2 * len(having) >= d_t[t]:
+                    alone.add(t)
+    for row in rows:
+        spans = [(m.start(), m.end()) for m in mail.finditer(row[1])]
+        for m in word.finditer(row[1]):
+            if m[0].lower() in alone and not any(x < m.end() and m.start() < y for x, y in spans):
+                out.setdefault(row, set()).add((m.start(), m.end()))
+    return out
+
+
+def test_terms_equal_the_plain_rule(spark):
+    r = random.Random(31)
+    common = [f"w{i}" for i in range(40)]
+    people = [(f"Zork{i} Müller{i}", f"p{i}@x{i % 3}.org") for i in range(12)]
+    rows = []
+    for d in range(120):
+        parts = [" ".join(r.choices(common, k=r.randrange(1, 9))) for _ in range(r.randrange(1, 7))]
+        if d % 2:
+            name, address = r.choice(people)
+            at = r.randrange(len(parts) + 1)
+            parts[at:at] = [f"ask {name if r.random() < 0.8 else 'them'}", f"{address} {r.choice(common)}"][:: r.choice((1, -1))]
+        rows.append((d, "\n".join(parts)))
+    rows += [(200, "Reach Zyx Quux\nunder z.y@q.org\n"), (201, "no address, only ZORK3 here"), (1, rows[1][1]), (1, rows[1][1])]
+    rows += [(202, "w1 " * 150 + "near n.n@far.org " + "w2 " * 150)]
+    want = plain_terms(rows)
+    got = {}
+    for x in disclosure.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        terms = {tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("term")}
+        got.setdefault(x.doc_id, []).append(terms)
+    for row in set(rows):
+        assert all(t == want.get(row, set()) for t in got[row[0]]), row
+    assert {"Zyx", "Quux"} <= {rows[120][1][a:b] for a, b in got[200][0]} and sum(map(len, want.values())) > 60
+
+
+def test_twenty_thousand_addresses_in_one_text(spark):
+    text = " ".join(f"a{i}@b{i % 7}.org" for i in range(20_000))
+    got = disclosure.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_email == 20_000
+    spans = [tuple(map(int, s.split(":")[1:])) for s in got.spans.split(",") if s.startswith("email")]
+    assert all(text[a:b] == f"a{i}@b{i % 7}.org" for i, (a, b) in enumerate(spans))

@@ -6,9 +6,11 @@ occurrences of entity e and d(t, e) of these with t near by, the information tha
 
     PMI(t; e) = log2( N d(t, e) / (d(t) d(e)) ),  out of  IC(e) = log2( N / d(e) )
 
-and t discloses e when PMI / IC reaches the threshold, on the evidence of at least two different contexts, so that
-copies of one text are no evidence. A disclosing term is found wherever it occurs in the corpus. A term that never
-occurs without its entity is removed from the text, other disclosing terms are generalised to a tag.
+and t discloses e when PMI / IC reaches the threshold. An entity met in several contexts needs a term in two of them at
+least, so that copies of one text are no evidence; an entity met in one context has its rare words there, as they point
+at nothing else. A disclosing term goes wherever it stands near its entity; where at least half of its lines do so, it
+gives the entity away by itself and goes everywhere in the corpus. A term that never occurs without its entity is
+removed from the text, other disclosing terms are generalised to a tag.
 """
 
 from __future__ import annotations
@@ -32,17 +34,32 @@ HINTS = {"email": r"@[A-Za-z0-9]|@-", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}[\p{L}\p{N}]*+"
 
-#: Share of an entity's information a term must carry to disclose it; contexts asked for; characters looked at on
-#: either side of an entity, within its line.
+#: Share of an entity's information a term must carry to disclose it; contexts asked for, where an entity has them;
+#: characters of the passage on either side of an entity, across lines.
 THRESHOLD = 0.8
 MIN_CONTEXTS = 2
-REACH = 80
+REACH = 200
+#: Matches summed up in one go; code points of a text's chunks and cells; spans on either side that can touch a passage.
+CHUNK = 256
+CUT = 4096
+CELL = 64
+AROUND = 4 * (REACH // 5 + 1)
+#: Rows of a few longs that a join may broadcast.
+BROADCAST_ROWS = 500_000
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find_all(text: Column, pattern: str) -> Column:
-    """Leftmost matches with code-point offsets: lengths of the matches and of the gaps between them, summed up."""
+    """Leftmost matches with code-point offsets: lengths of the matches and of the gaps between them, summed up.
+
+    Sums go by chunks of matches, then over the chunks, so that a text with very many matches stays cheap.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("v")))
@@ -53,7 +70,24 @@ def find_all(text: Column, pattern: str) -> Column:
         span = F.struct(first.alias("start"), (first + x["m"]).alias("end"), x["v"].alias("value"))
         return F.struct((first + x["m"]).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(pairs, start, add, lambda a: a["out"])
+    def chunked(all_pairs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_pairs), F.lit(CHUNK))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(all_pairs, i, F.lit(CHUNK)), start, add))
+
+    def joined(chunks: Column) -> Column:
+        totals = F.aggregate(
+            chunks,
+            F.array(F.lit(0)),
+            lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c["at"])),
+        )
+        moved = lambda c, by: F.transform(
+            c["out"],
+            lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")),
+        )
+        return _once(totals, lambda t: F.flatten(F.transform(chunks, lambda c, i: moved(c, F.get(t, i)))))
+
+    some = _once(pairs, lambda p: F.when(F.size(p) > 0, _once(chunked(p), joined)))
+    return F.coalesce(some, F.array().cast(SPAN))
 
 
 def _digits(value: Column) -> Column:
@@ -87,44 +121,81 @@ def entity_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(SPAN))
 
 
+def _cut(chunks: Column, start: Column, length: Column) -> Column:
+    """Part of a text from its chunks of CUT code points; only two chunks are looked at."""
+    at = F.floor(start / CUT).cast("int")
+    two = F.concat(F.coalesce(F.get(chunks, at), F.lit("")), F.coalesce(F.get(chunks, at + 1), F.lit("")))
+    return F.substring(two, start - at * CUT + 1, length)
+
+
 def with_entities(docs: DataFrame) -> DataFrame:
-    """Adds ``__email`` ... ``__phone``, and ``__near``: per entity its value and its context left and right."""
+    """Adds ``__email`` ... ``__phone``, and ``__near``: per entity its value, its passage left and right, and the spans
+    around it."""
     out = docs.withColumn("__t", text_or_empty())
     out = out.withColumns({f"__{k}": entity_spans(F.col("__t"), k) for k in PATTERNS})
-
-    def context(s: Column) -> Column:
-        first = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substring_index(F.substring("__t", first + 1, s["start"] - first), "\n", -1)
-        right = F.substring_index(F.substring("__t", s["end"] + 1, F.lit(REACH)), "\n", 1)
-        # a word cut by the window's edge does not count
-        left = F.when(F.length(left) == REACH, F.regexp_replace(left, r"\A\S+", "")).otherwise(left)
-        right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\S+\z", "")).otherwise(right)
-        return F.struct(
-            F.lower(s["value"]).alias("entity"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            left.alias("left"),
-            right.alias("right"),
-        )
-
-    spans = F.concat(*[F.col(f"__{k}") for k in PATTERNS])
-    return out.withColumn("__near", F.transform(spans, context)).drop("__t")
-
-
-def _line_counts(docs: DataFrame) -> DataFrame:
-    """Lines that hold each term (by hash), and under the hash null the number of lines with any term."""
-    lines = docs.select(F.explode(F.split(F.lower(text_or_empty()), "\n")).alias("line"))
+    spans = F.array_sort(F.concat(*[F.col(f"__{k}") for k in PATTERNS]))
+
+    def contexts(x: Column) -> Column:
+        def context(s: Column, i: Column) -> Column:
+            first = F.greatest(s["start"] - REACH, F.lit(0))
+            left = _cut(x["chunks"], first, s["start"] - first)
+            right = _cut(x["chunks"], s["end"], F.lit(REACH))
+            # a word cut by the window's edge does not count
+            left = F.when(F.length(left) == REACH, F.regexp_replace(left, r"\A\S+", "")).otherwise(left)
+            right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\S+\z", "")).otherwise(right)
+            around = F.slice(x["spans"], F.greatest(i + 1 - AROUND, F.lit(1)), F.lit(2 * AROUND + 1))
+            return F.struct(
+                F.lower(s["value"]).alias("entity"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                left.alias("left"),
+                right.alias("right"),
+                F.transform(around, lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end"))).alias("base"),
+            )
+
+        return F.transform(x["spans"], context)
+
+    chunks = F.regexp_extract_all("__t", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    given = F.struct(spans.alias("spans"), F.when(F.size(spans) > 0, chunks).alias("chunks"))
+    return out.withColumn("__near", _once(given, contexts)).drop("__t")
+
+
+def _term_lines(docs: DataFrame, wanted: DataFrame, twice: DataFrame) -> tuple[DataFrame, float]:
+    """(row key, term, lines): each document's lines with each wanted term (by hash); and all lines with any term.
+
+    ``twice`` has the number of rows of row keys that are there more than once; such rows share their count.
+    """
+    rows = keyed(docs.select("doc_id", "text"))
+    if twice.limit(1).count():
+        rows = rows.join(_small(twice), KEY, "left").withColumn("__one", 1.0 / F.coalesce("copies", F.lit(1)))
+    else:
+        rows = rows.withColumn("__one", F.lit(1.0))
+    lines = rows.select(*KEY, "__one", F.explode(F.split(F.lower(text_or_empty()), "\n")).alias("line"))
     terms = F.array_distinct(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))
     hashes = F.transform(terms, lambda t: F.xxhash64(t))
-    held = lines.select(F.explode(F.when(F.size(hashes) > 0, F.concat(hashes, F.array(F.lit(None).cast("long"))))).alias("term"))
-    return materialize(held.groupBy("term").agg(F.count(F.lit(1)).alias("lines")), "term-lines")
+    # under the hash null: the lines with any term
+    marked = lines.select(*KEY, "__one", F.explode(F.when(F.size(hashes) > 0, F.concat(hashes, F.array(F.lit(None).cast("long"))))).alias("term"))
+    null = F.lit(None).cast("long")
+    every = marked.where("term is null").agg(F.sum("__one").alias("lines")).select(
+        null.alias("__id"), null.alias("__h"), null.alias("term"), "lines"
+    )
+    held = marked.where("term is not null").join(_small(wanted), "term", "left_semi")
+    held = held.groupBy(*KEY, "term").agg(F.sum("__one").alias("lines"))
+    table = materialize(held.select(*KEY, "term", "lines").unionByName(every), "term-lines")
+    total = table.where("term is null").agg(F.sum("lines")).first()[0] or 0.0
+    return table.where("term is not null"), total
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if a count proves it small; else the join shuffles both sides."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def disclosing_terms(
-    entities: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS
+    entities: DataFrame, docs: DataFrame, twice: DataFrame, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS
 ) -> DataFrame:
     """Term spans per row key: ``__terms`` with start, end and ``always`` (the term never occurs without its entity)."""
-    near = entities.select(*KEY, F.explode("__near").alias("n"), *[f"__{k}" for k in PATTERNS]).select(
+    near = entities.select(*KEY, F.explode("__near").alias("n")).select(
         *KEY,
         F.xxhash64("n.entity").alias("entity"),
         F.xxhash64("n.left", "n.right").alias("context"),
@@ -146,13 +217,15 @@ def disclosing_terms(
                 ),
             ),
         ).alias("words"),
-        F.concat(*[F.transform(f"__{k}", lambda s: F.struct(s["start"], s["end"])) for k in PATTERNS]).alias("base"),
+        F.col("n.base").alias("base"),
     )
     clear = F.filter(
         "words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     )
     near = materialize(near.select(*KEY, "entity", "context", clear.alias("words")), "entity-words")
-    occurrences = near.groupBy("entity").agg(F.count(F.lit(1)).alias("d_e"))
+    occurrences = near.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(
+        F.sum("n").alias("d_e"), F.count(F.lit(1)).alias("places")
+    )
     terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
     both = (
         near.select("entity", "context", F.explode(terms).alias("term"))
@@ -160,44 +233,49 @@ def disclosing_terms(
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("d_te"), F.count(F.lit(1)).alias("contexts"))
-        .where(F.col("contexts") >= min_contexts)
-    )
-    lines = _line_counts(docs)
-    total = lines.where(F.col("term").isNull()).select(F.col("lines").alias("n"))
-    scored = (
-        both.join(lines.where(F.col("term").isNotNull()).withColumnRenamed("lines", "d_t"), "term")
         .join(occurrences, "entity")
-        .withColumn("n", total.scalar())
+        .where(F.col("contexts") >= F.least(F.lit(min_contexts), "places"))
     )
+    both = materialize(both, "entity-terms")
+    held, total = _term_lines(docs, both.select("term").distinct(), twice)
+    lines = held.groupBy("term").agg(F.round(F.sum("lines")).cast("long").alias("d_t"))
+    scored = both.join(lines, "term").withColumn("n", F.lit(round(total)))
     seen = F.least("d_te", "d_t")
     pmi = F.log2(F.col("n") * seen / (F.col("d_t") * F.col("d_e")))
     ic = F.log2(F.col("n") / F.col("d_e"))
     found = materialize(
-        scored.where((ic > 0) & (pmi >= threshold * ic)).select("entity", "term", (F.col("d_te") >= F.col("d_t")).alias("always")),
+        scored.where((ic > 0) & (pmi >= threshold * ic - 1e-9)).select(
+            "entity",
+            "term",
+            (F.col("d_te") >= F.col("d_t")).alias("always"),
+            (2 * F.col("d_te") >= F.col("d_t")).alias("alone"),
+        ),
         "disclosing-terms",
     )
     words = near.select(*KEY, "entity", F.explode("words").alias("w")).select(*KEY, "entity", "w.*")
-    hits = words.join(found, ["entity", "term"]).select(*KEY, "start", "end", "always")
-    spans = F.concat(*[F.transform(f"__{k}", lambda s: F.struct(s["start"], s["end"])) for k in PATTERNS])
-    inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    others = (
-        _occurrences(docs, materialize(found.select("term").distinct(), "disclosing-words"))
-        .join(entities.select(*KEY, spans.alias("base")), KEY, "left")
-        .where(~F.coalesce(inside, F.lit(False)))
-        .select(*KEY, "start", "end", F.lit(None).cast("boolean").alias("always"))
+    hits = words.join(_small(found), ["entity", "term"]).select(*KEY, "start", "end", "always")
+    others = _occurrences(docs, held, materialize(found.where("alone").select("term").distinct(), "disclosing-words"))
+    # spans and words meet in cells of the text
+    cell = lambda start, end: F.sequence(F.floor(start / CELL), F.floor((end - 1) / CELL))
+    spans = F.concat(*[F.transform(f"__{k}", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))) for k in PATTERNS])
+    base = entities.select(*KEY, F.explode(spans).alias("s")).select(*KEY, "s.*")
+    base = base.withColumn("cell", F.explode(cell(F.col("a"), F.col("b"))))
+    met = others.withColumn("cell", F.explode(cell(F.col("start"), F.col("end")))).join(base, [*KEY, "cell"])
+    inside = met.where("a < end and start < b").select(*KEY, "start", "end").distinct()
+    others = others.join(inside, [*KEY, "start", "end"], "left_anti").select(
+        *KEY, "start", "end", F.lit(None).cast("boolean").alias("always")
     )
     # a term away from its entity is no longer one that never occurs without it
     each = hits.unionByName(others).groupBy(*KEY, "start", "end").agg(F.coalesce(F.min("always"), F.lit(False)).alias("always"))
     return each.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end", "always"))).alias("__terms"))
 
 
-def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Every occurrence of the terms (by hash) in the documents: row key, start, end."""
+def _occurrences(docs: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every occurrence of the terms (by hash) in the documents that hold them: row key, start, end."""
     rows = keyed(docs.select("doc_id", "text"))
-    held = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))
-    some = rows.select(*KEY, F.explode(held).alias("term")).join(terms, "term", "left_semi")
-    some = materialize(some.select(*KEY).distinct(), "disclosed-documents")
-    texts = rows.join(some, KEY, "left_semi").select(*KEY, "text").dropDuplicates(KEY)
+    terms = _small(terms)
+    some = materialize(held.join(terms, "term", "left_semi").select(*KEY).distinct(), "disclosed-documents")
+    texts = rows.join(_small(some), KEY, "left_semi").select(*KEY, "text").dropDuplicates(KEY)
     values = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
     gaps = F.slice(F.split("text", TERM, -1), F.lit(1), F.size(values))
     word = F.zip_with(
@@ -207,7 +285,7 @@ def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     upto = Window.partitionBy(*KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("g") + F.col("m")).over(upto).cast("int"))
     each = each.withColumn("start", (F.col("end") - F.col("m")).cast("int"))
-    return each.join(terms, "term", "left_semi").select(*KEY, "start", "end")
+    return materialize(each.join(terms, "term", "left_semi").select(*KEY, "start", "end"), "occurrences")
 
 
 def _written(kind: str) -> Column:
@@ -225,14 +303,17 @@ def _spans(docs: DataFrame, threshold: float, min_contexts: int) -> DataFrame:
     kept = [F.transform(f"__{k}", lambda s: F.struct(s["start"], s["end"])).alias(f"__{k}") for k in PATTERNS]
     base = materialize(with_entities(rows).select("doc_id", *KEY, *kept, "__near"), "entities")
     some = base.where(F.size("__near") > 0).dropDuplicates(KEY)
-    return base.drop("__near").join(disclosing_terms(some, docs, threshold, min_contexts), KEY, "left")
+    twice = base.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    twice = materialize(twice, "rows-twice")
+    return base.drop("__near").join(disclosing_terms(some, docs, twice, threshold, min_contexts), KEY, "left")
 
 
 def personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms.
 
     Null text counts as empty: no spans. Rows equal in doc_id and text count once as evidence and get equal results, a
-    row each. Empty table: no rows. Other columns are ignored, whatever their names.
+    row each. Empty table: no rows. A very long text is searched whole in one task, its matches summed up in chunks.
+    Other columns are ignored, whatever their names.
     """
     kinds = list(PATTERNS)
     return _spans(docs, threshold, min_contexts).select(
@@ -247,7 +328,8 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_contexts: i
 def sanitised(docs: DataFrame, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """The documents with entities and disclosing terms replaced by tags or removed; null texts stay null.
 
-    Names after two underscores are reserved.
+    Rows equal in doc_id and text get equal texts, a row each. Empty table: no rows. Time grows with a text's length times
+    its spans. Names after two underscores are reserved.
     """
     names = docs.columns
     spans = _spans(docs, threshold, min_contexts).drop("doc_id").dropDuplicates(KEY)
