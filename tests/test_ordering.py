@@ -89,3 +89,54 @@ def test_no_task_holds_a_hot_key(spark):
     df = spark.createDataFrame(skewed())
     plan = o.row_index(df, ["k"], F.floor(F.col("i") / 50).cast("bigint"), [F.col("i")])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in plan and "__bucket" in plan
+
+
+def close(n=60_000, seed=3):
+    """Half of all values within one per cent of each other, all different; null, infinite, huge and equal ones too."""
+    rng = np.random.default_rng(seed)
+    v = np.concatenate([100 + rng.random(n // 2), rng.lognormal(0, 4, n // 2 - 6), [0.0, -0.0, 1e300, -1e300, 7.5, 7.5]])
+    return pd.DataFrame({"k": rng.integers(0, 2, n) * (np.arange(n) % 3 > 0), "v": rng.permutation(v)})
+
+
+def test_close_values_are_dealt_over_many_buckets(spark):
+    pdf = close()
+    df = o.fine_buckets(spark.createDataFrame(pdf), ["k"], "v", "b", most=500).toPandas()
+    sizes = df.groupby(["k", "b"]).size()
+    assert sizes.max() < 1200 and (o.value_bucket is not None)
+    for _, part in df.sort_values("v").groupby("k"):
+        assert part["b"].is_monotonic_increasing
+        assert part.groupby("v")["b"].nunique().max() == 1
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_quantiles_of_close_values(spark, monkeypatch, keys):
+    monkeypatch.setattr(o, "CLOSE_ROWS", 300)
+    pdf = close()
+    probs = {"a": 0.0, "b": 0.31, "c": 0.5, "d": 0.777, "e": 1.0}
+    got = o.exact_quantiles(spark.createDataFrame(pdf), keys, "v", probs).toPandas()
+    for key, vals in pdf.groupby("k")["v"] if keys else [(None, pdf["v"])]:
+        row = got[got["k"] == key].iloc[0] if keys else got.iloc[0]
+        for n, p in probs.items():
+            assert row[n] == pytest.approx(np.quantile(vals, p), rel=1e-12)
+
+
+def test_ranks_of_close_values(spark, monkeypatch):
+    monkeypatch.setattr(o, "CLOSE_ROWS", 300)
+    pdf = close(20_000)
+    got = o.tied_ranks(spark.createDataFrame(pdf), ["k"], "v").toPandas()
+    want = pdf.assign(v=pdf["v"] + 0.0).assign(r=lambda x: x.groupby("k")["v"].rank()).groupby(["k", "v"])["r"].first().reset_index()
+    m = got.assign(v=got["v"] + 0.0).merge(want, on=["k", "v"])
+    assert len(m) == len(got) == len(want) and np.allclose(m["rank"], m["r"])
+
+
+def test_numbering_of_a_whole_table_by_ranges(spark, monkeypatch):
+    """No window holds all buckets: with ranges of four buckets, numbers still run through."""
+    monkeypatch.setattr(o, "RANGE_BITS", 2)
+    pdf = skewed()
+    df = spark.createDataFrame(pdf)
+    numbered = o.running_totals(df, [], o.value_bucket("v"), [F.col("v"), F.col("i")], {"s": F.lit(1)})
+    got = numbered.toPandas().sort_values("s")
+    want = pdf.sort_values(["v", "i"])
+    assert got["s"].tolist() == list(range(1, len(pdf) + 1)) and got["i"].tolist() == want["i"].tolist()
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "__range" in plan

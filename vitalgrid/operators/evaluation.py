@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalar import bind
-from vitalgrid.operators.ordering import running_totals, tied_ranks, value_bucket, with_scalars
+from vitalgrid.operators.ordering import fine_buckets, running_totals, tied_ranks, value_bucket, with_scalars
 
 
 def confusion(df: DataFrame, y: str, yhat: str, labels: Sequence[int]) -> DataFrame:
@@ -73,7 +73,8 @@ def roc_points(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> D
     keys = list(keys)
     rows = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     per = rows.groupBy(*keys, score).agg(F.sum(y).alias("__p"), F.sum(1 - F.col(y)).alias("__q"))
-    run = running_totals(per, keys, -value_bucket(score), [F.col(score).desc()], {"tp": F.col("__p"), "fp": F.col("__q")})
+    per = fine_buckets(per, keys, score, "__fine")
+    run = running_totals(per, keys, -F.col("__fine"), [F.col(score).desc()], {"tp": F.col("__p"), "fp": F.col("__q")}).drop("__fine")
     totals = rows.groupBy(*keys).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
     run = run.withColumns({"tp": F.col("tp").cast("bigint"), "fp": F.col("fp").cast("bigint")})
     joined = run.join(totals, keys) if keys else with_scalars(run, totals)

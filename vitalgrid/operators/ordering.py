@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _B = "__bucket"
+#: Buckets that are ordered together (as a power of two), rows of close values per bucket, and steps of one at most.
+RANGE_BITS = 12
+CLOSE_ROWS = 4096
+STEPS = 1 << 20
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -80,10 +84,7 @@ def running_totals(
     part = {f"__m_{n}": c.cast("double") for n, c in measures.items()}
     rows = rows.withColumns(part)
     totals = rows.groupBy(*keys, _B).agg(*[F.sum(m).alias(f"__t{m}") for m in part])
-    whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, _B, *[F.coalesce(F.sum(f"__t{m}").over(whole), F.lit(0.0)).alias(f"__o{m}") for m in part]
-    )
+    offsets = _bucket_offsets(totals, keys, part) if keys else _two_level_offsets(totals, part)
     inside = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"__l{m}": F.sum(m).over(inside) for m in part})
     joined = local.join(offsets, [*keys, _B])
@@ -92,6 +93,55 @@ def running_totals(
     return out.drop(_B, *extra)
 
 
+def _bucket_offsets(totals: DataFrame, keys: Sequence[str], measures: Sequence[str], order: str = _B) -> DataFrame:
+    """Sums of the buckets before each, per key."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(f"__t{m}").over(before), F.lit(0.0)).alias(f"__o{m}") for m in measures]
+    return totals.select(*keys, order, *sums)
+
+
+def _two_level_offsets(totals: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Sums of the buckets before each, of a whole table: ranges of buckets are summed and ordered first.
+
+    The buckets of a range are ordered together, and the ranges, of which there are as many fewer as they are wide; no
+    task orders all buckets.
+    """
+    ranged = totals.withColumn("__range", F.shiftright(_B, RANGE_BITS))
+    ranges = ranged.groupBy("__range").agg(*[F.sum(f"__t{m}").alias(f"__t{m}") for m in measures])
+    ahead = _bucket_offsets(ranges.withColumn("__all", F.lit(0)), ["__all"], measures, "__range").drop("__all")
+    ahead = ahead.withColumnsRenamed({f"__o{m}": f"__a{m}" for m in measures})
+    inside = _bucket_offsets(ranged, ["__range"], measures).join(ahead, "__range")
+    return inside.select(_B, *[(F.col(f"__o{m}") + F.col(f"__a{m}")).alias(f"__o{m}") for m in measures])
+
+
+def fine_buckets(df: DataFrame, keys: Sequence[str], value: str, name: str, per_octave: int = 256, most: int | None = None) -> DataFrame:
+    """Adds a monotone bucket of a value that splits wherever the values lie close together.
+
+    Buckets of equal steps per power of two come first. Where one holds more than ``most`` rows of a key, its own least
+    and largest value span as many equal steps as it takes; only such buckets get a second histogram.
+    """
+    keys, most = list(keys), most or CLOSE_ROWS
+    v = F.col(value).cast("double")
+    rows = df.withColumn("__coarse", value_bucket(v, per_octave))
+    heavy = (
+        rows.where(F.col(value).isNotNull())
+        .groupBy(*keys, "__coarse")
+        .agg(F.count(F.lit(1)).alias("__n"), F.min(v).alias("__low"), F.max(v).alias("__high"))
+        .where((F.col("__n") > most) & (F.col("__low") < F.col("__high")))
+    )
+    return rows.join(heavy, [*keys, "__coarse"], "left").withColumn(
+        name, F.col("__coarse") * STEPS + F.coalesce(_step(v, "__low", "__high", "__n", most), F.lit(0))
+    ).drop("__coarse", "__n", "__low", "__high")
+
+
+def _step(v: Column, low: str, high: str, n: str, most: int) -> Column:
+    """Equal steps between a bucket's least and largest value, one for each ``most`` rows; null for null bounds."""
+    steps = F.least(F.ceil(F.col(n) / most), F.lit(STEPS - 1)).cast("bigint")
+    share = (v - F.col(low)) / (F.col(high) - F.col(low))
+    at = F.when(F.col(high) > F.col(low), F.least(F.floor(share * steps).cast("bigint"), steps - 1)).when(F.col(low).isNotNull(), 0)
+    return F.greatest(at, F.when(at.isNotNull(), 0)).cast("bigint")
+
+
 def row_index(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "idx"
 ) -> DataFrame:
@@ -131,7 +181,9 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key without gathering a key in one place.
 
     Rows shrink to counts per distinct value first, so a repeated value cannot pile up. Counts per
-    value bucket name the buckets that hold the wanted ranks; the ranks are found inside those.
+    value bucket name the buckets that hold the wanted ranks. These get a second histogram, of equal
+    steps between their own least and largest value, and the ranks are found inside its steps: values
+    that lie close together are still dealt over many tasks.
     """
     keys = list(keys)
     group = keys or ["__all"]
@@ -142,7 +194,12 @@ def exact_quantiles(
         _B, value_bucket("__v", per_octave)
     )
     counts = rows.groupBy(*group, _B, "__v").agg(F.count(F.lit(1)).alias("__k"))
-    hist = counts.groupBy(*group, _B).agg(F.sum("__k").alias("__c"))
+    hist = counts.groupBy(*group, _B).agg(
+        F.sum("__k").alias("__c"),
+        F.count(F.lit(1)).alias("__d"),
+        F.min("__v").alias("__low"),
+        F.max("__v").alias("__high"),
+    )
     upto = Window.partitionBy(*group).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumns(
         {"__hi": F.sum("__c").over(upto), "__n": F.sum("__c").over(Window.partitionBy(*group))}
@@ -157,9 +214,15 @@ def exact_quantiles(
             F.array_distinct(F.array(*ranks)), lambda r: (r >= F.col("__lo")) & (r < F.col("__hi"))
         ),
     ).where(F.size("__want") > 0)
-    near = counts.join(hist.select(*group, _B, "__lo", "__n", "__want"), [*group, _B])
-    inside = Window.partitionBy(*group, _B).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("__to", F.col("__lo") + F.sum("__k").over(inside)).withColumn(
+    near = counts.join(hist.select(*group, _B, "__lo", "__n", "__d", "__low", "__high", "__want"), [*group, _B])
+    near = near.withColumn("__step", _step(F.col("__v"), "__low", "__high", "__d", CLOSE_ROWS)).drop("__low", "__high", "__d")
+    steps = near.groupBy(*group, _B, "__step").agg(F.sum("__k").alias("__c"))
+    until = Window.partitionBy(*group, _B).orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(*group, _B, "__step", F.coalesce(F.sum("__c").over(until), F.lit(0)).alias("__before"), "__c")
+    near = near.join(steps, [*group, _B, "__step"]).withColumn("__first", F.col("__lo") + F.col("__before"))
+    near = near.where(F.exists("__want", lambda r: (r >= F.col("__first")) & (r < F.col("__first") + F.col("__c"))))
+    inside = Window.partitionBy(*group, _B, "__step").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("__to", F.col("__first") + F.sum("__k").over(inside)).withColumn(
         "__from", F.col("__to") - F.col("__k")
     )
     hits = near.select(
@@ -194,7 +257,8 @@ def tied_ranks(
     counts = df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(m) for m, c in measures.items()]
     )
-    run = running_totals(counts, keys, value_bucket(value), [F.col(value)], {"__upto": F.col("n")})
+    counts = fine_buckets(counts, keys, value, "__fine")
+    run = running_totals(counts, keys, F.col("__fine"), [F.col(value)], {"__upto": F.col("n")}).drop("__fine")
     return run.withColumns(
         {
             "below": (F.col("__upto") - F.col("n")).cast("bigint"),

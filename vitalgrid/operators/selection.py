@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalar import clamp, finite_or_null
 from vitalgrid.operators.ordering import exact_quantiles, join_per_key, running_totals, size_bucket, value_bucket, with_scalars
 
-#: Column pairs per aggregate; it bounds a plan's width and changes no result.
-PAIRS_PER_AGGREGATE = 400
+#: Rows whose means values are taken from, and columns multiplied at once.
+CENTRE_ROWS = 1000
+COLUMN_BLOCK = 256
 
 
 def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -44,24 +47,84 @@ def low_variance_kept(df: DataFrame, columns: Sequence[str], least: float = 1e-1
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete correlation of distinct column pairs, pairs in column order, at any number of columns."""
+    """Pairwise-complete correlation of distinct column pairs, pairs in column order, from one scan at any width.
+
+    A task holds the columns of a batch as a matrix X (missing and infinite values as nought) and their presence as a
+    matrix M, and adds up M'M, X'M, (X^2)'M and X'X, block by block of columns: the counts, sums, sums of squares and of
+    products of every pair over the rows that have both. Values are taken from the means of the first rows; that only
+    keeps the sums small. A column without variation has no correlation. A task keeps columns x columns numbers.
+    """
     cols = list(columns)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    out = None
-    for i in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        one = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs[i : i + PAIRS_PER_AGGREGATE]]
-        part = df.agg(F.array(*one).alias("x")).select(F.explode("x").alias("p")).select("p.*")
-        out = part if out is None else out.unionByName(part)
-    return df.sparkSession.createDataFrame([], "a string, b string, r double") if out is None else out
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    x = df.select(*[finite_or_null(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    centre = np.array([v or 0.0 for v in x.limit(CENTRE_ROWS).agg(*[F.avg(c) for c in x.columns]).first()])
+    sums = x.mapInArrow(_masked_sums(centre), SUMS).groupBy("i").applyInArrow(_added, SUMS)
+    pairs = sums.mapInArrow(_lists, "i int, j int, n double, x double, xx double, xy double")
+    other = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    both = pairs.where("i < j").join(other, ["i", "j"])
+    n = F.col("n")
+    vx, vy = n * F.col("xx") - F.col("x") * F.col("x"), n * F.col("yy") - F.col("y") * F.col("y")
+    real = (vx > 1e-13 * n * F.col("xx")) & (vy > 1e-13 * n * F.col("yy"))
+    r = F.when(real, (n * F.col("xy") - F.col("x") * F.col("y")) / (F.sqrt(vx) * F.sqrt(vy)))
+    name = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), r.alias("r"))
+
+
+SUMS = "i int, n array<double>, x array<double>, xx array<double>, xy array<double>"
+
+
+def _masked_sums(centre: np.ndarray):
+    """For mapInArrow over the columns: per column i the lists of its sums with every column."""
+    width = len(centre)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((width, width)) for _ in range(4)]
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            given = np.stack(columns, axis=1).astype(float) - centre
+            held = ~np.isnan(given)
+            values, mask = np.where(held, given, 0.0), held.astype(float)
+            for low in range(0, width, COLUMN_BLOCK):
+                rows = slice(low, low + COLUMN_BLOCK)
+                total[0][rows] += mask[:, rows].T @ mask
+                total[1][rows] += values[:, rows].T @ mask
+                total[2][rows] += (values[:, rows] ** 2).T @ mask
+                total[3][rows] += values[:, rows].T @ values
+        for low in range(0, width, COLUMN_BLOCK):
+            at = np.arange(low, min(low + COLUMN_BLOCK, width), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at)] + [pa.array(list(t[at]), pa.list_(pa.float64())) for t in total], names=["i", "n", "x", "xx", "xy"]
+            )
+
+    return run
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """One row from the tasks' rows of a column."""
+    names = ["n", "x", "xx", "xy"]
+    sums = [np.stack(rows.column(c).to_numpy()).sum(axis=0) for c in names]
+    return pa.table([rows.column("i")[:1].combine_chunks()] + [pa.array([s], pa.list_(pa.float64())) for s in sums], names=["i", *names])
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, row in enumerate(batch.column(0).to_pylist()):
+            parts = [batch.column(c)[i].values.to_numpy() for c in range(1, 5)]
+            at = np.arange(len(parts[0]), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), row, np.int32)), pa.array(at), *map(pa.array, parts)], names=["i", "j", "n", "x", "xx", "xy"]
+            )
 
 
 def correlation_kept(df: DataFrame, columns: Sequence[str], target: str, limit: float = 0.85) -> list[str]:
     """Greedy prune over the small correlation table: of each close pair the one further from the target drops."""
     cols = list(columns)
-    r = {(x["a"], x["b"]): x["r"] for x in correlations(df, cols).collect()}
-    ty = df.agg(*[F.abs(F.corr(c, target)).alias(c) for c in cols]).first().asDict()
+    found = {(x["a"], x["b"]): x["r"] for x in correlations(df, [*cols, target]).collect()}  # one row per column pair
+    ty = {c: None if found[c, target] is None else abs(found[c, target]) for c in cols}
     dropped: set[str] = set()
-    for (a, b), v in r.items():
+    for a, b in [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]:
+        v = found[a, b]
         if a in dropped or b in dropped or v is None or not abs(v) > limit:
             continue
         dropped.add(a if (ty[a] or 0.0) < (ty[b] or 0.0) else b)
