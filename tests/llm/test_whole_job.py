@@ -78,6 +78,13 @@ def test_lines_repeated_in_a_row_leave_the_first_run_whole(spark):
     assert got == {1: "\n".join([LINE] * 2), 2: "", 3: LINE}
 
 
+def test_single_lines_count_as_runs_on_demand(spark):
+    rows = [(1, f"menu\n{LINE}\n{LINE}\n\nmenu"), (2, f"{LINE}\n{LINE}\nown\n menu "), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_in_runs, r.text) for r in line_runs.repeated_runs(docs, lines_too=True).collect()}
+    assert got == {1: (2, 0, f"menu\n{LINE}\n"), 2: (3, 2, "own"), 3: (0, 0, "")}
+
+
 def test_emptied_copies_go_on_demand(spark):
     text = "\n".join([LINE] * 2)
     rows = [(1, text, "a"), (2, text, "a"), (3, f"{text}\nmore", "a"), (4, "", "a"), (5, None, "a")]

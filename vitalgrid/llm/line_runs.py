@@ -108,8 +108,11 @@ def later_copies(ranks: DataFrame, ends: DataFrame, reach: int) -> DataFrame:
     return again.select(*KEY, "start", "length")
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row key ``__gone``: numbers of the lines to delete."""
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, lines_too: bool = False) -> DataFrame:
+    """Per row key ``__gone``, the numbers of the lines to delete, and ``__in_runs``, how many of them lie in runs.
+
+    With ``lines_too`` single lines count as runs as well, however short: every line that occurred before goes.
+    """
     lines = materialize(line_table(docs, min_words), "lines")
     first = ranks = materialize(first_ranks(lines), "ranks")
     ends = first.where("back is not null").select(*KEY, "pos", "back")
@@ -119,8 +122,14 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         reach *= 2
         runs = runs.unionByName(materialize(later_copies(ranks, ends, reach), "runs"))
     places = runs.select(*KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))
-    numbers = first.select(*KEY, "pos", "line").join(places.distinct(), [*KEY, "pos"])
-    return numbers.groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("__gone"))
+    gone = first.select(*KEY, "pos", "line").join(places.distinct(), [*KEY, "pos"]).select(*KEY, "line", F.lit(1).alias("run"))
+    if lines_too:
+        # the buckets of level 0 are equal lines; all but a bucket's first place go
+        place = F.struct(*KEY, "pos")
+        heads = first.groupBy("rank").agg(F.min(place).alias("head"))
+        later = first.join(heads, "rank").where(place != F.col("head")).select(*KEY, "line", F.lit(0).alias("run"))
+        gone = gone.unionByName(later).groupBy(*KEY, "line").agg(F.max("run").alias("run"))
+    return gone.groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("__gone"), F.sum("run").alias("__in_runs"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, keep_emptied: bool = True) -> DataFrame:
@@ -138,8 +147,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, keep_emptied: b
     return cut.select(*docs.columns)
 
 
-def _cut(docs: DataFrame, min_words: int) -> DataFrame:
-    joined = keyed(docs).join(deleted_lines(docs, min_words), KEY, "left")
+def _cut(docs: DataFrame, min_words: int, lines_too: bool = False) -> DataFrame:
+    joined = keyed(docs).join(deleted_lines(docs, min_words, lines_too), KEY, "left")
     some = F.col("__gone").isNotNull()
     out = joined.withColumn("text", F.when(some, without_numbers(F.col("text"), "\n", "__gone")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
@@ -147,8 +156,12 @@ def _cut(docs: DataFrame, min_words: int) -> DataFrame:
     return out
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document: doc_id, n_removed lines and the text that is left (null: empty). Cases as in without_repeats."""
-    return _cut(docs.select("doc_id", "text"), min_words).select(
-        "doc_id", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), text_or_empty().alias("text")
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, lines_too: bool = False) -> DataFrame:
+    """Per document: doc_id, n_removed lines, n_in_runs of them in runs of ``min_words`` words, and the text that is left
+    (null: empty). With ``lines_too`` every repeated line goes, in a run or not. Cases as in without_repeats."""
+    return _cut(docs.select("doc_id", "text"), min_words, lines_too).select(
+        "doc_id",
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("__in_runs", F.lit(0)).cast("long").alias("n_in_runs"),
+        text_or_empty().alias("text"),
     )

@@ -30,7 +30,7 @@ def query(build):
 
 @query
 def op1_suffix_array_line_runs(spark, sf_dir):
-    return repeated_runs(table(spark, sf_dir, "documents"))
+    return repeated_runs(table(spark, sf_dir, "documents"), lines_too=True)
 
 
 @query
@@ -181,12 +181,15 @@ WITH l AS (
 ), named AS (
   SELECT doc_id, s, e, first_value(doc_id) OVER w AS d1, first_value(s) OVER w AS s1 FROM runs JOIN doc USING (doc_id)
   WINDOW w AS (PARTITION BY list_slice(xs, s, e) ORDER BY doc_id, s)
-), gone AS (
+), inside AS (
   SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS k FROM named WHERE doc_id <> d1 OR s > s1 + e - s
+), gone AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY x ORDER BY doc_id, k) AS nth FROM f) WHERE nth > 1
 )
-SELECT d.doc_id, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(r.text, '') AS text
+SELECT d.doc_id, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(q.n, 0)::BIGINT AS n_in_runs, coalesce(r.text, '') AS text
 FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM inside GROUP BY doc_id) q USING (doc_id)
 LEFT JOIN (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY i) AS text FROM l LEFT JOIN f USING (doc_id, i)
   LEFT JOIN gone ON gone.doc_id = f.doc_id AND gone.k = f.k WHERE gone.k IS NULL GROUP BY l.doc_id
