@@ -5,16 +5,18 @@ Driver loops run over folds, candidates and column lists, never over rows.
 
 from __future__ import annotations
 
+import itertools
+import random
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, RegressionEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -23,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import evaluation as ev
-from vitalgrid.operators.ordering import join_per_key, row_index
+from vitalgrid.operators.ordering import join_per_key, row_index, with_scalars
 from vitalgrid.operators.retrieval import nearest
-from vitalgrid.operators.selection import class_weight, hash_part
+from vitalgrid.operators.selection import class_weight, correlation_kept, hash_part, low_variance_kept
 from vitalgrid.session import materialize
 
 SEED = 42
@@ -69,16 +71,89 @@ def elastic_classifier(columns: Sequence[str], label: str, fold: str, folds: int
     )
 
 
-def tree_search(columns: Sequence[str], label: str, fold: str, folds: int, weight: str) -> CrossValidator:
-    """Grid search over tree parameters scored by AUC on given folds."""
+class BalancedAccuracy(Evaluator):
+    """Mean recall of the classes that occur, from one aggregate of (label, hits) counts."""
+
+    def __init__(self, label: str, prediction: str = "prediction") -> None:
+        super().__init__()
+        self.label, self.prediction = label, prediction
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        hit = (F.col(self.label).cast("double") == F.col(self.prediction)).cast("double")
+        recalls = dataset.where(F.col(self.label).isNotNull()).groupBy(self.label).agg(F.avg(hit).alias("r"))
+        return float(recalls.agg(F.avg("r")).first()[0] or 0.0)
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+# What the forest's parameters are drawn from, and how many draws are tried.
+FOREST_DRAWS = {"numTrees": (100, 200, 300), "maxDepth": (4, 5, 6, 8, 10, None), "minInstancesPerNode": (1, 2, 4)}
+DRAWS = 12
+#: The deepest tree that Spark grows stands for no limit of depth.
+DEEPEST = 30
+
+
+def drawn_parameters(draws: dict[str, Sequence], n: int = DRAWS, seed: int = SEED) -> list[dict]:
+    """n different combinations of the listed values, in a seeded random order; all of them if there are fewer."""
+    every = [dict(zip(draws, values)) for values in itertools.product(*draws.values())]
+    return random.Random(seed).sample(every, min(n, len(every)))
+
+
+def forest_search(
+    columns: Sequence[str], label: str, fold: str, folds: int, weight: str, draws: dict[str, Sequence] | None = None,
+    n: int = DRAWS, evaluator: Evaluator | None = None,
+) -> CrossValidator:
+    """Random search over forest parameters on given folds, scored by AUC or the evaluator given."""
     est = forest(label, weight=weight)
-    grid = ParamGridBuilder().addGrid(est.numTrees, [10, 20]).addGrid(est.maxDepth, [4, 6]).addGrid(est.minInstancesPerNode, [1, 4]).build()
+    maps = [
+        {est.getParam(k): DEEPEST if v is None else v for k, v in chosen.items()} for chosen in drawn_parameters(draws or FOREST_DRAWS, n)
+    ]
     return CrossValidator(
-        estimator=Pipeline(stages=[assembler(columns), est]), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label),
-        numFolds=folds, foldCol=fold, parallelism=4, seed=SEED,
+        estimator=Pipeline(stages=[assembler(columns), est]), estimatorParamMaps=maps,
+        evaluator=evaluator or BinaryClassificationEvaluator(labelCol=label), numFolds=folds, foldCol=fold, parallelism=4, seed=SEED,
     )
 
 
+class ColumnSelector(Estimator):
+    """Chooses columns from the rows it is fitted on, and from no others.
+
+    Columns without variance go first, then of every close pair the one further from the label; if more than ``most`` are
+    left, those least important to forests over the inner folds go step by step.
+    """
+
+    def __init__(
+        self, columns: Sequence[str], label: str, binary: str, fold: str, weight: str, most: int = 22, least: int = 12,
+        trees: int = 20, features: str = "features",
+    ) -> None:
+        super().__init__()
+        self.columns, self.label, self.binary, self.fold, self.weight = list(columns), label, binary, fold, weight
+        self.most, self.least, self.trees, self.features = most, least, trees, features
+
+    def _fit(self, dataset: DataFrame) -> SelectedColumns:
+        kept = low_variance_kept(dataset, self.columns)
+        kept = correlation_kept(dataset, kept, self.label)
+        if len(kept) > self.most:
+            inner = sorted(r[0] for r in dataset.select(self.fold).distinct().collect())  # one row per fold
+            numbered = dataset.withColumn("__inner", F.array_position(F.array(*map(F.lit, inner)), F.col(self.fold)) - 1)
+            step = max(1, -(-(len(kept) - self.least) // 2))
+            kept = eliminate(
+                numbered, kept, self.binary, "__inner", len(inner), self.weight, self.most, self.least, step, self.trees
+            )
+        return SelectedColumns(kept, self.features)
+
+
+class SelectedColumns(Model):
+    """The chosen columns as a vector."""
+
+    def __init__(self, kept: Sequence[str], features: str) -> None:
+        super().__init__()
+        self.kept, self.features = list(kept), features
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return assembler(self.kept, self.features).transform(dataset)
+
+
 def importance_by_fold(df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, trees: int = 20) -> dict[str, float]:
     """Mean forest importance over the training parts of the folds."""
     vec = assembler(columns).transform(df)
@@ -194,10 +269,11 @@ def oversample(df: DataFrame, key: str, columns: Sequence[str], label: str, k: i
     return real.unionByName(synth)
 
 
-def boosted_early_stop(df: DataFrame, columns: Sequence[str], label: str, key: str, rounds: int = 20) -> tuple[int, object]:
+def boosted_early_stop(df: DataFrame, columns: Sequence[str], label: str, key: str, rounds: int = 20) -> tuple[int, object, DataFrame]:
     """Boosting stopped on a 15 % hold-out of each class, then refit on all rows with that many trees.
 
-    Rows of a class are ordered by a hash of their key; every class gives the first 15 % of its order.
+    Rows of a class are ordered by a hash of their key; every class gives the first 15 % of its order. Returns the number
+    of trees, the refitted model, and the hold-out scored by the first model, which has not seen it.
     """
     order = F.xxhash64(key)
     placed = row_index(df, [label], F.shiftright(order, 52), [order, F.col(key)], "__place")
@@ -207,7 +283,13 @@ def boosted_early_stop(df: DataFrame, columns: Sequence[str], label: str, key: s
     first = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=3, stepSize=0.3, validationIndicatorCol="__hold", validationTol=0.01, seed=SEED).fit(vec)
     best = first.getNumTrees
     final = GBTClassifier(labelCol=label, featuresCol="features", maxIter=best, maxDepth=3, stepSize=0.3, seed=SEED).fit(vec)
-    return best, final
+    return best, final, first.transform(vec.where("__hold"))
+
+
+def positive_scale(df: DataFrame, y: str, name: str = "scale") -> DataFrame:
+    """Weights of boosting on unbalanced classes: negatives over positives for a positive row, else one."""
+    share = df.agg((F.sum(1 - F.col(y)) / F.nullif(F.sum(y), F.lit(0))).alias("__share"))
+    return with_scalars(df, share).withColumn(name, F.when(F.col(y) == 1, F.coalesce("__share", F.lit(1.0))).otherwise(1.0)).drop("__share")
 
 
 def tree_classifier(label: str, depth: int = 10):
@@ -244,26 +326,49 @@ def learning_curve(df: DataFrame, columns: Sequence[str], label: str, fold: str,
     return out
 
 
-def compare_variants(df: DataFrame, variants: dict[str, list[str]], label: str, binary: str, fold: str, folds: int, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold ensemble of linear and forest models per variant: scores and one report row each."""
+def fold_scores(df: DataFrame, columns: Sequence[str], label: str, binary: str, fold: str, folds: int, keep: Sequence[str], trees: int, most: int) -> tuple[DataFrame, list[list[str]]]:
+    """Scores of four models on every fold, each fold with its own selection of columns, and the columns chosen.
+
+    Selection and models see the other folds only; the scaler is part of the models.
+    """
+    parts, chosen = None, []
+    for f in range(folds):
+        train = materialize(df.where(F.col(fold) != f), "train")
+        test = df.where(F.col(fold) == f)
+        picked = ColumnSelector(columns, label, binary, fold, "weight", most, min(12, most), trees, "raw").fit(train)
+        chosen.append(picked.kept)
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
+        base = Pipeline(stages=[picked, scaler]).fit(train)
+        seen, scored = base.transform(train), base.transform(test)
+        models = {
+            "s_en": LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.5, regParam=0.1, maxIter=50),
+            "s_rf": forest_regressor(label, trees),
+            "p_en": LogisticRegression(labelCol=binary, featuresCol="features", elasticNetParam=0.5, regParam=0.05, weightCol="weight", maxIter=50),
+            "p_rf": forest(binary, trees, weight="weight"),
+        }
+        for name, est in models.items():
+            out = est.fit(seen).transform(scored)
+            value = F.col("prediction") if name[0] == "s" else vector_to_array("probability")[1]
+            scored = out.withColumn(name, value).drop("prediction", "rawPrediction", "probability")
+        part = scored.select(*keep, label, binary, *models)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts, chosen
+
+
+def compare_variants(
+    df: DataFrame, variants: dict[str, list[str]], label: str, binary: str, fold: str, folds: int, keep: Sequence[str],
+    trees: int = 20, most: int = 22,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Out-of-fold ensemble of linear and forest models per variant, columns selected inside every fold.
+
+    Returns the scores, one report row per variant, and the columns chosen (variant, fold, pos, feature).
+    """
     spark = df.sparkSession
     weighted = df if "weight" in df.columns else class_weight(df, binary, "weight")
-    reports, scored = [], None
+    reports, picked, scored = [], [], None
     for name, cols in variants.items():
-        lin = scaled(cols, LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.5, regParam=0.1, maxIter=50))
-        log = scaled(cols, LogisticRegression(labelCol=binary, featuresCol="features", elasticNetParam=0.5, regParam=0.05, weightCol="weight", maxIter=50))
-        rfr = Pipeline(stages=[assembler(cols), forest_regressor(label)])
-        rfc = Pipeline(stages=[assembler(cols), forest(binary, weight="weight")])
-
-        def value(n):
-            return lambda t, n=n: t.select(*keep, F.col("prediction").alias(n))
-
-        def prob(n):
-            return lambda t, n=n: probability(t, n).select(*keep, n)
-
-        oof = weighted.select(*keep, label, binary)
-        for est, read in ((lin, value("s_en")), (rfr, value("s_rf")), (log, prob("p_en")), (rfc, prob("p_rf"))):
-            oof = oof.join(out_of_fold(weighted, est.fit, fold, folds, read), list(keep))
+        oof, chosen = fold_scores(weighted, cols, label, binary, fold, folds, keep, trees, most)
+        picked += [(name, f, i, c) for f, kept in enumerate(chosen) for i, c in enumerate(kept)]
         oof = materialize(oof.withColumn("variant", F.lit(name)), f"oof_{name}")
         w_bin = ev.best_by(ev.auc(ev.weight_grid(oof.withColumnRenamed(binary, "y"), "p_en", "p_rf"), "y", "blend", ["w"]), "w", "auc", 0.5).first()
         maes = [F.struct(F.avg(F.abs(F.col(label) - (F.lit(w) * F.col("s_en") + F.lit(1.0 - w) * F.col("s_rf")))).alias("m"), F.lit(w).alias("w")) for w in [i / 20 for i in range(21)]]
@@ -283,7 +388,8 @@ def compare_variants(df: DataFrame, variants: dict[str, list[str]], label: str,
         reports,
         "variant string, n_features int, auc double, weight_binary double, weight_regression double, platt_slope double, platt_intercept double, threshold double, youden_j double, mae double, rmse double",
     )
-    return scored, report
+    columns = spark.createDataFrame(picked, "variant string, fold int, pos int, feature string")
+    return scored, report, columns
 
 
 def chosen_variant(report: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from vitalgrid.plans.registry import query
 from vitalgrid.plans.signals import STRESS_FEATURES, stress_features
 from vitalgrid.plans.epochs import epoched
 from vitalgrid.plans.tables import feedback_lines
-from vitalgrid.plans.waves import DEMO
+from vitalgrid.plans.waves import person_waves
 from vitalgrid.session import materialize, scratch_dir
 from vitalgrid.sources import files
 from vitalgrid.sources import tables as src
@@ -25,32 +25,16 @@ from vitalgrid.sources import tables as src
 FOLDS = 3
 #: Fixed value: the total score from which a subject counts as screened positive.
 SCREENED_FROM = 5
-HRV = [f"{m}_{s}" for m in ("hr", "rmssd", "steps") for s in ("mean", "std", "min", "max")] + [
-    f"{m}_{p}_{s}" for m in ("hr", "rmssd") for p in ("day", "night") for s in ("mean", "std")
-]
-SLEEP = ["sleep_waso_mean", "sleep_sleep_latency_mean", "sleep_sleep_duration_mean"]
-DEMOS = [f"demo_{c}" for c in (*DEMO, "bmi")]
+#: Columns of the person-wave row that are no features.
+SKIP = ("subject", "wave", "gad7")
 
 
 def training_table(spark, d):
-    """Subject-wave rows with moment features, labels, folds by subject and class weights."""
-    seg = src.segments(spark, d)
-    spans = ops.subject_span(seg)
-    people = ops.first_edition(src.survey(spark, d))
-    aggs = []
-    for m in ("hr", "rmssd", "steps"):
-        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
-    for m in ("hr", "rmssd"):
-        aggs += ops.day_night_stats(m)
-    stats = ops.assign_waves(seg, spans).groupBy("subject", "wave").agg(*aggs)
-    diary = ops.diary_by_wave(src.diary(spark, d), spans, ("waso", "sleep_latency", "sleep_duration"))
-    t = stats.join(people.select("subject", "gad7_1", "gad7_2", "gad7_f", *ops.demographics(DEMO)), "subject")
-    t = t.join(diary, ["subject", "wave"], "left").withColumn("gad7", F.element_at(F.array("gad7_1", "gad7_2", "gad7_f"), F.col("wave")))
-    t = t.where("gad7 IS NOT NULL").withColumn("y", (F.col("gad7") >= SCREENED_FROM).cast("int"))
-    cols = HRV + SLEEP + DEMOS
-    t = materialize(t.select("subject", "wave", "gad7", "y", *cols), "training")
+    """The person-wave rows with all their features, labels, folds by subject and class weights."""
+    t = materialize(person_waves(spark, d).withColumn("y", (F.col("gad7") >= SCREENED_FROM).cast("int")), "training")
+    cols = ops.numeric_features(t, [*SKIP, "y"])
     folds = sel.folds_by_size(t, "subject", FOLDS).select("subject", F.col("fold").cast("int").alias("fold"))
-    out = sel.class_weight(sel.impute_median(t, cols).join(folds, "subject"), "y")
+    out = sel.class_weight(sel.impute_median(t.select(*SKIP, "y", *cols), cols).join(folds, "subject"), "y")
     return materialize(out.withColumn("row_id", F.col("subject") * 4 + F.col("wave")), "training_ready"), cols
 
 
@@ -86,13 +70,25 @@ def selected_projection(spark, d):
 
 @query("tree_grid_search", "M6 M8")
 def tree_grid_search(spark, d):
+    """Twelve seeded draws of forest parameters on grouped folds, by AUC; the best draw next to its balanced accuracy."""
     t, cols = training_table(spark, d)
-    m = md.tree_search(cols, "y", "fold", FOLDS, "weight").fit(t)
-    best = m.bestModel.stages[-1]
-    return frame(
-        spark, [(float(max(m.avgMetrics)), best.getNumTrees, best.getMaxDepth(), best.getMinInstancesPerNode())],
-        "best_auc double, trees int, depth int, min_rows int",
-    )
+    search = md.forest_search(cols, "y", "fold", FOLDS, "weight")
+    m = search.fit(t)
+    rows = []
+    for draw, auc in zip(md.drawn_parameters(md.FOREST_DRAWS), m.avgMetrics):
+        depth = draw["maxDepth"] or md.DEEPEST
+        rows.append((draw["numTrees"], depth, draw["minInstancesPerNode"], float(auc), bool(auc == max(m.avgMetrics))))
+    return frame(spark, rows, "trees int, depth int, min_rows int, auc double, best boolean")
+
+
+@query("balanced_tree_search", "M6 E6")
+def balanced_tree_search(spark, d):
+    """Four draws scored by balanced accuracy instead."""
+    t, cols = training_table(spark, d)
+    few = {"numTrees": (20,), "maxDepth": (None, 10, 20), "minInstancesPerNode": (1, 2)}
+    m = md.forest_search(cols, "y", "fold", FOLDS, "weight", few, 4, md.BalancedAccuracy("y")).fit(t)
+    rows = [(x["maxDepth"] or md.DEEPEST, x["minInstancesPerNode"], float(a)) for x, a in zip(md.drawn_parameters(few, 4), m.avgMetrics)]
+    return frame(spark, rows, "depth int, min_rows int, balanced_accuracy double")
 
 
 @query("elastic_net_models", "M7 E9")
@@ -117,8 +113,9 @@ def tree_models(spark, d):
     ests = {
         "forest": md.forest("y", 10, weight="weight"),
         "tree": md.tree_classifier("y"),
-        "boosted": GBTClassifier(labelCol="y", featuresCol="features", maxIter=5, maxDepth=3, weightCol="weight", seed=md.SEED),
+        "boosted": GBTClassifier(labelCol="y", featuresCol="features", maxIter=5, maxDepth=3, weightCol="scale", seed=md.SEED),
     }
+    t = md.positive_scale(t, "y")
     out = None
     for name, e in ests.items():
         row = lambda s, name=name: md.probability(s, "p").select("subject", "wave", F.lit(name).alias("model"), "p")
@@ -152,12 +149,13 @@ def out_of_fold_scores(spark, d):
 def variant_training(spark, d):
     t, cols = training_table(spark, d)
     variants = {"hrv_only": [c for c in cols if not c.startswith("sleep_")], "hrv_sleep": cols}
-    _, report = md.compare_variants(t, variants, "gad7", "y", "fold", FOLDS, ["subject", "wave"])
+    _, report, columns = md.compare_variants(t, variants, "gad7", "y", "fold", FOLDS, ["subject", "wave"], trees=10)
     path = scratch_dir(spark, "report")
     best = md.chosen_variant(report).select(F.col("variant").alias("inference_use_variant"))
     full = with_scalars(report, best).withColumn("metrics", F.struct(*report.columns[1:]))
-    full.select("variant", "inference_use_variant", "metrics").write.json(path)
-    return report
+    named = columns.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("fold", "pos", "feature"))).alias("columns"))
+    full.select("variant", "inference_use_variant", "metrics").join(named, "variant").write.json(path)
+    return report.join(named.select("variant", F.size("columns").alias("columns_chosen")), "variant")
 
 
 @query("text_preference_model", "M14 X23")
@@ -193,14 +191,15 @@ def learning_curve(spark, d):
 @query("boosting_early_stop", "M17")
 def boosting_early_stop(spark, d):
     t, cols = training_table(spark, d)
-    best, model = md.boosted_early_stop(t, cols, "y", "row_id", 12)
-    v = md.probability(model.transform(md.assembler(cols).transform(t)), "p")
-    return v.select("subject", "wave", F.lit(best).alias("trees"), "p")
+    best, _, held = md.boosted_early_stop(t, cols, "y", "row_id", 12)
+    return md.probability(held, "p").select("subject", "wave", "y", F.lit(best).alias("trees"), "p")
 
 
-@query("stress_classifier", "M8 K2 G15 S12")
+@query("stress_classifier", "M8 G15 S12")
 def stress_classifier(spark, d):
+    """Stages of the subjects that the tree was not fitted on, epoch by epoch."""
     t = materialize(stress_features(epoched(spark, d)), "stress")
     v = md.assembler(STRESS_FEATURES).transform(t)
     m = md.tree_classifier("stage").fit(v.where(F.pmod("subject", F.lit(5)) != 0))
-    return m.transform(v).groupBy("stage", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    unseen = m.transform(v.where(F.pmod("subject", F.lit(5)) == 0))
+    return unseen.select("subject", "epoch_idx", "stage", F.col("prediction").cast("int").alias("predicted"))
