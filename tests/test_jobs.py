@@ -14,7 +14,7 @@ from vitalgrid.operators import models as md
 from vitalgrid.operators import retrieval as rt
 from vitalgrid.plans import streams
 from vitalgrid.plans.waves import rounded
-from vitalgrid.sources import files
+from vitalgrid.sources import files, store
 from vitalgrid.streaming import jobs, state
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +59,68 @@ def test_cache_rebuilds_when_the_source_changes(spark, folder):
     assert flags == [False, True, False, False, True]
 
 
+def test_readers_see_the_old_or_the_new_version(spark, folder):
+    keeper = store.Store(spark, f"{folder}/s", keep=2)
+    with pytest.raises(FileNotFoundError):
+        keeper.read()
+    assert keeper.replace(spark.range(5), {"a": 1}) == 1
+    pinned, seen = keeper.read(), []
+
+    def slow(rows):  # a reader in the middle of a rebuild
+        seen.append(sorted(r.id for r in store.Store(spark, f"{folder}/s").read().collect()))
+        return rows
+
+    keeper.replace(slow(spark.range(100, 103)))
+    assert seen == [[0, 1, 2, 3, 4]] and pinned.count() == 5
+    assert sorted(r.id for r in keeper.read().collect()) == [100, 101, 102]
+    keeper.append(spark.range(3))
+    assert keeper.read().count() == 6 and keeper.versions() == [2, 3] and keeper.manifest(3)["notes"] == {}
+    import os
+
+    assert len(os.listdir(f"{folder}/s/data")) == 2  # the first version's folder went with it
+
+
+def test_the_second_of_two_writers_fails(spark, folder):
+    a, b = store.Store(spark, folder), store.Store(spark, folder)
+    a.replace(spark.range(1))
+    assert b.append(spark.range(1), seen=1) == 2
+    with pytest.raises(store.Conflict):
+        a.append(spark.range(1), seen=1)
+    real = b.versions
+    b.versions = lambda: real()[:1]  # a writer that looked before the other had finished
+    with pytest.raises(store.Conflict):
+        b.replace(spark.range(9))
+    assert store.Store(spark, folder).read().count() == 2
+
+
+def test_pairs_are_appended_once(spark, folder):
+    rows = [(1, 0, "Hello there", "a b"), (1, 1, " hello THERE", "c d"), (2, 0, "new one", "e f")]
+    fresh = spark.createDataFrame(rows, "conv_id long, turn long, message string, title string")
+    for _ in range(2):
+        files.append_new_pairs(spark, f"{folder}/p", fresh, ["conv_id", "turn"])
+    assert sorted(r.message for r in files.stored_pairs(spark, f"{folder}/p").collect()) == ["Hello there", "new one"]
+
+
+def test_recordings_choose_a_format_per_subject(spark, folder):
+    texts = {
+        "S001_PSG_df_updated.csv": "HR,Sleep_Stage,BVP\n60,W,1.5\nx,N1,bad\n",
+        "S001_whole_df.csv": "BVP,Sleep_Stage\n9,W\n",
+        "S002_PSG_df_updated.csv": "HR,BVP\n1,2\n",  # no stages: the other layout is taken
+        "S002_whole_df.csv": "BVP,Sleep_Stage\n7,R\n",
+        "S003_whole_df.csv": "HR\n1\n",  # nothing usable
+        "S099_whole_df.csv": "BVP,Sleep_Stage\n1,W\n",  # out of range
+        "guest_whole_df.csv": "Sleep_Stage,BVP\nW,4\n",
+        "notes.csv": "BVP,Sleep_Stage\n1,W\n",
+    }
+    for name, text in texts.items():
+        open(f"{folder}/{name}", "w").write(text)
+    got = sorted(map(str, files.recordings(spark, folder, ["BVP", "HR"], 1, 50).collect()))
+    want = [("S001", 100, "W", 1.5, 60.0), ("S001", 100, "N1", None, None), ("S002", 64, "R", 7.0, None), ("guest", 64, "W", 4.0, None)]
+    row = lambda x: f"Row(sid={x[0]!r}, rate={x[1]}, Sleep_Stage={x[2]!r}, BVP={x[3]}, HR={x[4]})"
+    assert got == sorted(map(row, want))
+    assert files.recordings(spark, folder, ["BVP"], 60, 70).where("sid <> 'guest'").count() == 0
+
+
 def test_feedback_parser(spark):
     long = "x" * 16
     lines = [f"t rating=up a response_preview='{long}' z", f"rating=down response_preview=' {long} '", f"rating=none response_preview='{long}'", "rating=up response_preview='short'", "noise"]

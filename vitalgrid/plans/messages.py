@@ -311,7 +311,7 @@ def backend_aliases(spark, d):
     return src.table(spark, d, "events").select("event_id", tx.normalize_backend(raw).alias("backend"))
 
 
-def _features_sql(x):
+def features_sql(x):
     low = f"lower({x})"
     n = f"len({words(x)})"
     b = lambda e: f"CAST({e} AS INTEGER)"
@@ -328,7 +328,7 @@ def _features_sql(x):
     }
 
 
-FEATS_SQL = f"{MESSAGES_SQL}, ft AS (SELECT {KEYS}, category, {', '.join(f'{e} AS {n}' for n, e in _features_sql('text').items())} FROM msg)"
+FEATS_SQL = f"{MESSAGES_SQL}, ft AS (SELECT {KEYS}, category, {', '.join(f'{e} AS {n}' for n, e in features_sql('text').items())} FROM msg)"
 SCORE_SQL = """round(greatest(0.0, least(1.0, 0.50::DOUBLE + 0.18::DOUBLE * has_warm_phrase + 0.10::DOUBLE * ends_with_question + CASE WHEN question_count >= 2 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END + 0.04::DOUBLE * has_ellipsis
   - 0.25::DOUBLE * has_clinical_dump - 0.06::DOUBLE * has_bullets - 0.12::DOUBLE * short_response - 0.10::DOUBLE * very_long_response)), 3)"""
 

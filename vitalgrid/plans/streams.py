@@ -9,7 +9,7 @@ from vitalgrid.operators.epochs import EPOCH_SECONDS
 from vitalgrid.operators.ordering import row_index, value_bucket
 from vitalgrid.operators.textops import message_key
 from vitalgrid.plans.epochs import epoched, stage_code
-from vitalgrid.plans.messages import CRISIS_SQL, KEYS, LANG_SQL, MESSAGES_SQL, SOFT_SQL, TRIVIAL_SQL, messages
+from vitalgrid.plans.messages import CRISIS_SQL, KEYS, LANG_SQL, MESSAGES_SQL, SCORE_SQL, SOFT_SQL, TRIVIAL_SQL, features_sql, messages
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.signals import STRESS_FEATURES, stress_features
 from vitalgrid.plans.tables import FEEDBACK_SQL, feedback_lines
@@ -20,6 +20,7 @@ from vitalgrid.sources.tables import SEGMENTS_SQL
 from vitalgrid.streaming import jobs
 from vitalgrid.streaming import state as st
 
+FEEDBACK_FEATURES = ", ".join(f"{e} AS {n}" for n, e in features_sql("preview").items())
 CUTS = ("2024-01-11", "2024-01-21")
 
 
@@ -90,14 +91,15 @@ def streamed_window_scores(spark, d):
 @query(
     "streamed_feedback_scores",
     "K3 S11 X23",
-    f"""WITH {FEEDBACK_SQL} SELECT label, count(*) AS n, CAST(sum(length(preview)) AS BIGINT) AS chars FROM fb GROUP BY label""",
+    f"""WITH {FEEDBACK_SQL}, ft AS (SELECT label, preview, {FEEDBACK_FEATURES} FROM fb)
+    SELECT label, score, count(*) AS n, CAST(sum(length(preview)) AS BIGINT) AS chars FROM (SELECT label, preview, {SCORE_SQL} AS score FROM ft) GROUP BY label, score""",
 )
 def streamed_feedback_scores(spark, d):
     path, out = jobs.stream_dir(spark, "log"), jobs.stream_dir(spark, "rescored")
     feedback_lines(spark, d).select("value").write.text(path)
     jobs.run_available(jobs.rescored_feedback(jobs.file_stream(spark, path, "value string", "text", 4)), out)
-    t = spark.read.parquet(f"{out}/data").where(F.col("score").between(0, 1))
-    return t.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("preview")).alias("chars"))
+    t = spark.read.parquet(f"{out}/data")
+    return t.groupBy("label", F.round("score", 3).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("preview")).alias("chars"))
 
 
 @query(

@@ -9,7 +9,7 @@ from vitalgrid.functions import headers as hd
 from vitalgrid.functions import scalar as sc
 from vitalgrid.operators import textops
 from vitalgrid.operators import waves as wave_ops
-from vitalgrid.operators.ordering import exact_quantiles, row_index, with_scalars
+from vitalgrid.operators.ordering import exact_quantiles, join_per_key, row_index, with_scalars
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.waves import PERSON_WAVE_SQL, person_waves, rounded
 from vitalgrid.session import scratch_dir
@@ -70,6 +70,39 @@ def table_inventory_scan(spark, d):
     ).distinct()
 
 
+@query(
+    "recording_choice",
+    "S8 S5 P11",
+    """SELECT 'S' || lpad(l_suppkey::VARCHAR, 3, '0') AS sid, CASE WHEN l_suppkey % 3 = 0 THEN 100 ELSE 64 END AS rate, count(*) AS n,
+    round(sum(l_tax * 100), 4) AS bvp, round(CASE WHEN l_suppkey % 3 = 0 THEN sum(l_quantity) END, 2) AS hr,
+    count(*) FILTER (l_returnflag = 'A') AS staged FROM lineitem
+    WHERE l_suppkey BETWEEN 1 AND 9 AND l_suppkey % 4 <> 0 GROUP BY l_suppkey""",
+)
+def recording_choice(spark, d):
+    """Exports at 100 Hz for every third subject, recordings at 64 Hz for all; every fourth subject has no stages in either."""
+    root = scratch_dir(spark, "recordings")
+    line = src.table(spark, d, "lineitem").where(F.col("l_suppkey").between(1, 12))
+    who, bvp = F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0")), (F.col("l_tax") * 100).alias("BVP")
+    stage = F.when(F.col("l_returnflag") == "A", "W").alias("Sleep_Stage")
+    staged, s = F.pmod("l_suppkey", F.lit(4)) != 0, F.col("l_suppkey")
+    layouts = [
+        ("_PSG_df_updated", staged & (s % 3 == 0), [F.col("l_quantity").alias("HR"), stage, bvp]),
+        ("_PSG_df_updated", ~staged & (s % 3 == 0), [F.col("l_quantity").alias("HR"), bvp]),
+        ("_whole_df", staged, [bvp, stage]),
+        ("_whole_df", ~staged, [bvp]),
+    ]
+    for end, some, columns in layouts:
+        rows = line.where(some).select(F.concat(who, F.lit(f"{end}.csv")).alias("file"), *columns)
+        rows.write.option("header", True).partitionBy("file").mode("append").csv(root)
+    r = files.recordings(spark, root, ["BVP", "HR"], 1, 9)
+    return r.groupBy("sid", "rate").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("BVP"), 4).alias("bvp"),
+        F.round(F.sum("HR"), 2).alias("hr"),
+        F.count("Sleep_Stage").alias("staged"),
+    )
+
+
 @query(
     "subject_range_scan",
     "S7 S18",
@@ -286,7 +319,7 @@ def pair_append_sink(spark, d):
     p = title_pairs(spark, d)
     for part in (0, 1):
         files.append_new_pairs(spark, path, p.where(F.pmod("conv_id", F.lit(2)) == part), ["conv_id", "turn"])
-    back = files.read_jsonl(spark, path, "message string, title string")
+    back = files.stored_pairs(spark, path)
     return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(textops.message_key("message")).alias("distinct_messages"))
 
 
@@ -358,17 +391,19 @@ def header_normalization(spark, d):
     "P2 P3 P4",
     f"""WITH {HEADERS_SQL} SELECT path,
       CASE WHEN list_contains(norms, 'device_id') THEN ' Device ID ' WHEN list_contains(norms, 'participant_no') THEN 'participant no' END AS subject_col,
-      CASE WHEN list_contains(cols, 'Start Time') THEN 'Start Time' WHEN list_contains(cols, 'Visit Date') THEN 'Visit Date' END AS time_col,
+      CASE WHEN list_contains(cols, 'Start Time') THEN 'Start Time' WHEN list_contains(cols, 'Visit Date') AND CAST(left(right(path, 6), 2) AS INTEGER) % 2 = 0 THEN 'Visit Date' END AS time_col,
       CASE WHEN list_contains(cols, 'GAD7 Score') THEN 'GAD7 Score' END AS score_col,
       CASE WHEN list_contains(cols, 'gad_3') THEN 'gad_3' ELSE '' END AS items FROM lc""",
 )
 def header_inference(spark, d):
     t = header_tables(spark, d)
     c = F.col("cols")
+    # visit dates are text on even days and numbers on odd ones
+    text_columns = F.filter("cols", lambda x: (x != "Visit Date") | (F.dayofmonth("day") % 2 == 0))
     return t.select(
         "path",
         hd.subject_column(c).alias("subject_col"),
-        hd.time_column(c, c).alias("time_col"),
+        hd.time_column(c, text_columns).alias("time_col"),
         hd.score_column(c).alias("score_col"),
         F.array_join(hd.score_items(c), "|").alias("items"),
     )
@@ -523,7 +558,8 @@ def datetime_parsing(spark, d):
     )
     t = src.table(spark, d, "events").select("event_id", "event_type", raw.alias("raw")).withColumn("num", sc.to_number("raw"))
     mid = exact_quantiles(t, ["event_type"], "num", {"mid": 0.5})
-    out = t.join(mid, "event_type", "left")
+    every = t.select("event_type").distinct().join(mid, "event_type", "left")  # one row per column
+    out = join_per_key(t, every, ["event_type"], "event_id")
     when = F.when(F.col("mid") > 1e11, sc.from_epoch_ms(F.col("num"))).otherwise(F.try_to_timestamp("raw"))
     return out.select("event_id", F.unix_millis(when).alias("ms"))
 

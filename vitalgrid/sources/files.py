@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,19 +11,20 @@ from pyspark.sql import types as T
 from vitalgrid.operators.textops import new_by_message, valid_pairs
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     return bool(fs.exists(p))
 
 
 def any_match(spark: SparkSession, pattern: str) -> bool:
-    fs, p = _fs(spark, pattern)
+    fs, p = file_system(spark, pattern)
     found = fs.globStatus(p)
     return found is not None and len(found) > 0
 
@@ -56,8 +56,55 @@ def recording_format(spark: SparkSession, root: str) -> tuple[str, int] | None:
     return None
 
 
-def has_columns(df: DataFrame, required: Sequence[str]) -> bool:
-    return set(required) <= set(df.columns)
+# Name endings of recordings and their sampling rates, the preferred one first.
+RECORDINGS = (("_PSG_df_updated", 100), ("_whole_df", 64))
+RECORDING_COLUMNS = ("BVP", "Sleep_Stage")
+
+
+def chosen_recordings(spark: SparkSession, root: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """One file set per subject of a folder: sid, rate, cols, paths.
+
+    The 100 Hz export of a subject wins over its 64 Hz one; files without the required columns are skipped, so a subject
+    whose export lacks them falls back. Ids outside the range drop, those without digits pass.
+    """
+    ends = "|".join(e for e, _ in RECORDINGS)
+    inv = header_inventory(spark, root, "*.csv")
+    sid, end = (F.regexp_extract("path", rf"([^/=]+?)({ends})\.csv(?:/|$)", i) for i in (1, 2))
+    rate = F.coalesce(*[F.when(end == e, r) for e, r in RECORDINGS])
+    rows = inv.select(F.split(sid, "_")[0].alias("sid"), rate.alias("rate"), "cols", "path").where("rate is not null")
+    rows = rows.where(F.array_contains("cols", RECORDING_COLUMNS[0]) & F.array_contains("cols", RECORDING_COLUMNS[1]))
+    if lo is not None:
+        rows = rows.where(in_subject_range(F.col("sid"), lo, hi))
+    best = rows.groupBy("sid").agg(F.max("rate").alias("rate"))
+    return rows.join(best, ["sid", "rate"]).groupBy("sid", "rate", "cols").agg(F.collect_list("path").alias("paths"))
+
+
+def recordings(spark: SparkSession, root: str, columns: Sequence[str], lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """Samples of the chosen recordings: sid, rate, Sleep_Stage and the columns as doubles, null where a file has none.
+
+    Files of one header are read together; the driver lists files, as every read does, and no rows.
+    """
+    files = chosen_recordings(spark, root, lo, hi).collect()  # a row per subject
+    out = None
+    names = {c: T.StringType() for c in ("sid", "Sleep_Stage")} | {"rate": T.IntegerType()} | {c: T.DoubleType() for c in columns}
+    for rate, cols in sorted({(r["rate"], tuple(r["cols"])) for r in files}):
+        paths = [p for r in files if r["rate"] == rate and tuple(r["cols"]) == cols for p in r["paths"]]
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(cols))])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
+        ends = "|".join(e for e, _ in RECORDINGS)
+        sid = F.split(F.regexp_extract("_metadata.file_path", rf"([^/=]+?)({ends})\.csv(?:/|$)", 1), "_")[0]
+        at = {c: F.col(f"c{cols.index(c)}") if c in cols else F.lit(None) for c in ("Sleep_Stage", *columns)}
+        part = raw.select(
+            sid.alias("sid"),
+            F.lit(rate).alias("rate"),
+            at["Sleep_Stage"].cast("string").alias("Sleep_Stage"),
+            *[at[c].try_cast("double").alias(c) for c in columns],
+        )
+        out = part if out is None else out.unionByName(part)
+    order = ["sid", "rate", "Sleep_Stage", *columns]
+    if out is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, names[c]) for c in order]))
+    return out.select(*order)
 
 
 def header_inventory(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
@@ -129,26 +176,30 @@ def parse_feedback(lines: DataFrame, column: str = "value") -> DataFrame:
 def cached_table(spark: SparkSession, path: str, source: str, build, columns: int) -> tuple[DataFrame, bool]:
     """A stored feature table, rebuilt when its source or column count differs.
 
-    Returns the table and whether the stored copy was used.
+    Returns the table and whether the stored copy was used. A reader during a rebuild sees the old version.
     """
-    meta = f"{path}/meta"
-    if path_exists(spark, meta):
-        row = spark.read.json(meta).select("source", "columns").first()
-        if row and row["source"] == source and row["columns"] == columns:
-            return spark.read.parquet(f"{path}/{_version(source, columns)}"), True
-    data = f"{path}/{_version(source, columns)}"
-    build().write.mode("overwrite").parquet(data)
-    one = spark.range(1).select(F.lit(source).alias("source"), F.lit(columns).alias("columns"))
-    one.coalesce(1).write.mode("overwrite").json(meta)
-    return spark.read.parquet(data), False
+    from vitalgrid.sources.store import Store
 
-
-def _version(source: str, columns: int) -> str:
-    return f"data-{hashlib.sha256(source.encode()).hexdigest()}-{columns}"
+    store, notes = Store(spark, path), {"source": source, "columns": columns}
+    manifest = store.manifest()
+    if manifest and manifest["notes"] == notes:
+        return store.read(), True
+    version = store.replace(build(), notes)
+    return store.read(version=version), False
 
 
 def append_new_pairs(spark: SparkSession, path: str, fresh: DataFrame, order: Sequence[str]) -> None:
-    """Append the valid pairs whose normalized message is not stored yet, as JSON lines."""
-    existing = read_jsonl(spark, path, "message string, title string") if path_exists(spark, path) else None
+    """Append the valid pairs whose normalized message is not stored yet, as JSON lines, in one new version."""
+    from vitalgrid.sources.store import Store
+
+    store = Store(spark, path)
+    seen = (store.versions() or [0])[-1]
+    existing = store.read("message string, title string", seen) if seen else None
     new = new_by_message(valid_pairs(fresh), existing, order)
-    new.select("message", "title").write.mode("append").json(path)
+    store.append(new.select("message", "title"), form="json", seen=seen)
+
+
+def stored_pairs(spark: SparkSession, path: str) -> DataFrame:
+    from vitalgrid.sources.store import Store
+
+    return Store(spark, path).read("message string, title string")
