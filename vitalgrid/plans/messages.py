@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions import phrases as ph
 from vitalgrid.functions import text as tx
 from vitalgrid.operators import conversation as cv
+from vitalgrid.operators.ordering import join_per_key
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.tables import FEEDBACK_SQL, feedback_lines
 from vitalgrid.plans.waves import rounded
@@ -279,13 +280,13 @@ def source_labels(spark, d):
     f"""WITH w AS (SELECT doc_id, text, list_distinct(list_filter({words('lower(prefix)')}, lambda w: length(w) > 3 AND NOT list_contains({sql_list(ph.RELEVANCE_STOP_WORDS)}, w))) AS ws FROM (
       SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'zebra quilts from ' || lang || ' ' || source END AS prefix FROM documents)),
     r AS (SELECT doc_id, text, len(ws) > 0 AND len(list_filter(ws, lambda w: contains(lower(text), w))) / greatest(len(ws), 1) < 0.25 AS dropped FROM w)
-    SELECT doc_id, CASE WHEN dropped THEN '' ELSE left(text, 1500) END AS context FROM r""",
+    SELECT doc_id, CASE WHEN dropped THEN '' ELSE text END AS context FROM r""",
 )
 def relevance_guard(spark, d):
     t = src.table(spark, d, "documents")
     ask = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("text")).otherwise(F.concat(F.lit("zebra quilts from "), "lang", F.lit(" "), "source"))
     t = t.withColumn("ask", ask)
-    return t.select("doc_id", F.substring(tx.relevant_context("ask", "text"), 1, 1500).alias("context"))
+    return t.select("doc_id", tx.relevant_context("ask", "text").alias("context"))
 
 
 PROMPT = "Conversation so far:\n{history}\n\nQuestion: {question}\nContext: {context}\nAnswer briefly."
@@ -294,10 +295,10 @@ PROMPT = "Conversation so far:\n{history}\n\nQuestion: {question}\nContext: {con
 @query(
     "filled_templates",
     "X20 X18",
-    f"WITH {MESSAGES_SQL} SELECT {KEYS}, 'Conversation so far:' || chr(10) || verdict || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Context: ' || left(category || ': ' || text, 2000) || chr(10) || 'Answer briefly.' AS prompt FROM msg",
+    f"WITH {MESSAGES_SQL} SELECT {KEYS}, 'Conversation so far:' || chr(10) || verdict || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Context: ' || category || ': ' || text || chr(10) || 'Answer briefly.' AS prompt FROM msg",
 )
 def filled_templates(spark, d):
-    ctx = F.substring(F.concat("category", F.lit(": "), "text"), 1, 2000)
+    ctx = F.concat("category", F.lit(": "), "text")
     return keyed(spark, d, prompt=tx.fill_template(PROMPT, history=F.col("verdict"), question=F.col("text"), context=ctx))
 
 
@@ -425,13 +426,13 @@ def recent_context(spark, d):
 @query(
     "older_turns",
     "W15",
-    f"""WITH {PRIOR_SQL}, z AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM pm) SELECT {KEYS}, role, left(text, 200) AS text FROM z WHERE n_prior < n - 6 AND role IN ('user', 'assistant')""",
+    f"""WITH {PRIOR_SQL}, z AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM pm) SELECT {KEYS}, role, text FROM z WHERE n_prior < n - 6 AND role IN ('user', 'assistant')""",
 )
 def older_turns(spark, d):
     m = messages(spark, d).select("conv_id", "turn", "role", "text")
     n = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    t = cv.numbered(m).join(n, "conv_id").where((F.col("n_prior") < F.col("n") - 6) & F.col("role").isin("user", "assistant"))
-    return t.select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("text"))
+    t = join_per_key(cv.numbered(m), n, ["conv_id"], "turn").where((F.col("n_prior") < F.col("n") - 6) & F.col("role").isin("user", "assistant"))
+    return t.select("conv_id", "turn", "role", "text")
 
 
 @query(

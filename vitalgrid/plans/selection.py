@@ -128,7 +128,17 @@ def group_folds_by_size(spark, d):
     return sel.folds_by_size(src.table(spark, d, "orders"), "o_custkey", 5)
 
 
-@query("group_folds_greedy", "M5")
+@query(
+    "group_folds_greedy",
+    "M5",
+    """WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS place FROM orders GROUP BY 1),
+    r AS (SELECT 0::BIGINT AS place, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0::BIGINT AS o_custkey, 0::BIGINT AS n, 0 AS fold
+      UNION ALL
+      SELECT g.place, list_transform(range(1, 6), lambda i: r.loads[i] + CASE WHEN i = list_position(r.loads, list_min(r.loads)) THEN g.n ELSE 0 END),
+        g.o_custkey, g.n, list_position(r.loads, list_min(r.loads)) - 1
+      FROM r JOIN g ON g.place = r.place + 1)
+    SELECT o_custkey, n, fold FROM r WHERE place > 0""",
+)
 def group_folds_greedy(spark, d):
     return sel.folds_greedy(src.table(spark, d, "orders"), "o_custkey", 5)
 

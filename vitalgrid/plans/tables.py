@@ -51,8 +51,9 @@ def preferred_source(spark, d):
 @query(
     "table_inventory_scan",
     "S3 S4 S8",
-    """SELECT 'hrv' AS kind, 3 AS n_cols, 'event_id, sdnn, rmssd' AS header
-    UNION ALL SELECT 'questionnaire', 3, 'deviceId, GAD7_1, GAD7_2' UNION ALL SELECT 'sleep_diary', 3, 'userId, date, waso'""",
+    """SELECT 'hrv' AS kind, 3 AS n_cols, 'event_id, sdnn, rmssd' AS header, count(*) AS n_rows FROM events
+    UNION ALL SELECT 'questionnaire', 3, 'deviceId, GAD7_1, GAD7_2', count(*) FROM customer
+    UNION ALL SELECT 'sleep_diary', 3, 'userId, date, waso', count(*) FROM orders""",
 )
 def table_inventory_scan(spark, d):
     root = scratch_dir(spark, "inventory")
@@ -63,11 +64,10 @@ def table_inventory_scan(spark, d):
     o = src.table(spark, d, "orders")
     files.write_csv(o.select(F.col("o_custkey").alias("userId"), F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("waso")), f"{root}/c/deep")
     inv = files.header_inventory(spark, root)
-    return inv.select(
-        hd.table_role(F.col("cols")).alias("kind"),
-        F.size("cols").alias("n_cols"),
-        F.array_join("cols", ", ").alias("header"),
-    ).distinct()
+    lines = spark.read.option("recursiveFileLookup", True).text(root).groupBy(F.col("_metadata.file_path").alias("path"))
+    counted = inv.join(lines.agg((F.count(F.lit(1)) - 1).alias("n")), "path")  # a line per file is its header
+    named = counted.select(hd.table_role(F.col("cols")).alias("kind"), "cols", "n")
+    return named.groupBy("kind", F.size("cols").alias("n_cols"), F.array_join("cols", ", ").alias("header")).agg(F.sum("n").alias("n_rows"))
 
 
 @query(
