@@ -229,14 +229,17 @@ def pad_to(ids: Column, n: int, value: int = ph.PAD) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(value).cast("bigint"), n)), 1, n)
 
 
+def spread(x: Column) -> Column:
+    """A whole number scattered over 0 .. 65535 by a multiplication; the same in every engine."""
+    return F.shiftright(F.pmod(F.pmod(x.cast("bigint"), F.lit(1 << 31)) * F.lit(2654435761), F.lit(1 << 32)), 16)
+
+
 def mask_tokens(ids: Column, key: Column, share: int = 15) -> Column:
-    """Hash-seeded masking with PAD; one real token, chosen by hash, always stays."""
+    """Masking with PAD, seeded by a number per row; one real token, chosen by it, always stays."""
     real = F.filter(F.transform(ids, lambda t, i: F.when(t != ph.PAD, i)), lambda i: i.isNotNull())
-    keep = F.get(real, F.pmod(F.xxhash64(key), F.greatest(F.size(real), F.lit(1))).cast("int"))
-    return F.transform(
-        ids,
-        lambda t, i: F.when((i != keep) & (F.pmod(F.xxhash64(key, i), F.lit(100)) < share), F.lit(ph.PAD).cast("bigint")).otherwise(t),
-    )
+    keep = F.get(real, F.pmod(spread(key), F.greatest(F.size(real), F.lit(1))).cast("int"))
+    chosen = lambda i: F.pmod(spread(key * 1000 + i), F.lit(100)) < share
+    return F.transform(ids, lambda t, i: F.when((i != keep) & chosen(i), F.lit(ph.PAD).cast("bigint")).otherwise(t))
 
 
 # ------------------------------------------------------------ response scores

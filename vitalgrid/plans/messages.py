@@ -587,9 +587,22 @@ def padded_pairs(spark, d):
     )
 
 
-@query("masked_tokens", "X36")
+def _spread_sql(x):
+    return f"((({x}) % 2147483648) * 2654435761 % 4294967296 // 65536)"
+
+
+@query(
+    "masked_tokens",
+    "X36",
+    f"""WITH {ENC_SQL}, k AS (SELECT conv_id, turn, ids, len(ids) AS n, conv_id * 100 + turn AS key FROM en),
+    m AS (SELECT conv_id, turn, n, list_transform(range(64), lambda i: CASE WHEN i >= n THEN 0
+      WHEN i <> {_spread_sql('key')} % greatest(n, 1) AND {_spread_sql('key * 1000 + i')} % 100 < 15 THEN 0 ELSE ids[i + 1] END) AS masked FROM k)
+    SELECT conv_id, turn, CAST(n AS INTEGER) AS n_real, CAST(len(list_filter(masked, lambda t: t <> 0)) AS INTEGER) AS n_kept,
+      array_to_string(masked, ' ') AS masked FROM m""",
+)
 def masked_tokens(spark, d):
     e = encoded(spark, d).withColumn("padded", tx.pad_to(F.col("ids"), 64))
     m = e.withColumn("masked", tx.mask_tokens(F.col("padded"), F.col("conv_id") * 100 + F.col("turn")))
     real = lambda c: F.size(F.filter(c, lambda t: t != ph.PAD))
-    return m.select("conv_id", "turn", real("padded").alias("n_real"), real("masked").alias("n_kept"))
+    written = F.array_join(F.transform("masked", lambda t: t.cast("string")), " ")
+    return m.select("conv_id", "turn", real("padded").alias("n_real"), real("masked").alias("n_kept"), written.alias("masked"))
