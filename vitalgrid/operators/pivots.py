@@ -67,7 +67,7 @@ def placed(v: DataFrame, pivots: np.ndarray, metric: str, shard_rows: int) -> Da
 
     e = v.select("__id", F.col("__e").cast("array<double>").alias("__e"))
     cells = materialize(e.mapInArrow(assign, "__id long, __e array<double>, cell long, r double"), "cells")
-    # bands of about shard_rows, from the cell's own quantiles; equal radii are told apart by hash
+    # bands of about shard_rows, from the cell's own quantiles; equal radii are dealt by hash over all bands they fill
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     large = [(r["cell"], -(-r["n"] // shard_rows)) for r in sizes.where(F.col("n") > shard_rows).collect()]  # a row per pivot
     if not large:
@@ -75,9 +75,10 @@ def placed(v: DataFrame, pivots: np.ndarray, metric: str, shard_rows: int) -> Da
     bands = cells.join(F.broadcast(v.sparkSession.createDataFrame(large, "cell long, k long")), "cell", "left")
     cuts = bands.where("k is not null").groupBy("cell").agg(F.percentile_approx("r", [i / 64 for i in range(1, 64)]).alias("cuts"))
     bands = bands.join(F.broadcast(cuts), "cell", "left")  # a row per pivot
-    position = F.size(F.filter("cuts", lambda c: c < F.col("r")))
-    same = F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    band = F.floor((position + same) * F.col("k") / 64)
+    below = F.size(F.filter("cuts", lambda c: c < F.col("r")))
+    upto = F.size(F.filter("cuts", lambda c: c <= F.col("r")))
+    part = F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    band = F.floor((below + part * (upto - below + 1)) * F.col("k") / 64)
     shard = F.col("cell") + F.lit(len(pivots)) * F.when(F.col("k").isNull(), 0).otherwise(F.least(band, F.col("k") - 1))
     return bands.select("__id", "__e", "r", "cell", shard.cast("long").alias("shard"))
 
