@@ -224,7 +224,7 @@ def plain_terms(rows, threshold=0.8):
             if enough and math.log2(n * min(len(having), d_t[t]) / (d_t[t] * d_e)) >= threshold * ic - 1e-9:
                 for row, _, ws in having:
                     out.setdefault(row, set()).update((x, y) for x, y, w in ws if w == t)
-                if 2 * len(having) >= d_t[t]:
+                if d_t[t] > 1 and 2 * len(having) >= d_t[t]:
                     alone.add(t)
     for row in rows:
         spans = [(m.start(), m.end()) for m in mail.finditer(row[1])]

@@ -8,8 +8,8 @@ occurrences of entity e and d(t, e) of these with t near by, the information tha
 
 and t discloses e when PMI / IC reaches the threshold. An entity met in several contexts needs a term in two of them at
 least, so that copies of one text are no evidence; an entity met in one context has its rare words there, as they point
-at nothing else. A disclosing term goes wherever it stands near its entity; where at least half of its lines do so, it
-gives the entity away by itself and goes everywhere in the corpus. A term that never occurs without its entity is
+at nothing else. A disclosing term goes wherever it stands near its entity; if it is in several lines and at least half
+of them are near the entity, it gives the entity away by itself and goes everywhere in the corpus. A term that never occurs without its entity is
 removed from the text, other disclosing terms are generalised to a tag.
 """
 
@@ -160,30 +160,25 @@ def with_entities(docs: DataFrame) -> DataFrame:
     return out.withColumn("__near", _once(given, contexts)).drop("__t")
 
 
-def _term_lines(docs: DataFrame, wanted: DataFrame, twice: DataFrame) -> tuple[DataFrame, float]:
-    """(row key, term, lines): each document's lines with each wanted term (by hash); and all lines with any term.
+def _term_lines(docs: DataFrame, twice: DataFrame) -> tuple[DataFrame, int]:
+    """(term, d_t): the lines with each term (by hash), summed up in the tasks first; and all lines with any term.
 
     ``twice`` has the number of rows of row keys that are there more than once; such rows share their count.
     """
     rows = keyed(docs.select("doc_id", "text"))
+    one = F.lit(1.0)
     if twice.limit(1).count():
-        rows = rows.join(_small(twice), KEY, "left").withColumn("__one", 1.0 / F.coalesce("copies", F.lit(1)))
-    else:
-        rows = rows.withColumn("__one", F.lit(1.0))
-    lines = rows.select(*KEY, "__one", F.explode(F.split(F.lower(text_or_empty()), "\n")).alias("line"))
+        rows = rows.join(_small(twice), KEY, "left")
+        one = 1.0 / F.coalesce("copies", F.lit(1))
+    lines = rows.select(one.alias("one"), F.explode(F.split(F.lower(text_or_empty()), "\n")).alias("line"))
     terms = F.array_distinct(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))
     hashes = F.transform(terms, lambda t: F.xxhash64(t))
     # under the hash null: the lines with any term
-    marked = lines.select(*KEY, "__one", F.explode(F.when(F.size(hashes) > 0, F.concat(hashes, F.array(F.lit(None).cast("long"))))).alias("term"))
-    null = F.lit(None).cast("long")
-    every = marked.where("term is null").agg(F.sum("__one").alias("lines")).select(
-        null.alias("__id"), null.alias("__h"), null.alias("term"), "lines"
-    )
-    held = marked.where("term is not null").join(_small(wanted), "term", "left_semi")
-    held = held.groupBy(*KEY, "term").agg(F.sum("__one").alias("lines"))
-    table = materialize(held.select(*KEY, "term", "lines").unionByName(every), "term-lines")
-    total = table.where("term is null").agg(F.sum("lines")).first()[0] or 0.0
-    return table.where("term is not null"), total
+    marked = F.when(F.size(hashes) > 0, F.concat(hashes, F.array(F.lit(None).cast("long"))))
+    counts = lines.select("one", F.explode(marked).alias("term")).groupBy("term").agg(F.sum("one").alias("n"))
+    table = materialize(counts.select("term", F.round("n").cast("long").alias("d_t")), "term-lines")
+    total = table.where("term is null").select("d_t").first()
+    return table.where("term is not null"), total[0] if total else 0
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -237,9 +232,8 @@ def disclosing_terms(
         .where(F.col("contexts") >= F.least(F.lit(min_contexts), "places"))
     )
     both = materialize(both, "entity-terms")
-    held, total = _term_lines(docs, both.select("term").distinct(), twice)
-    lines = held.groupBy("term").agg(F.round(F.sum("lines")).cast("long").alias("d_t"))
-    scored = both.join(lines, "term").withColumn("n", F.lit(round(total)))
+    lines, total = _term_lines(docs, twice)
+    scored = both.join(lines, "term").withColumn("n", F.lit(total))
     seen = F.least("d_te", "d_t")
     pmi = F.log2(F.col("n") * seen / (F.col("d_t") * F.col("d_e")))
     ic = F.log2(F.col("n") / F.col("d_e"))
@@ -248,13 +242,13 @@ def disclosing_terms(
             "entity",
             "term",
             (F.col("d_te") >= F.col("d_t")).alias("always"),
-            (2 * F.col("d_te") >= F.col("d_t")).alias("alone"),
+            ((F.col("d_t") > 1) & (2 * F.col("d_te") >= F.col("d_t"))).alias("alone"),
         ),
         "disclosing-terms",
     )
     words = near.select(*KEY, "entity", F.explode("words").alias("w")).select(*KEY, "entity", "w.*")
     hits = words.join(_small(found), ["entity", "term"]).select(*KEY, "start", "end", "always")
-    others = _occurrences(docs, held, materialize(found.where("alone").select("term").distinct(), "disclosing-words"))
+    others = _occurrences(docs, materialize(found.where("alone").select("term").distinct(), "disclosing-words"))
     # spans and words meet in cells of the text
     cell = lambda start, end: F.sequence(F.floor(start / CELL), F.floor((end - 1) / CELL))
     spans = F.concat(*[F.transform(f"__{k}", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))) for k in PATTERNS])
@@ -270,11 +264,13 @@ def disclosing_terms(
     return each.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end", "always"))).alias("__terms"))
 
 
-def _occurrences(docs: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
-    """Every occurrence of the terms (by hash) in the documents that hold them: row key, start, end."""
+def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every occurrence of the terms (by hash) in the documents: row key, start, end."""
     rows = keyed(docs.select("doc_id", "text"))
     terms = _small(terms)
-    some = materialize(held.join(terms, "term", "left_semi").select(*KEY).distinct(), "disclosed-documents")
+    held = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))
+    some = rows.select(*KEY, F.explode(held).alias("term")).join(terms, "term", "left_semi")
+    some = materialize(some.select(*KEY).distinct(), "disclosed-documents")
     texts = rows.join(_small(some), KEY, "left_semi").select(*KEY, "text").dropDuplicates(KEY)
     values = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
     gaps = F.slice(F.split("text", TERM, -1), F.lit(1), F.size(values))
