@@ -52,50 +52,54 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = np.full(runs, RUN, np.int64)
     left[-1] = n - (runs - 1) * RUN
     # the largest count whose values i .. i + count - 1 all fit; past the end they are 0 and fit any width
-    width = np.searchsorted(np.array([1 << bits for _, bits in CUTS], np.uint64), grid, side="right").astype(np.uint8)
+    steps = np.array([1 << bits for _, bits in CUTS], np.uint64)
+    if int(values.max()) < 1 << 16:
+        table = np.searchsorted(steps, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+        width = table[grid.astype(np.uint16)]
+    else:
+        width = np.searchsorted(steps, grid, side="right").astype(np.uint8)
+    # largest[k]: the widest of 2^k values from each place; any window is two such that overlap
+    largest, have = [width], 1
+    while 2 * have <= CUTS[0][0]:
+        wide = largest[-1].copy()
+        np.maximum(wide[:, :-have], largest[-1][:, have:], out=wide[:, :-have])
+        largest.append(wide)
+        have *= 2
     choice = np.zeros(grid.shape, np.uint8)
     for s in range(len(CUTS), 0, -1):
-        run = width < s
-        if not run[:, :RUN].any():
-            break
-        have, count = 1, CUTS[s - 1][0]
-        while have < count:  # a window of `count` by doubling
-            step = min(have, count - have)
-            moved = np.ones_like(run)
-            moved[:, :-step] = run[:, step:]
-            run = run & moved
-            have += step
-        choice[run] = s
+        count = CUTS[s - 1][0]
+        k = count.bit_length() - 1
+        window, step = largest[k].copy(), count - (1 << k)
+        if step:
+            np.maximum(window[:, :-step], largest[k][:, step:], out=window[:, :-step])
+        np.copyto(choice, np.uint8(s), where=window < s)
     counts = np.array([1] + [c for c, _ in CUTS], np.int64)
-    widths = np.array([0] + [b for _, b in CUTS], np.uint64)
-    at = np.zeros(runs, np.int64)
-    size = np.zeros(runs, np.int64)
-    pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    live = np.arange(runs)
+    # the places where words begin: every run goes on by the count its selector packs
+    at, live, found = np.zeros(runs, np.int64), np.arange(runs), []
     while len(live):
         pos = at[live]
         sel = choice[live, pos].astype(np.int64)
-        word = sel.astype(np.uint64) << np.uint64(60)
-        for s in np.unique(sel):
-            rows = np.flatnonzero(sel == s)
-            if s == ESCAPE:
-                continue
-            body = np.zeros(len(rows), np.uint64)
-            for j in range(counts[s]):
-                body |= grid[live[rows], pos[rows] + j] << np.uint64(j * int(widths[s]))
-            word[rows] |= body
-        pieces.append((live, size[live].copy(), word))
-        size[live] += 1
-        raw = np.flatnonzero(sel == ESCAPE)
-        if len(raw):
-            pieces.append((live[raw], size[live[raw]].copy(), grid[live[raw], pos[raw]]))
-            size[live[raw]] += 1
-        at[live] += counts[sel]
+        found.append((live, pos, sel))
+        at[live] = pos + counts[sel]
         live = live[at[live] < left[live]]
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    words = np.zeros(int(offsets[-1]), np.uint64)
-    for rows, slot, word in pieces:
-        words[offsets[rows] + slot] = word
+    row, pos, sel = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")  # words of a run side by side, in order
+    row, pos, sel = row[order], pos[order], sel[order]
+    size = 1 + (sel == ESCAPE)
+    ends = np.cumsum(size)
+    slot = ends - size
+    words = np.zeros(int(ends[-1]), np.uint64)
+    flat, place = grid.ravel(), row * grid.shape[1] + pos
+    for s, (count, bits) in enumerate(CUTS, 1):
+        some = np.flatnonzero(sel == s)
+        if len(some):
+            body = np.full(len(some), s << 60, np.uint64)
+            for j in range(count):
+                body |= flat[place[some] + j] << np.uint64(j * bits)
+            words[slot[some]] = body
+    raw = np.flatnonzero(sel == ESCAPE)
+    words[slot[raw] + 1] = flat[place[raw]]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, weights=size, minlength=runs).astype(np.int64))])
     return words, offsets.astype(np.uint32)
 
 
