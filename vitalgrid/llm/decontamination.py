@@ -5,8 +5,8 @@
    also counts, for every code, the passages of 32 words that hold it.
 2. Latent space. TF-IDF vectors of passages, over all codes, are the rows of a matrix A. A second pass adds up the sketch
    A'(A R) for a random R in the tasks; it is additive, and has a row per code. From it the driver takes a randomised
-   eigendecomposition of A'A (Nystroem's: Z = A'AR, R'Z = LL', Z L^-T = U S V'), cut to ``rank``. The space is fitted
-   on about ``fit`` passages at most, taken by hash from the whole corpus; statistics and search are of all of them.
+   eigendecomposition of A'A (Nystroem's: Z = A'AR, R'Z = LL', Z L^-T = U S V'), cut to ``rank``. Statistics, space and
+   search are all of every passage.
    Neither items nor their directions are added, so words that are used alike fall together and rare words fade.
 3. Search. A third pass, over the codes, projects every passage (two blocks of 16 words, one block on each time) on U
    and compares it with every item, and with every 32 words of long items, by cosine; a passage near an item needs
@@ -46,8 +46,8 @@ class Settings:
 
     A paraphrase needs ``same`` of the item with alike words counted, ``own`` of its own words, and the answer; a word has
     at most ``alike`` such neighbours, with a cosine of ``alike_cosine`` or more and at least ``seen`` passages each.
-    Size of the latent space (``rank``, and ``extra`` directions that the sketch has and the space has not), passages it is
-    fitted on (``fit``, the bound of the sample), hashed codes (``other``), words that call for a check (``hits``) and items searched in one pass over the codes (``block``)."""
+    Size of the latent space (``rank``, and ``extra`` directions that the sketch has and the space has not), passages that a
+    task adds to the sketch at a time (``fit``, a bound of memory; all of them take part), hashed codes (``other``), words that call for a check (``hits``) and items searched in one pass over the codes (``block``)."""
 
     cosine: float = 0.95
     same: float = 0.8
@@ -60,7 +60,7 @@ class Settings:
     seen: int = 5
     rank: int = 64
     extra: int = 8
-    fit: int = 1 << 18
+    fit: int = 1 << 14
     other: int = 1 << 13
     hits: int = 3
     block: int = 2048
@@ -198,35 +198,33 @@ def random_rows(codes: int, wide: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((codes, wide), np.float32)
 
 
-def _sketch(idf: np.ndarray, wide: int, kind: str, share: float):
-    """For mapInArrow over (codes, __h): the rows of A'(A R), R one random row for each code, passages of unit length.
+def _sketch(idf: np.ndarray, wide: int, kind: str, step: int):
+    """For mapInArrow over (codes): the rows of A'(A R), R one random row for each code, passages of unit length.
 
-    Of all passages the ``share`` with the lowest hashes takes part.
+    All passages take part, ``step`` at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted = with_nought(idf[:, None] * random_rows(len(idf), wide))
         total = np.zeros((len(idf), wide), np.float64)
         for batch in slices(batches, 0, 1 << 19):
-            codes, first = _decoded(batch.column(0), kind)
-            if not len(codes):
+            all_codes, first = _decoded(batch.column(0), kind)
+            if not len(all_codes):
                 continue
-            passage, start = blocks_of(first, 2 * HALF)
-            n = int(start[-1])
-            if share < 1:
-                text = np.searchsorted(first, np.arange(len(codes)), side="right") - 1
-                key = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)[text]
-                inside = ((np.arange(len(codes)) - first[text]) // (2 * HALF)).astype(np.uint64)
-                kept = mixed(key ^ mixed(inside + np.uint64(SEED))) < np.uint64(int(share * 2.0**64))
-                codes, passage = codes[kept], passage[kept]
-                if not len(codes):
-                    continue
-            square = np.bincount(passage, weights=idf[codes] ** 2, minlength=n)
-            image = row_sums(weighted, codes, passage, n, 2 * HALF) / np.maximum(square, 1e-9)[:, None].astype(np.float32)
-            order = np.argsort(codes, kind="stable")
-            own = codes[order]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            total[own[starts]] += np.add.reduceat(image[passage[order]], starts, axis=0) * idf[own[starts], None]
+            of, start = blocks_of(first, 2 * HALF)
+            for low in range(0, int(start[-1]), step):
+                a, b = np.searchsorted(of, [low, low + step])
+                codes, passage = all_codes[a:b], of[a:b] - low
+                n = int(passage[-1]) + 1
+                square = np.bincount(passage, weights=idf[codes] ** 2, minlength=n)
+                image = row_sums(weighted, codes, passage, n, 2 * HALF) / np.maximum(square, 1e-9)[:, None].astype(np.float32)
+                # words by code, a code's first summed in blocks as the passages' were
+                order = np.argsort(codes.astype(kind), kind="stable")
+                own = codes[order]
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                block, first_block = blocks_of(np.append(starts, len(own)))
+                sums = row_sums(with_nought(image), passage[order], block, int(first_block[-1]), HALF)
+                total[own[starts]] += np.add.reduceat(sums, first_block[:-1], axis=0) * idf[own[starts], None]
         some = np.flatnonzero(total.any(axis=1))
         columns = [pa.array(some)] + [pa.array(total[some, j]) for j in range(total.shape[1])]
         yield pa.RecordBatch.from_arrays(columns, names=["code", *[f"z{j}" for j in range(total.shape[1])]])
@@ -234,14 +232,13 @@ def _sketch(idf: np.ndarray, wide: int, kind: str, share: float):
     return run
 
 
-def latent_basis(encoded: DataFrame, idf: np.ndarray, passages: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The leading eigenvectors of A'A (codes x rank), and the roots of their eigenvalues."""
+def latent_basis(encoded: DataFrame, idf: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The leading eigenvectors of A'A (codes x rank) over all passages, and the roots of their eigenvalues."""
     wide = settings.rank + settings.extra
     names = [f"z{j}" for j in range(wide)]
     schema = "code long, " + ", ".join(f"{z} double" for z in names)
-    share = min(1.0, settings.fit / max(1, passages))
-    run = _sketch(idf, wide, code_type(len(idf)), share)
-    parts = encoded.where("kind = 0").select("codes", "__h").mapInArrow(run, schema)
+    run = _sketch(idf, wide, code_type(len(idf)), settings.fit)
+    parts = encoded.where("kind = 0").select("codes").mapInArrow(run, schema)
     rows = parts.groupBy("code").agg(*[F.sum(z).alias(z) for z in names]).toArrow()  # one row per code
     sketch, at = np.zeros((len(idf), wide)), rows.column("code").to_numpy()
     for j, z in enumerate(names):
@@ -519,7 +516,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> DataFra
         counts[r["key"]] = r["n"]
     passages = encoded.where("kind = 2").agg(F.sum("n").alias("n")).first()["n"] or 0
     idf = np.log((passages + 1) / (counts + 1)) + 0.01
-    basis, root = latent_basis(encoded, idf, passages, settings)
+    basis, root = latent_basis(encoded, idf, settings)
     alike = alike_words(basis * root, counts, known, settings)
     items = [(rows[i][0], vocabulary.find(words[i]).astype(np.int64)) for i in kept]
     out = None
