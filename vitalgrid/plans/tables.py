@@ -112,11 +112,11 @@ def subject_range_scan(spark, d):
     path = scratch_dir(spark, "epochs")
     rows = src.samples(spark, d).select("subject", "l_orderkey", "bvp", "stage_name")
     files.write_partitioned(rows, path, "subject", "l_orderkey")
-    back = spark.read.parquet(path).where(F.col("subject").between(3, 40))
-    sid = files.subject_from_path(F.input_file_name())
+    back = spark.read.parquet(path).where(F.col("subject") <= 40)  # a folder's first subject
+    first = files.subject_from_path(F.input_file_name())
     return (
-        back.withColumn("sid", sid)
-        .where(files.in_subject_range(F.col("sid"), 3, 40))
+        back.withColumn("first", first)
+        .where((F.col("first").cast("bigint") <= 40) & files.in_subject_range(F.col("sid"), 3, 40))
         .groupBy(F.col("sid").cast("bigint").alias("subject"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -127,10 +127,18 @@ def header_inventory(spark: SparkSession, root: str, pattern: str = "*.csv") ->
     )
 
 
-def write_partitioned(df: DataFrame, path: str, key: str, spread: str, files_per_key: int = 4) -> None:
-    """Partitioned store; a hot key is spread over several files by a second column."""
-    salt = F.pmod(F.xxhash64(spread), F.lit(files_per_key))
-    df.repartition(F.col(key), salt).write.partitionBy(key).parquet(path)
+def write_partitioned(df: DataFrame, path: str, key: str, spread: str, files_per_folder: int = 4, folders: int = 256) -> None:
+    """Store partitioned by ranges of a whole-number key; the key itself stays as the column ``sid``.
+
+    A folder is named by the first key of its range. Up to ``folders`` keys have one each, more keys share them, so the
+    number of files does not grow with the keys. A hot range is spread over several files by a second column.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = 1 if low is None else -(-(high - low + 1) // folders)
+    first = F.col(key) - F.pmod(F.col(key), F.lit(width))
+    placed = df.withColumn("sid", F.col(key).cast("string")).withColumn(key, first)
+    salt = F.pmod(F.xxhash64(spread), F.lit(files_per_folder))
+    placed.repartition(F.col(key), salt).write.partitionBy(key).parquet(path)
 
 
 def subject_from_path(path_col):
