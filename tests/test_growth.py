@@ -17,3 +17,18 @@ def test_a_store_of_many_subjects_has_few_folders(spark, tmp_path):
     few = rows.where("subject between 0 and 9")
     files.write_partitioned(few, f"{path}2", "subject", "n", folders=16)
     assert len([f for f in os.listdir(f"{path}2") if f.startswith("subject=")]) == 10
+
+
+def test_forest_scores_do_not_depend_on_partitions(spark):
+    from vitalgrid.operators import models as md
+
+    v = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+    rows = spark.range(400).select(
+        F.col("id").alias("row_id"), v.alias("a"), F.rand(3).alias("b"), (v > 0.5).cast("int").alias("y"),
+        (F.col("id") % 3).cast("int").alias("fold"), F.lit(1.0).alias("weight"),
+    )
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    assert md.few_parts(rows.repartition(7), "row_id").select(F.spark_partition_id()).distinct().count() == 1
+    draws = {"numTrees": (3,), "maxDepth": (None, 2), "minInstancesPerNode": (1,)}
+    scores = [md.forest_search(rows.repartition(n), ["a", "b"], "y", "fold", 3, "weight", "row_id", draws) for n in (1, 7)]
+    assert scores[0] == scores[1] and len(scores[0]) == 2 and min(scores[0]) > 0.9

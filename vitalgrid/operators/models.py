@@ -8,7 +8,9 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -100,19 +102,49 @@ def drawn_parameters(draws: dict[str, Sequence], n: int = DRAWS, seed: int = SEE
     return random.Random(seed).sample(every, min(n, len(every)))
 
 
+#: Rows of a task that fits forests, and forests fitted at a time.
+ROWS_PER_FIT, FITS_AT_ONCE = 1 << 16, 6
+
+
+def few_parts(df: DataFrame, key: str, rows: int = ROWS_PER_FIT) -> DataFrame:
+    """The rows in one partition per so many rows, ordered by a unique key, so fits repeat themselves.
+
+    Every task of a forest sends statistics of all open nodes, however few rows it has; deep trees have about as many
+    nodes as rows, so more partitions than needed multiply that.
+    """
+    return df.repartition(df.count() // rows + 1, key).sortWithinPartitions(key)
+
+
 def forest_search(
-    columns: Sequence[str], label: str, fold: str, folds: int, weight: str, draws: dict[str, Sequence] | None = None,
-    n: int = DRAWS, evaluator: Evaluator | None = None,
-) -> CrossValidator:
-    """Random search over forest parameters on given folds, scored by AUC or the evaluator given."""
-    est = forest(label, weight=weight)
+    df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, key: str,
+    draws: dict[str, Sequence] | None = None, n: int = DRAWS, evaluator: Evaluator | None = None,
+) -> list[float]:
+    """Random search over forest parameters on given folds: each draw's mean AUC, or score by the evaluator given.
+
+    The forests of all draws and folds are fitted side by side; none is fitted on all rows, as only scores are asked for.
+    """
+    spark, est = df.sparkSession, forest(label, weight=weight)
+    judge = evaluator or BinaryClassificationEvaluator(labelCol=label)
     maps = [
         {est.getParam(k): DEEPEST if v is None else v for k, v in chosen.items()} for chosen in drawn_parameters(draws or FOREST_DRAWS, n)
     ]
-    return CrossValidator(
-        estimator=Pipeline(stages=[assembler(columns), est]), estimatorParamMaps=maps,
-        evaluator=evaluator or BinaryClassificationEvaluator(labelCol=label), numFolds=folds, foldCol=fold, parallelism=4, seed=SEED,
-    )
+    vec = assembler(columns).transform(df).select(key, label, weight, fold, "features")
+    trains = [few_parts(vec.where(F.col(fold) != f), key).persist() for f in range(folds)]
+    tests = [few_parts(vec.where(F.col(fold) == f), key).persist() for f in range(folds)]
+
+    def score(job: tuple[int, int]) -> float:
+        m, f = job
+        return judge.evaluate(est.fit(trains[f], maps[m]).transform(tests[f]))
+
+    jobs = [(m, f) for m in range(len(maps)) for f in range(folds)]
+    # the largest forests first, so none is left to run alone
+    size = lambda job: [maps[job[0]].get(est.getParam(p), 0) for p in ("maxDepth", "numTrees")]
+    jobs.sort(key=size, reverse=True)
+    with ThreadPool(min(FITS_AT_ONCE, len(jobs))) as pool:
+        scores = dict(zip(jobs, pool.map(inheritable_thread_target(spark)(score), jobs, chunksize=1)))
+    for part in [*trains, *tests]:
+        part.unpersist()
+    return [sum(scores[m, f] for f in range(folds)) / folds for m in range(len(maps))]
 
 
 class ColumnSelector(Estimator):

@@ -72,12 +72,11 @@ def selected_projection(spark, d):
 def tree_grid_search(spark, d):
     """Twelve seeded draws of forest parameters on grouped folds, by AUC; the best draw next to its balanced accuracy."""
     t, cols = training_table(spark, d)
-    search = md.forest_search(cols, "y", "fold", FOLDS, "weight")
-    m = search.fit(t)
+    scores = md.forest_search(t, cols, "y", "fold", FOLDS, "weight", "row_id")
     rows = []
-    for draw, auc in zip(md.drawn_parameters(md.FOREST_DRAWS), m.avgMetrics):
+    for draw, auc in zip(md.drawn_parameters(md.FOREST_DRAWS), scores):
         depth = draw["maxDepth"] or md.DEEPEST
-        rows.append((draw["numTrees"], depth, draw["minInstancesPerNode"], float(auc), bool(auc == max(m.avgMetrics))))
+        rows.append((draw["numTrees"], depth, draw["minInstancesPerNode"], float(auc), bool(auc == max(scores))))
     return frame(spark, rows, "trees int, depth int, min_rows int, auc double, best boolean")
 
 
@@ -86,8 +85,8 @@ def balanced_tree_search(spark, d):
     """Four draws scored by balanced accuracy instead."""
     t, cols = training_table(spark, d)
     few = {"numTrees": (20,), "maxDepth": (None, 10, 20), "minInstancesPerNode": (1, 2)}
-    m = md.forest_search(cols, "y", "fold", FOLDS, "weight", few, 4, md.BalancedAccuracy("y")).fit(t)
-    rows = [(x["maxDepth"] or md.DEEPEST, x["minInstancesPerNode"], float(a)) for x, a in zip(md.drawn_parameters(few, 4), m.avgMetrics)]
+    scores = md.forest_search(t, cols, "y", "fold", FOLDS, "weight", "row_id", few, 4, md.BalancedAccuracy("y"))
+    rows = [(x["maxDepth"] or md.DEEPEST, x["minInstancesPerNode"], float(a)) for x, a in zip(md.drawn_parameters(few, 4), scores)]
     return frame(spark, rows, "depth int, min_rows int, balanced_accuracy double")
 
 
