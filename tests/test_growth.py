@@ -32,3 +32,82 @@ def test_forest_scores_do_not_depend_on_partitions(spark):
     draws = {"numTrees": (3,), "maxDepth": (None, 2), "minInstancesPerNode": (1,)}
     scores = [md.forest_search(rows.repartition(n), ["a", "b"], "y", "fold", 3, "weight", "row_id", draws) for n in (1, 7)]
     assert scores[0] == scores[1] and len(scores[0]) == 2 and min(scores[0]) > 0.9
+
+
+def test_a_batch_is_scored_from_what_was_written_once(spark, tmp_path):
+    """The scoring plan reads files, so its branches do not run the state's operator again; intervals are dealt over states."""
+    from vitalgrid.streaming import jobs
+    from vitalgrid.streaming import state
+
+    schema, read = "subject int, sample_idx long, bvp double", []
+    rows = [(1, i, float(i)) for i in range(40) if i % 4 != 3]  # one subject, ten open intervals
+    spark.createDataFrame([*rows, (2, 0, 0.0), (2, 1, 1.0), (2, 2, 2.0), (2, 3, 3.0)], schema).write.parquet(f"{tmp_path}/in")
+
+    def score(part):
+        read.append(part.inputFiles())
+        return part.join(part.groupBy("subject").count(), "subject")
+
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", schema, files_per_batch=None)
+    state.score_intervals(stream, f"{tmp_path}/out", "subject", "sample_idx", 4, score)
+    assert read and all(read)
+    assert sorted(r.sample_idx for r in state.scored(spark, f"{tmp_path}/out").collect()) == [0, 1, 2, 3]
+    held = spark.read.format("statestore").option("stateVarName", "samples").load(f"{tmp_path}/out/checkpoint")
+    assert held.count() == 30 and held.select("key").distinct().count() > 1
+
+
+def test_spectrum_makes_no_rows_of_grid_points(spark):
+    from vitalgrid.operators import signal as sg
+
+    e = spark.range(30).select(F.lit(1).alias("subject"), F.lit(0).alias("epoch_idx"), F.col("id").cast("int").alias("pos"), (0.5 + F.col("id") / 100).alias("ibi"))
+    out = sg.interval_spectrum(e)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1 and sg.interval_spectrum(e.where("pos < 4")).count() == 0
+
+
+def test_samples_of_a_task_do_not_grow(spark, monkeypatch):
+    from vitalgrid.operators import epochs as ep
+    from vitalgrid.operators import ordering
+
+    rows = spark.range(1800).select((F.col("id") % 3).alias("subject"), F.col("id").alias("t"), F.lit(1).alias("s"))
+    cut = lambda: ep.segment(rows, F.floor(F.col("t") / 100), [F.col("t")], F.col("s")).select("subject", "epoch_idx", "pos", "t")
+    whole = sorted(map(tuple, cut().collect()))
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 100)
+    parts = cut()
+    assert parts.rdd.getNumPartitions() == 18 and sorted(map(tuple, parts.collect())) == whole and len(whole) == 1800
+
+
+def test_stress_features_read_their_epochs_once(spark):
+    from vitalgrid.plans import signals
+
+    e = spark.range(90).select(
+        F.lit(1).alias("subject"), F.floor(F.col("id") / 30).alias("epoch_idx"), (F.col("id") % 30).cast("int").alias("pos"),
+        F.lit(2).alias("stage"), F.when(F.col("id") < 60, F.sin(F.col("id") * 0.9)).otherwise(1.0).alias("bvp"),
+    )
+    plan = signals.stress_features(e)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r.epoch_idx: r for r in plan.collect()}
+    assert len(got) == 3 and got[0].MEAN_RR > 0 and got[0].HR > 0 and got[2].MEAN_RR == 0.0 and got[2].stage == 2
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    """The fits of the folds meet each other, and forests do not depend on how the rows are dealt."""
+    import threading
+
+    from vitalgrid.operators import models as md
+
+    v = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+    rows = spark.range(300).select(
+        F.col("id").alias("row_id"), v.alias("a"), *[F.rand(s).alias(c) for s, c in enumerate("bcdef")], (v > 0.5).cast("int").alias("y"),
+        (F.col("id") % 3).cast("int").alias("fold"), F.lit(1.0).alias("weight"),
+    )
+    rows, cols = spark.createDataFrame(rows.collect(), rows.schema), list("abcdef")
+    meet = threading.Barrier(3, timeout=60)
+
+    def fit(train):
+        meet.wait()
+        return md.Pipeline(stages=[md.assembler(cols), md.forest("y", 2)]).fit(train)
+
+    assert md.out_of_fold(rows, fit, "fold", 3, lambda s: s.select("row_id", "prediction"), "row_id").count() == 300
+    imp = [md.importance_by_fold(rows.repartition(n), cols, "y", "fold", 3, "weight", 3, "row_id") for n in (1, 5)]
+    kept = [md.eliminate(rows.repartition(n), cols, "y", "fold", 3, "weight", 4, 2, 2, 3, "row_id") for n in (1, 5)]
+    assert imp[0] == imp[1] and max(imp[0], key=imp[0].get) == "a" and kept[0] == kept[1] and "a" in kept[0] and len(kept[0]) <= 4
