@@ -165,28 +165,53 @@ def poincare_hjorth(x: str = "bvp") -> Family:
     )
 
 
+def _higuchi_block(x: np.ndarray, kmax: int) -> np.ndarray:
+    """Higuchi dimension of equally long rows; missing values take part in no step."""
+    n, total = x.shape[1], np.count_nonzero(~np.isnan(x), axis=1)
+    xs, ys = np.zeros((len(x), kmax)), np.zeros((len(x), kmax))
+    pos = np.arange(n)
+    for k in range(1, kmax + 1):
+        used = np.minimum(k, total - k)
+        ok = used > 0
+        xs[ok, k - 1] = math.log(1.0 / k)
+        if k >= n or not ok.any():
+            continue
+        # the per-offset normalisation is a weight of the step
+        steps = np.floor((total[:, None] - 1 - pos[: n - k] % k) / k)
+        weight = np.divide((total - 1)[:, None], steps * k, out=np.zeros_like(steps), where=steps > 0)
+        length = np.nansum(np.abs(x[:, k:] - x[:, : n - k]) * weight, axis=1)
+        ys[ok, k - 1] = np.log(length[ok] / used[ok] + 1e-10)
+    sx, sy = xs.sum(axis=1), ys.sum(axis=1)
+    den = kmax * (xs * xs).sum(axis=1) - sx * sx
+    ok = (total > 1) & (den != 0)
+    return np.divide(kmax * (xs * ys).sum(axis=1) - sx * sy, den, out=np.zeros(len(x)), where=ok)
+
+
+def _by_length(block, **kw):
+    """A pandas function of an array column: ``block`` works on all arrays of one length together."""
+
+    @F.pandas_udf("double")
+    def run(batch: pd.Series) -> pd.Series:
+        sizes = np.array([0 if a is None else len(a) for a in batch], dtype=np.int64)
+        out = np.zeros(len(batch))
+        for n in np.unique(sizes[sizes > 0]):
+            where = np.flatnonzero(sizes == n)
+            out[where] = block(np.stack([np.asarray(batch.iloc[i], dtype=float) for i in where]), **kw)
+        return pd.Series(out)
+
+    return run
+
+
 def higuchi(x: str = "bvp", kmax: int = 10, prefix: str = "Higuchi_FD") -> Family:
-    """Higuchi dimension: slope of log mean curve length on log(1/k).
+    """Higuchi dimension: slope of log mean curve length on log(1/k), over the epoch's own array.
 
-    The per-offset normalisation is a row weight, so each k is one weighted sum over the epoch.
+    Unfilled k keep the point (0, 0).
     """
-    v, pos, n = F.col(x), F.col("pos"), F.col("__hn")
-    level, aggs, lengths = {"__hn": F.count(v).over(whole_epoch())}, {"__hN": F.count(v)}, []
-    level |= {f"__h{k}": F.abs(F.lead(v, k).over(by_pos()) - v) for k in range(1, kmax + 1)}
-    for k in range(1, kmax + 1):
-        steps = F.floor((n - 1 - F.pmod(pos, F.lit(k))) / k)
-        aggs[f"__H{k}"] = F.sum(F.col(f"__h{k}") * (n - 1) / (steps * k))
-        used = F.least(F.lit(k), F.col("__hN") - k)
-        lengths.append(F.when(used > 0, F.log(F.col(f"__H{k}") / used + 1e-10)).otherwise(F.lit(0.0)))
-    # unfilled k keep the point (0, 0)
-    xs = [F.when(F.col("__hN") - k > 0, F.lit(math.log(1.0 / k))).otherwise(F.lit(0.0)) for k in range(1, kmax + 1)]
-    total = lambda cs: sum(cs[1:], cs[0])
-    sx, sy = total(xs), total(lengths)
-    sxy = total([a * b for a, b in zip(xs, lengths)])
-    sxx = total([a * a for a in xs])
-    den = kmax * sxx - sx * sx
-    slope = F.when((F.col("__hN") > 1) & (den != 0), (kmax * sxy - sx * sy) / den).otherwise(F.lit(0.0))
-    return Family([prefix], [level], aggs, {prefix: slope})
+    return Family([prefix], [], {"__hx": _ordered(x)}, {prefix: higuchi_of(F.col("__hx"), kmax)})
+
+
+def higuchi_of(xs: Column, kmax: int = 10) -> Column:
+    return _by_length(_higuchi_block, kmax=kmax)(xs)
 
 
 def katz(x: str = "bvp") -> Family:
@@ -530,56 +555,86 @@ def resampled_beats(epochs: DataFrame, x: str = "ibi", rate: float = 4.0, usable
     )
 
 
-def interval_spectrum(epochs: DataFrame, x: str = "ibi", rate: float = 4.0, usable=None) -> DataFrame:
-    """Welch band powers of the resampled intervals; epochs with too few beats are absent."""
-    grid = resampled_beats(epochs, x, rate, usable)
-    n, seg = F.col("__g"), F.col("__seg")
-    grid = grid.withColumn("__g", F.count(F.lit(1)).over(whole_epoch())).where((F.col("n_beats") >= 5) & (n >= 16))
-    size = F.least(n, F.lit(64))
-    step = size - F.floor(size / 2)
-    g = F.col("g")
-    # a grid point lies in at most two half-overlapping segments
-    last_seg = F.floor((n - F.col("__size")) / F.col("__step"))
-    lo = F.greatest(F.lit(0), F.ceil((g - F.col("__size") + 1) / F.col("__step")))
-    hi = F.least(last_seg, F.floor(g / F.col("__step")))
-    rows = (
-        grid.withColumns({"__size": size, "__step": step})
-        .withColumns({"__lo": lo.cast("bigint"), "__hi": hi.cast("bigint")})
-        .where("__hi >= __lo")
-        .withColumn("__seg", F.explode(F.sequence("__lo", "__hi")))
-        .withColumn("__p", g - seg * F.col("__step"))
-        .withColumn("__c", F.col("v") - F.avg("v").over(Window.partitionBy(*EPOCH_KEYS, "__seg")))
-    )
-    p, m = F.col("__p"), F.col("__size")
-    win = _hann(p, m)
-    aggs = [F.sum(win * win).alias("__w")]
-    for b in range(1, 7):
-        arg = 2 * math.pi * b * p / m
-        aggs += [F.sum(win * F.col("__c") * F.cos(arg)).alias(f"__re{b}"), F.sum(win * F.col("__c") * F.sin(arg)).alias(f"__im{b}")]
-    psd = [(2.0 * (F.col(f"__re{b}") ** 2 + F.col(f"__im{b}") ** 2) / (rate * F.col("__w"))).alias(f"__p{b}") for b in range(1, 7)]
-    per_seg = rows.groupBy(*EPOCH_KEYS, "__seg", "__size").agg(*aggs).select(*EPOCH_KEYS, "__size", *psd)
-    mean = per_seg.groupBy(*EPOCH_KEYS, "__size").agg(*[F.avg(f"__p{b}").alias(f"__p{b}") for b in range(1, 7)])
-    freq = lambda b: b * rate / F.col("__size")
-
-    def band(lo_f, hi_f):
-        out = F.lit(0.0)
-        for b in range(1, 6):
-            both = (freq(b) >= lo_f) & (freq(b + 1) < hi_f)
-            out = out + F.when(both, (F.col(f"__p{b}") + F.col(f"__p{b + 1}")) / 2.0 * rate / F.col("__size")).otherwise(0.0)
-        return out
+def _resampled(x: np.ndarray, sizes: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Beat intervals (a row each, filled up with zeros) on a uniform grid: all rows' values, and how many a row has."""
+    t = np.cumsum(x, axis=1) - x[:, :1]
+    edge = np.ceil(t * rate).astype(np.int64)
+    pair = np.arange(x.shape[1] - 1) < (sizes - 1)[:, None]
+    counts = np.where(pair, np.diff(edge, axis=1), 0)
+    of = np.repeat(np.arange(counts.size), counts.ravel())
+    row, i = np.divmod(of, counts.shape[1])
+    points = counts.sum(axis=1)
+    g = np.arange(len(of)) - np.repeat(np.cumsum(points) - points, points)
+    v, gap = x[row, i], t[row, i + 1] - t[row, i]
+    return v + (x[row, i + 1] - v) * (g / rate - t[row, i]) / gap, points
+
+
+def _welch_bands(x: np.ndarray, rate: float, bands: Sequence[tuple[float, float]]) -> np.ndarray:
+    """Power per band of equally long rows: half-overlapping Hann segments of at most 64 points, bins 1 to 6."""
+    n = x.shape[1]
+    size = min(n, 64)
+    step = size - size // 2
+    p = np.arange(size)
+    win = 0.5 - 0.5 * np.cos(2 * math.pi * p / size)
+    arg = 2 * math.pi * p[:, None] * np.arange(1, 7) / size
+    psd = np.zeros((len(x), 6))
+    starts = range(0, n - size + 1, step)
+    for at in starts:
+        part = x[:, at : at + size]
+        part = (part - part.mean(axis=1, keepdims=True)) * win
+        psd += 2.0 * ((part @ np.cos(arg)) ** 2 + (part @ np.sin(arg)) ** 2) / (rate * (win * win).sum())
+    psd /= len(starts)
+    f = np.arange(1, 7) * rate / size
+    out = np.zeros((len(x), len(bands)))
+    for j, (lo, hi) in enumerate(bands):
+        for b in range(5):
+            if f[b] >= lo and f[b + 1] < hi:
+                out[:, j] += (psd[:, b] + psd[:, b + 1]) / 2.0 * rate / size
+    return out
 
-    out = mean.select(*EPOCH_KEYS, band(0.003, 0.04).alias("v"), band(0.04, 0.15).alias("l"), band(0.15, 0.4).alias("h"))
-    v, l, h = F.col("v"), F.col("l"), F.col("h")  # noqa: E741
+
+def bands_of(xs: Column, rate: float = 4.0) -> Column:
+    """Welch band powers of arrays of beat intervals, in Arrow batches; null below 5 beats or 16 grid points."""
+    # Band edges in Hz.
+    bands = [(0.003, 0.04), (0.04, 0.15), (0.15, 0.4)]
+
+    @F.pandas_udf("array<double>")
+    def run(batch: pd.Series) -> pd.Series:
+        sizes = np.array([0 if a is None else len(a) for a in batch], dtype=np.int64)
+        out = np.full(len(batch), None, dtype=object)
+        enough = np.flatnonzero(sizes >= 5)
+        if len(enough):
+            x = np.zeros((len(enough), sizes.max()))
+            x[np.arange(sizes.max()) < sizes[enough][:, None]] = np.concatenate([batch.iloc[i] for i in enough])
+            values, points = _resampled(x, sizes[enough], rate)
+            starts = np.cumsum(points) - points
+            for n in np.unique(points[points >= 16]):
+                where = np.flatnonzero(points == n)
+                for i, row in zip(enough[where], _welch_bands(values[starts[where][:, None] + np.arange(n)], rate, bands), strict=True):
+                    out[i] = row
+        return pd.Series(out)
+
+    return run(xs)
+
+
+def spectrum_columns(powers: Column) -> dict[str, Column]:
+    """The columns of ``IBI_SPECTRUM`` from an array of band powers."""
+    v, l, h = (F.get(powers, F.lit(i)) for i in range(3))  # noqa: E741
     tp = v + l + h
-    return out.select(
-        *EPOCH_KEYS,
-        v.alias("IBI_VLF"),
-        l.alias("IBI_LF"),
-        h.alias("IBI_HF"),
-        F.when(h > 1e-12, l / h).otherwise(0.0).alias("IBI_LF_HF"),
-        F.when(tp > 1e-12, h / tp).otherwise(0.0).alias("IBI_nHF"),
-        tp.alias("IBI_TP"),
-    )
+    ratios = [F.when(h > 1e-12, l / h).otherwise(0.0), F.when(tp > 1e-12, h / tp).otherwise(0.0)]
+    return dict(zip(IBI_SPECTRUM, [v, l, h, *ratios, tp]))
+
+
+def interval_spectrum(epochs: DataFrame, x: str = "ibi", rate: float = 4.0, usable=None) -> DataFrame:
+    """Welch band powers of the resampled intervals; epochs with too few beats are absent.
+
+    An epoch's beats are one bounded array; grid points and segments are never rows.
+    """
+    v = F.col(x)
+    beats = epochs.withColumn("__ok", changed(v) & plausible(v) if usable is None else usable(v)).where("__ok")
+    arrays = beats.groupBy(*EPOCH_KEYS).agg(_ordered(x).alias("__beats")).where(F.size("__beats") >= 5)
+    powers = arrays.select(*EPOCH_KEYS, bands_of(F.col("__beats"), rate).alias("__p")).where(F.col("__p").isNotNull())
+    return powers.select(*EPOCH_KEYS, *[c.alias(n) for n, c in spectrum_columns(F.col("__p")).items()])
 
 
 # ------------------------------------------------------------ preprocessing
