@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.ordering import blocks_with_halo, halo_window, home_rows, join_per_key, row_index
+from vitalgrid.operators.ordering import blocks_with_halo, dealt, halo_window, home_rows, join_per_key, row_index
 
 EPOCH_SECONDS = 30
 EPOCH_KEYS = ("subject", "epoch_idx")
@@ -24,7 +24,8 @@ def segment(df: DataFrame, bucket, order: Sequence, stage, rate: int = 1, unscor
     The label is the stage of the first sample; a trailing partial epoch and unscored epochs drop.
     """
     per = EPOCH_SECONDS * rate
-    idx = row_index(df, ["subject"], bucket, order, "sample_idx")
+    count = df.count()  # no column is read
+    idx = row_index(df, ["subject"], bucket, order, "sample_idx", count)
     rows = idx.withColumns(
         {
             "epoch_idx": F.floor(F.col("sample_idx") / per),
@@ -33,7 +34,7 @@ def segment(df: DataFrame, bucket, order: Sequence, stage, rate: int = 1, unscor
         }
     )
     w = epoch_window()
-    rows = rows.withColumns(
+    rows = dealt(rows, EPOCH_KEYS, count).withColumns(
         {"__n": F.count(F.lit(1)).over(w), "stage": F.max(F.when(F.col("pos") == 0, F.col("__stage"))).over(w)}
     )
     return rows.where((F.col("__n") == per) & (F.col("stage") != unscored)).drop("__n", "__stage")

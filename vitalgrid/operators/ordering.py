@@ -17,6 +17,17 @@ _B = "__bucket"
 RANGE_BITS = 12
 CLOSE_ROWS = 4096
 STEPS = 1 << 20
+#: Samples that one task sorts and groups at most.
+ROWS_PER_TASK = 1 << 19
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    """Dealt by keys over one partition per ``ROWS_PER_TASK`` rows, where the session's partitions would hold more.
+
+    ``rows`` is the number of rows, null if it is not known. What a task holds then stays the same however many there are.
+    """
+    parts = -(-rows // ROWS_PER_TASK) if rows else 0
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -73,11 +84,12 @@ def running_totals(
     bucket: Column,
     order: Sequence[Column],
     measures: Mapping[str, Column],
+    count: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in the given full order.
 
     ``bucket`` must be non-decreasing along ``order``. Rows shuffle on (keys, bucket); only the
-    per-bucket totals are ever ordered per key.
+    per-bucket totals are ever ordered per key. With the ``count`` of rows, a task's share does not grow with it.
     """
     keys = list(keys)
     rows = df.withColumn(_B, bucket)
@@ -86,7 +98,7 @@ def running_totals(
     totals = rows.groupBy(*keys, _B).agg(*[F.sum(m).alias(f"__t{m}") for m in part])
     offsets = _bucket_offsets(totals, keys, part) if keys else _two_level_offsets(totals, part)
     inside = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumns({f"__l{m}": F.sum(m).over(inside) for m in part})
+    local = dealt(rows, [*keys, _B], count).withColumns({f"__l{m}": F.sum(m).over(inside) for m in part})
     joined = local.join(offsets, [*keys, _B])
     out = joined.withColumns({n: F.col(f"__l__m_{n}") + F.col(f"__o__m_{n}") for n in measures})
     extra = [c for m in part for c in (m, f"__l{m}", f"__o{m}")]
@@ -143,10 +155,10 @@ def _step(v: Column, low: str, high: str, n: str, most: int) -> Column:
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "idx"
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "idx", count: int | None = None
 ) -> DataFrame:
     """0-based position of every row inside its key."""
-    out = running_totals(df, keys, bucket, order, {name: F.lit(1)})
+    out = running_totals(df, keys, bucket, order, {name: F.lit(1)}, count)
     return out.withColumn(name, (F.col(name) - 1).cast("bigint"))
 
 
