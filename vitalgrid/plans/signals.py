@@ -481,37 +481,38 @@ STRESS_FEATURES = ["MEAN_RR", "MEDIAN_RR", "SDRR", "HR", "LF_NU", "HF", "HF_PCT"
 
 
 def stress_features(epochs, rate=1):
-    """Eleven interval features per window from the peaks of the cleaned signal; zeros below three peaks."""
-    by = Window.partitionBy("subject", "epoch_idx").orderBy("pos")
-    clean = sg.preprocess(epochs)
-    pk = clean.withColumn("pk", sg.peak_flag(F.col("clean"), sg.min_distance(rate))).where("pk").select("subject", "epoch_idx", "pos")
-    gap = F.col("pos") - F.lag("pos").over(by)
-    rr = (
-        pk.withColumn("rr", gap / F.lit(float(rate)))
-        .where("rr IS NOT NULL")
-        .withColumn("pos", F.row_number().over(by) - 1)
-        .withColumn("n_rr", F.count(F.lit(1)).over(Window.partitionBy("subject", "epoch_idx")))
-        .where("n_rr >= 2")
-    )
+    """Eleven interval features per window from the peaks of the cleaned signal; zeros below three peaks.
+
+    The intervals between a window's peaks become one array, and all features come from one aggregate.
+    """
+    clean = sg.preprocess(epochs).withColumn("pk", sg.peak_flag(F.col("clean"), sg.min_distance(rate)))
+    last = F.last(F.when(F.col("pk"), F.col("pos")), True).over(sg.before())
+    rr = clean.withColumn("rr", F.when(F.col("pk"), (F.col("pos") - last) / F.lit(float(rate))))
     ms = F.col("rr") * 1000.0
-    fam = sg.Family(
-        ["MEAN_RR", "MEDIAN_RR", "SDRR", "HR"],
-        [],
-        {"MEAN_RR": F.avg(ms), "MEDIAN_RR": F.percentile(ms, 0.5), "SDRR": F.stddev_samp(ms), "HR": 60.0 / F.avg("rr")},
+    intervals = F.array_sort(F.collect_list(F.when(F.col("rr").isNotNull(), F.struct("pos", "rr"))))
+    rows = rr.groupBy("subject", "epoch_idx").agg(
+        F.max("stage").alias("stage"),
+        F.avg(ms).alias("MEAN_RR"),
+        F.percentile(ms, 0.5).alias("MEDIAN_RR"),
+        F.stddev_samp(ms).alias("SDRR"),
+        (60.0 / F.avg("rr")).alias("HR"),
+        F.transform(intervals, lambda s: s["rr"]).alias("__rr"),
     )
-    time = sg.build(rr, [fam, sg.sample_entropy("rr", name="sampen"), sg.higuchi("rr", prefix="higuci")])
-    spec = sg.interval_spectrum(rr, "rr", usable=lambda v: v > 0).select(
-        "subject",
-        "epoch_idx",
-        (F.col("IBI_LF") / F.nullif(F.col("IBI_LF") + F.col("IBI_HF"), F.lit(0.0))).alias("LF_NU"),
-        F.col("IBI_HF").alias("HF"),
-        (F.col("IBI_nHF") * 100).alias("HF_PCT"),
-        F.col("IBI_TP").alias("TP"),
-        F.col("IBI_LF_HF").alias("LF_HF"),
+    xs = F.col("__rr")
+    rows = rows.withColumns({"sampen": sg.entropy_of(xs), "higuci": sg.higuchi_of(xs), "__p": sg.bands_of(xs)})
+    spec = sg.spectrum_columns(F.col("__p"))
+    low, high = spec["IBI_LF"], spec["IBI_HF"]
+    rows = rows.withColumns(
+        {
+            "LF_NU": low / F.nullif(low + high, F.lit(0.0)),
+            "HF": high,
+            "HF_PCT": spec["IBI_nHF"] * 100,
+            "TP": spec["IBI_TP"],
+            "LF_HF": spec["IBI_LF_HF"],
+        }
     )
-    ids = epochs.groupBy("subject", "epoch_idx").agg(F.max("stage").alias("stage"))
-    out = ids.join(time, ["subject", "epoch_idx"], "left").join(spec, ["subject", "epoch_idx"], "left")
-    return out.na.fill(0.0).select("subject", "epoch_idx", "stage", *STRESS_FEATURES)
+    enough = [F.when(F.size(xs) >= 2, F.col(c)).alias(c) for c in STRESS_FEATURES]
+    return rows.select("subject", "epoch_idx", "stage", *enough).na.fill(0.0)
 
 
 @query("stress_window_features", "G15 W13 G4 G6 G8 G9")
