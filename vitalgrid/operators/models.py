@@ -8,6 +8,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -23,7 +24,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLT
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import evaluation as ev
@@ -106,13 +107,31 @@ def drawn_parameters(draws: dict[str, Sequence], n: int = DRAWS, seed: int = SEE
 ROWS_PER_FIT, FITS_AT_ONCE = 1 << 16, 6
 
 
-def few_parts(df: DataFrame, key: str, rows: int = ROWS_PER_FIT) -> DataFrame:
+def side_by_side(spark: SparkSession, do: Callable, jobs: Sequence) -> list:
+    """What ``do`` gives for every job, in order, a few of them at a time: small fits leave most cores idle alone."""
+    with ThreadPool(max(1, min(FITS_AT_ONCE, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(do), jobs, chunksize=1)
+
+
+def few_parts(df: DataFrame, key: str | Sequence[str], rows: int = ROWS_PER_FIT) -> DataFrame:
     """The rows in one partition per so many rows, ordered by a unique key, so fits repeat themselves.
 
     Every task of a forest sends statistics of all open nodes, however few rows it has; deep trees have about as many
     nodes as rows, so more partitions than needed multiply that.
     """
-    return df.repartition(df.count() // rows + 1, key).sortWithinPartitions(key)
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.repartition(df.count() // rows + 1, *keys).sortWithinPartitions(*keys)
+
+
+@contextmanager
+def held(df: DataFrame, key: str | Sequence[str] | None):
+    """The rows kept for several fits, in few partitions; as they are without a unique key."""
+    rows = df if key is None else few_parts(df, key).persist()
+    try:
+        yield rows
+    finally:
+        if key is not None:
+            rows.unpersist()
 
 
 def forest_search(
@@ -140,8 +159,7 @@ def forest_search(
     # the largest forests first, so none is left to run alone
     size = lambda job: [maps[job[0]].get(est.getParam(p), 0) for p in ("maxDepth", "numTrees")]
     jobs.sort(key=size, reverse=True)
-    with ThreadPool(min(FITS_AT_ONCE, len(jobs))) as pool:
-        scores = dict(zip(jobs, pool.map(inheritable_thread_target(spark)(score), jobs, chunksize=1)))
+    scores = dict(zip(jobs, side_by_side(spark, score, jobs)))
     for part in [*trains, *tests]:
         part.unpersist()
     return [sum(scores[m, f] for f in range(folds)) / folds for m in range(len(maps))]
@@ -156,11 +174,11 @@ class ColumnSelector(Estimator):
 
     def __init__(
         self, columns: Sequence[str], label: str, binary: str, fold: str, weight: str, most: int = 22, least: int = 12,
-        trees: int = 20, features: str = "features",
+        trees: int = 20, features: str = "features", key: str | None = None,
     ) -> None:
         super().__init__()
         self.columns, self.label, self.binary, self.fold, self.weight = list(columns), label, binary, fold, weight
-        self.most, self.least, self.trees, self.features = most, least, trees, features
+        self.most, self.least, self.trees, self.features, self.key = most, least, trees, features, key
 
     def _fit(self, dataset: DataFrame) -> SelectedColumns:
         kept = low_variance_kept(dataset, self.columns)
@@ -170,7 +188,7 @@ class ColumnSelector(Estimator):
             numbered = dataset.withColumn("__inner", F.array_position(F.array(*map(F.lit, inner)), F.col(self.fold)) - 1)
             step = max(1, -(-(len(kept) - self.least) // 2))
             kept = eliminate(
-                numbered, kept, self.binary, "__inner", len(inner), self.weight, self.most, self.least, step, self.trees
+                numbered, kept, self.binary, "__inner", len(inner), self.weight, self.most, self.least, step, self.trees, self.key
             )
         return SelectedColumns(kept, self.features)
 
@@ -186,54 +204,63 @@ class SelectedColumns(Model):
         return assembler(self.kept, self.features).transform(dataset)
 
 
-def importance_by_fold(df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, trees: int = 20) -> dict[str, float]:
-    """Mean forest importance over the training parts of the folds."""
-    vec = assembler(columns).transform(df)
-    total = [0.0] * len(columns)
-    for f in range(folds):
-        m = forest(label, trees=trees, weight=weight).fit(vec.where(F.col(fold) != f))
-        for i, v in enumerate(m.featureImportances.toArray()):
-            total[i] += float(v)
-    return {c: t / max(1, folds) for c, t in zip(columns, total)}
+def importance_by_fold(
+    df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, trees: int = 20, key: str | None = None
+) -> dict[str, float]:
+    """Mean forest importance over the training parts of the folds, fitted side by side.
+
+    With a unique ``key`` the rows lie in few partitions in its order, so the forests repeat themselves.
+    """
+    with held(df.select(*dict.fromkeys([*([key] if key else []), label, fold, weight, *columns])), key) as rows:
+        vec = assembler(columns).transform(rows)
+        fit = lambda f: forest(label, trees=trees, weight=weight).fit(vec.where(F.col(fold) != f)).featureImportances.toArray()
+        parts = side_by_side(df.sparkSession, fit, range(folds))
+    return {c: sum(float(p[i]) for p in parts) / max(1, folds) for i, c in enumerate(columns)}
 
 
-def stability_top(df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, k: int = 22, trees: int = 20) -> list[str]:
+def stability_top(
+    df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, k: int = 22, trees: int = 20, key: str | None = None
+) -> list[str]:
     if folds < 2:
         return list(columns)
-    imp = importance_by_fold(df, columns, label, fold, folds, weight, trees)
+    imp = importance_by_fold(df, columns, label, fold, folds, weight, trees, key)
     return sorted(columns, key=lambda c: (-imp[c], list(columns).index(c)))[:k]
 
 
-def fold_auc(df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, trees: int = 20) -> float:
-    vec = assembler(columns).transform(df)
-    scores = []
-    for f in range(folds):
-        m = forest(label, trees=trees, weight=weight).fit(vec.where(F.col(fold) != f))
-        scores.append(BinaryClassificationEvaluator(labelCol=label).evaluate(m.transform(vec.where(F.col(fold) == f))))
-    return sum(scores) / len(scores)
-
-
 def eliminate(
-    df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, most: int = 22, least: int = 12, step: int | None = None, trees: int = 20
+    df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, most: int = 22, least: int = 12, step: int | None = None,
+    trees: int = 20, key: str | None = None,
 ) -> list[str]:
-    """Recursive elimination: drop the least important columns, keep the size with the best fold AUC."""
+    """Recursive elimination: drop the least important columns, keep the size with the best fold AUC.
+
+    The forests of a round, one per fold and one for the importances, are fitted side by side on rows that are held.
+    """
     cols = list(columns)
     if len(cols) <= most:
         return cols
     step = step or max(1, min(3, len(cols) // 25))
     best, best_auc = cols, -1.0
-    while True:
-        auc = fold_auc(df, cols, label, fold, folds, weight, trees)
-        if auc >= best_auc:
-            best, best_auc = cols, auc
-        if len(cols) <= least:
-            break
-        model = forest(label, trees=trees, weight=weight).fit(assembler(cols).transform(df))
-        imp = dict(zip(cols, model.featureImportances.toArray()))
-        drop = min(step, len(cols) - least)
-        gone = set(sorted(cols, key=lambda c: imp[c])[:drop])
-        cols = [c for c in cols if c not in gone]
-    return best if len(best) <= most else stability_top(df, best, label, fold, folds, weight, most, trees)
+    with held(df.select(*dict.fromkeys([*([key] if key else []), label, fold, weight, *cols])), key) as rows:
+        while True:
+            vec, last = assembler(cols).transform(rows), len(cols) <= least
+
+            def fitted(f: int | None, vec=vec):
+                if f is None:
+                    return forest(label, trees=trees, weight=weight).fit(vec).featureImportances.toArray()
+                m = forest(label, trees=trees, weight=weight).fit(vec.where(F.col(fold) != f))
+                return BinaryClassificationEvaluator(labelCol=label).evaluate(m.transform(vec.where(F.col(fold) == f)))
+
+            found = side_by_side(df.sparkSession, fitted, [*([] if last else [None]), *range(folds)])
+            auc = sum(found[-folds:]) / folds
+            if auc >= best_auc:
+                best, best_auc = cols, auc
+            if last:
+                break
+            imp = dict(zip(cols, found[0]))
+            drop = min(step, len(cols) - least)
+            gone = set(sorted(cols, key=lambda c: imp[c])[:drop])
+            cols = [c for c in cols if c not in gone]
+    return best if len(best) <= most else stability_top(df, best, label, fold, folds, weight, most, trees, key)
 
 
 def masked_projection(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -246,11 +273,13 @@ def probability(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1])
 
 
-def out_of_fold(df: DataFrame, fit: Callable, fold: str, folds: int, read: Callable) -> DataFrame:
-    """Predictions for each fold by a model that never saw it."""
+def out_of_fold(df: DataFrame, fit: Callable, fold: str, folds: int, read: Callable, key: str | None = None) -> DataFrame:
+    """Predictions for each fold by a model that never saw it; the models are fitted side by side."""
+    with held(df, key) as rows:
+        models = side_by_side(df.sparkSession, lambda f: fit(rows.where(F.col(fold) != f)), range(folds))
     parts = None
-    for f in range(folds):
-        scored = read(fit(df.where(F.col(fold) != f)).transform(df.where(F.col(fold) == f)))
+    for f, model in enumerate(models):
+        scored = read(model.transform(df.where(F.col(fold) == f)))
         parts = scored if parts is None else parts.unionByName(scored)
     return parts
 
@@ -363,23 +392,27 @@ def fold_scores(df: DataFrame, columns: Sequence[str], label: str, binary: str,
 
     Selection and models see the other folds only; the scaler is part of the models.
     """
+    models = {
+        "s_en": LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.5, regParam=0.1, maxIter=50),
+        "s_rf": forest_regressor(label, trees),
+        "p_en": LogisticRegression(labelCol=binary, featuresCol="features", elasticNetParam=0.5, regParam=0.05, weightCol="weight", maxIter=50),
+        "p_rf": forest(binary, trees, weight="weight"),
+    }
+
+    def one(f: int) -> tuple[list[str], Pipeline, dict]:
+        with held(df.where(F.col(fold) != f), keep) as train:
+            picked = ColumnSelector(columns, label, binary, fold, "weight", most, min(12, most), trees, "raw").fit(train)
+            scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
+            base = Pipeline(stages=[picked, scaler]).fit(train)
+            seen = base.transform(train)
+            return picked.kept, base, {name: est.fit(seen) for name, est in models.items()}
+
     parts, chosen = None, []
-    for f in range(folds):
-        train = materialize(df.where(F.col(fold) != f), "train")
-        test = df.where(F.col(fold) == f)
-        picked = ColumnSelector(columns, label, binary, fold, "weight", most, min(12, most), trees, "raw").fit(train)
-        chosen.append(picked.kept)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
-        base = Pipeline(stages=[picked, scaler]).fit(train)
-        seen, scored = base.transform(train), base.transform(test)
-        models = {
-            "s_en": LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.5, regParam=0.1, maxIter=50),
-            "s_rf": forest_regressor(label, trees),
-            "p_en": LogisticRegression(labelCol=binary, featuresCol="features", elasticNetParam=0.5, regParam=0.05, weightCol="weight", maxIter=50),
-            "p_rf": forest(binary, trees, weight="weight"),
-        }
-        for name, est in models.items():
-            out = est.fit(seen).transform(scored)
+    for f, (kept, base, fits) in enumerate(side_by_side(df.sparkSession, one, range(folds))):
+        chosen.append(kept)
+        scored = base.transform(df.where(F.col(fold) == f))
+        for name, fit in fits.items():
+            out = fit.transform(scored)
             value = F.col("prediction") if name[0] == "s" else vector_to_array("probability")[1]
             scored = out.withColumn(name, value).drop("prediction", "rawPrediction", "probability")
         part = scored.select(*keep, label, binary, *models)
@@ -397,10 +430,10 @@ def compare_variants(
     """
     spark = df.sparkSession
     weighted = df if "weight" in df.columns else class_weight(df, binary, "weight")
-    reports, picked, scored = [], [], None
-    for name, cols in variants.items():
+
+    def one(name: str) -> tuple[tuple, DataFrame, list[list[str]]]:
+        cols = variants[name]
         oof, chosen = fold_scores(weighted, cols, label, binary, fold, folds, keep, trees, most)
-        picked += [(name, f, i, c) for f, kept in enumerate(chosen) for i, c in enumerate(kept)]
         oof = materialize(oof.withColumn("variant", F.lit(name)), f"oof_{name}")
         w_bin = ev.best_by(ev.auc(ev.weight_grid(oof.withColumnRenamed(binary, "y"), "p_en", "p_rf"), "y", "blend", ["w"]), "w", "auc", 0.5).first()
         maes = [F.struct(F.avg(F.abs(F.col(label) - (F.lit(w) * F.col("s_en") + F.lit(1.0 - w) * F.col("s_rf")))).alias("m"), F.lit(w).alias("w")) for w in [i / 20 for i in range(21)]]
@@ -413,8 +446,14 @@ def compare_variants(
         blend = blend.withColumn("probability_ge5", 1.0 / (1.0 + F.exp(-z)))
         best = ev.youden(blend.withColumnRenamed(binary, "y"), "y", "probability_ge5").first()
         err = ev.regression_errors(blend, label, "score").first()
-        reports.append((name, len(cols), float(w_bin["auc"]), float(w_bin["w"]), float(w_reg["w"]), slope, icept, float(best["threshold"]), float(best["j"]), float(err["mae"]), float(err["rmse"])))
+        line = (name, len(cols), float(w_bin["auc"]), float(w_bin["w"]), float(w_reg["w"]), slope, icept, float(best["threshold"]), float(best["j"]), float(err["mae"]), float(err["rmse"]))
         part = blend.select(*keep, "variant", label, binary, "score", "raw", "probability_ge5", (F.col("probability_ge5") >= best["threshold"]).cast("int").alias("screened"))
+        return line, part, chosen
+
+    reports, picked, scored = [], [], None
+    for line, part, chosen in side_by_side(spark, one, list(variants)):
+        reports.append(line)
+        picked += [(line[0], f, i, c) for f, kept in enumerate(chosen) for i, c in enumerate(kept)]
         scored = part if scored is None else scored.unionByName(part)
     report = spark.createDataFrame(
         reports,

@@ -45,7 +45,7 @@ def frame(spark, rows, schema):
 @query("stability_selection", "M3 M5 M9 T2")
 def stability_selection(spark, d):
     t, cols = training_table(spark, d)
-    imp = md.importance_by_fold(t, cols, "y", "fold", FOLDS, "weight", 10)
+    imp = md.importance_by_fold(t, cols, "y", "fold", FOLDS, "weight", 10, "row_id")
     top = sorted(cols, key=lambda c: (-imp[c], cols.index(c)))[:22]
     return frame(spark, [(i, c, imp[c]) for i, c in enumerate(top)], "pos int, feature string, importance double")
 
@@ -53,14 +53,14 @@ def stability_selection(spark, d):
 @query("recursive_elimination", "M4 M3")
 def recursive_elimination(spark, d):
     t, cols = training_table(spark, d)
-    keep = md.eliminate(t, cols, "y", "fold", FOLDS, "weight", most=20, least=15, step=6, trees=8)
+    keep = md.eliminate(t, cols, "y", "fold", FOLDS, "weight", most=20, least=15, step=6, trees=8, key="row_id")
     return frame(spark, [(i, c) for i, c in enumerate(keep)], "pos int, feature string")
 
 
 @query("selected_projection", "P20")
 def selected_projection(spark, d):
     t, cols = training_table(spark, d)
-    imp = md.importance_by_fold(t, cols, "y", "fold", FOLDS, "weight", 10)
+    imp = md.importance_by_fold(t, cols, "y", "fold", FOLDS, "weight", 10, "row_id")
     best = set(sorted(cols, key=lambda c: (-imp[c], cols.index(c)))[:15])
     keep = [c for c in cols if c in best]
     v = md.masked_projection(t, cols, keep)
@@ -118,7 +118,7 @@ def tree_models(spark, d):
     out = None
     for name, e in ests.items():
         row = lambda s, name=name: md.probability(s, "p").select("subject", "wave", F.lit(name).alias("model"), "p")
-        p = md.out_of_fold(t, Pipeline(stages=[md.assembler(cols), e]).fit, "fold", FOLDS, row)
+        p = md.out_of_fold(t, Pipeline(stages=[md.assembler(cols), e]).fit, "fold", FOLDS, row, "row_id")
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -141,7 +141,7 @@ def platt_calibration(spark, d):
 def out_of_fold_scores(spark, d):
     t, cols = training_table(spark, d)
     est = Pipeline(stages=[md.assembler(cols), md.forest("y", 10, weight="weight")])
-    return md.out_of_fold(t, est.fit, "fold", FOLDS, lambda s: md.probability(s, "p").select("subject", "wave", "fold", "y", "p"))
+    return md.out_of_fold(t, est.fit, "fold", FOLDS, lambda s: md.probability(s, "p").select("subject", "wave", "fold", "y", "p"), "row_id")
 
 
 @query("variant_training", "M13 M7 M8 M11 M12 E11 E12 T7 S16 P17")
