@@ -111,3 +111,21 @@ def test_folds_are_fitted_side_by_side(spark):
     imp = [md.importance_by_fold(rows.repartition(n), cols, "y", "fold", 3, "weight", 3, "row_id") for n in (1, 5)]
     kept = [md.eliminate(rows.repartition(n), cols, "y", "fold", 3, "weight", 4, 2, 2, 3, "row_id") for n in (1, 5)]
     assert imp[0] == imp[1] and max(imp[0], key=imp[0].get) == "a" and kept[0] == kept[1] and "a" in kept[0] and len(kept[0]) <= 4
+
+
+def test_postings_with_lengths_move_texts_only_once(spark):
+    from vitalgrid.operators import maxscore
+    from vitalgrid.operators import retrieval as rt
+
+    docs = [(1, "red fox red"), (2, None), (3, ""), (4, "12 fox a31.5 fox"), (4, "blue fox"), (5, "red red")]
+    docs = spark.createDataFrame(docs, "k long, text string")
+    posts, plain = rt.measured_postings(docs, "k", "text"), rt.postings(docs, "k", "text")
+    lengths = rt.section_lengths(plain, "k")
+    assert posts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, posts.select("k", "term", "tf", "dl").collect())) == sorted(map(tuple, plain.join(lengths, "k").select("k", "term", "tf", "dl").collect()))
+    weights = spark.createDataFrame([("fox", 1.0), ("red", 2.0)], "term string, idf double")
+    found = [sorted(map(tuple, maxscore.impacts(p, lengths, weights, 2.5, "k", 1.5, 0.75).collect())) for p in (posts, plain)]
+    assert found[0] == found[1] and len(found[0]) == 4
+    asked = spark.createDataFrame([(9, "red fox")], "q long, qt string")
+    best = [sorted(map(tuple, rt.bm25(asked, "q", "qt", p, lengths, "k", 3).collect())) for p in (posts, plain)]
+    assert best[0] == best[1]

@@ -83,8 +83,10 @@ class Lists:
 
 
 def impacts(posts: DataFrame, lengths: DataFrame, weights: DataFrame, avgdl: float, key: str, k1: float, b: float) -> DataFrame:
-    """(key, term, impact) of the given terms' postings."""
-    near = posts.join(weights.select("term", "idf"), "term").join(lengths, key)
+    """(key, term, impact) of the given terms' postings; those that carry their section's ``dl`` need no lengths."""
+    near = posts.join(weights.select("term", "idf"), "term")
+    if "dl" not in posts.columns:
+        near = near.join(lengths, key)
     norm = k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
     return near.select(key, "term", (F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + norm))).alias("impact"))
 

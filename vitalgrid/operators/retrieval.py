@@ -20,6 +20,8 @@ K1, B, FLOOR, RRF_K = 1.5, 0.75, 0.25, 60
 BROADCAST_ROWS = 200_000
 QUERY_BLOCK = 2048
 SHARD_ROWS = 100_000
+#: Sections whose terms one task counts.
+SECTIONS_PER_TASK = 2048
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,6 +41,18 @@ def postings(sections: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def measured_postings(sections: DataFrame, key: str, text: str) -> DataFrame:
+    """Term counts per section beside its token count ``dl``: texts move once by section, postings do not.
+
+    A task has a bounded number of sections. A plan that runs its input twice, such as a sort by ranges, should read
+    these from a table.
+    """
+    parts = -(-sections.count() // SECTIONS_PER_TASK)
+    dealt = sections.select(key, tx.search_tokens(text).alias("__t")).repartition(max(1, parts), key)
+    dealt = dealt.withColumn("dl", F.sum(F.size("__t")).over(Window.partitionBy(key)))
+    return dealt.select(key, "dl", F.explode("__t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def section_lengths(posts: DataFrame, key: str) -> DataFrame:
     """Token count per section, from its postings."""
     return posts.groupBy(key).agg(F.sum("tf").alias("dl"))
@@ -79,7 +93,8 @@ def bm25(queries: DataFrame, qkey: str, qtext: str, posts: DataFrame, lengths: D
 
 def scored_sections(queries: DataFrame, qkey: str, qtext: str, posts: DataFrame, lengths: DataFrame, key: str, k: int) -> DataFrame:
     """The k best sections of every shard per query, with ``met``: the postings and sections looked at there."""
-    stats = corpus_stats(lengths)
+    n_sections, avgdl = corpus_stats(lengths).first()
+    stats = queries.sparkSession.range(1).select(F.lit(n_sections).cast("long").alias("n_docs"))
     terms = (
         queries.select(F.col(qkey).cast("long").alias("__q"), F.explode(tx.search_tokens(qtext)).alias("term"))
         .groupBy("__q", "term")
@@ -88,7 +103,6 @@ def scored_sections(queries: DataFrame, qkey: str, qtext: str, posts: DataFrame,
     terms = materialize(terms, "query_terms")
     wanted = broadcast_if_small(terms.select("term").distinct())
     weights = materialize(term_weights(posts, stats).join(wanted, "term", "left_semi"), "query_weights")
-    n_sections, avgdl = stats.first()
     n_queries = terms.agg(F.count_distinct("__q")).first()[0]
     if not n_sections or not n_queries:
         return terms.select(F.col("__q").alias(qkey), F.col("__q").alias(key), F.lit(0.0).alias("score"), F.col("w").alias("met")).limit(0)

@@ -83,7 +83,7 @@ def corpus_statistics(spark, d):
 
 
 def lexical(spark, d):
-    posts = materialize(rt.postings(sections(spark, d), "doc_id", "text"), "postings")
+    posts = materialize(rt.measured_postings(sections(spark, d), "doc_id", "text"), "postings")
     return rt.bm25(questions(spark, d), "item_id", "question", posts, rt.section_lengths(posts, "doc_id"), "doc_id", 2 * TOP_CHILDREN)
 
 
