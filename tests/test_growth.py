@@ -129,3 +129,38 @@ def test_postings_with_lengths_move_texts_only_once(spark):
     asked = spark.createDataFrame([(9, "red fox")], "q long, qt string")
     best = [sorted(map(tuple, rt.bm25(asked, "q", "qt", p, lengths, "k", 3).collect())) for p in (posts, plain)]
     assert best[0] == best[1]
+
+
+def test_an_index_is_written_where_its_sections_are_counted(spark, tmp_path, monkeypatch):
+    """Only texts move: all postings of a section are in one segment, and a segment is in order of its terms."""
+    from vitalgrid.operators import retrieval as rt
+
+    monkeypatch.setattr(rt, "SECTIONS_PER_TASK", 50)
+    docs = [(n % 190, f"red fox{n % 7} a31.5 word{n}") for n in range(200)] + [(500, None), (501, "12 7")]
+    path = str(tmp_path / "index")
+    rt.write_index(rt.postings(spark.createDataFrame(docs, "k long, text string"), "k", "text"), path, "k")
+    back = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    files_of = back.groupBy("k").agg(F.count_distinct("file").alias("n")).collect()
+    assert len(files_of) == 192 and {r.n for r in files_of} == {1}
+    names = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(names) > 1
+    for name in names:
+        rows = [(r.term, r.k) for r in spark.read.parquet(f"{path}/{name}").collect()]
+        assert rows == sorted(rows)
+    count = {r.term: (r.n, r.c) for r in back.groupBy("term").agg(F.count("k").alias("n"), F.sum("tf").alias("c")).collect()}
+    assert count["red"] == (190, 200) and count["a31.5"] == (190, 200) and count[""] == (2, 2) and count["word199"] == (1, 1)
+
+
+def test_search_tokens_by_first_character_equal_the_plain_rule(spark):
+    import re
+
+    from vitalgrid.functions import text as tx
+
+    parts = ["a", "z9", "f32.1", "12", "123", "7", "a1.", "a1.5b", "b22.33.4", "1a", "12a", "99.9", "x", "\u00e9t\u00e9", "_", "a_b", "12.345", "aa1.5"]
+    texts = [x + sep + y + sep + x for x in parts for y in parts for sep in ("", " ", ".", "-")]
+    want = []
+    for t in texts:
+        k = [w for w in re.findall(r"[a-z][0-9]+\.[0-9]+|[a-z0-9]{2,}", t.lower()) if not (w.isdigit() and len(w) < 3)]
+        want.append(k or [""])
+    got = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", tx.search_tokens("t").alias("k")).orderBy("n").collect()
+    assert [r.k for r in got] == want

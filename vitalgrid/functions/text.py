@@ -215,9 +215,10 @@ def normalize_backend(c) -> Column:
 
 def search_tokens(c) -> Column:
     """Codes such as f32.1 and words of two or more characters; short pure numbers drop."""
-    # the look-ahead refuses a run of exactly two digits, so no second pass over the tokens is needed
-    pattern = r"([a-z]\d+\.\d+|(?!\d{2}(?![a-z0-9]))[a-z0-9]{2,})"
-    kept = F.regexp_extract_all(F.lower(_c(c)), F.lit(pattern), F.lit(1))
+    # a branch per first character, with no way back into a run: cheaper than trying both rules at every place; the
+    # look-ahead refuses a run of exactly two digits, so no second pass over the tokens is needed
+    pattern = r"[a-z](?:\d+\.\d+|[a-z0-9]++)|\d(?!\d(?![a-z0-9]))[a-z0-9]++"
+    kept = F.regexp_extract_all(F.lower(_c(c)), F.lit(pattern), F.lit(0))
     return bind(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit(""))))
 
 

@@ -32,13 +32,16 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 # ------------------------------------------------------------ index
 
 
+def in_tasks_of_sections(sections: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by section, a bounded number of sections to a task, so that counts inside a section need no shuffle."""
+    parts = -(-sections.count() // SECTIONS_PER_TASK)
+    return sections.repartition(max(1, parts), key)
+
+
 def postings(sections: DataFrame, key: str, text: str) -> DataFrame:
-    """Term counts per section."""
-    return (
-        sections.select(key, F.explode(tx.search_tokens(text)).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """Term counts per section: texts move once by section, postings do not."""
+    dealt = in_tasks_of_sections(sections.select(key, F.col(text).alias("__text")), key)
+    return dealt.select(key, F.explode(tx.search_tokens("__text")).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def measured_postings(sections: DataFrame, key: str, text: str) -> DataFrame:
@@ -47,8 +50,7 @@ def measured_postings(sections: DataFrame, key: str, text: str) -> DataFrame:
     A task has a bounded number of sections. A plan that runs its input twice, such as a sort by ranges, should read
     these from a table.
     """
-    parts = -(-sections.count() // SECTIONS_PER_TASK)
-    dealt = sections.select(key, tx.search_tokens(text).alias("__t")).repartition(max(1, parts), key)
+    dealt = in_tasks_of_sections(sections.select(key, tx.search_tokens(text).alias("__t")), key)
     dealt = dealt.withColumn("dl", F.sum(F.size("__t")).over(Window.partitionBy(key)))
     return dealt.select(key, "dl", F.explode("__t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -72,8 +74,12 @@ def term_weights(posts: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def write_index(posts: DataFrame, path: str, key: str) -> None:
-    """Postings sorted by term; ranges over (term, section) keep a frequent term in several files."""
-    posts.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(path)
+    """Postings in segments: a file holds the sections of one task of ``postings``, sorted by term.
+
+    No posting moves for it, and a frequent term is in every segment, its rare ones in few. A segment's terms are in
+    order, so a reader skips the row groups without its term.
+    """
+    posts.sortWithinPartitions("term", key).write.parquet(path)
 
 
 # ------------------------------------------------------------ BM25
