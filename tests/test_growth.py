@@ -151,6 +151,16 @@ def test_an_index_is_written_where_its_sections_are_counted(spark, tmp_path, mon
     assert count["red"] == (190, 200) and count["a31.5"] == (190, 200) and count[""] == (2, 2) and count["word199"] == (1, 1)
 
 
+def test_term_weights_count_postings_once(spark):
+    from vitalgrid.operators import retrieval as rt
+
+    posts = rt.postings(spark.createDataFrame([(1, "red fox"), (2, "red"), (3, "red hen")], "k long, text string"), "k", "text")
+    weights = rt.term_weights(posts, rt.corpus_stats(rt.section_lengths(posts, "k")))
+    read = weights.inputFiles()
+    assert read and all("term_counts" in f for f in read)
+    assert {r.term: r.df for r in weights.collect()} == {"red": 3, "fox": 1, "hen": 1}
+
+
 def test_search_tokens_by_first_character_equal_the_plain_rule(spark):
     import re
 

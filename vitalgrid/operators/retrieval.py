@@ -65,8 +65,12 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def term_weights(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Document frequency and idf per term; negative idf becomes a share of the mean idf."""
-    df = with_scalars(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n_docs"))
+    """Document frequency and idf per term; negative idf becomes a share of the mean idf.
+
+    Postings are counted once, into a table of terms that the mean and the result both read.
+    """
+    counts = materialize(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term_counts")
+    df = with_scalars(counts, stats.select("n_docs"))
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     out = with_scalars(raw, mean)
