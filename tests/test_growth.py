@@ -174,3 +174,29 @@ def test_search_tokens_by_first_character_equal_the_plain_rule(spark):
         want.append(k or [""])
     got = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", tx.search_tokens("t").alias("k")).orderBy("n").collect()
     assert [r.k for r in got] == want
+
+
+def test_queries_far_from_all_pivots_move_once_a_group(spark, monkeypatch):
+    """In many dimensions bounds leave every shard: a query goes to few groups all the same, and finds the exact best."""
+    import numpy as np
+
+    from vitalgrid.operators import retrieval as rt
+
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(300, 24)) * 1000 + 40_000  # far from the origin, where products round most
+    rows[40:60] = rows[7]
+    monkeypatch.setattr(rt.pv, "PIVOTS", 64)
+    monkeypatch.setattr(rt.pv, "GROUPS", 4)
+    monkeypatch.setattr(rt.pv, "PRODUCTS", 500)
+    data = [(i, [float(x) for x in r]) for i, r in enumerate(rows)]
+    v, q = spark.createDataFrame(data, "__id long, __e array<double>"), spark.createDataFrame(data, "__q long, __v array<double>")
+    pivots = rt.pv.choose(v, "distance")
+    shards = rt.pv.radii(rt.pv.placed(v, pivots, "distance", 100))
+    assert shards.count() > 50 and rt.pv.visits(q, pivots, shards, 6, "distance").count() <= 5 * len(rows)
+    for metric in ("distance", "cosine"):
+        near = rt.nearest(q.toDF("k", "qv"), "k", "qv", v.toDF("n", "e"), "n", "e", 6, metric, block=10).collect()
+        scaled = rt.pv.scaled(rows, metric)
+        for i in range(len(rows)):
+            s = (scaled * scaled[i]).sum(1) if metric == "cosine" else -((scaled - scaled[i]) ** 2).sum(1)
+            want = sorted(zip((-s).tolist(), range(len(rows))))[:6]
+            assert sorted((-r.similarity, r.n) for r in near if r.k == i) == want

@@ -1,5 +1,8 @@
 """Exact nearest vectors by pivots: cells, radii, bounds from the triangle inequality, and the comparisons left.
 
+Few vectors of many features are far from all pivots alike, so bounds alone leave most pairs. What is left is therefore
+compared in blocks, by matrix products; their rounding only widens the choice, which plain differences then order.
+
 Distances are Euclidean; for cosines the vectors are brought to unit length first, where the order of distances is the
 reverse order of cosines. Bounds keep a small slack, so rounding never loses a neighbour.
 """
@@ -18,8 +21,12 @@ from vitalgrid.session import materialize
 #: Most pivots; cells are larger where there are more vectors.
 PIVOTS = 256
 SLACK = 1e-6
+#: Groups of neighbouring shards that a query is sent to, once a group; more where a group would pass the largest shard.
+GROUPS = 32
+#: Products held at once.
+PRODUCTS = 1 << 22
 
-VISIT = "__q long, __v array<double>, reach double, to_pivot double, shard long"
+VISIT = "__q long, __v array<double>, reach double, group long"
 
 
 def scaled(m: np.ndarray, metric: str) -> np.ndarray:
@@ -88,15 +95,38 @@ def radii(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high"))
 
 
-def visits(q: DataFrame, pivots: np.ndarray, shards: DataFrame, k: int, metric: str) -> DataFrame:
-    """(__q, __v, reach, shard) for the shards that may hold one of a query's k nearest, and the k-th's upper bound.
+def grouping(table: list, pivots: np.ndarray, largest: int | None = None) -> np.ndarray:
+    """The group of each shard: shards along the main axis of their pivots, about as many vectors in each group."""
+    cell, low, n = (np.array([r[c] for r in table]) for c in ("cell", "low", "n"))
+    around = pivots - pivots.mean(axis=0)
+    along = (around @ np.linalg.svd(around, full_matrices=False)[2][0])[cell]
+    order = np.lexsort((low, cell, along))
+    size = -(-int(n.sum()) // GROUPS)
+    before = np.cumsum(n[order]) - n[order]
+    group = np.empty(len(table), dtype=np.int64)
+    group[order] = before // max(1, size if largest is None else min(size, largest))
+    return group
+
+
+def in_groups(vectors: DataFrame, pivots: np.ndarray, shards: DataFrame, largest: int | None = None) -> DataFrame:
+    """(__id, __e, group): the placed vectors, by the group of their shard."""
+    table = shards.orderBy("shard").collect()  # one row per shard
+    pairs = [(r["shard"], int(g)) for r, g in zip(table, grouping(table, pivots, largest) if table else [])]
+    groups = vectors.sparkSession.createDataFrame(pairs, "shard long, group long")
+    return vectors.join(F.broadcast(groups), "shard").select("__id", "__e", "group")
+
+
+def visits(q: DataFrame, pivots: np.ndarray, shards: DataFrame, k: int, metric: str, largest: int | None = None) -> DataFrame:
+    """(__q, __v, reach, group) for groups with a shard that may hold one of a query's k nearest, and the k-th's upper bound.
 
     The table of shards (a few numbers for each SHARD_ROWS vectors) goes to every task.
     """
     table = shards.orderBy("shard").collect()  # one row per shard
     if not table:
         return q.sparkSession.createDataFrame([], VISIT)
-    names = np.array([r["shard"] for r in table])
+    group = grouping(table, pivots, largest)
+    by_group = np.argsort(group, kind="stable")
+    names, starts = np.unique(group[by_group], return_index=True)
     cell, n = np.array([r["cell"] for r in table]), np.array([r["n"] for r in table])
     low, high = np.array([r["low"] for r in table]), np.array([r["high"] for r in table])
 
@@ -109,7 +139,7 @@ def visits(q: DataFrame, pivots: np.ndarray, shards: DataFrame, k: int, metric:
                 upper = to_pivot[:, cell] + high[None, :]
                 order = np.argsort(upper, axis=1)
                 enough = np.cumsum(n[order], axis=1) >= k
-                last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(names) - 1)
+                last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(cell) - 1)
                 reach = upper[np.arange(len(upper)), order[np.arange(len(upper)), last]]
                 reach = np.where(enough.any(axis=1), reach, np.inf)
                 if pivots.shape[0] >= k:
@@ -118,11 +148,11 @@ def visits(q: DataFrame, pivots: np.ndarray, shards: DataFrame, k: int, metric:
                 home = to_pivot.min(axis=1)
                 d = to_pivot[:, cell]
                 least = np.maximum(np.maximum(d - high, low - d), (d - home[:, None]) / 2)
-                i, j = np.nonzero(least <= reach[:, None])
+                i, j = np.nonzero(np.logical_or.reduceat((least <= reach[:, None])[:, by_group], starts, axis=1))
                 take = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(reach[i]), pa.array(to_pivot[i, cell[j]]), pa.array(names[j])],
-                    ["__q", "__v", "reach", "to_pivot", "shard"],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(reach[i]), pa.array(names[j])],
+                    ["__q", "__v", "reach", "group"],
                 )
 
     e = q.select("__q", F.col("__v").cast("array<double>").alias("__v"))
@@ -130,29 +160,36 @@ def visits(q: DataFrame, pivots: np.ndarray, shards: DataFrame, k: int, metric:
 
 
 def compared(left: pa.Table, right: pa.Table, k: int, metric: str) -> pa.Table:
-    """The k best vectors of one shard for each query that visits it; vectors outside a query's ring are left out."""
+    """The k best vectors of one group for each query that visits it.
+
+    Products of blocks choose, with room for their rounding, the vectors that can be among the k best; only those are
+    compared as they are defined. By distance, vectors out of a query's reach are left out first.
+    """
     found: tuple[list, list, list] = ([], [], [])
     if left.num_rows and right.num_rows:
-        left = left.sort_by("r")
-        ids, r = left.column("__id").to_numpy(), left.column("r").to_numpy()
-        given, asked = _rows(left.column("__e")), _rows(right.column("__v"))
-        vectors, queries = scaled(given, metric), scaled(asked, metric)
-        reach, to_pivot = right.column("reach").to_numpy(), right.column("to_pivot").to_numpy()
-        starts = np.searchsorted(r, to_pivot - reach, "left")
-        ends = np.searchsorted(r, to_pivot + reach, "right")
-        for i, q in enumerate(right.column("__q").to_pylist()):
-            rows = slice(int(starts[i]), int(ends[i]))
-            part = vectors[rows]
-            if not len(part):
-                continue
-            s = part @ queries[i] if metric == "cosine" else -((part - queries[i]) ** 2).sum(axis=1)
-            take = min(k, len(s))
-            cut = np.partition(s, len(s) - take)[len(s) - take]
-            where = np.flatnonzero(s >= cut)
-            where = where[np.lexsort((ids[rows][where], -s[where]))[:take]]
-            found[0].extend([q] * len(where))
-            found[1].extend(ids[rows][where].tolist())
-            found[2].extend(s[where].tolist())
+        ids, names = left.column("__id").to_numpy(), right.column("__q").to_pylist()
+        vectors, queries = scaled(_rows(left.column("__e")), metric), scaled(_rows(right.column("__v")), metric)
+        reach = right.column("reach").to_numpy()
+        size = (vectors * vectors).sum(axis=1)
+        rounding = (vectors.shape[1] + 8) * np.finfo(float).eps
+        step = max(1, PRODUCTS // len(vectors))
+        for start in range(0, len(queries), step):
+            asked = queries[start : start + step]
+            own = (asked * asked).sum(axis=1)
+            far = -(asked @ vectors.T) if metric == "cosine" else own[:, None] + size[None, :] - 2.0 * (asked @ vectors.T)
+            room = 2 * rounding * (own + size[np.isfinite(size)].max(initial=0.0))
+            limit = np.full(len(asked), np.inf) if metric == "cosine" else reach[start : start + step] ** 2 + room
+            for i, q in enumerate(asked):
+                rows = np.flatnonzero(far[i] <= limit[i])
+                if len(rows) > k:
+                    left_over = far[i][rows]
+                    rows = rows[left_over <= np.partition(left_over, k - 1)[k - 1] + 2 * room[i]]
+                part = vectors[rows]
+                s = (part * q).sum(axis=1) if metric == "cosine" else -((part - q) ** 2).sum(axis=1)
+                best = np.lexsort((ids[rows], -s))[:k]
+                found[0].extend([names[start + i]] * len(best))
+                found[1].extend(ids[rows][best].tolist())
+                found[2].extend(s[best].tolist())
     types = [pa.int64(), pa.int64(), pa.float64()]
     return pa.Table.from_arrays(
         [pa.array(x, t) for x, t in zip(found, types, strict=True)], names=["__q", "__id", "similarity"]

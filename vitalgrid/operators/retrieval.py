@@ -193,21 +193,27 @@ def nearest(
 
 
 def _by_pivots(q: DataFrame, v: DataFrame, k: int, metric: str, shard: int = SHARD_ROWS) -> DataFrame:
-    """Queries meet only the shards that can hold one of their k nearest, by the triangle inequality.
+    """Queries meet only the groups of shards that can hold one of their k nearest, by the triangle inequality.
 
     Vectors go to the cell of their nearest pivot (a bounded number of vectors, the first by hash), large cells in
-    several shards, in order of their distance to the pivot. Shards move once. Each leaves a row of its radii: with the
-    pivots these bound from above the distance of a query's k-th neighbour, and from below that of any vector of a
-    shard, so most shards, and inside a shard most vectors, are never compared. Cosines go by distances of unit vectors.
+    several shards, in order of their distance to the pivot. Each shard leaves a row of its radii: with the pivots these
+    bound from above the distance of a query's k-th neighbour, and from below that of any vector of a shard. A query is
+    sent once to each group of neighbouring shards that it may need, and compared there in blocks. A task meets at most
+    about ``shard`` vectors and as many queries; more queries come in blocks, each with its copy of the vectors.
+    Cosines go by distances of unit vectors.
     """
     pivots = pv.choose(v, metric)
     placed = pv.placed(v, pivots, metric, shard)
-    visits = pv.visits(q, pivots, pv.radii(placed), k, metric)
+    shards = materialize(pv.radii(placed), "shards")
+    blocks = max(1, -(-q.count() // shard))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    vectors = pv.in_groups(placed, pivots, shards, shard).withColumn("block", each)
+    asked = pv.visits(q, pivots, shards, k, metric, shard).withColumn("block", F.pmod(F.xxhash64("__q"), F.lit(blocks)).cast("int"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         return pv.compared(left, right, k, metric)
 
-    return placed.groupBy("shard").cogroup(visits.groupBy("shard")).applyInArrow(meet, _PARTIAL)
+    return vectors.groupBy("group", "block").cogroup(asked.groupBy("group", "block")).applyInArrow(meet, _PARTIAL)
 
 
 def parents_of(children: DataFrame, links: DataFrame, sections: DataFrame, qkey: str, child: str, parent: str) -> DataFrame:
