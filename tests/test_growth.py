@@ -200,3 +200,10 @@ def test_queries_far_from_all_pivots_move_once_a_group(spark, monkeypatch):
             s = (scaled * scaled[i]).sum(1) if metric == "cosine" else -((scaled - scaled[i]) ** 2).sum(1)
             want = sorted(zip((-s).tolist(), range(len(rows))))[:6]
             assert sorted((-r.similarity, r.n) for r in near if r.k == i) == want
+
+
+def test_person_waves_parse_segments_once(spark):
+    from vitalgrid.plans import waves
+
+    read = waves.person_waves(spark, "/root/testdata/sf0.001").inputFiles()
+    assert any("/waved-" in f for f in read) and not any("events" in f for f in read)

@@ -183,7 +183,9 @@ def person_wave_table(
     labels = people.join(spans, "subject").select(
         "subject", "t0", "gad7_1", "gad7_2", "gad7_f", *demographics(demo)
     )
+    # positions, statistics and quantiles all read these: parsed and joined once
     waved = assign_waves(segments, spans).select("subject", "wave", "seg_time", "event_id", *rich, *lite)
+    waved = materialize(waved, "waved")
     more = [*coverage(), *[a for m in lite for a in lite_stats(m)], *[a for m in day_night for a in day_night_stats(m)]]
     full = rich_stats(
         waved, ["subject", "wave"], rich, time_bucket("seg_time", 6 * 3600), ["seg_time", "event_id"], more, [*lite, *day_night]
