@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import evaluation as ev
+from vitalgrid.operators import forests
 from vitalgrid.operators.ordering import join_per_key, row_index, with_scalars
 from vitalgrid.operators.retrieval import nearest
 from vitalgrid.operators.selection import class_weight, correlation_kept, hash_part, low_variance_kept
@@ -93,7 +94,7 @@ class BalancedAccuracy(Evaluator):
 # What the forest's parameters are drawn from, and how many draws are tried.
 FOREST_DRAWS = {"numTrees": (100, 200, 300), "maxDepth": (4, 5, 6, 8, 10, None), "minInstancesPerNode": (1, 2, 4)}
 DRAWS = 12
-#: The deepest tree that Spark grows stands for no limit of depth.
+#: Stands for no limit of depth in the rows of a search.
 DEEPEST = 30
 
 
@@ -134,35 +135,49 @@ def held(df: DataFrame, key: str | Sequence[str] | None):
             rows.unpersist()
 
 
+class Searched(list):
+    """The score of every draw, in order.
+
+    best: place of the first best one. scored: (draw, fold, label, rawPrediction, prediction) of all draws' held-out rows.
+    """
+
+    def __init__(self, scores: Sequence[float], best: int, label: str, folds: int, scored: DataFrame) -> None:
+        super().__init__(scores)
+        self.best, self.label, self.folds, self.scored = best, label, folds, scored
+
+    def judged(self, evaluator: Evaluator, draws: Sequence[int]) -> list[float]:
+        """Mean score over the folds of some draws' held-out rows."""
+        return mean_scores(self.scored, evaluator, draws, self.folds)
+
+
+def mean_scores(scored: DataFrame, evaluator: Evaluator, draws: Sequence[int], folds: int) -> list[float]:
+    jobs = [(m, f) for m in draws for f in range(folds)]
+    one = lambda job: evaluator.evaluate(scored.where((F.col("draw") == job[0]) & (F.col("fold") == job[1])))
+    found = dict(zip(jobs, side_by_side(scored.sparkSession, one, jobs)))
+    return [sum(found[m, f] for f in range(folds)) / folds for m in draws]
+
+
 def forest_search(
     df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, key: str,
     draws: dict[str, Sequence] | None = None, n: int = DRAWS, evaluator: Evaluator | None = None,
-) -> list[float]:
+) -> Searched:
     """Random search over forest parameters on given folds: each draw's mean AUC, or score by the evaluator given.
 
-    The forests of all draws and folds are fitted side by side; none is fitted on all rows, as only scores are asked for.
+    Every draw's forest of every fold is grown on the rows outside the fold and judged on the fold. Trees are grown in tasks
+    and stay there. No depth is no limit.
     """
-    spark, est = df.sparkSession, forest(label, weight=weight)
+    if unknown := set(draws or FOREST_DRAWS) - set(FOREST_DRAWS):
+        raise ValueError(f"no forest parameters that can be drawn: {sorted(unknown)}")
     judge = evaluator or BinaryClassificationEvaluator(labelCol=label)
-    maps = [
-        {est.getParam(k): DEEPEST if v is None else v for k, v in chosen.items()} for chosen in drawn_parameters(draws or FOREST_DRAWS, n)
-    ]
-    vec = assembler(columns).transform(df).select(key, label, weight, fold, "features")
-    trains = [few_parts(vec.where(F.col(fold) != f), key).persist() for f in range(folds)]
-    tests = [few_parts(vec.where(F.col(fold) == f), key).persist() for f in range(folds)]
-
-    def score(job: tuple[int, int]) -> float:
-        m, f = job
-        return judge.evaluate(est.fit(trains[f], maps[m]).transform(tests[f]))
-
-    jobs = [(m, f) for m in range(len(maps)) for f in range(folds)]
-    # the largest forests first, so none is left to run alone
-    size = lambda job: [maps[job[0]].get(est.getParam(p), 0) for p in ("maxDepth", "numTrees")]
-    jobs.sort(key=size, reverse=True)
-    scores = dict(zip(jobs, side_by_side(spark, score, jobs)))
-    for part in [*trains, *tests]:
-        part.unpersist()
-    return [sum(scores[m, f] for f in range(folds)) / folds for m in range(len(maps))]
+    found = [forests.Draw(d.get("numTrees", 20), d.get("maxDepth", 6), d.get("minInstancesPerNode", 2)) for d in drawn_parameters(draws or FOREST_DRAWS, n)]
+    rows = df.select(*dict.fromkeys([key, label, weight, fold, *columns]))
+    # rows of one key in a fixed order as well
+    parts = few_parts(rows.withColumn("__of", F.xxhash64(*rows.columns)), [key, "__of"]).drop("__of")
+    given = forests.coded(parts, columns, label, weight, fold, folds)
+    scored = materialize(forests.held_out_votes(given, found, False, SEED).withColumnRenamed("label", label), "forest_scores")
+    scores = mean_scores(scored, judge, range(len(found)), folds)
+    best = scores.index(max(scores) if judge.isLargerBetter() else min(scores))
+    return Searched(scores, best, label, folds, scored)
 
 
 class ColumnSelector(Estimator):
