@@ -39,6 +39,7 @@ _VALUES = "column int, part int, block int, data binary, fold binary"
 _CODES = "fold int, column int, block int, data binary, cuts array<double>"
 _SUMS = "draw int, fold int, block int, job int, label binary, votes binary"
 _SCORED = "draw int, fold int, label double, votes array<double>"
+NODES = "tree int, node long, left long, column int, threshold double, n long, share array<double>"
 
 
 @dataclass(frozen=True)
@@ -402,3 +403,40 @@ def held_out_votes(given: Coded, draws: Sequence[Draw], own_weights: bool, seed:
     sums = _dealt(given, jobs).mapInArrow(run, _SUMS).groupBy("draw", "fold", "block").applyInArrow(added, _SCORED)
     most = F.array_position("votes", F.array_max("votes")) - 1
     return sums.select("draw", "fold", "label", array_to_vector("votes").alias("rawPrediction"), most.cast("double").alias("prediction"))
+
+
+def fitted_nodes(given: Coded, draw: Draw, own_weights: bool, seed: int) -> DataFrame:
+    """The nodes of a forest on all rows: rows with a value up to the threshold go to ``left``, others to the node after it."""
+    jobs = _jobs([given.folds], draw.trees)
+    sizes, classes = (given.rows, given.columns), given.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, codes, beside, cuts = _held(batches, sizes)
+        if number < 0:
+            return
+        points = np.full((sizes[1], BINS), np.nan)
+        for c, x in cuts.items():
+            points[c, : len(x)] = x
+        job, every = jobs[number], np.arange(sizes[0])
+        for trees in _together(job.first, job.end, sizes[0]):
+            used = np.zeros(len(trees), np.int64)
+            for level in levels(codes, beside[LABEL], beside[WEIGHT], every, trees, draw.least, draw.depth, classes, own_weights, seed):
+                each = np.bincount(level.tree, minlength=len(trees))
+                first = used - (np.cumsum(each) - each)  # of a tree at this depth
+                inner = level.column >= 0
+                below = np.bincount(level.tree[inner], minlength=len(trees)) * 2
+                left = level.left + (used + each - (np.cumsum(below) - below))[level.tree]
+                threshold = np.where(inner, points[level.column, level.code], np.nan)
+                ends = np.arange(len(level.tree) + 1, dtype=np.int32) * classes
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((level.tree + trees[0]).astype(np.int32)), pa.array(np.arange(len(level.tree)) + first[level.tree]),
+                        pa.array(left, mask=~inner), pa.array(level.column.astype(np.int32), mask=~inner), pa.array(threshold, mask=~inner),
+                        pa.array(level.size.astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(level.share.T).ravel())),
+                    ],
+                    names=["tree", "node", "left", "column", "threshold", "n", "share"],
+                )
+                used += each
+
+    return _dealt(given, jobs).mapInArrow(run, NODES)

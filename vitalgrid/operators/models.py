@@ -139,11 +139,12 @@ class Searched(list):
     """The score of every draw, in order.
 
     best: place of the first best one. scored: (draw, fold, label, rawPrediction, prediction) of all draws' held-out rows.
+    nodes: the best draw's forest, fitted on all rows (see ``forests.fitted_nodes``); columns are numbered as given.
     """
 
-    def __init__(self, scores: Sequence[float], best: int, label: str, folds: int, scored: DataFrame) -> None:
+    def __init__(self, scores: Sequence[float], best: int, label: str, folds: int, scored: DataFrame, nodes: DataFrame) -> None:
         super().__init__(scores)
-        self.best, self.label, self.folds, self.scored = best, label, folds, scored
+        self.best, self.label, self.folds, self.scored, self.nodes = best, label, folds, scored, nodes
 
     def judged(self, evaluator: Evaluator, draws: Sequence[int]) -> list[float]:
         """Mean score over the folds of some draws' held-out rows."""
@@ -159,12 +160,13 @@ def mean_scores(scored: DataFrame, evaluator: Evaluator, draws: Sequence[int], f
 
 def forest_search(
     df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int, weight: str, key: str,
-    draws: dict[str, Sequence] | None = None, n: int = DRAWS, evaluator: Evaluator | None = None,
+    draws: dict[str, Sequence] | None = None, n: int = DRAWS, evaluator: Evaluator | None = None, own_weights: bool = False,
 ) -> Searched:
     """Random search over forest parameters on given folds: each draw's mean AUC, or score by the evaluator given.
 
-    Every draw's forest of every fold is grown on the rows outside the fold and judged on the fold. Trees are grown in tasks
-    and stay there. No depth is no limit.
+    Every draw's forest of every fold is grown on the rows outside the fold and judged on the fold; the best draw's forest is
+    then fitted on all rows. Trees are grown in tasks and stay there. No depth is no limit. own_weights: classes are weighted
+    in the sample of each tree ("balanced_subsample") instead of by the rows' weights.
     """
     if unknown := set(draws or FOREST_DRAWS) - set(FOREST_DRAWS):
         raise ValueError(f"no forest parameters that can be drawn: {sorted(unknown)}")
@@ -174,10 +176,11 @@ def forest_search(
     # rows of one key in a fixed order as well
     parts = few_parts(rows.withColumn("__of", F.xxhash64(*rows.columns)), [key, "__of"]).drop("__of")
     given = forests.coded(parts, columns, label, weight, fold, folds)
-    scored = materialize(forests.held_out_votes(given, found, False, SEED).withColumnRenamed("label", label), "forest_scores")
+    scored = materialize(forests.held_out_votes(given, found, own_weights, SEED).withColumnRenamed("label", label), "forest_scores")
     scores = mean_scores(scored, judge, range(len(found)), folds)
     best = scores.index(max(scores) if judge.isLargerBetter() else min(scores))
-    return Searched(scores, best, label, folds, scored)
+    nodes = materialize(forests.fitted_nodes(given, found[best], own_weights, SEED), "best_forest")
+    return Searched(scores, best, label, folds, scored, nodes)
 
 
 class ColumnSelector(Estimator):

@@ -72,12 +72,14 @@ def selected_projection(spark, d):
 def tree_grid_search(spark, d):
     """Twelve seeded draws of forest parameters on grouped folds, by AUC; the best draw next to its balanced accuracy."""
     t, cols = training_table(spark, d)
-    scores = md.forest_search(t, cols, "y", "fold", FOLDS, "weight", "row_id")
+    scores = md.forest_search(t, cols, "y", "fold", FOLDS, "weight", "row_id", own_weights=True)
+    best = [i for i, auc in enumerate(scores) if auc == max(scores)]
+    balanced = dict(zip(best, scores.judged(md.BalancedAccuracy("y"), best)))
     rows = []
-    for draw, auc in zip(md.drawn_parameters(md.FOREST_DRAWS), scores):
+    for i, (draw, auc) in enumerate(zip(md.drawn_parameters(md.FOREST_DRAWS), scores)):
         depth = draw["maxDepth"] or md.DEEPEST
-        rows.append((draw["numTrees"], depth, draw["minInstancesPerNode"], float(auc), bool(auc == max(scores))))
-    return frame(spark, rows, "trees int, depth int, min_rows int, auc double, best boolean")
+        rows.append((draw["numTrees"], depth, draw["minInstancesPerNode"], float(auc), i in balanced, balanced.get(i)))
+    return frame(spark, rows, "trees int, depth int, min_rows int, auc double, best boolean, balanced_accuracy double")
 
 
 @query("balanced_tree_search", "M6 E6")
