@@ -192,6 +192,14 @@ def test_own_weights_are_those_of_a_trees_sample(rows):
     assert search(rows, own_weights=True) == search(other, own_weights=True)
 
 
+def test_rows_are_dealt_by_key_alone(rows, monkeypatch):
+    """Values of a column that no split uses do not change which rows a tree samples, in several partitions as well."""
+    dealt = md.few_parts
+    monkeypatch.setattr(md, "few_parts", lambda df, key: dealt(df, key, 50))
+    rows = rows.withColumn("row_id", F.xxhash64("a"))
+    assert search(rows) == search(rows.withColumn("d", F.col("d") + 1).repartition(3))
+
+
 def test_rows_without_class_or_weight_are_an_error(rows):
     for bad in (rows.withColumn("y", F.col("y") - 1), rows.withColumn("weight", F.lit(None).cast("double")), rows.where("false")):
         with pytest.raises(ValueError):

@@ -191,7 +191,7 @@ def forest_search(
     found = [forests.Draw(d.get("numTrees", 20), d.get("maxDepth", 6), d.get("minInstancesPerNode", 2)) for d in drawn_parameters(draws or FOREST_DRAWS, n)]
     rows = df.select(*dict.fromkeys([key, label, weight, fold, *columns]))
     # rows of one key in a fixed order as well
-    parts = few_parts(rows.withColumn("__of", F.xxhash64(*rows.columns)), [key, "__of"]).drop("__of")
+    parts = few_parts(rows, key).sortWithinPartitions(key, F.xxhash64(*rows.columns))
     given = forests.coded(parts, columns, label, weight, fold, folds)
     scored = materialize(forests.held_out_votes(given, found, own_weights, SEED).withColumnRenamed("label", label), "forest_scores")
     scores = mean_scores(scored, judge, range(len(found)), folds)
